@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pii, quality_mil, quality_rules, simhash, toxicity
+from . import chat, decontaminate, licenses, pieces, pii, quality_mil, quality_rules, simhash, toxicity
 from .tables import read
 
 
@@ -21,6 +22,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.licenses(read(spark, sf_dir, "documents"))
+    spans = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first_word"], x["last_word"], x["matched"], F.round(x["coverage"], 4)))
+    return out.select("doc_id", "n_found", "best", F.array_join(spans, ",").alias("spans"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"))
 
@@ -37,14 +44,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotated(read(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("conv_id", "speaker", "part", "n_turns", "text", masks.alias("masks"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_licenses": op5_licenses,
     "op6_pieces": op6_pieces,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_chat": op10_chat,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +76,17 @@ def _bounds() -> str:
 
 
 SQL = {
+    "op10_chat": rf"""
+with t as (select distinct conv_id, turn, coalesce(role, '{chat.UNKNOWN}') as role, coalesce(text, '') as text from conversations),
+p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from t),
+s as (select distinct conv_id c, role as speaker from t where role not in ('system')),
+e as (select p.*, s.speaker, (pos // {chat.PART})::bigint as part,
+        case when role in ('system') then '<|' || role || '|>' || chr(10) when role = speaker then '<|assistant|>' || chr(10) else '<|user|>' || role || chr(10) end as head,
+        text || '<|end|>' || chr(10) as body from p join s on p.conv_id is not distinct from s.c),
+o as (select *, coalesce(sum(length(head) + length(body)) over (partition by conv_id, speaker, part order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from e)
+select conv_id, speaker, part, count(*)::bigint as n_turns, string_agg(head || body, '' order by pos) as text,
+  coalesce(string_agg((start + length(head))::varchar || ':' || (start + length(head) + length(body) - 1)::varchar, ',' order by pos) filter (where role = speaker), '') as masks
+from o group by conv_id, speaker, part""",
     "op4_quality_rules": rf"""
 with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
 a as (select *, regexp_extract_all(t, '{_WORD}') w,
