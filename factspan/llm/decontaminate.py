@@ -171,13 +171,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     no window; items with a null id are ignored; items of one id count once.  Repeated documents give repeated
     rows.  An empty benchmark hits nothing.  Other columns are not read.
     """
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    items, texts = _items(benchmark), docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    known = _small(items, broadcast_bytes)
+    return _by_join(texts, items) if known is None else _by_broadcast(texts, known)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _small(items: DataFrame, broadcast_bytes: int) -> list | None:
+    """The items, if their texts stay within ``broadcast_bytes``."""
     size = items.agg(F.sum(F.octet_length("text") + F.length("item_id") + 16)).first()[0] or 0
-    if size <= broadcast_bytes:
-        known = [(r[0], r[1]) for r in items.collect()]  # bounded by broadcast_bytes
-        return _by_broadcast(texts, known)
-    return _by_join(texts, items)
+    return [(r[0], r[1]) for r in items.collect()] if size <= broadcast_bytes else None
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark; columns and order of columns stay.
+    Null and empty texts stay.  Past ``broadcast_bytes`` the contaminated ids are removed by a join."""
+    items = _items(benchmark)
+    known = _small(items, broadcast_bytes)
+    if known is None:
+        bad = _by_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), items).where("contaminated").select("doc_id").distinct()
+        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    shared, at = docs.sparkSession.sparkContext.broadcast(known), docs.columns.index("text")
+
+    def run(batches):
+        index = Index([k[0] for k in shared.value], [k[1] for k in shared.value])
+        for b in batches:
+            out = _report(index, b.column(at)).column("contaminated")
+            yield b.filter(pa.array([not x for x in out.to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _by_broadcast(texts: DataFrame, known: list) -> DataFrame:

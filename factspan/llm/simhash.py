@@ -131,3 +131,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of its smallest doc_id; columns stay.
+
+    Repeated rows of one id count as one document.  Rows with a null id belong to no id that could stand for them and
+    stay as they are.
+    """
+    known = docs.where("doc_id is not null")
+    kept = near_duplicates(known, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
