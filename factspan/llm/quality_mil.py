@@ -175,14 +175,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
     """The network fitted on at most ``per_class`` labelled texts of each class (whole texts); a fifth of them calibrates.
     Without labelled texts of both classes it stays untrained, at even scores."""
     net = AttentionNet()
-    rows = sample(docs, labels, "quality", MODULUS, HELD_OUT, per_class).collect()  # bounded by per_class
-    rows.sort(key=lambda r: r["doc_id"])
-    y = np.array([r["label"] for r in rows], np.float32)
+    rows = sample(docs, labels, "quality", MODULUS, HELD_OUT, per_class).toArrow().sort_by("doc_id")  # bounded by per_class
+    y = rows.column("label").to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         net.p["o"][:] = 0
         return net
-    bags = Bags(list(encode(pa.array([r["text"] for r in rows], pa.large_string()))))
-    order = np.random.default_rng(3).permutation(len(rows))
+    bags = Bags(list(encode(rows.column("text").cast(pa.large_string()))))
+    order = np.random.default_rng(3).permutation(len(y))
     held = order[:len(order) // 5]
     net.fit(bags, y, order[len(order) // 5:])
     if len(held):
