@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
@@ -173,7 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     """
     items, texts = _items(benchmark), docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = _small(items, broadcast_bytes)
-    return _by_join(texts, items) if known is None else _by_broadcast(texts, known)
+    return _by_join(texts, items).drop("k") if known is None else _by_broadcast(texts, known)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -188,12 +188,13 @@ def _small(items: DataFrame, broadcast_bytes: int) -> list | None:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; columns and order of columns stay.
-    Null and empty texts stay.  Past ``broadcast_bytes`` the contaminated ids are removed by a join."""
+    Null and empty texts stay.  Past ``broadcast_bytes`` the contaminated rows are removed by a join on their keys."""
     items = _items(benchmark)
     known = _small(items, broadcast_bytes)
     if known is None:
-        bad = _by_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), items).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        bad = _by_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), items).where("contaminated").select(F.col("k").alias("bad"))
+        own = docs.alias("d")
+        return own.join(bad.distinct().alias("b"), _key("d.doc_id", "d.text") == F.col("b.bad"), "left_anti")
     shared, at = docs.sparkSession.sparkContext.broadcast(known), docs.columns.index("text")
 
     def run(batches):
@@ -239,11 +240,16 @@ def _keys(column: pa.Array, short: bool) -> tuple[list, list]:
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _key(doc_id: str, text: str) -> Column:
+    """A hash of id and text; a null id is told from every other."""
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def _by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: kept hashes meet in a join, and each pair of a text and an item is
+    """The same, and the key ``k`` of each row, for a benchmark of any size: kept hashes meet in a join, and each pair of a text and an item is
     extended by itself.  Texts are keyed by a hash of id and text; repeated rows share a key and are counted."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    base = texts.withColumn("k", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+    base = texts.withColumn("k", _key("doc_id", "text"))
     base = written(base.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "decontaminate-texts")
 
     def keyed(short):
@@ -287,7 +293,7 @@ def _by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
     counted = base.select("k", "text").mapInArrow(words, "k long, n_words long")
     out = base.select("k", "doc_id", "copies").join(counted, "k").join(per, "k", "left")
     return out.select(
-        F.col("doc_id").cast(kind).alias("doc_id"), "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
+        "k", F.col("doc_id").cast(kind).alias("doc_id"), "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", F.array_sort("ids")), F.lit("")), 256).alias("items_sha256"),
         F.col("ids").isNotNull().alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")

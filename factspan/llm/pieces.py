@@ -131,17 +131,26 @@ class Model:
         ahead = [0.0] + [-np.inf] * len(part)
         for b in range(1, len(part) + 1):
             ahead[b] = max((ahead[a] + s for a, s, _ in into[b]), default=-np.inf)
-        heap = [(-ahead[len(part)], 0, len(part), 0.0, ())]
+        heap = [(-ahead[len(part)], len(part), 0, 0.0, None)]
         out, count = [], 0
+        # Rest paths of one position come up best first, so no more than n of them can be part of the n best.
+        popped = [0] * (len(part) + 1)
         while heap and len(out) < n:
-            _, _, at, done, ids = heapq.heappop(heap)
+            _, at, _, done, rest = heapq.heappop(heap)
             if at == 0:
-                out.append((done, ids))
+                ids = []
+                while rest:
+                    ids.append(rest[0])
+                    rest = rest[1]
+                out.append((done, tuple(ids)))
+                continue
+            popped[at] += 1
+            if popped[at] > n:
                 continue
             for a, s, i in into[at]:
-                if ahead[a] > -np.inf:
+                if ahead[a] > -np.inf and popped[a] < n:
                     count += 1
-                    heapq.heappush(heap, (-(ahead[a] + s + done), count, a, done + s, (i, *ids)))
+                    heapq.heappush(heap, (-(ahead[a] + s + done), a, count, done + s, (i, rest)))
         return out
 
     # ---- many parts, in numpy ------------------------------------------------------------------------------------
