@@ -14,6 +14,7 @@ from ..operators.findings import Inventory
 from ..schema import SCOPE_RULES
 from ..sources import inventory as V
 
+#: Fixed values of the manifest format.
 API = "com.huawei.his.appconfigcenter.v3"
 KIND = "his.appconfigcenter"
 
