@@ -116,6 +116,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABO
     return found.distinct()
 
 
+def _rooted(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, root)`` of the distinct fingerprints ``fps(fp)``: the root is one fingerprint of the component."""
+    joined = components(links(fps, max_bits), "simhash-cc")
+    return fps.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id)`` per row of ``docs(doc_id, text, ...)``.
 
@@ -126,19 +132,29 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     marked = written(with_fingerprint(docs), "simhash-fp")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    joined = components(links(classes.select("fp"), max_bits), "simhash-cc")
-    rooted = classes.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.join(_rooted(classes.select("fp"), max_bits), "fp")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, that of its smallest doc_id; columns stay.
+    """``docs`` with one row of each near-duplicate group, the least by doc_id and then by a hash of the whole row;
+    columns stay.
 
-    Repeated rows of one id count as one document.  Rows with a null id belong to no id that could stand for them and
-    stay as they are.
+    The row is chosen by its own text, so rows of one id with different texts count each in its own group.  Rows
+    with a null id are grouped by text in the same way, but among themselves: no id stands for them.
     """
-    known = docs.where("doc_id is not null")
-    kept = near_duplicates(known, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    known = docs.withColumn("_row", row)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fingerprints(b.column(1)).view(np.int64))], names=["doc_id", "_row", "fp"])
+
+    marked = written(known.select("doc_id", F.col("text").cast("string"), "_row").mapInArrow(run, f"doc_id {kind}, _row string, fp long"), "simhash-rows")
+    rooted = _rooted(written(marked.select("fp").distinct(), "simhash-classes"), max_bits)
+    least = marked.join(rooted, "fp").groupBy("root", F.isnull("doc_id").alias("_none")).agg(F.min(F.struct("doc_id", "_row")).alias("_least"))
+    kept = least.select(F.col("_least._row").alias("_row"))
+    return known.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

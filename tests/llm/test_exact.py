@@ -242,6 +242,12 @@ def test_one_per_group(spark, odd):
     assert simhash.one_per_group(odd).columns == odd.columns
 
 
+def test_one_per_group_by_rows(spark):
+    """Repeated ids with different texts stand in their own groups; copies with null ids are copies of each other."""
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "z y x w v"), (1, "z y x w v"), (2, "z y x w v"), (None, "p q r s t"), (None, "p q r s t"), (None, "k l m n o")], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.one_per_group(docs).collect())) == Counter([(1, "a b c d"), (1, "z y x w v"), (None, "p q r s t"), (None, "k l m n o")])
+
+
 def test_remainder_is_crc32(spark):
     from factspan.llm.labelled import remainder
 
