@@ -1,60 +1,48 @@
-"""Language-model scoring by logistic context mixing.
-
-A token is first taken from the lexicon of the training texts (absolute discounting of its count) or spelt, bit by bit
-and ended by a space.  The bits of a spelling are predicted in the contexts of its last one to five bytes: counts in
-hashed tables, turned into log-odds, are combined by weights chosen by a gate (the longest context seen, and the
-bit's place), and the result is refined by an adaptive probability map.  Weights and map are learnt online, batch
-after batch, over all distinct words of the training texts, each left out of its own counts; tasks learn in parallel
-and their results are averaged.  The discounts pay for spelling, so that the probabilities of all tokens sum to one.
-
-A text is a mixture over classes of texts (its language, told by function words, or none): each class has counts of
-its own that fall back on those of all texts.  The mixture adapts to a text as it is read, and since the product over
-its words does not depend on their order, it is taken over sums by class.
-
-What a word costs depends on the word alone, so words are scored once; texts look up frequent words in a broadcast
-table of bounded size and join the rest.  Words are told apart by 64-bit hashes in these steps.
+"""Language-model scoring by logistic context mixing over running texts.
+
+A text is read as its words, lower-cased and each ended by a space, and one space more that ends the text.  It is
+predicted bit by bit, in nine contexts: its last one to six bytes, whatever words they lie in, and the word begun so
+far, alone, after the word before it and after the two words before it.  Counts of the bytes that followed a context
+in the training texts are turned into log-odds of the next bit, combined by weights chosen by a gate (how many of the
+contexts have been seen, and the bit's place), and the result is refined by an adaptive probability map.
+
+Counts are rows of a table keyed by the 64-bit hash of the context, so they grow with the corpus and no two contexts
+share a row (orders of bytes are exact; contexts of words are told apart by their hashes).  Texts are dealt into
+blocks of bounded size; a block asks for its own distinct contexts by a join.  Weights and map are learnt over all
+training texts, each byte left out of its own counts; blocks learn in parallel from the averages of the round before.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder
 from .tables import written
-from .toxicity import LANGUAGES, function_words
-from .textkernel import NOT_SPACE, Tokens, hash_spans, padded, segment_sum, slices, string_buffer
+from .textkernel import NOT_SPACE, Tokens, hash_spans, mix, padded, segment_sum, slices, string_buffer
 
 MODULUS, HELD_OUT = 10, 0
-ORDERS = 5
-BITS = 19
-SLOTS = 1 << BITS
+#: Orders of bytes, and contexts in all: three more of words.
+BYTES, ORDERS = 6, 9
+#: Bits of text that tables handed to ``Mixer`` by hand must have room for; blocks bring tables of their own size.
+SLOTS = 1 << 19
 GATES = (ORDERS + 1) * 8
 BUCKETS = 24
-#: Words that the broadcast table may hold.
-HEAD = 1 << 18
-#: Classes of texts: four languages, and texts without function words.
-CLASSES = len(LANGUAGES) + 1
-_FUNCTION_H, _FUNCTION_CLASS = function_words()
-#: The token that ends a text, as a word without bytes.
-_END = int(hash_spans(padded(np.zeros(0, np.uint8)), np.array([0]), np.array([0]))[0].view(np.int64))
-_FLUSH = 1 << 20
-_STEP = 1 << 13
+#: Bytes of texts in a block (a longer text is a block of its own), and rounds of learning.
+BLOCK, ROUNDS = 1 << 18, 2
+#: In place of the byte that followed a context: the row counts a word.
+_WORD = -1
+#: Bytes of a step of learning, and of those whose counts are held at once.
+_STEP, _LOAD = 1 << 11, 1 << 16
+_PRIME, _BYTES = np.uint64(0xD1342543DE82EF95), mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
 # ---- words of texts ----------------------------------------------------------------------------------------------
 
-def _gather(pad: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of spans, side by side."""
-    size = end - start
-    at = np.concatenate([[0], np.cumsum(size)])
-    return pad[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
-
-
 def _tokens(column: pa.Array):
     """Slices of a column as (padded bytes, words, hashes)."""
     buf, offsets = string_buffer(column)
@@ -64,77 +52,38 @@ def _tokens(column: pa.Array):
         yield lo, hi, pad, t, hash_spans(pad, t.start, t.end).view(np.int64)
 
 
-def _classes(t: Tokens, h: np.ndarray) -> np.ndarray:
-    """The language whose function words are most frequent in each row, or the last class if there are none."""
-    votes = np.zeros((len(t.counts), CLASSES))
-    votes[:, -1] = 0.5
-    row = t.row
-    u = h.view(np.uint64)
-    left, right = np.searchsorted(_FUNCTION_H, u, "left"), np.searchsorted(_FUNCTION_H, u, "right")
-    for k in range(2):  # a word may belong to two languages
-        hit = np.flatnonzero(left + k < right)
-        votes += np.bincount(row[hit] * CLASSES + _FUNCTION_CLASS[left[hit] + k], minlength=votes.size).reshape(votes.shape)
-    return votes.argmax(1)
-
-
-_CLASS_COLUMNS = [f"c{k}" for k in range(CLASSES)]
-_SCORES = [f"s{k}" for k in range(CLASSES)]
-
-
-class _Counts:
-    """Distinct words with their training counts, merged as slices come in."""
-
-    def __init__(self):
-        self.parts, self.rows = [], 0
-
-    def add(self, h, count, data, at):
-        self.parts.append((h, count, data, at))
-        self.rows += len(h)
-
-    def merged(self) -> pa.RecordBatch:
-        h = np.concatenate([p[0] for p in self.parts])
-        count = np.concatenate([p[1] for p in self.parts])
-        data = np.concatenate([p[2] for p in self.parts])
-        size = np.concatenate([np.diff(p[3]) for p in self.parts])
-        at = np.concatenate([[0], np.cumsum(size)])
-        known, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        total = [np.bincount(inverse, weights=count[:, k], minlength=len(known)).astype(np.int64) for k in range(CLASSES)]
-        words, ends = _gather(data, at[first], at[first + 1])
-        self.parts, self.rows = [], 0
-        binary = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
-        return pa.record_batch([pa.array(known), binary, *(pa.array(x) for x in total)], names=["h", "word", *_CLASS_COLUMNS])
+def _streams(pad: np.ndarray, t: Tokens) -> pa.Array:
+    """Words of each row, each followed by a space."""
+    size = t.end - t.start + 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    data = pad[np.repeat(t.start - at[:-1], size) + np.arange(at[-1])]
+    data[at[1:] - 1] = 32
+    return pa.Array.from_buffers(pa.large_binary(), len(t.counts), [None, pa.py_buffer(at[t.first].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """``(h, word, c, c0, c1, ...)``: every distinct token of ``texts(text, held_out)``, its count in texts not held out, and
-    those counts by class of text."""
+def _blocks(texts: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, block, stream)`` of ``texts(doc_id, text, held_out)``."""
     def run(batches):
-        counts = _Counts()
+        block, filled = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            held = np.array(b.column(1).to_pylist(), bool)
-            for lo, hi, pad, t, h in _tokens(b.column(0)):
-                known, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                kind = _classes(t, h)
-                learnt = np.where(held[lo:hi], CLASSES, kind)  # one column more, for texts held out
-                cells = inverse * (CLASSES + 1) + np.repeat(learnt, t.counts)
-                count = np.bincount(cells, minlength=len(known) * (CLASSES + 1)).reshape(-1, CLASSES + 1)[:, :CLASSES]
-                data, at = _gather(pad, t.start[first], t.end[first])
-                counts.add(known, count, data, at)
-                counts.add(np.array([_END]), np.bincount(learnt, minlength=CLASSES + 1)[None, :CLASSES], np.zeros(0, np.uint8), np.array([0, 0]))
-                if counts.rows > _FLUSH:
-                    yield counts.merged()
-        if counts.parts:
-            yield counts.merged()
-
-    rows = texts.select("text", "held_out").mapInArrow(run, "h long, word binary, " + ", ".join(f"{c} long" for c in _CLASS_COLUMNS))
-    sums = rows.groupBy("h", "word").agg(*[F.sum(c).alias(c) for c in _CLASS_COLUMNS])
-    return sums.withColumn("c", reduce(lambda x, y: x + y, [F.col(c) for c in _CLASS_COLUMNS]))
+            for lo, hi, pad, t, _ in _tokens(b.column(1)):
+                streams = _streams(pad, t)
+                own = []
+                for size in np.diff(string_buffer(streams)[1]).tolist():
+                    if filled and filled + size + 1 > BLOCK:
+                        block, filled = block + 1, 0
+                    filled += size + 1
+                    own.append(block)
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(own, pa.int64()), streams.cast(pa.binary())], names=["doc_id", "held_out", "block", "stream"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, block long, stream binary")
 
 
 # ---- spelling ----------------------------------------------------------------------------------------------------
 
 class Spelling:
-    """Words as bytes with a closing space, and the hashes of the contexts of every byte."""
+    """Streams as bytes with a closing space, and the 64-bit contexts of every byte."""
 
     def __init__(self, column: pa.Array):
         buf, at = string_buffer(column)
@@ -144,63 +93,88 @@ class Spelling:
         flat = np.full(n, 32, np.uint8)
         begin = np.repeat(self.first[:-1], size)
         place = np.arange(n) - begin
-        body = place < np.repeat(size - 1, size)
-        flat[body] = buf
-        self.bytes = flat
-        past = np.zeros(n, np.uint32)
-        self.contexts = []
-        for k in range(1, ORDERS + 1):
-            before = np.zeros(n, np.uint32)
+        flat[place < np.repeat(size - 1, size)] = buf
+        self.bytes, self.known = flat, None
+        self.contexts, past = [], np.zeros(n, np.uint64)
+        for k in range(1, BYTES + 1):
+            before = np.zeros(n, np.uint64)
             before[k:] = flat[:-k]
-            before[place < k] = 1 + (k - place[place < k])  # ahead of the word
-            past = (past * np.uint32(0x01000193)) ^ (before + np.uint32(k << 8))
-            self.contexts.append(past * np.uint32(0x9E3779B1) + np.uint32(k))
-
-    def bit(self, depth: int, part: slice = slice(None)):
-        """Bits at one place of each byte, and the table slots of their contexts."""
+            before[place < k] = 256  # ahead of the text
+            past = past * np.uint64(512) + before  # nine bits a byte: exact
+            self.contexts.append(mix(past | np.uint64(k << 56)))
+        if not n:
+            self.contexts += [np.zeros(0, np.uint64)] * (ORDERS - BYTES)
+            self.words = self.starts = np.zeros(0, np.int64)
+            return
+        start = place == 0
+        start[1:] |= flat[:-1] == 32
+        self.starts = words = np.flatnonzero(start)
+        word = np.cumsum(start) - 1
+        power, back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (_PRIME, _INVERSE))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[flat] * power[:-1], dtype=np.uint64)])
+        begun = (total[:-1] - total[words][word]) * back[words][word]
+        end = np.append(words[1:], n) - 1  # where the space is
+        whole = mix((total[end] - total[words]) * back[words] + np.uint64(1))
+        self.words = mix(whole ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)  # of each word, as its counts are keyed
+        number = np.arange(len(words)) - np.searchsorted(words, begin[words])
+        one, two = (np.where(number >= k, np.roll(whole, k), np.uint64(k)) for k in (1, 2))
+        for k, ahead in enumerate((np.zeros(len(words), np.uint64), mix(one + np.uint64(1)), mix(one + np.uint64(2) + mix(two + np.uint64(3)))), BYTES + 1):
+            self.contexts.append(mix(begun + mix(ahead + np.uint64(k << 56))[word]))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All contexts with the bytes that follow them, and all words."""
+        h = np.concatenate([*[c.view(np.int64) for c in self.contexts], self.words])
+        return h, np.concatenate([np.tile(self.bytes.astype(np.int16), ORDERS), np.full(len(self.words), _WORD, np.int16)])
+
+    def look_up(self, h: np.ndarray, byte: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Takes rows of counts for the contexts; returns the counts of the words."""
+        by = np.lexsort((byte, h))
+        h, byte, n = h[by], byte[by], n[by]
+        is_word = byte == _WORD
+        word_h, word_n = np.append(h[is_word], 0), np.append(n[is_word], 0)
+        at = np.searchsorted(word_h[:-1], self.words)
+        count = np.where((word_h[at] == self.words) & (at < len(word_h) - 1), word_n[at], 0)
+        h, byte, n = h[~is_word], byte[~is_word], n[~is_word]
+        heads = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        self.known = h[heads], (np.cumsum(heads) - 1) * 256 + byte, np.concatenate([[0], np.cumsum(n)])
+        return count
+
+    def counts(self, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """How often a 0 and a 1 followed, for every context, bit and byte of a part."""
+        heads, keys, total = self.known
+        b = self.bytes[part].astype(np.int64)
+        n0, n1 = (np.zeros((ORDERS, 8, len(b)), np.float32) for _ in range(2))
+        for k in range(ORDERS if len(heads) else 0):
+            c = self.contexts[k][part].view(np.int64)
+            order = np.argsort(c)  # searches in order are fast ones
+            at = np.minimum(np.searchsorted(heads, c[order]), len(heads) - 1)
+            met = heads[at] == c[order]
+            order, at = order[met], at[met]
+            bytes_ = b[order]
+            low = at * 256
+            left, right = np.searchsorted(keys, low), np.searchsorted(keys, low + 256)
+            for depth in range(8):
+                half = 128 >> depth
+                middle = np.searchsorted(keys, low + half)
+                n0[k, depth, order], n1[k, depth, order] = total[middle] - total[left], total[right] - total[middle]
+                one = (bytes_ & half) > 0
+                left, right, low = np.where(one, middle, left), np.where(one, right, middle), low + (bytes_ & half)
+        return n0.ravel(), n1.ravel()
+
+    def bit(self, depth: int, part: slice = slice(None), loaded: slice = slice(None)):
+        """Bits at one place of each byte of a part, and where the counts of their contexts are among those loaded."""
         b = self.bytes[part].astype(np.uint32)
-        node = (np.uint32(1) << np.uint32(depth)) | (b >> np.uint32(8 - depth))
-        node = node * np.uint32(0x85EBCA6B)
-        slots = []
-        for k, c in enumerate(self.contexts):
-            x = (c[part] ^ node) * np.uint32(0xC2B2AE35)
-            x ^= x >> np.uint32(15)
-            slots.append((x >> np.uint32(32 - BITS)).astype(np.int64) + k * SLOTS)
-        return (b >> np.uint32(7 - depth)) & np.uint32(1), slots
-
-
-def _blocks(column: pa.Array, words: int = 1 << 14):
-    for lo in range(0, len(column), words):
-        yield lo, column.slice(lo, words)
-
-
-def spelling_counts(types: DataFrame) -> DataFrame:
-    """``(slot, n0, n1)``: how often a 0 and a 1 followed each hashed context in the distinct words of ``types(word)``."""
-    def run(batches):
-        n = np.zeros((2, ORDERS * SLOTS), np.int64)
-        for b in batches:
-            for _, column in _blocks(b.column(0)):
-                s = Spelling(column)
-                for depth in range(8):
-                    bit, slots = s.bit(depth)
-                    for k, at in enumerate(slots):
-                        own = slice(k * SLOTS, (k + 1) * SLOTS)
-                        for v in (0, 1):
-                            n[v, own] += np.bincount(at[bit == v] - k * SLOTS, minlength=SLOTS)
-        some = np.flatnonzero(n.sum(0))
-        for lo in range(0, len(some), 1 << 16):
-            at = some[lo:lo + (1 << 16)]
-            yield pa.record_batch([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["slot", "n0", "n1"])
-
-    return types.select("word").mapInArrow(run, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        lo, hi, _ = loaded.indices(len(self.bytes))
+        at = (part.start or 0) - lo + np.arange(len(b))
+        return (b >> np.uint32(7 - depth)) & np.uint32(1), [(k * 8 + depth) * (hi - lo) + at for k in range(ORDERS)]
 
 
 class Mixer:
-    """Tables of counts, gated weights, and the adaptive map over the last byte."""
+    """Counts of the bytes at hand, gated weights, and the adaptive map over the last byte."""
 
     def __init__(self, n0: np.ndarray, n1: np.ndarray):
         self.n0, self.n1 = n0, n1
-        self.weights = np.full((GATES, ORDERS + 1), 0.3)
+        self.weights = np.full((GATES, ORDERS + 1), 0.2)
         self.weights[:, -1] = 0.0
         centre = np.linspace(-8, 8, BUCKETS)
         self.map = np.tile(1 / (1 + np.exp(-centre)), (256, 1))
@@ -211,6 +185,10 @@ class Mixer:
         self.odds = np.log((self.n1 + 0.4) / (self.n0 + 0.4)).astype(np.float32)
         self.full = (self.n0 + self.n1) > 0
 
+    def _load(self, s: Spelling, part: slice) -> None:
+        if s.known is not None:
+            self.n0, self.n1 = s.counts(part)
+
     def _inputs(self, slots, own_bit=None):
         x = np.empty((ORDERS + 1, len(slots[0])))
         gate = np.zeros(len(slots[0]), np.int64)
@@ -248,8 +226,11 @@ class Mixer:
         for lo in range(0, len(s.bytes), _STEP):
             part = slice(lo, lo + _STEP)
             own = last[part]
+            if lo % _LOAD == 0:
+                loaded = slice(lo, lo + _LOAD)
+                self._load(s, loaded)
             for depth in range(8):
-                bit, slots = s.bit(depth, part)
+                bit, slots = s.bit(depth, part, loaded)
                 x, gate = self._inputs(slots, bit)
                 gate = gate * 8 + depth
                 p, _, low, share = self._predict(x, gate, own)
@@ -266,175 +247,107 @@ class Mixer:
                 self.map_seen += hits
 
     def log10(self, s: Spelling) -> np.ndarray:
-        """log10 probability of every word."""
-        total = np.zeros(len(s.bytes))
-        last = self._last(s)
-        for depth in range(8):
-            bit, slots = s.bit(depth)
-            x, gate = self._inputs(slots)
-            p, refined, _, _ = self._predict(x, gate * 8 + depth, last)
-            p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
+        """log10 probability of every stream."""
+        total, last = np.zeros(len(s.bytes)), self._last(s)
+        for lo in range(0, len(s.bytes), _LOAD):
+            part = slice(lo, lo + _LOAD)
+            self._load(s, part)
+            self.prepare()
+            for depth in range(8):
+                bit, slots = s.bit(depth, part, part)
+                x, gate = self._inputs(slots)
+                p, refined, _, _ = self._predict(x, gate * 8 + depth, last[part])
+                p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
+                total[part] += np.log10(np.where(bit == 1, p, 1 - p))
         return segment_sum(total, s.first)
 
 
-def _tables(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed tables: a fixed number of slots, whatever the corpus."""
-    n0, n1 = np.zeros(ORDERS * SLOTS, np.float32), np.zeros(ORDERS * SLOTS, np.float32)
-    got = spelling_counts(types).select("slot", F.col("n0").cast("float").alias("n0"), F.col("n1").cast("float").alias("n1")).toArrow()
-    at = got.column("slot").to_numpy()
-    n0[at], n1[at] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
-    return n0, n1
-
-
-def _trained(types: DataFrame, n0: np.ndarray, n1: np.ndarray) -> Mixer:
-    """A mixer whose weights and map are the averages, by use, of those that the tasks learn on their words."""
-    shared = types.sparkSession.sparkContext.broadcast((n0, n1))
+# ---- counts of all training texts --------------------------------------------------------------------------------
 
+def occurrences(blocks: DataFrame) -> DataFrame:
+    """``(block, h, byte, n)``: contexts and words of every block, with their counts in texts not held out, which may be 0."""
     def run(batches):
-        m = Mixer(*shared.value)
         for b in batches:
-            for _, column in _blocks(b.column(0)):
-                m.learn(Spelling(column))
-        used = np.concatenate([np.repeat(m.seen, ORDERS + 1), m.map_seen.ravel()])
+            _, offsets = string_buffer(b.column(2))
+            held, block = b.column(0).to_numpy(zero_copy_only=False).astype(bool), b.column(1).to_numpy()
+            for lo, hi in slices(offsets, BLOCK):
+                s = Spelling(b.column(2).slice(lo, hi - lo))
+                h, byte = s.rows()
+                size = np.diff(s.first)
+                row = np.repeat(np.arange(lo, hi), size)
+                row = np.concatenate([np.tile(row, ORDERS), row[s.starts]])
+                own = block[row]
+                by = np.lexsort((byte, h, own))
+                h, byte, own, n = h[by], byte[by], own[by], (~held[row[by]]).astype(np.int64)
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (byte[1:] != byte[:-1]) | (own[1:] != own[:-1])]))
+                n = np.add.reduceat(n, new)
+                yield pa.record_batch([pa.array(own[new]), pa.array(h[new]), pa.array(byte[new]), pa.array(n)], names=["block", "h", "byte", "n"])
+
+    return blocks.select("held_out", "block", "stream").mapInArrow(run, "block long, h long, byte short, n long")
+
+
+def _together(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over every block of texts and the counts of its contexts."""
+    def each(key, texts, counts):
+        s = Spelling(texts.column("stream").combine_chunks())
+        word_counts = s.look_up(*(counts.column(c).to_numpy() for c in ("h", "byte", "n")))
+        return run(texts, s, word_counts)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
+
+
+def _trained(blocks: DataFrame, answers: DataFrame) -> Mixer:
+    """A mixer whose weights and map are the averages, by use, of those that the blocks learn on their texts."""
+    m = Mixer(None, None)
+    for _ in range(ROUNDS):
+        shared = blocks.sparkSession.sparkContext.broadcast((m.weights, m.map))
+
+        def learn(texts, s, _):
+            m = Mixer(None, None)
+            m.weights, m.map = (x.copy() for x in shared.value)
+            m.learn(s)
+            used = np.concatenate([np.repeat(m.seen, ORDERS + 1), m.map_seen.ravel()])
+            value = np.concatenate([m.weights.ravel(), m.map.ravel()])
+            some = np.flatnonzero(used)
+            return pa.table([pa.array(some), pa.array(used[some]), pa.array((used * value)[some])], names=["i", "n", "v"])
+
+        got = _together(blocks.where("not held_out"), answers, learn, "i long, n double, v double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
         value = np.concatenate([m.weights.ravel(), m.map.ravel()])
-        some = np.flatnonzero(used)
-        yield pa.record_batch([pa.array(some), pa.array(used[some]), pa.array((used * value)[some])], names=["i", "n", "v"])
-
-    got = types.select("word").mapInArrow(run, "i long, n double, v double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
-    m = Mixer(n0, n1)
-    value = np.concatenate([m.weights.ravel(), m.map.ravel()])
-    value[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("n").to_numpy()
-    m.weights, m.map = value[:m.weights.size].reshape(m.weights.shape), value[m.weights.size:].reshape(m.map.shape)
+        value[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("n").to_numpy()
+        m.weights, m.map = value[:m.weights.size].reshape(m.weights.shape), value[m.weights.size:].reshape(m.map.shape)
     return m
 
 
 # ---- texts -------------------------------------------------------------------------------------------------------
 
-def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, head: int = 0) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: held_out, n_tokens, n_known, train_tokens, base_score, score,
     and bits_per_byte of the model.
 
     A null text is empty: it has the token that ends a text only.  A null id counts as empty text for the split.
-    Repeated rows give repeated rows, an empty table none; other columns are not read.  Without training texts every
-    token is spelt.  ``head`` bounds the broadcast table of words; results do not depend on it.
+    Repeated rows give repeated rows, an empty table none; other columns are not read.  ``head`` is there for callers
+    of old: no table of words is broadcast any more.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(MODULUS) == HELD_OUT).alias("held_out"))
-    words = written(vocabulary(texts), "lm-words")
-    counted = words.agg(*[f(F.col(c)) for c in ("c", *_CLASS_COLUMNS) for f in (F.sum, lambda c: F.count_if(c > 0), lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2))]).first()
-    sizes = np.array([x or 0 for x in counted], float).reshape(-1, 4)
-    n, v = int(sizes[0, 0]), int(sizes[0, 1])
-    discount = np.where(sizes[:, 2] > 0, sizes[:, 2] / np.maximum(sizes[:, 2] + 2 * sizes[:, 3], 1), 0.5)
-    # What the discounts leave for the level below; all of it where there is nothing to count.
-    spare = np.where(sizes[:, 0] > 0, np.clip(discount * sizes[:, 1] / np.maximum(sizes[:, 0], 1), 1e-9, 1.0), 1.0)
-    types = words.where("c > 0")
-    mixer = _trained(types, *_tables(types))
-    mixer.seen = mixer.map_seen = None
-    shared = docs.sparkSession.sparkContext.broadcast(mixer)
-    floor, scale = np.log10(n + 0.1 * (v + 1)), np.maximum(sizes[:, 0], 1)
-
-    def run(batches):
-        m = shared.value
-        m.prepare()
-
-        def level(c, k, below):
-            # Logarithms are added, since spellings of long words underflow.
-            listed = np.where(c > 0, np.log10(np.maximum((c - discount[k]) / scale[k], 1e-300)), -np.inf)
-            below = below + np.log10(spare[k])
-            top = np.maximum(below, listed)
-            return top + np.log10(10.0 ** (below - top) + 10.0 ** (listed - top))
-
-        for b in batches:
-            c = [b.column(k).to_numpy().astype(float) for k in range(2, 3 + CLASSES)]
-            spelt = np.concatenate([m.log10(Spelling(x)) for _, x in _blocks(b.column(1))]) if len(c[0]) else np.zeros(0)
-            every = level(c[0], 0, spelt)
-            by = [level(x, k, every).astype(np.float32) for k, x in enumerate(c[1:], 1)]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(np.log10(c[0] + 0.1) - floor), *(pa.array(x) for x in by)], names=["h", "c", "base", *_SCORES])
-
-    plain = words.select("h", "word", "c", *_CLASS_COLUMNS)
-    scored = written(plain.mapInArrow(run, "h long, c long, base double, " + ", ".join(f"{x} float" for x in _SCORES)), "lm-scores")
-    level = F.when(F.col("c") > 0, F.floor(F.log2(F.col("c").cast("double")))).otherwise(-1)
-    levels = sorted(((r[0], r[1]) for r in scored.groupBy(level.alias("l")).count().collect()), reverse=True)  # 65 rows at most
-    least, total = 1 << 62, 0
-    for lev, k in levels:
-        total += k
-        if total > head or lev < 0:
-            break
-        least = 1 << lev
-    top = scored.where(F.col("c") >= least).toArrow()  # bounded by head
-    order = np.argsort(top.column("h").to_numpy())
-    heads = (top.column("h").to_numpy()[order], np.stack([top.column(x).to_numpy()[order].astype(float) for x in ("base", *_SCORES)], 1))
-    known = docs.sparkSession.sparkContext.broadcast(heads)
-    rest = scored.where(F.col("c") < least)
-    sums = ["base", *_SCORES]
-    names = ["k", "doc_id", "held_out", "h", "tf", "n_tokens", "n_known", "n_bytes", *sums]
-
-    def look(batches):
-        known_h, known_scores = known.value
-        if not len(known_h):  # an entry that no word has stands for none
-            known_h, known_scores = np.zeros(1, np.int64), np.zeros((1, 1 + CLASSES))
-            nothing = True
-        else:
-            nothing = False
-
-        def pick(h):
-            at = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
-            return at, (known_h[at] == h) & (not nothing)
-
-        end_at, end_known = pick(np.array([_END]))
-        for b in batches:
-            ids, held, keys = b.column(0), b.column(2), b.column(3).to_numpy()
-            for lo, hi, pad, t, h in _tokens(b.column(1)):
-                rows, own = hi - lo, keys[lo:hi]
-                u, inverse = np.unique(h, return_inverse=True)
-                at, hit = pick(u)
-                found = hit[inverse]
-                per = np.where(hit[:, None], known_scores[at], 0.0)
-                total = np.stack([segment_sum(per[:, k][inverse], t.first) for k in range(1 + CLASSES)], 1)
-                n_known = segment_sum(found.astype(np.int64), t.first)
-                if end_known[0]:
-                    total, n_known = total + known_scores[end_at[0]], n_known + 1
-                n_bytes = segment_sum((t.end - t.start + 1).astype(np.int64), t.first) + 1
-                # The row that stands for the text itself is spread by its own key, which meets no word.
-                yield pa.record_batch([pa.array(own), ids.slice(lo, rows), held.slice(lo, rows), pa.array(own), pa.nulls(rows, pa.int64()), pa.array(t.counts + 1), pa.array(n_known), pa.array(n_bytes),
-                                       *(pa.array(total[:, k]) for k in range(1 + CLASSES))], names=names)
-                rare = np.flatnonzero(~found)
-                r, w = t.row[rare], h[rare]
-                if not end_known[0]:
-                    r, w = np.concatenate([r, np.arange(rows)]), np.concatenate([w, np.full(rows, _END)])
-                if len(r):
-                    by = np.lexsort((w, r))
-                    r, w = r[by], w[by]
-                    new = np.ones(len(r), bool)
-                    new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-                    first = np.flatnonzero(new)
-                    tf = np.diff(np.append(first, len(r)))
-                    none = [pa.nulls(len(first), kind) for kind in (ids.type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * (1 + CLASSES))]
-                    yield pa.record_batch([pa.array(own[r[first]]), *none[:2], pa.array(w[first]), pa.array(tf), *none[2:]], names=names)
-
+    blocks = written(_blocks(texts), "lm-blocks")
+    met = occurrences(blocks).repartition("h")
+    counts = met.groupBy("h", "byte").agg(F.sum("n").alias("n")).where("n > 0")
+    answers = written(met.select("block", "h").distinct().join(counts.hint("shuffle_hash"), "h"), "lm-counts")
+    words = answers.where(F.col("byte") == _WORD).select("h", "n").distinct().agg(F.sum("n"), F.count("*")).first()
+    n, v = int(words[0] or 0), int(words[1])
+    m = _trained(blocks, answers)
+    shared = docs.sparkSession.sparkContext.broadcast((m.weights, m.map))
+    floor = np.log10(n + 0.1 * (v + 1))
+
+    def run(texts, s, c):
+        m = Mixer(None, None)
+        m.weights, m.map = shared.value
+        first = np.searchsorted(s.starts, s.first)
+        score, size = m.log10(s), np.diff(s.first)
+        base = segment_sum(np.log10(c + 0.1) - floor, first)
+        return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array(np.diff(first)), pa.array(segment_sum((c > 0).astype(np.int64), first)), pa.array(np.full(len(size), n)),
+                         pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size)], names=names)
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = texts.withColumn("k", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
-    rows = keyed.mapInArrow(look, f"k long, doc_id {kind}, held_out boolean, h long, tf long, n_tokens long, n_known long, n_bytes long, " + ", ".join(f"{x} double" for x in sums))
-    tail = rest.select("h", F.col("c").alias("word_c"), *[F.col(x).alias(f"word_{x}") for x in sums])
-    own = F.col("tf").isNull()
-    met = rows.join(tail, "h", "left").select(
-        "k", "doc_id", "held_out", own.alias("own"), "n_tokens", "n_bytes",
-        F.when(own, F.col("n_known")).otherwise(F.when(F.col("word_c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        *[F.when(own, F.col(x)).otherwise(F.col("tf") * F.col(f"word_{x}")).alias(x) for x in sums])
-    # Repeated rows share their key: their sums are a multiple of one row's.
-    per = met.groupBy("k").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.count_if("own").alias("m"),
-                               *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "n_bytes", *sums)])
-    per = per.withColumns({x: F.col(x) / F.col("m") for x in ("n_tokens", "n_known", "n_bytes", *sums)})
-    parts = [F.col(x) + F.lit(float(p)) for x, p in zip(_SCORES, _priors(words))]
-    most = F.greatest(*parts)
-    score = most + F.log10(reduce(lambda x, y: x + y, [F.pow(F.lit(10.0), p - most) for p in parts]))
-    per = per.withColumn("score", score).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    return per.select("doc_id", "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                      F.col("base").alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"))
-
-
-def _priors(words: DataFrame) -> np.ndarray:
-    """log10 of the share of each class in the training texts, which the counts of the closing token tell."""
-    row = words.where(F.col("h") == _END).agg(*[F.sum(c) for c in _CLASS_COLUMNS]).first()
-    n = np.array([x or 0 for x in row], float) + 0.5
-    return np.log10(n / n.sum())
+    return _together(blocks, answers, run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -117,6 +117,21 @@ def test_language_model_on_odd_rows(spark, odd, nothing, documents):
     assert few == pytest.approx(many, rel=1e-6)
 
 
+def test_language_model_reads_running_text(spark):
+    """Known words in another order score otherwise, and contexts of different bytes never share counts."""
+    import pyarrow as pa
+
+    line = "the old mill stands by the slow river and turns all day"
+    rows = [(i, line) for i in range(1, 40)] + [(100, line), (101, " ".join(reversed(line.split())))]
+    got = {r["doc_id"]: r["score"] for r in context_mixing.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] > got[101] + 5
+    s = context_mixing.Spelling(pa.array([line.encode() + b" "]))
+    data = bytes(s.bytes)
+    for k in (1, 3, 6):
+        seen = {data[max(i - k, 0):i]: c for i, c in enumerate(s.contexts[k - 1].tolist())}
+        assert len(set(seen.values())) == len(seen)
+
+
 # ---- pieces ------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
