@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.placeholders import nested_placeholders
 from ..schema import DETAILS, FINDINGS
+from ..shared import written
 from .leaves import leaves, yaml_leaves
 
 ENTRY = ("scan_id", "path", "scope", "line", "detector_id", "detector_rank", "role", "key", "raw", "default_raw", "profile", "confidence", "source_kind", "value_kind", "details_type", "extra")
@@ -92,25 +93,29 @@ def imports(found: DataFrame, files: DataFrame) -> DataFrame:
         beside = F.concat(F.regexp_replace("path", "[^/]*$", ""), F.regexp_replace(rest, r"^\./", ""))
         return t.select("scan_id", tree.alias("tree"), F.explode(F.array_distinct(F.array(here, beside))).alias("target")).distinct()
 
-    seen, frontier, parts = found.select("scan_id", "path").distinct(), found, []
+    seen, frontier, parts = written(found.select("scan_id", "path").distinct(), "imports-seen"), found, []
     trees = None
-    for _ in range(16):  # each round reads files never read before; imports nested deeper than this are not followed
+    named = files.withColumnRenamed("path", "file")
+    parents = F.split("file", "/")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(parents) - 1), lambda i: i > 0), lambda i: F.concat(F.array_join(F.slice(parents, 1, i), "/"), F.lit("/")))
+    held = named.withColumn("folder", F.explode(above))  # one row for every folder that a file lies in
+    readable = F.col("file_type").isin("YAML", "PROPERTIES")
+    while True:
         t = targets(frontier)
-        near = t.where("not tree").join(files.where("file_type in ('YAML', 'PROPERTIES')").withColumnRenamed("path", "file"), "scan_id").where(
-            (F.col("file") == F.col("target")) | (F.col("target").endswith("/") & F.col("file").startswith(F.col("target")) & F.col("name").rlike(_CONFIG_NAME)))
-        fresh = near.select("scan_id", F.col("file").alias("path")).distinct().join(seen, ["scan_id", "path"], "left_anti")
-        top = F.concat(F.regexp_replace("target", "/+$", ""), F.lit("/"))
-        own = t.where("tree").withColumn("top", top).join(files.withColumnRenamed("path", "file"), "scan_id").where(F.col("file").startswith(F.col("top")))
-        tree = entries(own.select("scan_id", F.col("file").alias("path"), "scope", F.regexp_replace(F.expr("substr(file, length(top) + 1)"), "/", ".").alias("key"), F.regexp_replace("content", r"^\s+|\s+$", "").alias("raw")),
+        plain, tree = t.where("not tree"), t.where("tree").withColumn("folder", F.concat(F.regexp_replace("target", "/+$", ""), F.lit("/")))
+        one = plain.withColumnRenamed("target", "file").join(named.where(readable), ["scan_id", "file"]).select("scan_id", F.col("file").alias("path"))
+        many = plain.withColumnRenamed("target", "folder").join(held.where(readable & F.col("name").rlike(_CONFIG_NAME)), ["scan_id", "folder"]).select("scan_id", F.col("file").alias("path"))
+        fresh = written(one.unionByName(many).distinct().join(seen, ["scan_id", "path"], "left_anti"), "imports-fresh")
+        own = tree.join(held, ["scan_id", "folder"])
+        tree = entries(own.select("scan_id", F.col("file").alias("path"), "scope", F.regexp_replace(F.expr("substr(file, length(folder) + 1)"), "/", ".").alias("key"), F.regexp_replace("content", r"^\s+|\s+$", "").alias("raw")),
                        "spring-config-file", source_kind="CONFIG_TREE", value_kind="FULL", details_type="unknown")
         trees = tree if trees is None else trees.unionByName(tree)
         if fresh.isEmpty():
             break
-        fresh = fresh.cache()
         scalars = leaves(files.join(fresh, ["scan_id", "path"], "left_semi"))
-        frontier = application_files(scalars.withColumn("name", F.lit("application.yml")))
+        frontier = written(application_files(scalars.withColumn("name", F.lit("application.yml"))), "imports-read")
         parts.append(frontier)
-        seen = seen.unionByName(fresh)
+        seen = written(seen.unionByName(fresh), "imports-seen")
     return _union(*parts, trees.distinct())
 
 

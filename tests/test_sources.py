@@ -213,3 +213,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("export", "--inventory", tmp_path / "o1/config-inventory.yaml", "-o", tmp_path / "e.yaml", "--missing", tmp_path / "miss.yaml") == 0
     assert {r["config_key"] for r in yaml.safe_load((tmp_path / "miss.yaml").read_text())["app_configs"]} >= {"home-x"}
     assert run("inventory", repo, "--consumer", "nope") == 2 and run("inventory", tmp_path / "none") == 2 and run("diff", "--base", "none", "--head", "none") == 2
+
+
+def test_imports_deeper_than_any_bound(spark):
+    """A chain of 18 files, whose last one imports a folder and the first file again."""
+    tree = {f"f{i}.properties": f"spring.config.import=f{i + 1}.properties\nk{i}=v\n" for i in range(18)}
+    tree |= {"f18.properties": "spring.config.import=more/,f0.properties\n", "more/application.properties": "last=1\n", "more/other.properties": "no=1\n"}
+    tree = {"application.properties": "spring.config.import=f0.properties\n", **tree}
+    rows = [("s", p, p.rsplit("/", 1)[-1], "PROPERTIES", "RUNTIME", text) for p, text in tree.items()]
+    files = spark.createDataFrame(rows, "scan_id string, path string, name string, file_type string, scope string, content string")
+    found = D.application_files(L.leaves(files.where("path = 'application.properties'")))
+    got = {r["key"] for r in D.imports(found, files).select("key").collect()}
+    assert {f"k{i}" for i in range(18)} | {"last"} <= got and "no" not in got
