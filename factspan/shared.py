@@ -21,11 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends here and survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends here and survives lost executors.
+    ``options`` are those of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
