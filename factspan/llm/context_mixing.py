@@ -1,320 +1,511 @@
 """Language-model scoring by logistic context mixing over running texts.
 
 A text is read as its words, lower-cased and each ended by a space, and one space more that ends the text.  It is
-predicted bit by bit, in nine contexts: its last one to six bytes, whatever words they lie in, and the word begun so
-far, alone, after the word before it and after the two words before it.  Counts of the bytes that followed a context
-in the training texts are turned into log-odds of the next bit, combined by weights chosen by a gate (how many of the
-contexts have been seen, and the bit's place), and the result is refined by an adaptive probability map.
-
-Counts are rows of a table keyed by the 64-bit hash of the context, so they grow with the corpus and no two contexts
-share a row (orders of bytes are exact; contexts of words are told apart by their hashes).  Texts are dealt into
-blocks of bounded size; a block asks for its own distinct contexts by a join.  Weights and map are learnt over all
-training texts, each byte left out of its own counts; blocks learn in parallel from the averages of the round before.
+predicted bit by bit in six contexts, its last one to six bytes, whatever words they lie in.  Counts of the bytes that
+followed a context in the training texts are turned into log-odds of the next bit, combined by weights chosen by a gate
+(how many of the contexts have been seen, and the bit's place), and refined by an adaptive probability map.
+
+What is counted grows with the corpus: every context met in a training text has counts of its own, keyed by its bytes.
+Texts are dealt into blocks of bounded size by a hash of the row, so neither blocks nor scores depend on how the input
+is partitioned.  A block sends the distinct pairs of a context and a byte that it holds, with their counts, to shards
+by context; a shard adds them up and answers every block with the counts along the eight bits of each of its pairs.
+Both travel as packed arrays, one row per block and shard that have pairs in common.  Every block learns weights and
+map online over its training texts, each pair left out of its own counts; the averages by use are the model.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder
-from .tables import written
+from .tables import drop, written
 from .textkernel import NOT_SPACE, Tokens, hash_spans, mix, padded, segment_sum, slices, string_buffer
 
 MODULUS, HELD_OUT = 10, 0
-#: Orders of bytes, and contexts in all: three more of words.
-BYTES, ORDERS = 6, 9
-#: Bits of text that tables handed to ``Mixer`` by hand must have room for; blocks bring tables of their own size.
+#: Contexts: the last one to so many bytes.
+ORDERS = 6
+#: Slots of one order in tables that are handed to ``Mixer`` by hand; blocks bring tables of their own size.
 SLOTS = 1 << 19
 GATES = (ORDERS + 1) * 8
 BUCKETS = 24
-#: Bytes of texts in a block (a longer text is a block of its own), and rounds of learning.
-BLOCK, ROUNDS = 1 << 18, 2
-#: In place of the byte that followed a context: the row counts a word.
-_WORD = -1
-#: Bytes of a step of learning, and of those whose counts are held at once.
-_STEP, _LOAD = 1 << 11, 1 << 16
-_PRIME, _BYTES = np.uint64(0xD1342543DE82EF95), mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+#: Bytes of texts in a block, about (a longer text makes a longer block).
+BLOCK = 8 << 20
+#: Tasks that blocks or shards are dealt to, at most; each may take several.
+TASKS = 8192
+#: Pairs of a step of learning, those predicted at once, and bytes whose pairs are sorted at once.
+_STEP, _LOAD, _PART = 1 << 13, 1 << 15, 1 << 22
+#: Ahead of a text: a byte that no word has, so many times that every context is whole.
+_AHEAD = 10
+_MASKS = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(1, ORDERS + 1)]
+_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
 
 
 # ---- words of texts ----------------------------------------------------------------------------------------------
 
-def _tokens(column: pa.Array):
-    """Slices of a column as (padded bytes, words, hashes)."""
+def _streams(column: pa.Array):
+    """Slices of a column, as row numbers and texts whose words are lower-cased and each followed by a space."""
     buf, offsets = string_buffer(column)
     for lo, hi in slices(offsets):
         pad = padded(buf[offsets[lo]:offsets[hi]], lower=True)
         t = Tokens(pad, offsets[lo:hi + 1] - offsets[lo], NOT_SPACE)
-        yield lo, hi, pad, t, hash_spans(pad, t.start, t.end).view(np.int64)
-
+        size = t.end - t.start + 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        data = pad[np.repeat(t.start - at[:-1], size) + np.arange(at[-1])]
+        data[at[1:] - 1] = 32
+        yield lo, hi, pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at[t.first].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
-def _streams(pad: np.ndarray, t: Tokens) -> pa.Array:
-    """Words of each row, each followed by a space."""
-    size = t.end - t.start + 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    data = pad[np.repeat(t.start - at[:-1], size) + np.arange(at[-1])]
-    data[at[1:] - 1] = 32
-    return pa.Array.from_buffers(pa.large_binary(), len(t.counts), [None, pa.py_buffer(at[t.first].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
+def _blocks(texts: DataFrame, many: int) -> DataFrame:
+    """One row per block of ``texts(doc_id, text, held_out)``: its distinct rows in the order of a hash of the text,
+    how often each occurs, and the streams of the texts behind each other."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    keys = ["block", "doc_id", "held_out"]
 
-def _blocks(texts: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, block, stream)`` of ``texts(doc_id, text, held_out)``."""
-    def run(batches):
-        block, filled = TaskContext.get().partitionId() << 32, 0
+    def read(batches):
         for b in batches:
-            for lo, hi, pad, t, _ in _tokens(b.column(1)):
-                streams = _streams(pad, t)
-                own = []
-                for size in np.diff(string_buffer(streams)[1]).tolist():
-                    if filled and filled + size + 1 > BLOCK:
-                        block, filled = block + 1, 0
-                    filled += size + 1
-                    own.append(block)
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(own, pa.int64()), streams.cast(pa.binary())], names=["doc_id", "held_out", "block", "stream"])
+            rows = pa.Table.from_batches([b]).group_by([*keys, "text"]).aggregate([([], "count_all")]).combine_chunks()
+            for lo, hi, streams in _streams(rows.column("text").combine_chunks()):
+                own = rows.slice(lo, hi - lo)
+                yield pa.record_batch([*(own.column(c).combine_chunks() for c in keys), own.column("count_all").combine_chunks(), streams.cast(pa.binary())], names=[*keys, "copies", "stream"])
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, block long, stream binary")
+    def pack(key, rows):
+        rows = rows.group_by(["doc_id", "held_out", "stream"]).aggregate([("copies", "sum")]).combine_chunks()
+        buf, at = string_buffer(rows.column("stream"))
+        hashes = pa.array(hash_spans(padded(buf), at[:-1], at[1:]).view(np.int64))
+        rows = rows.append_column("h", hashes).sort_by([("h", "ascending"), ("doc_id", "ascending"), ("stream", "ascending")])
+        buf, at = string_buffer(rows.column("stream"))
+        lists = [pa.ListArray.from_arrays([0, len(rows)], rows.column(c).combine_chunks()) for c in ("doc_id", "held_out", "copies_sum")]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *lists, pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([_packed(buf)], pa.binary())],
+                        names=["block", "ids", "held", "copies", "sizes", "streams"])
+
+    read_out = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).cast("int").alias("block"), "doc_id", "held_out", "text").mapInArrow(
+        read, f"block int, doc_id {kind}, held_out boolean, copies long, stream binary")
+    return read_out.repartition(min(many, TASKS), "block").groupBy("block").applyInArrow(
+        pack, f"block int, ids array<{kind}>, held array<boolean>, copies array<long>, sizes array<long>, streams binary")
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """An array as compressed bytes, the first bytes of all numbers ahead of their second ones."""
+    return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, kind, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
 
 
 # ---- spelling ----------------------------------------------------------------------------------------------------
 
+class Index:
+    """Places of keys among distinct sorted ones: tables of ranks by hash, each for the keys that the one ahead lost."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            bits, odd = int(len(left)).bit_length() + 1, np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
+            at = (mix(keys[left]) * odd >> np.uint64(64 - bits)).astype(np.int64)
+            table = np.zeros(1 << bits, np.int32)
+            table[at] = left
+            self.tables.append((bits, odd, table))
+            left = left[table[at] != left]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of keys, all of which must be there."""
+        rank = np.zeros(len(keys), np.int32)
+        live, own = np.arange(len(keys)), mix(keys)
+        for bits, odd, table in self.tables:
+            rank[live] = got = table[(own * odd >> np.uint64(64 - bits)).astype(np.int64)]
+            lost = np.flatnonzero(self.keys[got] != keys)
+            live, keys, own = live[lost], keys[lost], own[lost]
+        return rank
+
+
 class Spelling:
-    """Streams as bytes with a closing space, and the 64-bit contexts of every byte."""
+    """Streams as bytes, each with the space that ends it, and the pairs of a context and the byte after it.
+
+    A pair is one number, the byte in its last eight bits, so the pairs of a context are next to each other.  The pair
+    of a shorter context is the end of that of a longer one.
+    """
 
     def __init__(self, column: pa.Array):
         buf, at = string_buffer(column)
         size = np.diff(at) + 1
         self.first = np.concatenate([[0], np.cumsum(size)])
-        n = int(self.first[-1])
-        flat = np.full(n, 32, np.uint8)
-        begin = np.repeat(self.first[:-1], size)
-        place = np.arange(n) - begin
-        flat[place < np.repeat(size - 1, size)] = buf
-        self.bytes, self.known = flat, None
-        self.contexts, past = [], np.zeros(n, np.uint64)
-        for k in range(1, BYTES + 1):
-            before = np.zeros(n, np.uint64)
-            before[k:] = flat[:-k]
-            before[place < k] = 256  # ahead of the text
-            past = past * np.uint64(512) + before  # nine bits a byte: exact
-            self.contexts.append(mix(past | np.uint64(k << 56)))
-        if not n:
-            self.contexts += [np.zeros(0, np.uint64)] * (ORDERS - BYTES)
-            self.words = self.starts = np.zeros(0, np.int64)
-            return
-        start = place == 0
-        start[1:] |= flat[:-1] == 32
-        self.starts = words = np.flatnonzero(start)
-        word = np.cumsum(start) - 1
-        power, back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (_PRIME, _INVERSE))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[flat] * power[:-1], dtype=np.uint64)])
-        begun = (total[:-1] - total[words][word]) * back[words][word]
-        end = np.append(words[1:], n) - 1  # where the space is
-        whole = mix((total[end] - total[words]) * back[words] + np.uint64(1))
-        self.words = mix(whole ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)  # of each word, as its counts are keyed
-        number = np.arange(len(words)) - np.searchsorted(words, begin[words])
-        one, two = (np.where(number >= k, np.roll(whole, k), np.uint64(k)) for k in (1, 2))
-        for k, ahead in enumerate((np.zeros(len(words), np.uint64), mix(one + np.uint64(1)), mix(one + np.uint64(2) + mix(two + np.uint64(3)))), BYTES + 1):
-            self.contexts.append(mix(begun + mix(ahead + np.uint64(k << 56))[word]))
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """All contexts with the bytes that follow them, and all words."""
-        h = np.concatenate([*[c.view(np.int64) for c in self.contexts], self.words])
-        return h, np.concatenate([np.tile(self.bytes.astype(np.int16), ORDERS), np.full(len(self.words), _WORD, np.int16)])
-
-    def look_up(self, h: np.ndarray, byte: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Takes rows of counts for the contexts; returns the counts of the words."""
-        by = np.lexsort((byte, h))
-        h, byte, n = h[by], byte[by], n[by]
-        is_word = byte == _WORD
-        word_h, word_n = np.append(h[is_word], 0), np.append(n[is_word], 0)
-        at = np.searchsorted(word_h[:-1], self.words)
-        count = np.where((word_h[at] == self.words) & (at < len(word_h) - 1), word_n[at], 0)
-        h, byte, n = h[~is_word], byte[~is_word], n[~is_word]
-        heads = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        self.known = h[heads], (np.cumsum(heads) - 1) * 256 + byte, np.concatenate([[0], np.cumsum(n)])
-        return count
-
-    def counts(self, part: slice) -> tuple[np.ndarray, np.ndarray]:
-        """How often a 0 and a 1 followed, for every context, bit and byte of a part."""
-        heads, keys, total = self.known
-        b = self.bytes[part].astype(np.int64)
-        n0, n1 = (np.zeros((ORDERS, 8, len(b)), np.float32) for _ in range(2))
-        for k in range(ORDERS if len(heads) else 0):
-            c = self.contexts[k][part].view(np.int64)
-            order = np.argsort(c)  # searches in order are fast ones
-            at = np.minimum(np.searchsorted(heads, c[order]), len(heads) - 1)
-            met = heads[at] == c[order]
-            order, at = order[met], at[met]
-            bytes_ = b[order]
-            low = at * 256
-            left, right = np.searchsorted(keys, low), np.searchsorted(keys, low + 256)
-            for depth in range(8):
-                half = 128 >> depth
-                middle = np.searchsorted(keys, low + half)
-                n0[k, depth, order], n1[k, depth, order] = total[middle] - total[left], total[right] - total[middle]
-                one = (bytes_ & half) > 0
-                left, right, low = np.where(one, middle, left), np.where(one, right, middle), low + (bytes_ & half)
-        return n0.ravel(), n1.ravel()
-
-    def bit(self, depth: int, part: slice = slice(None), loaded: slice = slice(None)):
-        """Bits at one place of each byte of a part, and where the counts of their contexts are among those loaded."""
-        b = self.bytes[part].astype(np.uint32)
-        lo, hi, _ = loaded.indices(len(self.bytes))
-        at = (part.start or 0) - lo + np.arange(len(b))
-        return (b >> np.uint32(7 - depth)) & np.uint32(1), [(k * 8 + depth) * (hi - lo) + at for k in range(ORDERS)]
-
+        rows, n = len(size), int(self.first[-1])
+        begin = self.first[:-1] + ORDERS * np.arange(1, rows + 1)  # where rows begin, with their gaps ahead of them
+        self.bytes = np.full(n, 32, np.uint8)
+        inner = np.ones(n, bool)
+        inner[self.first[1:] - 1] = False
+        self.bytes[inner] = buf
+        self.flat = np.full(n + ORDERS * rows + 16, _AHEAD, np.uint8)
+        self.begin, self.size = begin, size
+        for lo, hi, place in self._places():
+            self.flat[place] = self.bytes[lo:hi]
+        self.eight = np.ndarray((max(len(self.flat) - 7, 0),), dtype=">u8", buffer=self.flat, strides=(1,))
+        #: Every word ends in one space, and the word that ends a text is empty.
+        ends = np.flatnonzero(self.bytes == 32)
+        self.token_first = np.searchsorted(ends, self.first)
+        words = np.diff(self.token_first)
+        end = ends + np.repeat(begin - self.first[:-1], words)
+        start = np.concatenate([[0], end[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
+        start[self.token_first[:-1]] = begin
+        self.words = hash_spans(self.flat, start, end)
+
+    def _places(self):
+        """Ranges of bytes, and where they are among the bytes with gaps."""
+        for lo in range(0, len(self.bytes), _PART):
+            hi = min(lo + _PART, len(self.bytes))
+            a, b = np.searchsorted(self.first, [lo, hi - 1], side="right") - 1
+            gap = np.repeat((self.begin - self.first[:-1])[a:b + 1], np.diff(np.clip(self.first[a:b + 2], lo, hi)))
+            yield lo, hi, np.arange(lo, hi) + gap
+
+    def pairs(self):
+        """Ranges of bytes and their pairs of the longest context; _MASKS has what is left of them for shorter ones."""
+        for lo, hi, place in self._places():
+            #: A pair has seven bytes: those at place - 6 to place are the first of the eight from there.
+            yield lo, hi, self.eight[place - ORDERS].astype(np.uint64) >> np.uint64(8)
+
+    @property
+    def contexts(self) -> list[np.ndarray]:
+        """The context of every byte, by order."""
+        all_pairs = np.concatenate([p for _, _, p in self.pairs()] or [np.zeros(0, np.uint64)])
+        return [(all_pairs & m) >> np.uint64(8) for m in _MASKS]
+
+    def distinct(self, copies: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every order, and for words: the distinct pairs in order, and how often they occur, rows weighted by ``copies``."""
+        if copies is None:
+            copies = np.ones(len(self.size), np.int64)
+        per_byte, found = np.repeat(copies.astype(np.int32), self.size), []
+        for lo, hi, pairs in self.pairs():
+            found.append(_counted(pairs, per_byte[lo:hi]))
+        longest = _added(*(np.concatenate(x) for x in zip(*found))) if found else _added(np.zeros(0, np.uint64), None)
+        out = [longest, _counted(self.words, np.repeat(copies, np.diff(self.token_first)))]
+        for mask in reversed(_MASKS[:-1]):
+            keys, n = out[0]
+            out.insert(0, _added(keys & mask, n))
+        return out
+
+    @cached_property
+    def index(self) -> tuple[Index, list[np.ndarray], np.ndarray]:
+        """Where pairs of the longest context have their rows, the rows of the shorter ones by them, and the first row of each order."""
+        keys = [k for k, _ in self.distinct()[:ORDERS]]
+        base = np.cumsum([0, *map(len, keys)])
+        return Index(keys[-1]), _nested(keys), base
+
+    def bit(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Bits at one place of each byte, and the slots of its contexts: eight for every row of counts."""
+        index, nested, base = self.index
+        rank = np.concatenate([index(p) for _, _, p in self.pairs()] or [np.zeros(0, np.int32)])
+        return _BITS[self.bytes, depth].astype(np.uint32), [(n[rank] + b) * 8 + depth for n, b in zip(nested, base)]
+
+
+def _nested(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """For every order, the ranks of the pairs that end those of the longest context."""
+    out = [np.arange(len(keys[-1]))]
+    for k in range(len(keys) - 2, -1, -1):
+        out.insert(0, np.searchsorted(keys[k], keys[k + 1] & _MASKS[k])[out[0]])
+    return out
+
+
+def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their weights, most of which are 1."""
+    found, n = _added(np.sort(keys), None)
+    other = np.flatnonzero(weights != 1)
+    if len(other):
+        np.add.at(n, np.searchsorted(found, keys[other]), weights[other] - 1)
+    return found, n
+
+
+def _added(keys: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of ``n``; without ``n`` the keys are sorted and count once each."""
+    if n is not None:
+        by = np.argsort(keys)
+        keys, n = keys[by], n[by]
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.diff(np.append(new, len(keys))) if n is None else np.add.reduceat(n, new)
+
+
+# ---- mixing ------------------------------------------------------------------------------------------------------
 
 class Mixer:
-    """Counts of the bytes at hand, gated weights, and the adaptive map over the last byte."""
+    """Counts by slot of how often a 0 and a 1 followed, gated weights, and the adaptive map over the last byte."""
 
-    def __init__(self, n0: np.ndarray, n1: np.ndarray):
+    def __init__(self, n0: np.ndarray | None, n1: np.ndarray | None):
         self.n0, self.n1 = n0, n1
-        self.weights = np.full((GATES, ORDERS + 1), 0.2)
+        self.weights = np.full((GATES, ORDERS + 1), 0.3, np.float32)
         self.weights[:, -1] = 0.0
         centre = np.linspace(-8, 8, BUCKETS)
-        self.map = np.tile(1 / (1 + np.exp(-centre)), (256, 1))
+        self.map = np.tile(1 / (1 + np.exp(-centre)), (256, 1)).astype(np.float32)
         self.seen = np.zeros(GATES)
         self.map_seen = np.zeros((256, BUCKETS))
 
-    def prepare(self):
-        self.odds = np.log((self.n1 + 0.4) / (self.n0 + 0.4)).astype(np.float32)
-        self.full = (self.n0 + self.n1) > 0
-
-    def _load(self, s: Spelling, part: slice) -> None:
-        if s.known is not None:
-            self.n0, self.n1 = s.counts(part)
-
-    def _inputs(self, slots, own_bit=None):
-        x = np.empty((ORDERS + 1, len(slots[0])))
+    def prepare(self, own: np.ndarray | None = None) -> None:
+        """Log-odds of all slots, and whether their contexts have been seen; ``own`` are the bytes of rows that are left
+        out of their own counts once."""
+        rows = len(self.n0) // 8 if own is None else len(own)
+        self.odds, self.full = np.empty(rows * 8, np.float32), np.empty(rows * 8, np.int8)
+        for lo in range(0, rows, _LOAD):
+            part = slice(lo * 8, min(lo + _LOAD, rows) * 8)
+            a, b = self.n0[part], self.n1[part]
+            if own is not None:
+                bits = _BITS[own[lo:lo + _LOAD]].ravel()
+                a, b = np.maximum(a - (1 - bits), 0), np.maximum(b - bits, 0)
+            self.odds[part] = np.log((b + np.float32(0.4)) / (a + np.float32(0.4)))
+            self.full[part] = np.repeat((a[::8] + b[::8]) > 0, 8)
+
+    def _inputs(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """What the contexts of some bits say, and how many of the contexts have been seen."""
+        x = np.empty((ORDERS + 1, len(slots[0])), np.float32)
         gate = np.zeros(len(slots[0]), np.int64)
         for k, at in enumerate(slots):
-            if own_bit is None:
-                x[k] = self.odds[at]
-                gate += self.full[at]
-            else:
-                a, b = self.n0[at] - (own_bit == 0), self.n1[at] - (own_bit == 1)
-                x[k] = np.log((np.maximum(b, 0) + 0.4) / (np.maximum(a, 0) + 0.4))
-                gate += (a + b) > 0
+            x[k] = self.odds[at]
+            gate += self.full[at]
         x[-1] = 0.5
         return x, gate
 
     def _predict(self, x, gate, last):
-        z = (self.weights.T[:, gate] * x).sum(0)
-        np.clip(z, -8, 8, out=z)
+        return self._refined((self.weights.T[:, gate] * x).sum(0), last)
+
+    def _refined(self, z, last):
+        """Probabilities of a 1 by log-odds and by the map, and the map's cells that were asked."""
+        z = np.clip(z, -8, 8)
         p = 1 / (1 + np.exp(-z))
-        q = (z + 8) * ((BUCKETS - 1) / 16)
-        low = np.minimum(q.astype(np.int64), BUCKETS - 2)
+        q = (z + np.float32(8)) * np.float32((BUCKETS - 1) / 16)
+        low = np.minimum(q.astype(np.int32), BUCKETS - 2)
         share = q - low
-        refined = self.map[last, low] * (1 - share) + self.map[last, low + 1] * share
-        return p, refined, low, share
+        cell, cells = last * BUCKETS + low, self.map.ravel()
+        left = np.take(cells, cell)
+        return p, left + (np.take(cells, cell + 1) - left) * share, low, share
 
     @staticmethod
     def _last(s: Spelling, part=slice(None)):
         last = np.zeros(len(s.bytes), np.uint8)
         last[1:] = s.bytes[:-1]
         last[s.first[:-1][s.first[:-1] < len(last)]] = 32
-        return last[part].astype(np.int64)
-
-    def learn(self, s: Spelling, rate: float = 0.1) -> None:
-        """Online: predict a batch of bits, then move weights and map towards them."""
-        last = self._last(s)
-        for lo in range(0, len(s.bytes), _STEP):
-            part = slice(lo, lo + _STEP)
-            own = last[part]
-            if lo % _LOAD == 0:
-                loaded = slice(lo, lo + _LOAD)
-                self._load(s, loaded)
-            for depth in range(8):
-                bit, slots = s.bit(depth, part, loaded)
-                x, gate = self._inputs(slots, bit)
-                gate = gate * 8 + depth
-                p, _, low, share = self._predict(x, gate, own)
-                err = bit - p
-                n = np.bincount(gate, minlength=GATES)
-                step = rate * 30 / (30 + np.sqrt(self.seen / 1e3)) / np.maximum(n, 1)
-                for k in range(ORDERS + 1):
-                    self.weights[:, k] += step * np.bincount(gate, weights=err * x[k], minlength=GATES)
-                self.seen += n
-                cell = own * BUCKETS + low + (share > 0.5)
-                hits = np.bincount(cell, minlength=256 * BUCKETS).reshape(256, BUCKETS)
-                ones = np.bincount(cell, weights=bit, minlength=256 * BUCKETS).reshape(256, BUCKETS)
-                self.map += (ones - hits * self.map) / (self.map_seen + hits + 40)
-                self.map_seen += hits
+        return last[part].astype(np.int32)
+
+    def _mixed(self, s: Spelling, pairs: np.ndarray):
+        """Some pairs, grouped by gate: their order, groups, inputs of all orders, mixed log-odds, last bytes and bits."""
+        index, nested, base = s.index
+        rows = [n[pairs] + b for n, b in zip(nested, base)]
+        full, gate = self.full[::8], np.zeros(len(pairs), np.int8)
+        for r in rows:
+            gate += full[r]
+        by = np.argsort(gate, kind="stable")
+        ends = np.cumsum(np.bincount(gate, minlength=ORDERS + 1))
+        odds, weights = self.odds.reshape(-1, 8), self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)
+        x = [np.take(odds, r[by], axis=0) for r in rows]
+        z = np.empty((len(by), 8), np.float32)
+        groups = [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+        for g, at in groups:
+            own = z[at]
+            own[:] = 0.5 * weights[g, :, ORDERS]
+            for k in range(ORDERS):
+                own += x[k][at] * weights[g, :, k]
+        keys = index.keys[pairs[by]]
+        last = (keys >> np.uint64(8) & np.uint64(255)).astype(np.int32)
+        last[last == _AHEAD] = 32
+        return by, groups, x, z, last[:, None], _BITS[(keys & np.uint64(255)).astype(np.int64)]
+
+    def learn(self, s: Spelling, counts: np.ndarray | None = None, rate: float = 0.1) -> None:
+        """Online, pair by pair of the longest context in the order of their hashes, each as often as ``counts`` has
+        it: predict a step of them, then move weights and map towards their bits."""
+        index, _, _ = s.index
+        if counts is None:
+            counts = s.distinct()[ORDERS - 1][1]
+        self.prepare(_row_bytes(s))
+        weights = self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)
+        there = np.flatnonzero(counts)
+        there = there[np.argsort(mix(index.keys[there]), kind="stable")]
+        for lo in range(0, len(there), _STEP):
+            pairs = there[lo:lo + _STEP]
+            by, groups, x, z, last, bits = self._mixed(s, pairs)
+            n = counts[pairs[by]].astype(np.float32)[:, None]
+            p, _, low, share = self._refined(z, last)
+            err = (bits - p) * n
+            for g, at in groups:
+                own = float(n[at].sum())
+                step = rate * 30 / (30 + np.sqrt(self.seen[g * 8] / 1e3)) / own
+                for k in range(ORDERS):
+                    weights[g, :, k] += step * np.einsum("ij,ij->j", err[at], x[k][at])
+                weights[g, :, ORDERS] += step * 0.5 * err[at].sum(0)
+                self.seen[g * 8:g * 8 + 8] += own
+            cell = (last * BUCKETS + low + (share > 0.5)).ravel()
+            hits = np.bincount(cell, weights=np.repeat(n, 8), minlength=256 * BUCKETS).reshape(256, BUCKETS)
+            ones = np.bincount(cell, weights=(bits * n).ravel(), minlength=256 * BUCKETS).reshape(256, BUCKETS)
+            self.map += ((ones - hits * self.map) / (self.map_seen + hits + 40)).astype(np.float32)
+            self.map_seen += hits
 
     def log10(self, s: Spelling) -> np.ndarray:
-        """log10 probability of every stream."""
-        total, last = np.zeros(len(s.bytes)), self._last(s)
-        for lo in range(0, len(s.bytes), _LOAD):
-            part = slice(lo, lo + _LOAD)
-            self._load(s, part)
-            self.prepare()
-            for depth in range(8):
-                bit, slots = s.bit(depth, part, part)
-                x, gate = self._inputs(slots)
-                p, refined, _, _ = self._predict(x, gate * 8 + depth, last[part])
-                p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
-                total[part] += np.log10(np.where(bit == 1, p, 1 - p))
+        """log10 probability of every stream: of the eight bits of every byte.  All that they depend on is the pair of
+        the longest context, so a pair is worked out once however often it occurs in the block."""
+        self.prepare()
+        index, _, _ = s.index
+        value = np.zeros(len(index.keys))
+        for lo in range(0, len(value), _LOAD):
+            pairs = np.arange(lo, min(lo + _LOAD, len(value)))
+            by, _, _, z, last, bits = self._mixed(s, pairs)
+            p, refined, _, _ = self._refined(z, last)
+            p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
+            value[pairs[by]] = np.log10(np.where(bits == 1, p, 1 - p)).sum(1, dtype=np.float64)
+        total = np.empty(len(s.bytes))
+        for lo, hi, pairs in s.pairs():
+            total[lo:hi] = value[index(pairs)]
         return segment_sum(total, s.first)
 
 
+def _row_bytes(s: Spelling) -> np.ndarray:
+    """The byte of every row of counts."""
+    index, nested, base = s.index
+    out = np.empty(base[-1], np.int64)
+    own = (index.keys & np.uint64(255)).astype(np.int64)
+    for n, b in zip(nested, base):
+        out[n + b] = own
+    return out
+
+
 # ---- counts of all training texts --------------------------------------------------------------------------------
 
-def occurrences(blocks: DataFrame) -> DataFrame:
-    """``(block, h, byte, n)``: contexts and words of every block, with their counts in texts not held out, which may be 0."""
-    def run(batches):
-        for b in batches:
-            _, offsets = string_buffer(b.column(2))
-            held, block = b.column(0).to_numpy(zero_copy_only=False).astype(bool), b.column(1).to_numpy()
-            for lo, hi in slices(offsets, BLOCK):
-                s = Spelling(b.column(2).slice(lo, hi - lo))
-                h, byte = s.rows()
-                size = np.diff(s.first)
-                row = np.repeat(np.arange(lo, hi), size)
-                row = np.concatenate([np.tile(row, ORDERS), row[s.starts]])
-                own = block[row]
-                by = np.lexsort((byte, h, own))
-                h, byte, own, n = h[by], byte[by], own[by], (~held[row[by]]).astype(np.int64)
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (byte[1:] != byte[:-1]) | (own[1:] != own[:-1])]))
-                n = np.add.reduceat(n, new)
-                yield pa.record_batch([pa.array(own[new]), pa.array(h[new]), pa.array(byte[new]), pa.array(n)], names=["block", "h", "byte", "n"])
-
-    return blocks.select("held_out", "block", "stream").mapInArrow(run, "block long, h long, byte short, n long")
-
-
-def _together(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over every block of texts and the counts of its contexts."""
-    def each(key, texts, counts):
-        s = Spelling(texts.column("stream").combine_chunks())
-        word_counts = s.look_up(*(counts.column(c).to_numpy() for c in ("h", "byte", "n")))
-        return run(texts, s, word_counts)
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
-
-
-def _trained(blocks: DataFrame, answers: DataFrame) -> Mixer:
-    """A mixer whose weights and map are the averages, by use, of those that the blocks learn on their texts."""
-    m = Mixer(None, None)
-    for _ in range(ROUNDS):
-        shared = blocks.sparkSession.sparkContext.broadcast((m.weights, m.map))
+def _read_block(row: dict) -> Spelling:
+    sizes = np.array(row["sizes"], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    data = _unpacked(row["streams"], np.uint8, int(at[-1]))
+    return Spelling(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())]))
+
 
-        def learn(texts, s, _):
-            m = Mixer(None, None)
-            m.weights, m.map = (x.copy() for x in shared.value)
-            m.learn(s)
+def _dealt(distinct: list[tuple[np.ndarray, np.ndarray]], shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every order, its pairs by the shard of their contexts, and where each shard begins among them."""
+    out = []
+    for k, (keys, _) in enumerate(distinct):
+        shard = (mix(keys >> np.uint64(8) if k < ORDERS else keys) % np.uint64(shards)).astype(np.int32)
+        by = np.argsort(shard, kind="stable")
+        out.append((by, np.searchsorted(shard[by], np.arange(shards + 1))))
+    return out
+
+
+def _rows(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _asks(blocks: DataFrame, shards: int) -> DataFrame:
+    """Distinct pairs and words of every block, with their counts in texts not held out, by shard."""
+    def run(batches):
+        for row in _rows(batches):
+            distinct = _read_block(row).distinct(np.where(row["held"], 0, row["copies"]))
+            dealt = _dealt(distinct, shards)
+            out: list[list] = [[], [], [], []]
+            for shard in range(shards):
+                own = [by[at[shard]:at[shard + 1]] for by, at in dealt]
+                if not any(map(len, own)):
+                    continue
+                keys = np.concatenate([np.diff(keys[i], prepend=np.uint64(0)) for (keys, _), i in zip(distinct, own)])
+                n = np.concatenate([n[i] for (_, n), i in zip(distinct, own)])
+                for x, y in zip(out, (shard, list(map(len, own)), _packed(keys), _packed(n.astype(np.uint32)))):
+                    x.append(y)
+            yield pa.record_batch([pa.array(np.full(len(out[0]), row["block"], np.int32)), pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int32())), *(pa.array(x, pa.binary()) for x in out[2:])],
+                                  names=["block", "shard", "sizes", "pairs", "n"])
+
+    return blocks.select("block", "held", "copies", "sizes", "streams").mapInArrow(run, "block int, shard int, sizes array<int>, pairs binary, n binary")
+
+
+def _paths(keys: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
+    """Counts along the eight bits of sorted distinct pairs: of the other bit at each place, and of the pair; words have the last only."""
+    if order == ORDERS or not len(keys):
+        return n[None].astype(np.uint32) if order == ORDERS else np.zeros((9, 0), np.uint32)
+    out = np.empty((9, len(keys)), np.uint32)
+    ahead = None
+    for depth in range(9):
+        node = keys >> np.uint64(8 - depth)
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        now = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
+        if depth:
+            out[depth - 1] = ahead - now
+        ahead = now
+    out[8] = ahead
+    return out
+
+
+def _answers(asks: DataFrame, shards: int) -> DataFrame:
+    """For every block that asked a shard: the counts of its pairs.  A row more per shard has what its words sum to."""
+    def run(key, rows):
+        block, sizes = rows.column("block").to_numpy(), np.array(rows.column("sizes").to_pylist(), np.int64)
+        pairs, counts = ([_unpacked(x.as_py(), kind, int(s.sum())) for x, s in zip(rows.column(c), sizes)] for c, kind in (("pairs", np.uint64), ("n", np.uint32)))
+        at = np.concatenate([np.zeros((len(sizes), 1), np.int64), np.cumsum(sizes, 1)], 1)
+        out: list[list] = [[] for _ in sizes]
+        total = 0, 0
+        for k in range(ORDERS + 1):
+            parts = [slice(a[k], a[k + 1]) for a in at]
+            keys = np.concatenate([np.cumsum(p[i], dtype=np.uint64) for p, i in zip(pairs, parts)])
+            n = np.concatenate([c[i] for c, i in zip(counts, parts)]).astype(np.int64)
+            found, sums = _added(keys, n)
+            if k == ORDERS:
+                total = int(sums.sum()), int((sums > 0).sum())
+            paths, rank = _paths(found, sums, k), np.searchsorted(found, keys)
+            for o, i in zip(out, np.split(rank, np.cumsum(sizes[:, k])[:-1])):
+                o.append(paths[:, i].ravel())
+        shard = key[0].as_py()
+        blobs = [_packed(np.concatenate(o)) for o in out]
+        return pa.table([pa.array([*block, shard % shards], pa.int32()), pa.array(np.full(len(block) + 1, shard, np.int32)), pa.array([*blobs, None], pa.binary()),
+                         pa.array([0] * len(block) + [total[0]]), pa.array([0] * len(block) + [total[1]])], names=["block", "shard", "paths", "n", "v"])
+
+    return asks.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, paths binary, n long, v long")
+
+
+def _with_counts(row: dict, shards: int) -> tuple[Spelling, Mixer, np.ndarray, np.ndarray]:
+    """A block's texts, a mixer over the counts of their contexts, how often its own training texts have the pairs of
+    the longest context, and the counts of all words."""
+    s = _read_block(row)
+    distinct = s.distinct(np.where(row["held"], 0, row["copies"]))
+    keys = [k for k, _ in distinct[:ORDERS]]
+    s.index = Index(keys[-1]), _nested(keys), np.cumsum([0, *map(len, keys)])
+    dealt = _dealt(distinct, shards)
+    widths = [9] * ORDERS + [1]
+    tables = [np.zeros((w, len(k)), np.uint32) for w, (k, _) in zip(widths, distinct)]
+    for answer in row["answers"]:
+        own = [by[at[answer["shard"]]:at[answer["shard"] + 1]] for by, at in dealt]
+        flat, lo = _unpacked(answer["paths"], np.uint32, sum(w * len(i) for w, i in zip(widths, own))), 0
+        for w, i, table in zip(widths, own, tables):
+            table[:, i] = flat[lo:lo + w * len(i)].reshape(w, len(i))
+            lo += w * len(i)
+    n = [np.zeros((s.index[2][-1], 8), np.float32) for _ in range(2)]
+    for k, table, lo in zip(keys, tables, s.index[2]):
+        hi, at = lo + len(k), table[8].astype(np.int64)
+        bits = _BITS[(k & np.uint64(255)).astype(np.int64)]
+        for depth in range(7, -1, -1):
+            one = bits[:, depth] == 1
+            n[0][lo:hi, depth], n[1][lo:hi, depth] = np.where(one, table[depth], at), np.where(one, at, table[depth])
+            at = at + table[depth]
+    words = tables[ORDERS][0][np.searchsorted(distinct[ORDERS][0], s.words)]
+    return s, Mixer(n[0].ravel(), n[1].ravel()), distinct[ORDERS - 1][1], words
+
+
+def _trained(met: DataFrame, shards: int) -> Mixer:
+    """A mixer whose weights and map are the averages, by use, of those that the blocks learn on their training texts."""
+    def learn(batches):
+        for row in _rows(batches):
+            s, m, counts, _ = _with_counts(row, shards)
+            m.learn(s, counts)
             used = np.concatenate([np.repeat(m.seen, ORDERS + 1), m.map_seen.ravel()])
-            value = np.concatenate([m.weights.ravel(), m.map.ravel()])
+            value = np.concatenate([m.weights.ravel(), m.map.ravel()]).astype(float)
             some = np.flatnonzero(used)
-            return pa.table([pa.array(some), pa.array(used[some]), pa.array((used * value)[some])], names=["i", "n", "v"])
+            yield pa.record_batch([pa.array(some), pa.array(used[some]), pa.array((used * value)[some])], names=["i", "n", "v"])
 
-        got = _together(blocks.where("not held_out"), answers, learn, "i long, n double, v double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
-        value = np.concatenate([m.weights.ravel(), m.map.ravel()])
-        value[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("n").to_numpy()
-        m.weights, m.map = value[:m.weights.size].reshape(m.weights.shape), value[m.weights.size:].reshape(m.map.shape)
+    m = Mixer(None, None)
+    got = met.mapInArrow(learn, "i long, n double, v double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    value = np.concatenate([m.weights.ravel(), m.map.ravel()]).astype(float)
+    value[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("n").to_numpy()
+    m.weights, m.map = value[:m.weights.size].reshape(m.weights.shape).astype(np.float32), value[m.weights.size:].reshape(m.map.shape).astype(np.float32)
     return m
 
 
@@ -325,29 +516,37 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
     and bits_per_byte of the model.
 
     A null text is empty: it has the token that ends a text only.  A null id counts as empty text for the split.
-    Repeated rows give repeated rows, an empty table none; other columns are not read.  ``head`` is there for callers
-    of old: no table of words is broadcast any more.
+    Equal rows are counted as often as they occur, learnt from once, and come back as often; an empty table gives an
+    empty one; other columns are not read.  ``head`` is there for callers of old: no table of words is broadcast.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(MODULUS) == HELD_OUT).alias("held_out"))
-    blocks = written(_blocks(texts), "lm-blocks")
-    met = occurrences(blocks).repartition("h")
-    counts = met.groupBy("h", "byte").agg(F.sum("n").alias("n")).where("n > 0")
-    answers = written(met.select("block", "h").distinct().join(counts.hint("shuffle_hash"), "h"), "lm-counts")
-    words = answers.where(F.col("byte") == _WORD).select("h", "n").distinct().agg(F.sum("n"), F.count("*")).first()
-    n, v = int(words[0] or 0), int(words[1])
-    m = _trained(blocks, answers)
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    many = max(1, -(-int(size) // BLOCK))
+    blocks = written(_blocks(texts, many), "lm-blocks")
+    answers = _answers(_asks(blocks, many), many).groupBy("block").agg(
+        F.filter(F.collect_list(F.struct("shard", "paths")), lambda x: x["paths"].isNotNull()).alias("answers"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+    met = written(blocks.join(answers.hint("shuffle_hash"), "block"), "lm-met", maxRecordsPerFile=1)
+    drop(blocks)
+    n, v = (int(x or 0) for x in met.agg(F.sum("n"), F.sum("v")).first())
+    met = met.drop("n", "v")
+    m = _trained(met, many)
     shared = docs.sparkSession.sparkContext.broadcast((m.weights, m.map))
     floor = np.log10(n + 0.1 * (v + 1))
 
-    def run(texts, s, c):
-        m = Mixer(None, None)
-        m.weights, m.map = shared.value
-        first = np.searchsorted(s.starts, s.first)
-        score, size = m.log10(s), np.diff(s.first)
-        base = segment_sum(np.log10(c + 0.1) - floor, first)
-        return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array(np.diff(first)), pa.array(segment_sum((c > 0).astype(np.int64), first)), pa.array(np.full(len(size), n)),
-                         pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size)], names=names)
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                s, m, _, c = _with_counts(row, many)
+                m.weights, m.map = shared.value
+                score, size = m.log10(s), np.diff(s.first)
+                base = segment_sum(np.log10(c + 0.1) - floor, s.token_first)
+                copies = np.array(row["copies"], np.int64)
+                own = np.repeat(np.arange(len(size)), copies)
+                columns = [np.diff(s.token_first), segment_sum((c > 0).astype(np.int64), s.token_first), np.full(len(size), n), base, score, -score / np.log10(2) / size]
+                ids, held = (b.column(b.schema.get_field_index(x))[i].values.take(pa.array(own)) for x in ("ids", "held"))
+                yield pa.record_batch([ids, held, *(pa.array(x[own]) for x in columns)], names=names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _together(blocks, answers, run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return met.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
