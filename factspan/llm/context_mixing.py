@@ -7,10 +7,11 @@ followed a context in the training texts are turned into log-odds of the next bi
 
 What is counted grows with the corpus: every context met in a training text has counts of its own, keyed by its bytes.
 Texts are dealt into blocks of bounded size by a hash of the row, so neither blocks nor scores depend on how the input
-is partitioned.  A block sends the distinct pairs of a context and a byte that it holds, with their counts, to shards
-by context; a shard adds them up and answers every block with the counts along the eight bits of each of its pairs.
-Both travel as packed arrays, one row per block and shard that have pairs in common.  Every block learns weights and
-map online over its training texts, each pair left out of its own counts; the averages by use are the model.
+is partitioned.  Every block learns weights and map online over its own training texts, each pair of a context and a
+byte left out of the block's counts; the averages by use are the model.  For its scores a block sends the distinct
+pairs it holds, with their counts, to shards by context; a shard adds them up and answers every block with the counts
+along the eight bits of each of its pairs.  Both travel as packed arrays, one row per block and shard that have pairs
+in common.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder
-from .tables import drop, written
+from .tables import written
 from .textkernel import NOT_SPACE, Tokens, hash_spans, mix, padded, segment_sum, slices, string_buffer
 
 MODULUS, HELD_OUT = 10, 0
@@ -33,8 +34,9 @@ ORDERS = 6
 SLOTS = 1 << 19
 GATES = (ORDERS + 1) * 8
 BUCKETS = 24
-#: Bytes of texts in a block, about (a longer text makes a longer block).
-BLOCK = 8 << 20
+#: Bytes of texts in a block, about (a longer text makes a longer block), and how many blocks there are at least while
+#: each has so many bytes.
+BLOCK, BLOCKS, LEAST = 32 << 20, 8, 1 << 16
 #: Tasks that blocks or shards are dealt to, at most; each may take several.
 TASKS = 8192
 #: Pairs of a step of learning, those predicted at once, and bytes whose pairs are sorted at once.
@@ -62,31 +64,61 @@ def _streams(column: pa.Array):
 
 def _blocks(texts: DataFrame, many: int) -> DataFrame:
     """One row per block of ``texts(doc_id, text, held_out)``: its distinct rows in the order of a hash of the text,
-    how often each occurs, and the streams of the texts behind each other."""
+    how often each occurs, the streams of the texts behind each other, what it learnt, and its training words."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    keys = ["block", "doc_id", "held_out"]
+    own = ["ids", "held", "copies", "sizes", "streams"]
+
+    def lists(rows: pa.Table) -> list[pa.Array]:
+        buf, at = string_buffer(rows.column("stream"))
+        columns = [rows.column(c).combine_chunks() for c in ("doc_id", "held_out", "copies")] + [pa.array(np.diff(at))]
+        return [*(pa.ListArray.from_arrays([0, len(rows)], c) for c in columns), pa.array([_packed(buf)], pa.binary())]
 
     def read(batches):
         for b in batches:
-            rows = pa.Table.from_batches([b]).group_by([*keys, "text"]).aggregate([([], "count_all")]).combine_chunks()
+            rows = pa.Table.from_batches([b]).group_by(["block", "doc_id", "held_out", "text"]).aggregate([([], "count_all")]).rename_columns(["block", "doc_id", "held_out", "text", "copies"])
+            rows = rows.sort_by("block").combine_chunks()
             for lo, hi, streams in _streams(rows.column("text").combine_chunks()):
-                own = rows.slice(lo, hi - lo)
-                yield pa.record_batch([*(own.column(c).combine_chunks() for c in keys), own.column("count_all").combine_chunks(), streams.cast(pa.binary())], names=[*keys, "copies", "stream"])
-
-    def pack(key, rows):
-        rows = rows.group_by(["doc_id", "held_out", "stream"]).aggregate([("copies", "sum")]).combine_chunks()
+                part = rows.slice(lo, hi - lo).append_column("stream", streams)
+                block = part.column("block").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), hi - lo]
+                for x, y in zip(cuts, cuts[1:]):
+                    yield pa.record_batch([pa.array(block[x:x + 1]), *lists(part.slice(x, y - x))], names=["block", *own])
+
+    def pack(key, chunks):
+        parts = []
+        for row in _rows(chunks.to_batches()):
+            parts.append(pa.table([row["ids"], row["held"], row["copies"], _column(row)], names=["doc_id", "held_out", "copies", "stream"]))
+        rows = pa.concat_tables(parts).group_by(["doc_id", "held_out", "stream"]).aggregate([("copies", "sum")]).rename_columns(["doc_id", "held_out", "stream", "copies"])
+        del parts
         buf, at = string_buffer(rows.column("stream"))
-        hashes = pa.array(hash_spans(padded(buf), at[:-1], at[1:]).view(np.int64))
-        rows = rows.append_column("h", hashes).sort_by([("h", "ascending"), ("doc_id", "ascending"), ("stream", "ascending")])
-        buf, at = string_buffer(rows.column("stream"))
-        lists = [pa.ListArray.from_arrays([0, len(rows)], rows.column(c).combine_chunks()) for c in ("doc_id", "held_out", "copies_sum")]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *lists, pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([_packed(buf)], pa.binary())],
-                        names=["block", "ids", "held", "copies", "sizes", "streams"])
+        rows = rows.append_column("h", pa.array(hash_spans(padded(buf), at[:-1], at[1:]).view(np.int64)))
+        rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("stream", "ascending")])
+        out = lists(rows)
+        s = Spelling(rows.column("stream").combine_chunks())
+        del rows, buf
+        held, copies = (x[0].values.to_numpy(zero_copy_only=False) for x in out[1:3])
+        m, words, tokens = _learnt(s, np.where(held, 0, copies))
+        weights = pa.array([np.concatenate([m.weights.ravel(), m.map.ravel(), np.repeat(m.seen, ORDERS + 1), m.map_seen.ravel()]).tolist()], pa.list_(pa.float64()))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *out, weights, pa.array([tokens]), pa.array([len(words)]), pa.array([_packed(np.diff(words, prepend=np.uint64(0)))], pa.binary())],
+                        names=["block", *own, "learnt", "n_tokens", "n_words", "words"])
+
+    fields = f"block int, ids array<{kind}>, held array<boolean>, copies array<long>, sizes array<long>, streams binary"
+    read_out = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).cast("int").alias("block"), "doc_id", "held_out", "text").mapInArrow(read, fields)
+    return read_out.repartition(min(many, TASKS), "block").groupBy("block").applyInArrow(pack, fields + ", learnt array<double>, n_tokens long, n_words long, words binary")
+
 
-    read_out = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).cast("int").alias("block"), "doc_id", "held_out", "text").mapInArrow(
-        read, f"block int, doc_id {kind}, held_out boolean, copies long, stream binary")
-    return read_out.repartition(min(many, TASKS), "block").groupBy("block").applyInArrow(
-        pack, f"block int, ids array<{kind}>, held array<boolean>, copies array<long>, sizes array<long>, streams binary")
+def _rows(batches):
+    """Rows of blocks or parts of them: lists as arrays, the rest as Python values."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {n: c[i].values if n in ("ids", "held", "copies", "sizes") else c[i].as_py() for n, c in zip(b.schema.names, b.columns)}
+
+
+def _column(row: dict) -> pa.Array:
+    """The streams of a row."""
+    at = np.concatenate([[0], np.cumsum(row["sizes"].to_numpy())]).astype(np.int64)
+    data = _unpacked(row["streams"], np.uint8, int(at[-1]))
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -139,78 +171,97 @@ class Spelling:
         size = np.diff(at) + 1
         self.first = np.concatenate([[0], np.cumsum(size)])
         rows, n = len(size), int(self.first[-1])
-        begin = self.first[:-1] + ORDERS * np.arange(1, rows + 1)  # where rows begin, with their gaps ahead of them
-        self.bytes = np.full(n, 32, np.uint8)
-        inner = np.ones(n, bool)
-        inner[self.first[1:] - 1] = False
-        self.bytes[inner] = buf
-        self.flat = np.full(n + ORDERS * rows + 16, _AHEAD, np.uint8)
-        self.begin, self.size = begin, size
-        for lo, hi, place in self._places():
-            self.flat[place] = self.bytes[lo:hi]
+        self.gap = ORDERS * np.arange(1, rows + 1)  # what lies ahead of each row's bytes besides other rows' bytes
+        self.bytes, self.flat = np.full(n, 32, np.uint8), np.full(n + ORDERS * rows + 16, _AHEAD, np.uint8)
+        for lo, hi, own in self._parts():
+            ends = self.first[own.start + 1:own.stop + 1] - 1 - lo
+            inner = np.ones(hi - lo, bool)
+            inner[ends[ends < hi - lo]] = False
+            begin = lo - own.start
+            self.bytes[lo:hi][inner] = buf[begin:begin + int(inner.sum())]
+            self.flat[np.arange(lo, hi) + self.spread(self.gap, lo, hi, own)] = self.bytes[lo:hi]
         self.eight = np.ndarray((max(len(self.flat) - 7, 0),), dtype=">u8", buffer=self.flat, strides=(1,))
-        #: Every word ends in one space, and the word that ends a text is empty.
-        ends = np.flatnonzero(self.bytes == 32)
-        self.token_first = np.searchsorted(ends, self.first)
-        words = np.diff(self.token_first)
-        end = ends + np.repeat(begin - self.first[:-1], words)
-        start = np.concatenate([[0], end[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
-        start[self.token_first[:-1]] = begin
-        self.words = hash_spans(self.flat, start, end)
-
-    def _places(self):
-        """Ranges of bytes, and where they are among the bytes with gaps."""
+
+    def _parts(self):
+        """Ranges of bytes, and the rows that they lie in."""
         for lo in range(0, len(self.bytes), _PART):
             hi = min(lo + _PART, len(self.bytes))
             a, b = np.searchsorted(self.first, [lo, hi - 1], side="right") - 1
-            gap = np.repeat((self.begin - self.first[:-1])[a:b + 1], np.diff(np.clip(self.first[a:b + 2], lo, hi)))
-            yield lo, hi, np.arange(lo, hi) + gap
+            yield lo, hi, slice(int(a), int(b) + 1)
+
+    def spread(self, values: np.ndarray, lo: int, hi: int, own: slice) -> np.ndarray:
+        """Values of rows, for every byte of a range."""
+        return np.repeat(values[own], np.diff(np.clip(self.first[own.start:own.stop + 1], lo, hi)))
 
     def pairs(self):
-        """Ranges of bytes and their pairs of the longest context; _MASKS has what is left of them for shorter ones."""
-        for lo, hi, place in self._places():
+        """Ranges of bytes, the rows they lie in, and their pairs of the longest context; _MASKS has what is left of
+        them for shorter ones."""
+        for lo, hi, own in self._parts():
+            place = np.arange(lo, hi) + self.spread(self.gap, lo, hi, own)
             #: A pair has seven bytes: those at place - 6 to place are the first of the eight from there.
-            yield lo, hi, self.eight[place - ORDERS].astype(np.uint64) >> np.uint64(8)
+            yield lo, hi, own, self.eight[place - ORDERS].astype(np.uint64) >> np.uint64(8)
+
+    @cached_property
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and the first of each row.  Every word ends in one space, and the last of a text is empty."""
+        ends = np.flatnonzero(self.bytes == 32)
+        first = np.searchsorted(ends, self.first)
+        ends += np.repeat(self.gap, np.diff(first))
+        start = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        start[first[:-1]] = self.first[:-1] + self.gap
+        out = np.empty(len(ends), np.uint64)
+        for lo in range(0, len(ends), 1 << 20):
+            out[lo:lo + (1 << 20)] = hash_spans(self.flat, start[lo:lo + (1 << 20)], ends[lo:lo + (1 << 20)])
+        return out, first
 
     @property
     def contexts(self) -> list[np.ndarray]:
         """The context of every byte, by order."""
-        all_pairs = np.concatenate([p for _, _, p in self.pairs()] or [np.zeros(0, np.uint64)])
+        all_pairs = np.concatenate([p for *_, p in self.pairs()] or [np.zeros(0, np.uint64)])
         return [(all_pairs & m) >> np.uint64(8) for m in _MASKS]
 
     def distinct(self, copies: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For every order, and for words: the distinct pairs in order, and how often they occur, rows weighted by ``copies``."""
-        if copies is None:
-            copies = np.ones(len(self.size), np.int64)
-        per_byte, found = np.repeat(copies.astype(np.int32), self.size), []
-        for lo, hi, pairs in self.pairs():
-            found.append(_counted(pairs, per_byte[lo:hi]))
-        longest = _added(*(np.concatenate(x) for x in zip(*found))) if found else _added(np.zeros(0, np.uint64), None)
-        out = [longest, _counted(self.words, np.repeat(copies, np.diff(self.token_first)))]
+        """For every order: the distinct pairs in order, and how often they occur, rows weighted by ``copies``."""
+        copies = np.ones(len(self.gap), np.int64) if copies is None else copies
+        found = [_counted(p, self.spread(copies, lo, hi, own)) for lo, hi, own, p in self.pairs()]
+        out = [_added(*(np.concatenate(x) for x in zip(*found))) if found else _added(np.zeros(0, np.uint64), None)]
         for mask in reversed(_MASKS[:-1]):
             keys, n = out[0]
             out.insert(0, _added(keys & mask, n))
         return out
 
+    def words(self, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words in order, and how often they occur, rows weighted by ``copies``."""
+        words, first = self.tokens
+        return _counted(words, np.repeat(copies, np.diff(first)))
+
     @cached_property
-    def index(self) -> tuple[Index, list[np.ndarray], np.ndarray]:
-        """Where pairs of the longest context have their rows, the rows of the shorter ones by them, and the first row of each order."""
-        keys = [k for k, _ in self.distinct()[:ORDERS]]
-        base = np.cumsum([0, *map(len, keys)])
-        return Index(keys[-1]), _nested(keys), base
+    def index(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The distinct pairs of the longest context, the rows of the shorter ones by them, and the first row of each order."""
+        return _indexed([k for k, _ in self.distinct()])
+
+    def ranks(self):
+        """Ranges of bytes, the rows they lie in, and where their pairs are in the index."""
+        index = Index(self.index[0])
+        for lo, hi, own, p in self.pairs():
+            yield lo, hi, own, index(p)
 
     def bit(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Bits at one place of each byte, and the slots of its contexts: eight for every row of counts."""
-        index, nested, base = self.index
-        rank = np.concatenate([index(p) for _, _, p in self.pairs()] or [np.zeros(0, np.int32)])
+        _, nested, base = self.index
+        rank = np.concatenate([r for *_, r in self.ranks()] or [np.zeros(0, np.int32)])
         return _BITS[self.bytes, depth].astype(np.uint32), [(n[rank] + b) * 8 + depth for n, b in zip(nested, base)]
 
 
+def _indexed(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    return keys[-1], _nested(keys), np.cumsum([0, *map(len, keys)])
+
+
 def _nested(keys: list[np.ndarray]) -> list[np.ndarray]:
     """For every order, the ranks of the pairs that end those of the longest context."""
-    out = [np.arange(len(keys[-1]))]
+    out = [np.arange(len(keys[-1]), dtype=np.int32)]
     for k in range(len(keys) - 2, -1, -1):
-        out.insert(0, np.searchsorted(keys[k], keys[k + 1] & _MASKS[k])[out[0]])
+        out.insert(0, np.searchsorted(keys[k], keys[k + 1] & _MASKS[k]).astype(np.int32)[out[0]])
     return out
 
 
@@ -219,7 +270,8 @@ def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     found, n = _added(np.sort(keys), None)
     other = np.flatnonzero(weights != 1)
     if len(other):
-        np.add.at(n, np.searchsorted(found, keys[other]), weights[other] - 1)
+        some, more = _added(keys[other], weights[other] - 1)
+        n[np.searchsorted(found, some)] += more
     return found, n
 
 
@@ -248,19 +300,34 @@ class Mixer:
         self.seen = np.zeros(GATES)
         self.map_seen = np.zeros((256, BUCKETS))
 
-    def prepare(self, own: np.ndarray | None = None) -> None:
-        """Log-odds of all slots, and whether their contexts have been seen; ``own`` are the bytes of rows that are left
-        out of their own counts once."""
-        rows = len(self.n0) // 8 if own is None else len(own)
-        self.odds, self.full = np.empty(rows * 8, np.float32), np.empty(rows * 8, np.int8)
-        for lo in range(0, rows, _LOAD):
-            part = slice(lo * 8, min(lo + _LOAD, rows) * 8)
-            a, b = self.n0[part], self.n1[part]
-            if own is not None:
-                bits = _BITS[own[lo:lo + _LOAD]].ravel()
-                a, b = np.maximum(a - (1 - bits), 0), np.maximum(b - bits, 0)
-            self.odds[part] = np.log((b + np.float32(0.4)) / (a + np.float32(0.4)))
-            self.full[part] = np.repeat((a[::8] + b[::8]) > 0, 8)
+    def prepare(self) -> None:
+        """Log-odds of all slots, and whether their contexts have been seen."""
+        self._room(len(self.n0) // 8)
+        for lo in range(0, len(self.n0), 8 * _LOAD):
+            self._load(lo // 8, self.n0[lo:lo + 8 * _LOAD], self.n1[lo:lo + 8 * _LOAD])
+
+    def _room(self, rows: int) -> None:
+        self.odds, self.full = np.empty(rows * 8, np.float32), np.empty(rows, np.int8)
+
+    def _load(self, row: int, n0: np.ndarray, n1: np.ndarray) -> None:
+        hi = row + len(n0) // 8
+        self.odds[row * 8:hi * 8] = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
+        self.full[row:hi] = (n0[::8] + n1[::8]) > 0
+
+    def load(self, row: int, keys: np.ndarray, paths: np.ndarray, left_out: bool = False) -> None:
+        """Takes the counts along the bits of sorted pairs of one order for the rows from ``row`` on, all pairs left out
+        of them once if so asked."""
+        for lo in range(0, len(keys), _LOAD):
+            part = paths[:, lo:lo + _LOAD].astype(np.float32)
+            bits = _BITS[(keys[lo:lo + _LOAD] & np.uint64(255)).astype(np.int64)]
+            own, other = np.empty((part.shape[1], 8), np.float32), part[:8].T
+            at = part[8]
+            for depth in range(7, -1, -1):
+                own[:, depth] = at
+                at = at + part[depth]
+            if left_out:
+                own = np.maximum(own - 1, 0)
+            self._load(row + lo, np.where(bits == 1, other, own).ravel(), np.where(bits == 1, own, other).ravel())
 
     def _inputs(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """What the contexts of some bits say, and how many of the contexts have been seen."""
@@ -268,7 +335,7 @@ class Mixer:
         gate = np.zeros(len(slots[0]), np.int64)
         for k, at in enumerate(slots):
             x[k] = self.odds[at]
-            gate += self.full[at]
+            gate += self.full[at // 8]
         x[-1] = 0.5
         return x, gate
 
@@ -295,11 +362,11 @@ class Mixer:
 
     def _mixed(self, s: Spelling, pairs: np.ndarray):
         """Some pairs, grouped by gate: their order, groups, inputs of all orders, mixed log-odds, last bytes and bits."""
-        index, nested, base = s.index
+        keys, nested, base = s.index
         rows = [n[pairs] + b for n, b in zip(nested, base)]
-        full, gate = self.full[::8], np.zeros(len(pairs), np.int8)
+        gate = np.zeros(len(pairs), np.int8)
         for r in rows:
-            gate += full[r]
+            gate += self.full[r]
         by = np.argsort(gate, kind="stable")
         ends = np.cumsum(np.bincount(gate, minlength=ORDERS + 1))
         odds, weights = self.odds.reshape(-1, 8), self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)
@@ -311,7 +378,7 @@ class Mixer:
             own[:] = 0.5 * weights[g, :, ORDERS]
             for k in range(ORDERS):
                 own += x[k][at] * weights[g, :, k]
-        keys = index.keys[pairs[by]]
+        keys = keys[pairs[by]]
         last = (keys >> np.uint64(8) & np.uint64(255)).astype(np.int32)
         last[last == _AHEAD] = 32
         return by, groups, x, z, last[:, None], _BITS[(keys & np.uint64(255)).astype(np.int64)]
@@ -319,13 +386,14 @@ class Mixer:
     def learn(self, s: Spelling, counts: np.ndarray | None = None, rate: float = 0.1) -> None:
         """Online, pair by pair of the longest context in the order of their hashes, each as often as ``counts`` has
         it: predict a step of them, then move weights and map towards their bits."""
-        index, _, _ = s.index
+        keys = s.index[0]
         if counts is None:
-            counts = s.distinct()[ORDERS - 1][1]
-        self.prepare(_row_bytes(s))
+            counts = s.distinct()[-1][1]
+        if not hasattr(self, "odds"):
+            self.prepare()
         weights = self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)
         there = np.flatnonzero(counts)
-        there = there[np.argsort(mix(index.keys[there]), kind="stable")]
+        there = there[np.argsort(mix(keys[there]), kind="stable")]
         for lo in range(0, len(there), _STEP):
             pairs = there[lo:lo + _STEP]
             by, groups, x, z, last, bits = self._mixed(s, pairs)
@@ -348,38 +416,56 @@ class Mixer:
     def log10(self, s: Spelling) -> np.ndarray:
         """log10 probability of every stream: of the eight bits of every byte.  All that they depend on is the pair of
         the longest context, so a pair is worked out once however often it occurs in the block."""
-        self.prepare()
-        index, _, _ = s.index
-        value = np.zeros(len(index.keys))
+        if not hasattr(self, "odds"):
+            self.prepare()
+        value = np.zeros(len(s.index[0]))
         for lo in range(0, len(value), _LOAD):
             pairs = np.arange(lo, min(lo + _LOAD, len(value)))
             by, _, _, z, last, bits = self._mixed(s, pairs)
             p, refined, _, _ = self._refined(z, last)
             p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
             value[pairs[by]] = np.log10(np.where(bits == 1, p, 1 - p)).sum(1, dtype=np.float64)
-        total = np.empty(len(s.bytes))
-        for lo, hi, pairs in s.pairs():
-            total[lo:hi] = value[index(pairs)]
-        return segment_sum(total, s.first)
-
-
-def _row_bytes(s: Spelling) -> np.ndarray:
-    """The byte of every row of counts."""
-    index, nested, base = s.index
-    out = np.empty(base[-1], np.int64)
-    own = (index.keys & np.uint64(255)).astype(np.int64)
-    for n, b in zip(nested, base):
-        out[n + b] = own
-    return out
+        total = np.zeros(len(s.gap))
+        for lo, hi, own, rank in s.ranks():
+            total[own] += np.add.reduceat(value[rank], np.maximum(s.first[own], lo) - lo)
+        return total
 
 
 # ---- counts of all training texts --------------------------------------------------------------------------------
 
-def _read_block(row: dict) -> Spelling:
-    sizes = np.array(row["sizes"], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    data = _unpacked(row["streams"], np.uint8, int(at[-1]))
-    return Spelling(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())]))
+def _learnt(s: Spelling, copies: np.ndarray) -> tuple[Mixer, np.ndarray, int]:
+    """What a block learns from its training texts with its own counts, the distinct words of these texts, and how many
+    words they have in all."""
+    distinct = s.distinct(copies)
+    m, s.index = Mixer(None, None), _indexed([k for k, _ in distinct])
+    m._room(int(s.index[2][-1]))
+    for (keys, n), row in zip(distinct, s.index[2]):
+        m.load(int(row), keys, _paths(keys, n), left_out=True)
+    m.learn(s, distinct[-1][1])
+    words, n = s.words(copies)
+    return m, words[n > 0], int(n.sum())
+
+
+def _averaged(blocks: DataFrame) -> Mixer:
+    """A mixer whose weights and map are the averages, by use, of those that the blocks have learnt."""
+    m = Mixer(None, None)
+    size = m.weights.size + m.map.size
+    value = lambda a, b: F.element_at("learnt", F.col("i") + 1 + a) * F.element_at("learnt", F.col("i") + 1 + b)
+    each = blocks.select("learnt", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i")).select("i", F.element_at("learnt", F.col("i") + 1 + size).alias("n"), value(0, size).alias("v"))
+    got = each.where("n > 0").groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    flat = np.concatenate([m.weights.ravel(), m.map.ravel()]).astype(float)
+    flat[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("n").to_numpy()
+    m.weights, m.map = flat[:m.weights.size].reshape(m.weights.shape).astype(np.float32), flat[m.weights.size:].reshape(m.map.shape).astype(np.float32)
+    return m
+
+
+def _training_words(blocks: DataFrame) -> int:
+    """How many different words the training texts have."""
+    def run(batches):
+        for row in _rows(batches):
+            yield pa.record_batch([pa.array(np.cumsum(_unpacked(row["words"], np.uint64, row["n_words"]), dtype=np.uint64).view(np.int64))], names=["h"])
+
+    return blocks.select("n_words", "words").mapInArrow(run, "h long").distinct().count()
 
 
 def _dealt(distinct: list[tuple[np.ndarray, np.ndarray]], shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -392,17 +478,17 @@ def _dealt(distinct: list[tuple[np.ndarray, np.ndarray]], shards: int) -> list[t
     return out
 
 
-def _rows(batches):
-    for b in batches:
-        for i in range(b.num_rows):
-            yield b.slice(i, 1).to_pylist()[0]
+def _copies(row: dict) -> np.ndarray:
+    """How often each text of a block counts in training."""
+    return np.where(row["held"].to_numpy(zero_copy_only=False), 0, row["copies"].to_numpy())
 
 
 def _asks(blocks: DataFrame, shards: int) -> DataFrame:
     """Distinct pairs and words of every block, with their counts in texts not held out, by shard."""
     def run(batches):
         for row in _rows(batches):
-            distinct = _read_block(row).distinct(np.where(row["held"], 0, row["copies"]))
+            s, copies = Spelling(_column(row)), _copies(row)
+            distinct = [*s.distinct(copies), s.words(copies)]
             dealt = _dealt(distinct, shards)
             out: list[list] = [[], [], [], []]
             for shard in range(shards):
@@ -419,94 +505,61 @@ def _asks(blocks: DataFrame, shards: int) -> DataFrame:
     return blocks.select("block", "held", "copies", "sizes", "streams").mapInArrow(run, "block int, shard int, sizes array<int>, pairs binary, n binary")
 
 
-def _paths(keys: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
-    """Counts along the eight bits of sorted distinct pairs: of the other bit at each place, and of the pair; words have the last only."""
-    if order == ORDERS or not len(keys):
-        return n[None].astype(np.uint32) if order == ORDERS else np.zeros((9, 0), np.uint32)
-    out = np.empty((9, len(keys)), np.uint32)
-    ahead = None
-    for depth in range(9):
+def _paths(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts along the eight bits of sorted distinct pairs: of the other bit at each place, and of the pair."""
+    out, ahead = np.empty((9, len(keys)), np.uint32), None
+    for depth in range(9 if len(keys) else 0):
         node = keys >> np.uint64(8 - depth)
         new = np.concatenate([[True], node[1:] != node[:-1]])
         now = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
         if depth:
             out[depth - 1] = ahead - now
         ahead = now
-    out[8] = ahead
+    if len(keys):
+        out[8] = ahead
     return out
 
 
 def _answers(asks: DataFrame, shards: int) -> DataFrame:
-    """For every block that asked a shard: the counts of its pairs.  A row more per shard has what its words sum to."""
+    """For every block that asked a shard: the counts along its pairs, and of its words."""
     def run(key, rows):
         block, sizes = rows.column("block").to_numpy(), np.array(rows.column("sizes").to_pylist(), np.int64)
         pairs, counts = ([_unpacked(x.as_py(), kind, int(s.sum())) for x, s in zip(rows.column(c), sizes)] for c, kind in (("pairs", np.uint64), ("n", np.uint32)))
         at = np.concatenate([np.zeros((len(sizes), 1), np.int64), np.cumsum(sizes, 1)], 1)
         out: list[list] = [[] for _ in sizes]
-        total = 0, 0
         for k in range(ORDERS + 1):
             parts = [slice(a[k], a[k + 1]) for a in at]
             keys = np.concatenate([np.cumsum(p[i], dtype=np.uint64) for p, i in zip(pairs, parts)])
-            n = np.concatenate([c[i] for c, i in zip(counts, parts)]).astype(np.int64)
-            found, sums = _added(keys, n)
-            if k == ORDERS:
-                total = int(sums.sum()), int((sums > 0).sum())
-            paths, rank = _paths(found, sums, k), np.searchsorted(found, keys)
+            found, sums = _added(keys, np.concatenate([c[i] for c, i in zip(counts, parts)]).astype(np.int64))
+            paths, rank = _paths(found, sums) if k < ORDERS else sums[None].astype(np.uint32), np.searchsorted(found, keys)
             for o, i in zip(out, np.split(rank, np.cumsum(sizes[:, k])[:-1])):
                 o.append(paths[:, i].ravel())
-        shard = key[0].as_py()
         blobs = [_packed(np.concatenate(o)) for o in out]
-        return pa.table([pa.array([*block, shard % shards], pa.int32()), pa.array(np.full(len(block) + 1, shard, np.int32)), pa.array([*blobs, None], pa.binary()),
-                         pa.array([0] * len(block) + [total[0]]), pa.array([0] * len(block) + [total[1]])], names=["block", "shard", "paths", "n", "v"])
+        return pa.table([pa.array(block, pa.int32()), pa.array(np.full(len(block), key[0].as_py(), np.int32)), pa.array(blobs, pa.binary())], names=["block", "shard", "paths"])
 
-    return asks.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, paths binary, n long, v long")
+    return asks.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, paths binary")
 
 
-def _with_counts(row: dict, shards: int) -> tuple[Spelling, Mixer, np.ndarray, np.ndarray]:
-    """A block's texts, a mixer over the counts of their contexts, how often its own training texts have the pairs of
-    the longest context, and the counts of all words."""
-    s = _read_block(row)
-    distinct = s.distinct(np.where(row["held"], 0, row["copies"]))
-    keys = [k for k, _ in distinct[:ORDERS]]
-    s.index = Index(keys[-1]), _nested(keys), np.cumsum([0, *map(len, keys)])
-    dealt = _dealt(distinct, shards)
+def _with_counts(row: dict, answers: list[dict], shards: int) -> tuple[Spelling, Mixer, np.ndarray]:
+    """A block's texts, a mixer over the counts of their contexts, and the counts of all their words."""
+    s = Spelling(_column(row))
+    keys = [*(k for k, _ in s.distinct()), np.unique(s.tokens[0])]
+    s.index = _indexed(keys[:-1])
+    dealt = _dealt([(k, None) for k in keys], shards)
     widths = [9] * ORDERS + [1]
-    tables = [np.zeros((w, len(k)), np.uint32) for w, (k, _) in zip(widths, distinct)]
-    for answer in row["answers"]:
+    tables = [np.zeros((w, len(k)), np.uint32) for w, k in zip(widths, keys)]
+    for answer in answers:
         own = [by[at[answer["shard"]]:at[answer["shard"] + 1]] for by, at in dealt]
         flat, lo = _unpacked(answer["paths"], np.uint32, sum(w * len(i) for w, i in zip(widths, own))), 0
         for w, i, table in zip(widths, own, tables):
             table[:, i] = flat[lo:lo + w * len(i)].reshape(w, len(i))
             lo += w * len(i)
-    n = [np.zeros((s.index[2][-1], 8), np.float32) for _ in range(2)]
-    for k, table, lo in zip(keys, tables, s.index[2]):
-        hi, at = lo + len(k), table[8].astype(np.int64)
-        bits = _BITS[(k & np.uint64(255)).astype(np.int64)]
-        for depth in range(7, -1, -1):
-            one = bits[:, depth] == 1
-            n[0][lo:hi, depth], n[1][lo:hi, depth] = np.where(one, table[depth], at), np.where(one, at, table[depth])
-            at = at + table[depth]
-    words = tables[ORDERS][0][np.searchsorted(distinct[ORDERS][0], s.words)]
-    return s, Mixer(n[0].ravel(), n[1].ravel()), distinct[ORDERS - 1][1], words
-
-
-def _trained(met: DataFrame, shards: int) -> Mixer:
-    """A mixer whose weights and map are the averages, by use, of those that the blocks learn on their training texts."""
-    def learn(batches):
-        for row in _rows(batches):
-            s, m, counts, _ = _with_counts(row, shards)
-            m.learn(s, counts)
-            used = np.concatenate([np.repeat(m.seen, ORDERS + 1), m.map_seen.ravel()])
-            value = np.concatenate([m.weights.ravel(), m.map.ravel()]).astype(float)
-            some = np.flatnonzero(used)
-            yield pa.record_batch([pa.array(some), pa.array(used[some]), pa.array((used * value)[some])], names=["i", "n", "v"])
-
+    words = tables.pop()[0][np.searchsorted(keys[-1], s.tokens[0])]
     m = Mixer(None, None)
-    got = met.mapInArrow(learn, "i long, n double, v double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
-    value = np.concatenate([m.weights.ravel(), m.map.ravel()]).astype(float)
-    value[got.column("i").to_numpy()] = got.column("v").to_numpy() / got.column("n").to_numpy()
-    m.weights, m.map = value[:m.weights.size].reshape(m.weights.shape).astype(np.float32), value[m.weights.size:].reshape(m.map.shape).astype(np.float32)
-    return m
+    m._room(int(s.index[2][-1]))
+    for k in range(ORDERS - 1, -1, -1):
+        m.load(int(s.index[2][k]), keys[k], tables.pop())
+    return s, m, words
 
 
 # ---- texts -------------------------------------------------------------------------------------------------------
@@ -521,32 +574,28 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(MODULUS) == HELD_OUT).alias("held_out"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    many = max(1, -(-int(size) // BLOCK))
+    many = max(1, -(-int(size) // BLOCK), min(BLOCKS, int(size) // LEAST))
     blocks = written(_blocks(texts, many), "lm-blocks")
-    answers = _answers(_asks(blocks, many), many).groupBy("block").agg(
-        F.filter(F.collect_list(F.struct("shard", "paths")), lambda x: x["paths"].isNotNull()).alias("answers"), F.sum("n").alias("n"), F.sum("v").alias("v"))
-    met = written(blocks.join(answers.hint("shuffle_hash"), "block"), "lm-met", maxRecordsPerFile=1)
-    drop(blocks)
-    n, v = (int(x or 0) for x in met.agg(F.sum("n"), F.sum("v")).first())
-    met = met.drop("n", "v")
-    m = _trained(met, many)
+    m, v = _averaged(blocks), _training_words(blocks)
     shared = docs.sparkSession.sparkContext.broadcast((m.weights, m.map))
+    answers = _answers(_asks(blocks, many), many)
+    streams = blocks.select("block", "ids", "held", "copies", "sizes", "streams")
+    n = int(blocks.agg(F.sum("n_tokens")).first()[0] or 0)
     floor = np.log10(n + 0.1 * (v + 1))
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                s, m, _, c = _with_counts(row, many)
-                m.weights, m.map = shared.value
-                score, size = m.log10(s), np.diff(s.first)
-                base = segment_sum(np.log10(c + 0.1) - floor, s.token_first)
-                copies = np.array(row["copies"], np.int64)
-                own = np.repeat(np.arange(len(size)), copies)
-                columns = [np.diff(s.token_first), segment_sum((c > 0).astype(np.int64), s.token_first), np.full(len(size), n), base, score, -score / np.log10(2) / size]
-                ids, held = (b.column(b.schema.get_field_index(x))[i].values.take(pa.array(own)) for x in ("ids", "held"))
-                yield pa.record_batch([ids, held, *(pa.array(x[own]) for x in columns)], names=names)
+    def run(key, texts, answers):
+        out = []
+        for row in _rows(texts.to_batches()):
+            s, m, c = _with_counts(row, answers.to_pylist(), many)
+            m.weights, m.map = shared.value
+            first, size = s.tokens[1], np.diff(s.first)
+            score, base = m.log10(s), segment_sum(np.log10(c + 0.1) - floor, first)
+            own = pa.array(np.repeat(np.arange(len(size)), row["copies"].to_numpy()))
+            columns = [row["ids"], row["held"], *map(pa.array, (np.diff(first), segment_sum((c > 0).astype(np.int64), first), np.full(len(size), n), base, score, -score / np.log10(2) / size))]
+            out.append(pa.table([x.take(own) for x in columns], names=names))
+        return pa.concat_tables(out)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return streams.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -46,6 +46,7 @@ def slow_score(data, counts, model):
 def small(monkeypatch):
     """Blocks so small that there are many, with many shards."""
     monkeypatch.setattr(cm, "BLOCK", 1 << 12)
+    monkeypatch.setattr(cm, "LEAST", 1 << 10)
 
 
 ROWS = [(i, t) for i, t in enumerate([
@@ -57,8 +58,8 @@ ROWS = [(i, t) for i, t in enumerate([
 
 def test_equals_slow_scorer(spark, small, monkeypatch):
     kept = []
-    trained = cm._trained
-    monkeypatch.setattr(cm, "_trained", lambda *a: kept.append(trained(*a)) or kept[-1])
+    trained = cm._averaged
+    monkeypatch.setattr(cm, "_averaged", lambda *a: kept.append(trained(*a)) or kept[-1])
     got = {r["doc_id"]: r for r in cm.scores(spark.createDataFrame(ROWS, "doc_id long, text string")).collect()}
     counts: dict = {}
     for i, t in ROWS:
@@ -92,7 +93,7 @@ def test_learning_and_step_by_step_prediction_agree():
     texts = [stream(t)[:-1] for _, t in ROWS]
     s = cm.Spelling(pa.array(texts, pa.binary()))
     rng = np.random.default_rng(1)
-    m = cm.Mixer(*(rng.integers(0, 4, s.index[2][-1] * 8).astype(np.float32) for _ in range(2)))
+    m = cm.Mixer(*(rng.integers(0, 4, int(s.index[2][-1]) * 8).astype(np.float32) for _ in range(2)))
     m.learn(s)
     got = m.log10(s)
     total, last = np.zeros(len(s.bytes)), m._last(s)
