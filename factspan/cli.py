@@ -46,6 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     d = sub.add_parser("diff")
     d.add_argument("--base", required=True)
     d.add_argument("--head", required=True)
+    d.add_argument("--strategy", default="key")
     shared(d)
     e = sub.add_parser("export")
     e.add_argument("--inventory", required=True)
@@ -56,6 +57,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--repo", default=".")
     c.add_argument("--base-ref", required=True)
     c.add_argument("--head-ref", required=True)
+    c.add_argument("--strategy", default="key")
     shared(c)
     return top
 
@@ -79,7 +81,15 @@ def _consumer(table: dict, name: str):
     return table[name]
 
 
+def _strategy(args):
+    if args.strategy not in D.STRATEGIES:
+        raise Failure(f"unknown strategy: {args.strategy}")
+    return D.STRATEGIES[args.strategy]
+
+
 def _read(spark: SparkSession, path: str, scan_id: str):
+    if Path(path, "items").is_dir():  # a snapshot in Parquet
+        return V.read_snapshot(spark, path)
     if not Path(path).is_file():
         raise Failure(f"no such inventory: {path}")
     return V.read_document(spark, Path(path).read_text(encoding="utf-8"), scan_id)
@@ -108,7 +118,7 @@ def inventory(spark: SparkSession, args) -> None:
 def diff(spark: SparkSession, args) -> None:
     consume = _consumer(consumers.DIFF_CONSUMERS, args.consumer)
     base, head = _read(spark, args.base, "base"), _read(spark, args.head, "head")
-    out = D.diff(base.items, head.items, base.uncertain, head.uncertain)
+    out = _strategy(args)(base.items, head.items, base.uncertain, head.uncertain)
     consume(D.redacted(out) if args.redact_sensitive else out, _properties(args), args.output)
 
 
@@ -121,10 +131,10 @@ def export_entries(spark: SparkSession, args) -> None:
         rows = (yaml.safe_load(Path(args.merge).read_text(encoding="utf-8")) or {}).get("app_configs") or []
         names = entries.columns
         entries = export.merge(entries, spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], entries.schema))
-    plain = lambda f: [{k: v for k, v in r.asDict().items() if v not in (None, "")} for r in f.orderBy("config_key").collect()]
-    Path(args.output).write_text(V.dump({"app_configs": plain(entries)}), encoding="utf-8")
+    plain = lambda f: ({k: v for k, v in r.asDict().items() if v not in (None, "")} for r in f.orderBy("config_key").toLocalIterator())
+    consumers.write("", args.output, V.list_text("app_configs", plain(entries)))
     if args.missing:
-        Path(args.missing).write_text(V.dump({"app_configs": plain(export.missing(inv.items))}), encoding="utf-8")
+        consumers.write("", args.missing, V.list_text("app_configs", plain(export.missing(inv.items))))
 
 
 def config_diff(spark: SparkSession, args) -> None:
@@ -132,11 +142,11 @@ def config_diff(spark: SparkSession, args) -> None:
     consume = _consumer(consumers.DIFF_CONSUMERS, args.consumer)
     repo = git.root_of(args.repo)
     changed = git.changed_files(repo, args.base_ref, args.head_ref)
-    with git.checkout(repo, args.base_ref) as b, git.checkout(repo, args.head_ref) as h:
+    with git.shared_checkout(spark, repo, args.base_ref) as b, git.shared_checkout(spark, repo, args.head_ref) as h:
         tree = files.read_tree(spark, b, "base").unionByName(files.read_tree(spark, h, "head"))
         inv = Pipeline().scan(tree, _hints(args))
         side = lambda f, s: f.where(f["scan_id"] == s)
-        out = D.diff(side(inv.items, "base"), side(inv.items, "head"), side(inv.uncertain, "base"), side(inv.uncertain, "head"))
+        out = _strategy(args)(side(inv.items, "base"), side(inv.items, "head"), side(inv.uncertain, "base"), side(inv.uncertain, "head"))
         out = D.only_files(out, spark.createDataFrame([(p,) for p in changed], "path string"))
         consume(D.redacted(out) if args.redact_sensitive else out, _properties(args), args.output)
 

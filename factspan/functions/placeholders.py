@@ -21,8 +21,9 @@ def flat_placeholders(text: Column) -> Column:
         F.when(at(b) > 0, F.regexp_replace(F.substring(b, at(b) + 1, F.length(b)), "^-", "")).alias("default_value")))
 
 
-def scan(text: str | None) -> list[dict]:
-    """Placeholders of a text in order, nested ones after the one that holds them; an unclosed one is no placeholder.
+def scan(text: str | None, deep: bool = True) -> list[dict]:
+    """Placeholders of a text in order, nested ones (unless not ``deep``) after the one that holds them; an unclosed one
+    is no placeholder.
 
     The default begins after the first colon outside inner braces; ``:-`` counts as one separator.
     """
@@ -51,9 +52,9 @@ def scan(text: str | None) -> list[dict]:
             key = t[at + 2:colon if colon >= 0 else stop].strip()
             if key:
                 out.append({"key": key, "default_value": default, "raw": t[at:end]})
-            if "${" in key:
+            if deep and "${" in key:
                 todo.append(key)
-            if default and "${" in default:
+            if deep and default and "${" in default:
                 todo.append(default)
             at = t.find("${", end)
     return out
@@ -63,5 +64,22 @@ _FOUND = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("k
 
 
 @F.pandas_udf(_FOUND)
-def nested_placeholders(text: pd.Series) -> pd.Series:
-    return text.map(scan)
+def _scanned(text: pd.Series, deep: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else scan(t, d) for t, d in zip(text, deep)], index=text.index)
+
+
+def nested_placeholders(text: Column | str, deep: bool = True) -> Column:
+    """Array of ``{key, default_value, raw}`` of all placeholders, as ``scan`` finds them.
+
+    Only texts in which one placeholder opens inside another leave the JVM; the others are a pattern.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    bodies = F.regexp_extract_all(t, F.lit(r"\$\{([^}]*)\}"), 1)
+    at = lambda b: F.instr(b, ":")
+    flat = F.transform(bodies, lambda b: F.struct(
+        trimmed(F.when(at(b) > 0, F.substring(b, F.lit(1), at(b) - 1)).otherwise(b)).alias("key"),
+        F.when(at(b) > 0, F.regexp_replace(F.substring(b, at(b) + 1, F.length(b)), "^-", "")).alias("default_value"),
+        F.concat(F.lit("${"), b, F.lit("}")).alias("raw")))
+    nested = F.when(t.rlike(r"\$\{[^}]*\$\{"), t)
+    return F.coalesce(_scanned(nested, F.lit(deep)), F.filter(flat, lambda x: x["key"] != ""))

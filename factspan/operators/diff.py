@@ -70,6 +70,21 @@ def diff(base_items: DataFrame, head_items: DataFrame, base_uncertain: DataFrame
     return Diff(added, removed, changes(pairs), uncertain, diff_checks(added, uncertain))
 
 
+def no_diff(base_items: DataFrame, head_items: DataFrame, base_uncertain: DataFrame, head_uncertain: DataFrame) -> Diff:
+    """A diff without rows."""
+    none = lambda f: f.where(F.lit(False))
+    return diff(none(base_items), none(head_items), none(base_uncertain), none(head_uncertain))
+
+
+#: Ways to compare two inventories, by name: from items of both sides and uncertain accesses of both sides.
+STRATEGIES = {"key": diff, "none": no_diff}
+
+
+def strategy(name: str):
+    """Registers a way to compare; the last one of a name stands."""
+    return lambda f: STRATEGIES.__setitem__(name, f) or f
+
+
 def ordered(d: Diff) -> Diff:
     """The sections in the order of a report: facts by identity, changes by key and field."""
     return Diff(d.added.orderBy(identity_text()), d.removed.orderBy(identity_text()), d.changed.orderBy("key", "field"), d.uncertain, d.checks)

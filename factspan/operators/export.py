@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import keys as K
 from .rank import winners_by_key
@@ -108,10 +107,3 @@ def missing_after(added: DataFrame, changed: DataFrame) -> DataFrame:
     a = added.where(F.trim(value) == "").select(F.col("normalized_key").alias("config_key"), F.col("source.path").alias("source"), F.lit("added without value").alias("reason"))
     c = first_value_changes(changed).where(F.trim(F.coalesce("new_value", F.lit(""))) == "").select(F.col("key").alias("config_key"), F.col("new_source").alias("source"), F.lit("changed to empty value").alias("reason"))
     return a.unionByName(c)
-
-
-def running_share(counts: DataFrame, name: str, n: str) -> DataFrame:
-    """Share and cumulative share of grouped counts (a frame of few rows), largest first, for charts."""
-    total = F.sum(n).over(Window.partitionBy())
-    w = Window.orderBy(F.col(n).desc(), F.col(name)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(name, n, (F.col(n) / total).alias("share"), (F.sum(n).over(w) / total).alias("cumulative"))

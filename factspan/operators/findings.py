@@ -122,11 +122,37 @@ def summarize(inventory: Inventory) -> DataFrame:
         F.count_distinct("k").alias("keys"), *[F.count_if(F.col("part") == n).alias(n) for n in ("findings", "uncertain", "checks", "diagnostics")])
 
 
-def build(findings: DataFrame, diagnostics: DataFrame, redacted: bool = False, project: dict[str, str] | None = None) -> Inventory:
-    """The inventory of normalised, ordered findings: split, redaction if asked for, checks, summary."""
+def assemble(findings: DataFrame, diagnostics: DataFrame, project: dict[str, str] | None = None) -> Inventory:
+    """The inventory of normalised, ordered findings, split by kind; enrichers add the rest."""
     items, uncertain = split(findings)
-    if redacted:
-        items = redact(items)
-    checks = reduce(DataFrame.unionByName, [sensitive_checks(items), remote_checks(items), uncertain_checks(uncertain)])
-    out = Inventory(items, uncertain, checks, diagnostics, None, {"name": "unknown", "ref": "unknown"} | (project or {}))
-    return replace(out, summary=summarize(out))
+    return Inventory(items, uncertain, sensitive_checks(items.where(F.lit(False))), diagnostics, None, {"name": "unknown", "ref": "unknown"} | (project or {}))
+
+
+def with_redaction(inv: Inventory) -> Inventory:
+    return replace(inv, items=redact(inv.items))
+
+
+def with_sensitive_checks(inv: Inventory) -> Inventory:
+    return replace(inv, checks=inv.checks.unionByName(sensitive_checks(inv.items)))
+
+
+def with_remote_checks(inv: Inventory) -> Inventory:
+    return replace(inv, checks=inv.checks.unionByName(remote_checks(inv.items)))
+
+
+def with_uncertain_checks(inv: Inventory) -> Inventory:
+    return replace(inv, checks=inv.checks.unionByName(uncertain_checks(inv.uncertain)))
+
+
+def with_summary(inv: Inventory) -> Inventory:
+    return replace(inv, summary=summarize(inv))
+
+
+#: What is added to an inventory, in this order; redaction comes first where it is asked for.
+ENRICHERS = (with_sensitive_checks, with_remote_checks, with_uncertain_checks, with_summary)
+
+
+def build(findings: DataFrame, diagnostics: DataFrame, redacted: bool = False, project: dict[str, str] | None = None) -> Inventory:
+    """The inventory of normalised, ordered findings with redaction, if asked for, checks and summary."""
+    inv = assemble(findings, diagnostics, project)
+    return reduce(lambda i, f: f(i), [*([with_redaction] if redacted else []), *ENRICHERS], inv)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import keys as K
 from .rank import priority
@@ -22,6 +23,15 @@ def count_by_dims(items: DataFrame) -> DataFrame:
     return out.select(dim.alias("dim"), value.alias("value"), "n")
 
 
+def shares(counts: DataFrame) -> DataFrame:
+    """Percentage and running percentage of ``counts(dim, value, n)`` within each dimension, largest first: the
+    segments of charts.  The counts are few rows, one per value of a dimension."""
+    own = Window.partitionBy("dim")
+    running = own.orderBy(F.col("n").desc(), "value").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(own)
+    return counts.select("dim", "value", "n", (100 * F.col("n") / total).alias("percent"), (100 * F.sum("n").over(running) / total).alias("cumulative"))
+
+
 def key_stats(items: DataFrame) -> DataFrame:
     """Distinct keys, keys that look sensitive, keys with more than one finding."""
     per = items.groupBy("normalized_key").agg(F.count("*").alias("n"))
@@ -43,6 +53,25 @@ def grouped(items: DataFrame) -> DataFrame:
                         ).orderBy("normalized_key", F.col("priority").desc(), "ordinal")
 
 
+def key_blocks(items: DataFrame) -> DataFrame:
+    """One row of HTML per finding in the order of ``grouped``, with the head of a block where a key begins and its end
+    where it ends: ``html`` rows that follow each other are the list of keys.  No key's findings are gathered."""
+    e = K.html_escape
+    w = Window.partitionBy("normalized_key")
+    path = F.coalesce("path", F.lit(""))
+    rows = items.select("normalized_key", "ordinal", priority().alias("priority"), K.display_value(F.col("value.raw"), F.col("default_value.raw")).alias("shown"), F.col("source.path").alias("path"), "role")
+    first = F.row_number().over(w.orderBy(F.col("priority").desc(), "ordinal")) == 1
+    last = F.row_number().over(w.orderBy("priority", F.col("ordinal").desc())) == 1
+    n = F.count("*").over(w).cast("string")
+    rows = rows.withColumns({"begins": first, "ends": last, "n": n})
+    head = F.concat(F.lit("<details><summary>"), e("normalized_key"), F.lit(" ("), "n", F.lit(")</summary><table><tr><th>role</th><th>value</th><th>source</th></tr>"))
+    cells = F.concat(*[x for c in ("role", "shown") for x in (F.lit("<td>"), e(F.coalesce(c, F.lit(""))), F.lit("</td>"))], F.lit("<td>"), e(path), F.lit("</td>"))
+    text = F.lower(F.concat_ws(" ", "normalized_key", "shown", "path"))
+    row = F.concat(F.lit('<tr data-s="'), e(text), F.lit('">'), cells, F.lit("</tr>"))
+    html = F.concat(F.when(F.col("begins"), head).otherwise(""), row, F.when(F.col("ends"), "</table></details>").otherwise(""))
+    return rows.select("normalized_key", "priority", "ordinal", html.alias("html")).orderBy("normalized_key", F.col("priority").desc(), "ordinal").select("html")
+
+
 def search(items: DataFrame, query: str) -> DataFrame:
     """Keys any of whose key, values or paths contain the query, without regard to case."""
     q = F.lower(F.lit(query))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import export, report
-from ..operators.diff import Diff
+from ..operators.diff import Diff, ordered
 from ..operators.findings import Inventory
 from ..schema import SCOPE_RULES
 from ..sources import inventory as V
 
-#: Fixed values of the manifest format.
-API = "com.huawei.his.appconfigcenter.v3"
-KIND = "his.appconfigcenter"
+#: Heads of a manifest where the properties ``api-version`` and ``kind`` name no others.
+API, KIND = "v1", "AppConfig"
 
 INVENTORY_CONSUMERS: dict[str, Callable] = {}
 DIFF_CONSUMERS: dict[str, Callable] = {}
@@ -38,26 +38,36 @@ def load_entry_points() -> None:
         e.load()
 
 
-def write(folder: str, name: str, text: str) -> None:
+def write(folder: str, name: str, text: str | Iterable[str]) -> None:
+    """Writes a text, or its parts one by one."""
     target = Path(folder, name)
     target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(text, encoding="utf-8")
+    with target.open("w", encoding="utf-8") as out:
+        out.writelines([text] if isinstance(text, str) else text)
 
 
 @inventory_consumer("yaml")
 def yaml_inventory(inv: Inventory, properties: dict, folder: str) -> None:
-    write(folder, properties.get("file", "config-inventory.yaml"), V.dump(V.inventory_document(inv)))
+    write(folder, properties.get("file", "config-inventory.yaml"), V.inventory_text(inv))
+
+
+@inventory_consumer("snapshot")
+def snapshot(inv: Inventory, properties: dict, folder: str) -> None:
+    """Parquet tables, written by the executors; ``diff`` and ``export`` read them as they read a document."""
+    V.write_snapshot(inv, folder)
 
 
 @inventory_consumer("default")
 def default_format(inv: Inventory, properties: dict, folder: str) -> None:
-    write(folder, "app-configs.yaml", V.dump({"app_configs": [{k: v for k, v in r.asDict().items() if v not in (None, "")} for r in export.entries(inv.items).orderBy("config_key").collect()]}))
+    rows = ({k: v for k, v in r.asDict().items() if v not in (None, "")} for r in export.entries(inv.items).orderBy("config_key").toLocalIterator())
+    write(folder, "app-configs.yaml", V.list_text("app_configs", rows))
 
 
 def diff_document(d: Diff) -> dict:
     s = d.summary().first().asDict()
-    return {"schemaVersion": V.DIFF_VERSION, "summary": {V.camel(k): int(v) for k, v in s.items()}, "added": V.documents(d.added, "normalized_key", "role"), "removed": V.documents(d.removed, "normalized_key", "role"),
-            "changed": V.documents(d.changed, "key", "field"), "uncertainChanged": V.documents(d.uncertain, "ordinal"), "checks": V.documents(d.checks, "type", "message")}
+    own = ordered(d)
+    return {"schemaVersion": V.DIFF_VERSION, "summary": {V.camel(k): int(v) for k, v in s.items()}, "added": V.documents(own.added), "removed": V.documents(own.removed), "changed": V.documents(own.changed),
+             "uncertainChanged": V.documents(d.uncertain, "ordinal"), "checks": V.documents(d.checks, "type", "message")}
 
 
 @diff_consumer("yaml")
@@ -80,8 +90,8 @@ def _scopes(frame, profile: str, properties: dict):
     return export.scoped(frame, profile, table, spark.createDataFrame(own, "profile string, scope string"))
 
 
-def _manifest(name: str, **parts) -> dict:
-    return {"apiVersion": API, "kind": KIND, "metadata": {"name": name}, **parts}
+def _manifest(properties: dict, name: str, **parts) -> dict:
+    return {"apiVersion": properties.get("api-version", API), "kind": properties.get("kind", KIND), "metadata": {"name": name}, **parts}
 
 
 def _rows(frame, *order: str) -> list[dict]:
@@ -98,7 +108,7 @@ def platform_manifest(inv: Inventory, properties: dict, folder: str) -> None:
     winners = _scopes(export.defined_winners(inv.items).withColumn("_own", F.col("environment.profile")), "_own", properties)
     named = inv.project.get("name")
     name = properties.get("name") or (named if named and named != "unknown" else "app")
-    write(folder, "app-configs.yaml", V.dump(_manifest(name, data=_data(*export.platform_artifact(winners)))))
+    write(folder, "app-configs.yaml", V.dump(_manifest(properties, name, data=_data(*export.platform_artifact(winners)))))
 
 
 @diff_consumer("xac")
@@ -113,32 +123,46 @@ def platform_diff(d: Diff, properties: dict, folder: str) -> None:
     plain = rows.where(~hit).select(F.col("resolved_scope").alias("scope"), K.group_of(key).alias("group_name"), key.alias("config_key"), F.col("v").alias("config_value"))
     data = _data(plain, export.secrets(rows.where(hit)))
     if data["app_configs"] or "J2C" in data:
-        write(folder, "app-configs-changed.yaml", V.dump(_manifest(name, data=data)))
+        write(folder, "app-configs-changed.yaml", V.dump(_manifest(properties, name, data=data)))
     missing = _rows(export.missing_after(d.added, d.changed), "config_key")
     if missing:
-        write(folder, "app-configs-missing.yaml", V.dump(_manifest(name, missing=missing)))
+        write(folder, "app-configs-missing.yaml", V.dump(_manifest(properties, name, missing=missing)))
     removed = _rows(export.removed_list(d.removed), "config_key")
     if removed:
-        write(folder, "removed.yaml", V.dump(_manifest(name, removed=removed)))
+        write(folder, "removed.yaml", V.dump(_manifest(properties, name, removed=removed)))
+
+
+def _pie(name: str, rows: list) -> str:
+    """A ring of the shares of one dimension, and its legend."""
+    hue = lambda i: f"hsl({i * 67 % 360} 60% 55%)"
+    stops = ", ".join(f"{hue(i)} {r['cumulative'] - r['percent']:.2f}% {r['cumulative']:.2f}%" for i, r in enumerate(rows))
+    legend = "".join(f'<li><i style="background:{hue(i)}"></i>{escape(str(r["value"]), quote=True)}: {r["n"]} ({r["percent"]:.1f}%)</li>' for i, r in enumerate(rows))
+    return f'<figure><figcaption>{escape(name)}</figcaption><div class=pie style="background:conic-gradient({stops})"></div><ul>{legend}</ul></figure>'
 
 
 @inventory_consumer("html")
 def html_report(inv: Inventory, properties: dict, folder: str) -> None:
-    """One self-contained page: totals, counts by dimension, directories, and every key with its findings."""
-    e = lambda frame, *order: frame.orderBy(*order).collect()
-    esc = lambda x: "".join({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}.get(c, c) for c in str(x))
+    """One self-contained page: totals, charts of the dimensions, directories, and every key with its findings.
+
+    Rows of keys are made by the executors and pass the driver one partition at a time."""
+    esc = lambda x: escape(str(x), quote=True)
     table = lambda head, rows: "<table><tr>" + "".join(f"<th>{esc(h)}</th>" for h in head) + "</tr>" + "".join("<tr>" + "".join(f"<td>{esc(c)}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
     s = report.key_stats(inv.items).first()
-    keys: dict[str, list] = {}
-    for r in report.grouped(inv.items).collect():
-        keys.setdefault(r["normalized_key"], []).append(r)
-    body = "".join(
-        f'<details data-s="{esc(" ".join([k, *(r["shown"] for r in rs), *(r["path"] for r in rs)]).lower())}"><summary>{esc(k)} ({len(rs)})</summary>' + table(["role", "value", "source"], [(r["role"], r["shown"], r["path"]) for r in rs]) + "</details>"
-        for k, rs in keys.items())
-    script = "document.getElementById('q').oninput=e=>document.querySelectorAll('[data-s]').forEach(x=>x.hidden=!x.dataset.s.includes(e.target.value.toLowerCase()))"
-    page = (f"<!doctype html><meta charset=utf-8><title>Configuration</title><h1>{esc(inv.project.get('name', ''))}</h1>"
-            + table(["keys", "sensitive", "more than one source"], [(s["keys"], s["sensitive_keys"], s["multi_source_keys"])])
-            + table(["dimension", "value", "findings"], [tuple(r) for r in e(report.count_by_dims(inv.items), "dim", "value")])
-            + table(["directory", "findings", "keys", "sensitive"], [tuple(r) for r in report.top_directories(inv.items).collect()])
-            + f"<input id=q placeholder=search>{body}<script>{script}</script>")
-    write(folder, "report.html", page)
+    dims: dict[str, list] = {}
+    for r in report.shares(report.count_by_dims(inv.items)).orderBy("dim", F.col("n").desc(), "value").collect():  # one row per value of three enumerations
+        dims.setdefault(r["dim"], []).append(r)
+    top = [tuple(r) for r in report.top_directories(inv.items).collect()]
+    most = max((r[1] for r in top), default=1)
+    bars = "".join(f'<div class=bar style="width:{100 * r[1] / most:.1f}%">{esc(r[0])}: {r[1]}</div>' for r in top)
+    style = "<style>.pie{width:9em;height:9em;border-radius:50%}figure{display:inline-block}i{display:inline-block;width:1em;height:1em}.bar{background:#9bd;margin:2px}</style>"
+    script = "document.getElementById('q').oninput=e=>{const q=e.target.value.toLowerCase();document.querySelectorAll('details').forEach(d=>{d.hidden=![...d.querySelectorAll('[data-s]')].some(x=>x.dataset.s.includes(q))})}"
+
+    def page():
+        yield f"<!doctype html><meta charset=utf-8><title>Configuration</title>{style}<h1>{esc(inv.project.get('name', ''))}</h1>"
+        yield table(["keys", "sensitive", "more than one source"], [(s["keys"], s["sensitive_keys"], s["multi_source_keys"])])
+        yield from (_pie(n, rows) for n, rows in dims.items())
+        yield bars + table(["directory", "findings", "keys", "sensitive"], top) + "<input id=q placeholder=search>"
+        yield from (r["html"] + "\n" for r in report.key_blocks(inv.items).toLocalIterator())
+        yield f"<script>{script}</script>"
+
+    write(folder, "report.html", page())

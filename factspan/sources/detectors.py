@@ -17,7 +17,7 @@ from ..schema import DETAILS, FINDINGS
 from ..shared import written
 from .leaves import leaves, yaml_leaves
 
-ENTRY = ("scan_id", "path", "scope", "line", "detector_id", "detector_rank", "role", "key", "raw", "default_raw", "profile", "confidence", "source_kind", "value_kind", "details_type", "extra")
+ENTRY = ("scan_id", "path", "scope", "line", "detector_id", "detector_rank", "role", "key", "raw", "default_raw", "profile", "confidence", "source_kind", "value_kind", "details_type", "extra", "namespace", "group", "data_id")
 
 #: Order in which the detectors' findings stand where all else is equal; fixed values.
 RANKS = {n: i for i, n in enumerate(("spring-config-file", "spring-config-metadata", "logback-spring-xml", "hocon-config-file", "dockerfile-env", "docker-compose-env", "kubernetes-env", "java-source-config", "codegraph-config-usage"))}
@@ -77,8 +77,9 @@ def application_files(scalars: DataFrame, file_rules: DataFrame | None = None) -
     return entries(flat.withColumn("raw", F.col("value")).withColumn("scope", F.coalesce("rule_scope", "scope")), "spring-config-file", K.role_of_key("key"), source_kind=kind, value_kind="FULL", details_type="unknown")
 
 
-def imports(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Files that entries of ``spring.config.*`` import, read as application files, until no file is new.
+def imports(found: DataFrame, files: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
+    """Files that entries of ``spring.config.*`` import, read as application files, until no file is new; ``scalars``
+    are those of the files where these have been read already.
 
     A file is read once per scan, which also ends cycles.  Directories import their application files;
     ``configtree:`` directories give one entry per file.
@@ -93,6 +94,7 @@ def imports(found: DataFrame, files: DataFrame) -> DataFrame:
         beside = F.concat(F.regexp_replace("path", "[^/]*$", ""), F.regexp_replace(rest, r"^\./", ""))
         return t.select("scan_id", tree.alias("tree"), F.explode(F.array_distinct(F.array(here, beside))).alias("target")).distinct()
 
+    scalars = leaves(files) if scalars is None else scalars
     seen, frontier, parts = written(found.select("scan_id", "path").distinct(), "imports-seen"), found, []
     trees = None
     named = files.withColumnRenamed("path", "file")
@@ -112,8 +114,8 @@ def imports(found: DataFrame, files: DataFrame) -> DataFrame:
         trees = tree if trees is None else trees.unionByName(tree)
         if fresh.isEmpty():
             break
-        scalars = leaves(files.join(fresh, ["scan_id", "path"], "left_semi"))
-        frontier = written(application_files(scalars.withColumn("name", F.lit("application.yml"))), "imports-read")
+        own = scalars.join(fresh, ["scan_id", "path"], "left_semi")
+        frontier = written(application_files(own.withColumn("name", F.lit("application.yml"))), "imports-read")
         parts.append(frontier)
         seen = written(seen.unionByName(fresh), "imports-seen")
     return _union(*parts, trees.distinct())
@@ -168,15 +170,19 @@ def _arguments(frame: DataFrame, words: Column) -> DataFrame:
 
 
 def dockerfiles(files: DataFrame) -> DataFrame:
-    joined = files.where("file_type = 'DOCKERFILE'").withColumn("content", F.regexp_replace("content", r"\\[ \t]*\R", " "))
-    t = lines(joined).withColumn("t", F.trim("text")).where("t not like '#%'").select("scan_id", "path", "scope", "t")
+    from pyspark.sql.window import Window
+
+    joined = files.where("file_type = 'DOCKERFILE'").withColumn("content", F.regexp_replace("content", r"\\[ \t]*\R", "\u0001"))
+    ahead = Window.partitionBy("scan_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    more = F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\u0001"), F.lit("")))).over(ahead), F.lit(0))  # lines that were joined to others above
+    t = lines(joined).withColumn("line", (F.col("line") + more).cast("int")).withColumn("t", F.trim(F.translate("text", "\u0001", " "))).where("t not like '#%'").select("scan_id", "path", "scope", "line", "t")
     env = t.where("t like 'ENV %'").withColumn("words", tokens(F.expr("substr(t, 5)")))
     first = F.get("words", F.lit(0))
-    pairs = env.where(first.contains("=")).select("scan_id", "path", "scope", F.explode("words").alias("t")).where("instr(t, '=') > 1").select(
-        "scan_id", "path", "scope", F.substring_index("t", "=", 1).alias("key"), F.expr("substr(t, instr(t, '=') + 1)").alias("raw"))
-    spaced = env.where(~first.contains("=") & (F.size("words") > 1)).select("scan_id", "path", "scope", first.alias("key"), F.get("words", F.lit(1)).alias("raw"))
+    pairs = env.where(first.contains("=")).select("scan_id", "path", "scope", "line", F.explode("words").alias("t")).where("instr(t, '=') > 1").select(
+        "scan_id", "path", "scope", "line", F.substring_index("t", "=", 1).alias("key"), F.expr("substr(t, instr(t, '=') + 1)").alias("raw"))
+    spaced = env.where(~first.contains("=") & (F.size("words") > 1)).select("scan_id", "path", "scope", "line", first.alias("key"), F.get("words", F.lit(1)).alias("raw"))
     command = t.where("t like 'CMD %' or t like 'ENTRYPOINT %'")
-    started = _arguments(command.select("scan_id", "path", "scope", "t"), tokens(F.translate(F.expr("substr(t, instr(t, ' ') + 1)"), "[],", "   "))).select("scan_id", "path", "scope", "key", "raw")
+    started = _arguments(command.select("scan_id", "path", "scope", "line", "t"), tokens(F.translate(F.expr("substr(t, instr(t, ' ') + 1)"), "[],", "   "))).select("scan_id", "path", "scope", "line", "key", "raw")
     return entries(with_jvm_options(_union(pairs, spaced)).unionByName(started), "dockerfile-env", confidence="MEDIUM", source_kind="DOCKERFILE")
 
 
@@ -294,7 +300,7 @@ def findings(found: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     details = F.struct(*[x.cast("string").alias(n) for n, x in {
         "type": F.col("details_type"), "default_value": F.col("default_raw"), "raw_expression": F.when(F.col("details_type") == "spring-placeholder", F.col("extra")), "prefix": F.when(F.col("details_type") == "spring-configuration-properties", F.col("key")),
-        "bound_type": F.when(F.col("details_type") == "spring-configuration-properties", F.col("extra")), "inferred_from_fields": none, "from_constant": none, "namespace": none, "group": none, "data_id": none,
+        "bound_type": F.when(F.col("details_type") == "spring-configuration-properties", F.col("extra")), "inferred_from_fields": none, "from_constant": none, "namespace": F.col("namespace"), "group": F.col("group"), "data_id": F.col("data_id"),
         "external_type": F.when(F.col("details_type") == "external", F.col("extra")), "payload": none, "reason": none, "raw_text": F.when(F.col("details_type") == "unknown", F.col("raw")), "known_prefix": none, "known_suffix": none}.items()]).cast(DETAILS)
     out = found.select(
         "scan_id", F.lit(None).cast("bigint").alias("ordinal"), F.lit("CONFIG").alias("kind"), "key", none.alias("normalized_key"), "role", typed("raw").alias("value"), typed("default_raw").alias("default_value"),
@@ -304,14 +310,15 @@ def findings(found: DataFrame) -> DataFrame:
     return out
 
 
-def resource_entries(files: DataFrame, file_rules: DataFrame | None = None) -> DataFrame:
-    """Entries of all detectors but that of Java sources."""
-    scalars = leaves(files)
+def resource_entries(files: DataFrame, file_rules: DataFrame | None = None, scalars: DataFrame | None = None) -> DataFrame:
+    """Entries of all detectors but that of Java sources; ``scalars`` are those of the files where these have been read."""
+    scalars = leaves(files) if scalars is None else scalars
     spring = _union(environment_files(files), application_files(scalars, file_rules))
-    spring = spring.unionByName(imports(spring, files))
+    spring = spring.unionByName(imports(spring, files, scalars))
     return expanded(_union(spring, metadata_files(files), runtime_xml(scalars), hocon_files(files), dockerfiles(files), compose_files(scalars), kubernetes_files(scalars)))
 
 
-def parse_diagnostics(files: DataFrame) -> DataFrame:
-    """One row per file that did not parse."""
-    return leaves(files).where("error is not null").select("scan_id", F.lit("ERROR").alias("severity"), F.lit("detect").alias("phase"), F.concat_ws(": ", "path", "error").alias("message"), F.lit("leaves").alias("component_id"))
+def parse_diagnostics(scalars: DataFrame, invocations: DataFrame | None = None) -> DataFrame:
+    """One row per file that did not parse, of those that gave ``scalars`` or Java ``invocations``."""
+    parts = [f.where("error is not null").select("scan_id", "path", "error", F.lit(n).alias("n")) for f, n in ((scalars, "leaves"), (invocations, "java-source-config")) if f is not None]
+    return _union(*parts).select("scan_id", F.lit("ERROR").alias("severity"), F.lit("detect").alias("phase"), F.concat_ws(": ", "path", "error").alias("message"), F.col("n").alias("component_id"))

@@ -16,7 +16,7 @@ from ..schema import FILES
 
 #: Directories that hold nothing written by hand; fixed values.
 PRUNED = frozenset(
-    ".git .gradle .idea .mvn .svn .vscode .settings .hg .cache bin build dist logs node_modules out target tmp vendor __pycache__ .terraform".split())
+    ".git .idea .gradle .svn .hg .mvn .next .nuxt .codegraph node_modules bower_components target build out dist bin venv .venv __pycache__ .cache".split())
 
 
 def file_type(path: Column) -> Column:

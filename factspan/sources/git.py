@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import subprocess
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from ..shared import shared_dir
+
 QUERY_SECONDS, CHECKOUT_SECONDS = 120, 900
 
 
@@ -48,3 +53,17 @@ def checkout(repo: str, ref: str) -> Iterator[str]:
         finally:
             if tree:
                 _git(repo, "worktree", "remove", "--force", target)
+
+
+@contextmanager
+def shared_checkout(spark: SparkSession, repo: str, ref: str) -> Iterator[str]:
+    """The files of ``ref`` in the folder that all executors share; gone afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(f"{shared_dir(spark)}/checkout-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        with checkout(repo, ref) as own:
+            fs.copyFromLocalFile(False, True, path(f"file://{own}"), target)
+        yield target.toString()
+    finally:
+        fs.delete(target, True)

@@ -20,15 +20,19 @@ def camel(name: str) -> str:
     return head + "".join(x.capitalize() for x in rest)
 
 
-def document(row) -> dict:
-    """A row as a nested document in camel case, without nulls."""
+def _plain(row: dict) -> dict:
     def plain(x):
         if isinstance(x, dict):
             out = {camel(k): plain(v) for k, v in x.items() if v is not None}
             return {k: v for k, v in out.items() if v != {}}
         return x
 
-    return {k: v for k, v in plain(row.asDict(recursive=True)).items() if k not in ("scanId", "ordinal", "kind", "emitSeq")}
+    return {k: v for k, v in plain(row).items() if k not in ("scanId", "ordinal", "kind", "emitSeq")}
+
+
+def document(row) -> dict:
+    """A row as a nested document in camel case, without nulls."""
+    return _plain(row.asDict(recursive=True))
 
 
 def documents(frame: DataFrame, *order: str) -> list[dict]:
@@ -36,14 +40,42 @@ def documents(frame: DataFrame, *order: str) -> list[dict]:
     return [document(r) for r in (frame.orderBy(*order) if order else frame).collect()]
 
 
-def inventory_document(inv: Inventory) -> dict:
-    summary = (inv.summary or summarize(inv)).drop("scan_id").first()
-    return {
-        "schemaVersion": INVENTORY_VERSION, "project": inv.project, "summary": {k: int(v) for k, v in summary.asDict().items()} if summary else {"keys": 0, "findings": 0, "uncertain": 0, "checks": 0, "diagnostics": 0},
-        "items": documents(inv.items, "ordinal"), "uncertain": documents(inv.uncertain, "ordinal"), "checks": documents(inv.checks, "type", "message"), "diagnostics": documents(inv.diagnostics, "message")}
+def list_text(name: str, rows):
+    """A YAML document of one list, row by row."""
+    first = next(rows, None)
+    yield f"{name}:{' []' if first is None else ''}\n"
+    if first is not None:
+        yield dump([first])
+        for r in rows:
+            yield dump([r])
+
+
+def _rendered(frame: DataFrame, *order: str):
+    """The YAML text of each row, made by the executors, in order; one partition at a time reaches the driver."""
+    import pyarrow as pa
 
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([dump([_plain(r)]) for r in b.to_pylist()])], names=["text"])
 
-def dump(document: dict) -> str:
+    return (r["text"] for r in (frame.orderBy(*order) if order else frame).mapInArrow(run, "text string").toLocalIterator())
+
+
+def inventory_text(inv: Inventory):
+    """The YAML document of an inventory in parts."""
+    summary = (inv.summary or summarize(inv)).drop("scan_id").first()
+    counts = {k: int(v) for k, v in summary.asDict().items()} if summary else {"keys": 0, "findings": 0, "uncertain": 0, "checks": 0, "diagnostics": 0}
+    yield dump({"schemaVersion": INVENTORY_VERSION, "project": inv.project, "summary": counts})
+    for name, frame, order in (("items", inv.items, ["ordinal"]), ("uncertain", inv.uncertain, ["ordinal"]), ("checks", inv.checks, ["type", "message"]), ("diagnostics", inv.diagnostics, ["message"])):
+        texts = _rendered(frame, *order)
+        first = next(texts, None)
+        yield f"{name}:{' []' if first is None else ''}\n"
+        if first is not None:
+            yield first
+            yield from texts
+
+
+def dump(document: dict | list) -> str:
     import yaml
 
     return yaml.safe_dump(document, sort_keys=False, allow_unicode=True, indent=4, default_flow_style=False)

@@ -8,7 +8,7 @@ rules and column expressions, as with user rules.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +19,14 @@ from ..functions import keys as K
 from ..functions.placeholders import nested_placeholders
 from ..operators.rules import match_annotations, match_methods, meta_annotation_reads
 from .detectors import ENTRY, _union, entries
+from .leaves import leaves
 
 _TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"""[ \t]*\n(.*?)"""|"((?:\\.|[^"\\\n])*)"|\'(?:\\.|[^\'\\])\'|[A-Za-z_$][\w$]*|\d[\w.]*|->|::|[-+*/%&|^!=<>]=|&&|\|\||[^\s\w]', re.S)
 _WORDS = frozenset("if for while switch catch synchronized return throw else do try case new instanceof assert super this".split())
 _OPERATORS = frozenset("+ - * / % & | ^ = == != <= >= < > && || ? : -> += -=".split())
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, frozenset(")]}")
 
-ARGUMENT = "struct<name:string,text:string,literal:string,value:string,strings:array<string>,concat:boolean>"
+ARGUMENT = "struct<name:string,text:string,literal:string,value:string,strings:array<string>,concat:boolean,pairs:array<struct<key:string,value:string>>>"
 INVOCATIONS = f"scan_id string, path string, scope string, seq int, line int, symbol string, form string, name string, args array<{ARGUMENT}>, target string, error string"
 
 
@@ -114,21 +115,59 @@ def _literal(tokens: list[_Token], known: dict[str, str]) -> str | None:
     return out
 
 
+def _value(tokens: list[_Token], known: dict[str, str]) -> str | None:
+    """As ``_literal``, and the text of a number, a boolean or a character."""
+    if len(tokens) == 1 and re.match(r"\d|true$|false$|'", tokens[0]):
+        return tokens[0].strip("'").rstrip("LlFfDd") if tokens[0][0].isdigit() else tokens[0].strip("'")
+    return _literal(tokens, known)
+
+
+def _call(tokens: list[_Token]) -> tuple[str, list[list[_Token]]]:
+    """Name and arguments of an expression that is one call of a plain name."""
+    if "(" not in tokens or tokens[-1] != ")":
+        return "", []
+    at = tokens.index("(")
+    name = re.sub(r"<.*>", "", "".join(tokens[:at]))
+    return (name, _split(tokens[at + 1:-1])) if re.fullmatch(r"[\w$.]+", name) else ("", [])
+
+
+def _pairs(tokens: list[_Token], known: dict[str, str]) -> list[dict]:
+    """Keys and values of a map made in place, those whose keys fold."""
+    name, args = _call(tokens)
+    cells: list = []
+    if re.search(r"(^|\.)Map\.of$", name):
+        cells = list(zip(args[::2], args[1::2]))
+    elif re.search(r"(^|\.)Map\.ofEntries$", name):
+        made = map(_call, args)
+        cells = [(a[0], a[1]) for n, a in made if re.search(r"(^|\.)Map\.entry$", n) and len(a) > 1]
+    folded = [(_literal(k, known), _value(v, known)) for k, v in cells]
+    return [{"key": k, "value": v} for k, v in folded if k is not None and k.strip()]
+
+
 def _argument(tokens: list[_Token], known: dict[str, str], named: bool) -> dict:
     name = None
     if named and len(tokens) > 2 and tokens[1] == "=":
         name, tokens = str(tokens[0]), tokens[2:]
-    literal = _literal(tokens, known)
-    value = literal
-    if value is None and len(tokens) == 1 and re.match(r"\d|true$|false$|'", tokens[0]):
-        value = tokens[0].strip("'").rstrip("LlFfDd") if tokens[0][0].isdigit() else tokens[0].strip("'")
+    literal, value = _literal(tokens, known), _value(tokens, known)
     inner = _split(tokens[1:-1]) if tokens and tokens[0] == "{" else [tokens]
     strings = [s for p in inner if (s := _literal(p, known)) is not None] or [t.string for t in tokens if t.string is not None]
     depth, concat = 0, False
     for t in tokens:
         depth += (t in _OPEN) - (t in _CLOSE)
         concat |= t == "+" and not depth
-    return {"name": name, "text": _shown(tokens), "literal": literal, "value": value, "strings": strings, "concat": concat}
+    return {"name": name, "text": _shown(tokens), "literal": literal, "value": value, "strings": strings, "concat": concat, "pairs": _pairs(tokens, known)}
+
+
+def _constants(t: list[_Token]) -> list[tuple[int, str, list[_Token]]]:
+    """(place, name, initialiser) of the constant texts of a file."""
+    out = []
+    for i, x in enumerate(t):
+        if x == "String" and i >= 2 and {"static", "final"} <= set(t[max(0, i - 4):i]) and i + 2 < len(t):
+            j = next((k for k in range(i + 1, min(i + 5, len(t))) if t[k] == "="), None)
+            if j:
+                stop = next((k for k in range(j, len(t)) if t[k] == ";"), len(t))
+                out.append((i, str(next(k for k in t[i + 1:j] if re.match(r"[A-Za-z_$]", k))), t[j + 1:stop]))
+    return out
 
 
 def invocations(text: str) -> Iterator[tuple[int, str | None, str, str, list[dict], str | None]]:
@@ -142,17 +181,23 @@ def invocations(text: str) -> Iterator[tuple[int, str | None, str, str, list[dic
             ends[stack.pop()] = i
     begins = {b: a for a, b in ends.items()}
     known: dict[str, str] = {}
+    constants = _constants(t)
+    left = constants
+    while left:  # a constant may stand below its use, or be made of others
+        folded = [(n, v) for _, n, e in left if (v := _literal(e, known)) is not None]
+        for n, v in folded:
+            known.setdefault(n, v)
+        rest = [c for c in left if _literal(c[2], known) is None]
+        if len(rest) == len(left):
+            break
+        left = rest
+    again = {i: (n, e) for i, n, e in constants}
     symbol = None
     for i, x in enumerate(t):
         if x in ("class", "interface", "enum", "record") and i + 1 < len(t) and re.match(r"[A-Za-z_$]", t[i + 1]) and (i == 0 or t[i - 1] != "."):
             symbol = str(t[i + 1])
-        if x == "String" and i >= 2 and {"static", "final"} <= set(t[max(0, i - 4):i]) and i + 2 < len(t):
-            j = next((k for k in range(i + 1, min(i + 5, len(t))) if t[k] == "="), None)
-            if j:
-                stop = next((k for k in range(j, len(t)) if t[k] == ";"), len(t))
-                value = _literal(t[j + 1:stop], known)
-                if value is not None:
-                    known[str(next(k for k in t[i + 1:j] if re.match(r"[A-Za-z_$]", k)))] = value
+        if i in again and (value := _literal(again[i][1], known)) is not None:
+            known[again[i][0]] = value  # of constants of one name the last one above a use stands
         if x == "@" and i + 1 < len(t) and t[i + 1] != "interface":
             j = i + 2
             while j + 1 < len(t) and t[j] == ".":
@@ -232,6 +277,7 @@ CALL_RULES = [
     ("getInitParameter", "READ", None, None, "MEDIUM", "external", "servlet-init-parameter", True),
     ("lookup", "READ", None, None, "MEDIUM", "external", "jndi-lookup", True),
 ]
+#: Getters of configuration objects, preferences and bundles; fixed values.
 _GENERIC = "getString getInt getLong getBoolean getDouble getDuration getStringList getIntList getLongList getBooleanList getDoubleList getConfig hasPath getValue getOptionalValue getConfigValue".split()
 _PREFERENCES = "get getInt getLong getBoolean getFloat getDouble getByteArray".split()
 _BUNDLE = ["getString", "getObject", "containsKey"]
@@ -269,7 +315,7 @@ def annotation_entries(rows: DataFrame) -> DataFrame:
     on = on.withColumn("key", F.when(F.trim(F.coalesce("prefix", F.lit(""))) == "", F.col("n")).otherwise(F.concat_ws(".", "prefix", "n")))
     profile = a.where(F.col("name").endswith("Profile")).withColumn("raw", F.explode(_attribute("value"))).where("trim(raw) <> ''").withColumns({"key": F.lit("spring.profiles"), "profile": F.col("raw"), "extra": F.lit("profile")})
     source = a.where(F.col("name").endswith("PropertySource") & ~F.col("name").endswith("NacosPropertySource")).withColumn("raw", F.explode(_attribute("value"))).where("trim(raw) <> ''").withColumns({"key": F.lit("spring.property-source"), "extra": F.lit("property-source")})
-    nacos = a.where(F.col("name").endswith("NacosPropertySource")).withColumn("d", F.explode(_attribute("dataId"))).withColumn("key", F.concat(F.lit("nacos.config."), "d"))
+    nacos = a.where(F.col("name").endswith("NacosPropertySource")).withColumn("data_id", F.explode(_attribute("dataId"))).where("trim(data_id) <> ''").withColumns({"key": F.concat(F.lit("nacos.config."), "data_id"), "group": _first("groupId")})
     return _union(e(held, F.col("role"), details_type="spring-placeholder"), e(spel, F.col("role")), e(bound, "READ", confidence="MEDIUM", details_type="spring-configuration-properties"), e(web, "DEFINE"),
                   e(on, "CONDITION"), e(profile, "METADATA", value_kind="STRING"), e(source, "METADATA", value_kind="STRING"), e(nacos, "METADATA", details_type="config-center"))
 
@@ -303,8 +349,9 @@ def call_entries(rows: DataFrame) -> DataFrame:
     take = lambda w: F.when((F.col(w) == "last") & (F.col("n") > 1), F.element_at("args", -1)["value"]).when((F.col(w) == "1") & (F.col("n") > 1), _arg(1)["value"])
     ruled = _by_rule(rows).where("trim(key) <> ''").where("suffix <> 'lookup' or key like 'java:comp/env/%'").withColumns({"raw": take("value_from"), "default_raw": take("default_from"), "extra": F.col("rule_extra")})
     props = e(ruled, F.col("rule_role"), confidence=F.col("rule_confidence"), details_type=F.col("rule_details"))
-    apollo = e(c.where(_apollo() & F.col("key").isNotNull()).withColumn("default_raw", _arg(1)["value"]), details_type="config-center")
-    nacos = e(c.where(F.col("name").rlike(r"(^|\.)ConfigService\.getConfig$") & (F.col("n") >= 2) & (F.trim("key") != "")).withColumn("key", F.concat(F.lit("nacos.config."), "key")), "METADATA", details_type="config-center")
+    space = F.when(F.col("name").contains("getAppConfig()"), "application").otherwise(F.nullif(F.regexp_extract("name", r'getConfig\("([^"]*)"\)\.getProperty$', 1), F.lit("")))
+    apollo = e(c.where(_apollo() & F.col("key").isNotNull()).withColumns({"default_raw": _arg(1)["value"], "namespace": space}), details_type="config-center")
+    nacos = e(c.where(F.col("name").rlike(r"(^|\.)ConfigService\.getConfig$") & (F.col("n") >= 2) & (F.trim("key") != "")).withColumns({"data_id": F.col("key"), "group": _arg(1)["literal"], "key": F.concat(F.lit("nacos.config."), "key")}), "METADATA", details_type="config-center")
     generic = c.where(F.col("method").isin(_GENERIC) & (F.col("receiver").contains("config") | (F.col("receiver") == "cfg")) & ~((F.col("method") == "getConfig") & F.col("receiver").contains("configservice")) & (F.trim("key") != ""))
     generic = e(generic.withColumns({"default_raw": F.when(~F.col("method").isin("getValue", "getOptionalValue", "getConfigValue"), _arg(1)["value"]), "extra": F.lit("generic-config-getter")}), confidence="MEDIUM")
     prefs = c.where(F.col("method").isin(_PREFERENCES) & (F.col("receiver").contains("preferences") | (F.col("receiver") == "prefs") | F.col("receiver").endswith(".prefs")) & (F.trim("key") != ""))
@@ -318,20 +365,47 @@ def call_entries(rows: DataFrame) -> DataFrame:
     profiles = c.where(F.col("method").isin("setAdditionalProfiles", "acceptsProfiles", "matchesProfiles") | (F.col("method") == "profiles") & F.col("name").contains("SpringApplicationBuilder"))
     profiles = profiles.withColumn("raw", F.explode(strings)).where("trim(raw) <> ''").withColumns({"key": F.lit("spring.profiles"), "profile": F.col("raw"), "role": F.when(F.col("method").isin("acceptsProfiles", "matchesProfiles"), "CONDITION").otherwise("METADATA")})
     profiles = e(profiles, F.col("role"), value_kind="STRING")
-    run = c.where((F.col("method") == "run") & F.col("name").contains("SpringApplication")).withColumn("t", F.explode(strings))
-    run = e(run.withColumns({"key": K.argument_key("t"), "raw": K.argument_value("t"), "extra": F.lit("command-line-args")}).where("key is not null"), "DEFINE")
-    defaults = c.where((F.col("method") == "setDefaultProperties") | ((F.col("method") == "properties") & F.col("name").contains("SpringApplicationBuilder")))
-    pairs = F.regexp_extract_all(_arg(0)["text"], F.lit(r'"([^"]*)", "?([^",)]*)"?'), 1)
-    values = F.regexp_extract_all(_arg(0)["text"], F.lit(r'"([^"]*)", "?([^",)]*)"?'), 2)
-    mapped = defaults.where(_arg(0)["text"].contains("Map.")).select("scan_id", "path", "scope", "line", F.explode(F.arrays_zip(pairs.alias("k"), values.alias("v"))).alias("p")).select("scan_id", "path", "scope", "line", F.col("p.k").alias("key"), F.col("p.v").alias("raw"))
-    text = defaults.where(~_arg(0)["text"].contains("Map.")).withColumn("t", F.explode(strings)).where("instr(t, '=') > 1").select("scan_id", "path", "scope", "line", F.substring_index("t", "=", 1).alias("key"), F.expr("substr(t, instr(t, '=') + 1)").alias("raw"))
-    defaulted = e(mapped.unionByName(text).withColumn("extra", F.lit("default-properties")), "DEFINE")
+    run = e(_started(c).where("key is not null").withColumn("extra", F.lit("command-line-args")), "DEFINE")
+    defaults = c.where(_sets_defaults() | _builds_defaults())
+    text = defaults.where(_builds_defaults()).withColumn("t", F.explode(strings)).withColumns({"key": F.trim(F.expr(f"substr(t, 1, {_SPLIT} - 1)")), "raw": F.trim(F.expr(f"substr(t, {_SPLIT} + 1)"))}).where(f"{_SPLIT} > 1 and key <> ''")
+    mapped = defaults.where(F.col("n") == 1).select("*", F.inline(_arg(0)["pairs"]).alias("pair_key", "raw")).withColumn("key", F.col("pair_key"))
+    own = ["scan_id", "path", "scope", "line", "key", "raw"]
+    defaulted = e(mapped.select(*own).unionByName(text.select(*own)).withColumn("extra", F.lit("default-properties")), "DEFINE")
     made = rows.where("form = 'new'")
+    held = made.where(F.col("name").endswith("MapPropertySource") & (F.size("args") > 1)).select("scan_id", "path", "scope", "line", F.inline(_arg(1)["pairs"]).alias("key", "raw"))
+    defaulted = defaulted.unionByName(e(held.withColumn("extra", F.lit("map-property-source")), "DEFINE"))
     resource = made.where(F.col("name").endswith("ResourcePropertySource")).withColumns({"raw": F.element_at("args", -1)["literal"], "key": F.lit("spring.property-source"), "extra": F.lit("resource-property-source")}).where("trim(raw) <> ''")
     resource = e(resource, "METADATA", value_kind="STRING")
     return _union(props, apollo, nacos, generic, prefs, bundle, binder, resolved, profiles, run, defaulted, resource)
 
 
+#: Where ``key=value`` or ``key:value`` is split: at the first of both signs.
+_SPLIT = "coalesce(array_min(filter(array(instr(t, '='), instr(t, ':')), x -> x > 0)), 0)"
+
+
+def _sets_defaults() -> Column:
+    return F.col("method") == "setDefaultProperties"
+
+
+def _builds_defaults() -> Column:
+    return (F.col("method") == "properties") & F.col("name").contains("SpringApplicationBuilder")
+
+
+def _started(calls: DataFrame) -> DataFrame:
+    """Arguments with which an application is started: ``t`` with ``key`` and ``raw``, which are null where it sets
+    nothing; an argument that does not fold is its expression."""
+    c = calls.where((F.col("method") == "run") & F.col("name").contains("SpringApplication"))
+    first = F.when(F.col("name").contains("SpringApplicationBuilder"), 0).otherwise(1)
+    one = c.withColumn("a", F.explode(F.filter("args", lambda a, i: i >= first)))
+    array = F.col("a.text").rlike(r"^(new String\[\] ?)?\{")
+    texts = F.when(F.col("a.literal").isNotNull() & ~array, F.array("a.literal")).when(array & (F.size("a.strings") > 0), F.col("a.strings"))
+    one = one.withColumns({"folds": texts.isNotNull(), "t": F.explode(F.coalesce(texts, F.array("a.text")))})
+    rest = F.when(F.col("folds") & F.col("t").startswith("--"), F.expr("substr(t, 3)"))
+    one = one.drop("key").withColumns({"whole": F.col("t"), "t": rest})
+    key = F.when(F.expr(f"{_SPLIT} > 1"), F.nullif(F.trim(F.expr(f"substr(t, 1, {_SPLIT} - 1)")), F.lit("")))
+    return one.withColumns({"key": key, "raw": F.trim(F.expr(f"substr(t, {_SPLIT} + 1)"))})
+
+
 def uncertain_rows(rows: DataFrame) -> DataFrame:
     """Accesses whose key is not a literal: ``(scan_id, path, scope, line, expression, reason, root_sink)``."""
     c = _calls(rows)
@@ -349,7 +423,10 @@ def uncertain_rows(rows: DataFrame) -> DataFrame:
     inputs = u(c.where(name.endswith("getInputArguments") & name.contains("ManagementFactory.getRuntimeMXBean()")), whole, "COMMAND_LINE_ARGS", name)
     made = rows.where("form = 'new'").where(F.col("name").endswith("PropertiesPropertySource") & (F.size("args") > 1))
     sources = u(made, _arg(1)["text"], "MAP_DRIVEN_KEY", F.col("name"))
-    return _union(ruled, apollo, system, console, inputs, sources)
+    defaults = u(c.where(_sets_defaults() & (F.col("n") > 0) & (F.size(_arg(0)["pairs"]) == 0)), text, "MAP_DRIVEN_KEY", name)
+    started = u(_started(c).where("key is null"), F.col("whole"), "COMMAND_LINE_ARGS", name)
+    nacos = u(c.where(name.rlike(r"(^|\.)ConfigService\.getConfig$") & (F.col("n") >= 2) & (F.trim(F.coalesce("key", F.lit(""))) == "")), text, reason, F.lit("nacos.getConfig"))
+    return _union(ruled, apollo, system, console, inputs, sources, defaults, started, nacos)
 
 
 def user_rule_entries(rows: DataFrame, method_rules: DataFrame | None, annotation_rules: DataFrame | None) -> DataFrame | None:
@@ -378,20 +455,29 @@ def meta_annotation_entries(rows: DataFrame) -> DataFrame:
     return entries(meta_annotation_reads(declared, used), "codegraph-config-usage", "READ", source_kind="JAVA", value_kind="JAVA", confidence="MEDIUM")
 
 
-def java_entries(files: DataFrame, method_rules: DataFrame | None = None, annotation_rules: DataFrame | None = None, meta: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Entries and uncertain accesses of Java files, and entries of the local property files that they name."""
-    from .leaves import leaves
+def java_entries(files: DataFrame, method_rules: DataFrame | None = None, annotation_rules: DataFrame | None = None, meta: bool = False,
+                 rows: DataFrame | None = None, scalars: DataFrame | None = None, provider: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries and uncertain accesses of Java files, and entries of the local property files that they name.
 
-    rows = invocation_rows(files)
+    ``rows`` and ``scalars`` are the invocations and the scalars of the files where these have been read already;
+    ``provider`` makes entries of the invocations in place of the built-in reading of annotated annotations.
+    """
+    rows = invocation_rows(files) if rows is None else rows
+    scalars = leaves(files) if scalars is None else scalars
     found = _union(annotation_entries(rows), call_entries(rows))
     ruled = user_rule_entries(rows, method_rules, annotation_rules)
     found = found if ruled is None else found.unionByName(ruled)
-    found = found.unionByName(meta_annotation_entries(rows)) if meta else found
-    named = found.where("key = 'spring.property-source'").select("scan_id", F.regexp_replace("raw", "^optional:", "").alias("t"))
-    local = named.where("t like 'classpath:%' or t like 'file:%'").select("scan_id", F.when(F.col("t").startswith("classpath:"), F.concat(F.lit("src/main/resources/"), F.regexp_replace("t", "^classpath:/?", ""))).otherwise(F.regexp_replace("t", r"^file:(\./)?", "")).alias("path")).distinct()
-    scalars = leaves(files.where("file_type = 'PROPERTIES'").join(local, ["scan_id", "path"], "left_semi"))
-    own = entries(scalars.where("error is null").withColumns({"key": F.get("segs", F.lit(0)), "raw": F.col("value"), "extra": F.lit("property-source-file")}), "java-source-config", source_kind="PROPERTIES", value_kind="JAVA")
-    return found.unionByName(own).select(*ENTRY), uncertain_rows(rows)
+    if meta or provider is not None:
+        found = found.unionByName((provider or meta_annotation_entries)(rows))
+    named = found.where("key = 'spring.property-source'").select("scan_id", F.col("raw").alias("location"), F.regexp_replace("raw", "^optional:", "").alias("t"))
+    local = named.where("t like 'classpath:%' or t like 'file:%'").select("scan_id", "location", F.when(F.col("t").startswith("classpath:"), F.concat(F.lit("src/main/resources/"), F.regexp_replace("t", "^classpath:/?", ""))).otherwise(F.regexp_replace("t", r"^file:(\./)?", "")).alias("path"))
+    local = local.where("path like '%.properties'").groupBy("scan_id", "path").agg(F.min("location").alias("location"))
+    read = scalars.where("error is null").join(local, ["scan_id", "path"]).withColumns({"key": F.get("segs", F.lit(0)), "raw": F.col("value")})
+    e = lambda f, role, **g: entries(f, "java-source-config", role, source_kind="PROPERTIES", value_kind="JAVA", **g)
+    own = e(read.withColumn("extra", F.lit("property-source-file")), "DEFINE")
+    held = read.where("value like '%${%'").drop("key", "raw").select("*", F.inline(nested_placeholders("value", deep=False))).drop("raw")
+    reads = e(held.withColumns({"default_raw": F.col("default_value"), "extra": F.col("location")}), "READ", details_type="spring-placeholder")
+    return _union(found, own, reads).select(*ENTRY), uncertain_rows(rows)
 
 
 def uncertain_findings(rows: DataFrame, like: DataFrame) -> DataFrame:

@@ -99,11 +99,21 @@ def xml_values(text: str) -> Iterator[tuple[list[str], str]]:
     yield from walk(root, [str(root.tag).rpartition("}")[2] + "[0]"])
 
 
-def line_of(lines: list[str], key: str) -> int | None:
-    """The first line that begins with the key or its last part and a separator."""
-    last = re.sub(r"\[\d+]$", "", key).rpartition(".")[2]
-    heads = (key + "=", key + ":", last + ":")
-    return next((i for i, x in enumerate(lines, 1) if x.startswith(heads)), None)
+def lines_of(lines: list[str], keys: list[str]) -> list[int | None]:
+    """For every key, the first line that begins with the key or its last part and a separator.  The lines are gone
+    through once."""
+    wanted = {}
+    for key in keys:
+        last = re.sub(r"\[\d+]$", "", key).rpartition(".")[2]
+        wanted[key] = (key + "=", key + ":", last + ":")
+    heads = {h for hs in wanted.values() for h in hs}
+    longest, first = max(map(len, heads), default=0), {}
+    for i, line in enumerate(lines, 1):
+        for m in re.finditer("[=:]", line[:longest]):
+            head = line[:m.end()]
+            if head in heads:
+                first.setdefault(head, i)
+    return [min((first[h] for h in wanted[k] if h in first), default=None) for k in keys]
 
 
 def dotted(segs: list[str]) -> str:
@@ -123,8 +133,8 @@ def leaves(files: DataFrame) -> DataFrame:
                 found = [(0, s, v) for s, v in xml_values(row.content)]
         except Exception as e:  # any fault of one file is that file's alone, and is reported
             return [(*head, 0, 0, [], None, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")]
-        lines = [x.strip() for x in row.content.splitlines()]
-        return [(*head, d, i, s, v, line_of(lines, dotted(s)) if row.file_type != "XML" else None, None) for i, (d, s, v) in enumerate(found)]
+        at = lines_of([x.strip() for x in row.content.splitlines()], [dotted(s) for _, s, _ in found]) if row.file_type != "XML" else [None] * len(found)
+        return [(*head, d, i, s, v, line, None) for i, ((d, s, v), line) in enumerate(zip(found, at))]
 
     def run(frames):
         names = [x.split()[0] for x in LEAVES.split(", ")]
