@@ -36,11 +36,11 @@ GATES = (ORDERS + 1) * 8
 BUCKETS = 24
 #: Bytes of texts in a block, about (a longer text makes a longer block), and how many blocks there are at least while
 #: each has so many bytes.
-BLOCK, BLOCKS, LEAST = 32 << 20, 8, 1 << 16
+BLOCK, BLOCKS, LEAST = 20 << 20, 8, 1 << 16
 #: Tasks that blocks or shards are dealt to, at most; each may take several.
 TASKS = 8192
 #: Pairs of a step of learning, those predicted at once, and bytes whose pairs are sorted at once.
-_STEP, _LOAD, _PART = 1 << 13, 1 << 15, 1 << 22
+_STEP, _LOAD, _PART = 1 << 13, 1 << 15, 1 << 20
 #: Ahead of a text: a byte that no word has, so many times that every context is whole.
 _AHEAD = 10
 _MASKS = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(1, ORDERS + 1)]
@@ -96,6 +96,7 @@ def _blocks(texts: DataFrame, many: int) -> DataFrame:
         out = lists(rows)
         s = Spelling(rows.column("stream").combine_chunks())
         del rows, buf
+        pa.default_memory_pool().release_unused()
         held, copies = (x[0].values.to_numpy(zero_copy_only=False) for x in out[1:3])
         m, words, tokens = _learnt(s, np.where(held, 0, copies))
         weights = pa.array([np.concatenate([m.weights.ravel(), m.map.ravel(), np.repeat(m.seen, ORDERS + 1), m.map_seen.ravel()]).tolist()], pa.list_(pa.float64()))
@@ -223,8 +224,12 @@ class Spelling:
     def distinct(self, copies: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For every order: the distinct pairs in order, and how often they occur, rows weighted by ``copies``."""
         copies = np.ones(len(self.gap), np.int64) if copies is None else copies
-        found = [_counted(p, self.spread(copies, lo, hi, own)) for lo, hi, own, p in self.pairs()]
-        out = [_added(*(np.concatenate(x) for x in zip(*found))) if found else _added(np.zeros(0, np.uint64), None)]
+        found = []
+        for lo, hi, own, p in self.pairs():
+            found.append(_counted(p, self.spread(copies, lo, hi, own)))
+            if len(found) == 8:
+                found = [_merged(found)]
+        out = [_merged(found)]
         for mask in reversed(_MASKS[:-1]):
             keys, n = out[0]
             out.insert(0, _added(keys & mask, n))
@@ -265,25 +270,33 @@ def _nested(keys: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and sums of counts of several such pairs of arrays."""
+    if len(found) == 1:
+        return found[0]
+    return _added(*(np.concatenate(x) for x in zip(*found))) if found else _added(np.zeros(0, np.uint64), None)
+
+
 def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their weights, most of which are 1."""
     found, n = _added(np.sort(keys), None)
     other = np.flatnonzero(weights != 1)
     if len(other):
         some, more = _added(keys[other], weights[other] - 1)
-        n[np.searchsorted(found, some)] += more
+        n[np.searchsorted(found, some)] += more.astype(n.dtype)
     return found, n
 
 
 def _added(keys: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of ``n``; without ``n`` the keys are sorted and count once each."""
+    """Distinct keys in order and the sums of ``n``; without ``n`` the keys are sorted and count once each.  A block's
+    counts fit 32 bits; those of a shard come as 64."""
     if n is not None:
         by = np.argsort(keys)
         keys, n = keys[by], n[by]
     if not len(keys):
-        return keys, np.zeros(0, np.int64)
+        return keys, np.zeros(0, np.int32)
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[new], np.diff(np.append(new, len(keys))) if n is None else np.add.reduceat(n, new)
+    return keys[new], np.diff(np.append(new, len(keys))).astype(np.int32) if n is None else np.add.reduceat(n, new)
 
 
 # ---- mixing ------------------------------------------------------------------------------------------------------
