@@ -36,7 +36,7 @@ GATES = (ORDERS + 1) * 8
 BUCKETS = 24
 #: Bytes of texts in a block, about (a longer text makes a longer block), and how many blocks there are at least while
 #: each has so many bytes.
-BLOCK, BLOCKS, LEAST = 20 << 20, 8, 1 << 16
+BLOCK, BLOCKS, LEAST = 16 << 20, 8, 1 << 16
 #: Tasks that blocks or shards are dealt to, at most; each may take several.
 TASKS = 8192
 #: Pairs of a step of learning, those predicted at once, and bytes whose pairs are sorted at once.
@@ -291,7 +291,7 @@ def _added(keys: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarr
     """Distinct keys in order and the sums of ``n``; without ``n`` the keys are sorted and count once each.  A block's
     counts fit 32 bits; those of a shard come as 64."""
     if n is not None:
-        by = np.argsort(keys)
+        by = np.argsort(keys, kind="stable")  # of sorted runs, mostly
         keys, n = keys[by], n[by]
     if not len(keys):
         return keys, np.zeros(0, np.int32)
@@ -556,7 +556,7 @@ def _answers(asks: DataFrame, shards: int) -> DataFrame:
 def _with_counts(row: dict, answers: list[dict], shards: int) -> tuple[Spelling, Mixer, np.ndarray]:
     """A block's texts, a mixer over the counts of their contexts, and the counts of all their words."""
     s = Spelling(_column(row))
-    keys = [*(k for k, _ in s.distinct()), np.unique(s.tokens[0])]
+    keys = [*(k for k, _ in s.distinct()), _added(np.sort(s.tokens[0]), None)[0]]
     s.index = _indexed(keys[:-1])
     dealt = _dealt([(k, None) for k in keys], shards)
     widths = [9] * ORDERS + [1]
@@ -606,6 +606,8 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
             own = pa.array(np.repeat(np.arange(len(size)), row["copies"].to_numpy()))
             columns = [row["ids"], row["held"], *map(pa.array, (np.diff(first), segment_sum((c > 0).astype(np.int64), first), np.full(len(size), n), base, score, -score / np.log10(2) / size))]
             out.append(pa.table([x.take(own) for x in columns], names=names))
+            del s, m, c
+            pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
