@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder
 from .tables import written
-from .textkernel import NOT_SPACE, Tokens, hash_spans, mix, padded, segment_sum, slices, string_buffer
+from .textkernel import NOT_SPACE, Tokens, hash_spans, mix, padded, release, segment_sum, slices, string_buffer
 
 MODULUS, HELD_OUT = 10, 0
 #: Contexts: the last one to so many bytes.
@@ -36,7 +36,7 @@ GATES = (ORDERS + 1) * 8
 BUCKETS = 24
 #: Bytes of texts in a block, about (a longer text makes a longer block), and how many blocks there are at least while
 #: each has so many bytes.
-BLOCK, BLOCKS, LEAST = 16 << 20, 8, 1 << 16
+BLOCK, BLOCKS, LEAST = 24 << 20, 8, 1 << 16
 #: Tasks that blocks or shards are dealt to, at most; each may take several.
 TASKS = 8192
 #: Pairs of a step of learning, those predicted at once, and bytes whose pairs are sorted at once.
@@ -96,9 +96,11 @@ def _blocks(texts: DataFrame, many: int) -> DataFrame:
         out = lists(rows)
         s = Spelling(rows.column("stream").combine_chunks())
         del rows, buf
-        pa.default_memory_pool().release_unused()
+        release()
         held, copies = (x[0].values.to_numpy(zero_copy_only=False) for x in out[1:3])
         m, words, tokens = _learnt(s, np.where(held, 0, copies))
+        del s
+        release()
         weights = pa.array([np.concatenate([m.weights.ravel(), m.map.ravel(), np.repeat(m.seen, ORDERS + 1), m.map_seen.ravel()]).tolist()], pa.list_(pa.float64()))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *out, weights, pa.array([tokens]), pa.array([len(words)]), pa.array([_packed(np.diff(words, prepend=np.uint64(0)))], pa.binary())],
                         names=["block", *own, "learnt", "n_tokens", "n_words", "words"])
@@ -502,6 +504,7 @@ def _asks(blocks: DataFrame, shards: int) -> DataFrame:
         for row in _rows(batches):
             s, copies = Spelling(_column(row)), _copies(row)
             distinct = [*s.distinct(copies), s.words(copies)]
+            del s
             dealt = _dealt(distinct, shards)
             out: list[list] = [[], [], [], []]
             for shard in range(shards):
@@ -514,6 +517,8 @@ def _asks(blocks: DataFrame, shards: int) -> DataFrame:
                     x.append(y)
             yield pa.record_batch([pa.array(np.full(len(out[0]), row["block"], np.int32)), pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int32())), *(pa.array(x, pa.binary()) for x in out[2:])],
                                   names=["block", "shard", "sizes", "pairs", "n"])
+            del distinct, dealt, out
+            release()
 
     return blocks.select("block", "held", "copies", "sizes", "streams").mapInArrow(run, "block int, shard int, sizes array<int>, pairs binary, n binary")
 
@@ -607,7 +612,7 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
             columns = [row["ids"], row["held"], *map(pa.array, (np.diff(first), segment_sum((c > 0).astype(np.int64), first), np.full(len(size), n), base, score, -score / np.log10(2) / size))]
             out.append(pa.table([x.take(own) for x in columns], names=names))
             del s, m, c
-            pa.default_memory_pool().release_unused()
+            release()
         return pa.concat_tables(out)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]

@@ -1,8 +1,10 @@
 """Benchmark decontamination by winnowing.
 
 Of every six consecutive hashes of five words the least is kept, on both sides.  A shared span of ten words holds
-six such hashes in common, so its least one is kept on both sides: every shared window is met.  Kept hashes that
-meet are extended to the ten-word windows around them and compared byte for byte.
+six such hashes in common, so its least one is kept on both sides: every shared window is met.  Kept hashes of a text
+that items have too are extended to the ten-word windows around them, and these are compared byte for byte with the
+distinct windows of the items.  A window of a text meets one distinct window at most, however often words repeat on
+either side, so work follows the words and not the pairs of places.
 
 The fingerprints of the benchmark are broadcast while their texts stay under ``broadcast_bytes`` (measured first);
 beyond that both sides' kept hashes meet in a shuffled join and only pairs of a text and an item are extended.
@@ -14,11 +16,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .tables import written
-from .textkernel import ALNUM, Tokens, grams, hash_spans, padded, same_spans, slices, string_buffer
+from .textkernel import ALNUM, Tokens, grams, hash_spans, mix, padded, same_spans, slices, string_buffer
 
 WINDOW = 10
 GRAM = 5
@@ -60,7 +63,7 @@ def winnow(h: np.ndarray, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """The fingerprints of a block of benchmark items, sorted, with what extending a hit needs."""
+    """The fingerprints and distinct windows of a block of benchmark items, sorted by hash."""
 
     def __init__(self, ids: list, texts: list):
         column = pa.array(texts, pa.large_string())
@@ -68,35 +71,36 @@ class Index:
         self.ids = np.array([str(i) for i in ids], dtype=object)
         self.pad, self.t, h = _words(buf, offsets)
         row = self.t.row
+        at, kept = winnow(h, self.t)
+        self.kept = np.unique(kept[self.t.counts[row[at]] >= WINDOW])
+        #: By size: hashes of distinct windows, a place of each, and the rows that hold it.
         self.windows = {}
         for size in sorted({int(min(c, WINDOW)) for c in self.t.counts if c}):
-            if size == WINDOW:
-                continue
-            starts = self.t.first[:-1][self.t.counts == size]
-            self.windows[size] = self._sorted(grams(h, size)[starts], starts)
-        at, kept = winnow(h, self.t)
-        long = self.t.counts[row[at]] >= WINDOW
-        self.kept = self._sorted(kept[long], at[long])
-        self.row = row
+            whole = np.flatnonzero(_inside(self.t, size, max(len(h) - size + 1, 0)))
+            starts = whole if size == WINDOW else self.t.first[:-1][self.t.counts == size]
+            self.windows[size] = self._distinct(_at(h, starts, size), starts, row, size)
 
-    @staticmethod
-    def _sorted(keys, at):
+    def _distinct(self, keys, starts, row, size):
         order = np.argsort(keys, kind="stable")
-        return keys[order], at[order]
-
-    @staticmethod
-    def meet(index, keys, at):
-        """All pairs of positions (in the text, in the items) with equal keys."""
-        known, where = index
-        lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
-        n = hi - lo
-        hit = np.flatnonzero(n)
-        n = n[hit]
-        a = np.repeat(at[hit], n)
-        b = where[np.repeat(lo[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] if len(hit) else np.zeros(0, np.int64)
-        return a, b
+        keys, starts = keys[order], starts[order]
+        group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        while True:  # windows of one hash and different words make groups of their own
+            _, first = np.unique(group, return_index=True)
+            other = np.flatnonzero(~self.equal(self.pad, self.t, starts, starts[first][group], size))
+            if not len(other):
+                break
+            group[other] += len(first)
+            _, group = np.unique(group, return_inverse=True)
+        pairs = np.unique(np.stack([group, row[starts]], 1), axis=0) if len(starts) else np.zeros((0, 2), np.int64)
+        by = np.argsort(keys[first], kind="stable")  # groups again in the order of their hashes
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        own = np.argsort(rank[pairs[:, 0]], kind="stable")
+        held = rank[pairs[own, 0]]
+        return keys[first][by], starts[first][by], np.searchsorted(held, np.arange(len(by) + 1)), pairs[own, 1]
 
     def equal(self, pad, t, a, b, size):
+        """Whether windows of a text at ``a`` and of items at ``b`` have the same words."""
         ok = np.ones(len(a), bool)
         for j in range(size):
             live = np.flatnonzero(ok)
@@ -104,30 +108,50 @@ class Index:
         return ok
 
     def spans(self, pad, t, h):
-        """Occurrences (first word in the texts, number of words, item row) of windows in the texts."""
-        row = t.row
-        found = []
-        at, kept = winnow(h, t)
-        a, b = self.meet(self.kept, kept, at)
-        if len(a):
-            shift = np.arange(KEEP)
-            wa, wb = (a[:, None] - shift).ravel(), (b[:, None] - shift).ravel()
-            ok = (wa >= 0) & (wb >= 0) & (wa + WINDOW <= len(row)) & (wb + WINDOW <= len(self.row))
-            pairs = np.unique(np.stack([wa[ok], wb[ok]], 1), axis=0)
-            wa, wb = pairs[:, 0], pairs[:, 1]
-            ok = (row[wa] == row[wa + WINDOW - 1]) & (self.row[wb] == self.row[wb + WINDOW - 1])
-            wa, wb = wa[ok], wb[ok]
-            ok = self.equal(pad, t, wa, wb, WINDOW)
-            found.append((wa[ok], np.full(int(ok.sum()), WINDOW), self.row[wb[ok]]))
-        for size, index in self.windows.items():
-            g = grams(h, size)
-            at = np.flatnonzero(_inside(t, size, len(g)))
-            a, b = self.meet(index, g[at], at)
-            ok = self.equal(pad, t, a, b, size)
-            found.append((a[ok], np.full(int(ok.sum()), size), self.row[b[ok]]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*found))
+        """Windows of the texts that items have, by size: (first words, numbers of distinct windows)."""
+        n, out = len(h), {}
+        for size, (keys, where, _, _) in self.windows.items():
+            inside = _inside(t, size, max(n - size + 1, 0))
+            if size == WINDOW:
+                at, kept = winnow(h, t)
+                spot = np.minimum(np.searchsorted(self.kept, kept), max(len(self.kept) - 1, 0))
+                met = at[self.kept[spot] == kept] if len(self.kept) else at[:0]
+                near = np.zeros(len(inside) + WINDOW, bool)
+                for shift in range(KEEP):
+                    near[np.maximum(met - shift, 0)] = True
+                inside &= near[:len(inside)]
+            a = np.flatnonzero(inside)
+            g = _at(h, a, size)
+            lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
+            found = []
+            while True:  # one round, but for different windows of one hash
+                live = np.flatnonzero(lo < hi)
+                if not len(live):
+                    break
+                a, lo, hi = a[live], lo[live], hi[live]
+                ok = self.equal(pad, t, a, where[lo], size)
+                found.append((a[ok], lo[ok]))
+                a, lo, hi = a[~ok], lo[~ok] + 1, hi[~ok]
+            out[size] = tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return out
+
+    def items(self, size: int, rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """Distinct (row of a text, row of an item) of windows met."""
+        if not len(rows):
+            return np.zeros((0, 2), np.int64)
+        _, _, first, held = self.windows[size]
+        rows, groups = np.unique(np.stack([rows, groups], 1), axis=0).T
+        n = first[groups + 1] - first[groups]
+        at = np.repeat(first[groups] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.unique(np.stack([np.repeat(rows, n), held[at]], 1), axis=0)
+
+
+def _at(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k consecutive words from some places on, as ``grams`` has them."""
+    out = np.full(len(starts), k, dtype=np.uint64)
+    for j in range(k):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[starts + j])
+    return out
 
 
 _FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -143,17 +167,15 @@ def _report(index: Index, column: pa.Array) -> pa.RecordBatch:
     empty = _sha([])
     for lo, hi in slices(offsets):
         pad, t, h = _words(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-        a, size, item = index.spans(pad, t, h)
-        cover = np.zeros(len(h) + 1, np.int64)
-        np.add.at(cover, a, 1)
-        np.add.at(cover, a + size, -1)
-        mark = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-        n_hit = mark[t.first[1:]] - mark[t.first[:-1]]
+        cover, row = np.zeros(len(h) + 1, np.int64), t.row
         items: dict[int, set] = {}
-        if len(a):
-            rows = t.row[a]
-            for r, i in np.unique(np.stack([rows, item], 1), axis=0).tolist():
+        for size, (a, group) in index.spans(pad, t, h).items():
+            np.add.at(cover, a, 1)
+            np.add.at(cover, a + size, -1)
+            for r, i in index.items(size, row[a], group).tolist():
                 items.setdefault(r, set()).add(index.ids[i])
+        mark = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+        n_hit = mark[t.first[1:]] - mark[t.first[:-1]]
         words += t.counts.tolist()
         hits += n_hit.tolist()
         count += [len(items.get(r, ())) for r in range(hi - lo)]
@@ -173,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     """
     items, texts = _items(benchmark), docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = _small(items, broadcast_bytes)
-    return _by_join(texts, items).drop("k") if known is None else _by_broadcast(texts, known)
+    return _by_join(texts, items).drop("text") if known is None else _by_broadcast(texts, known)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -188,112 +210,130 @@ def _small(items: DataFrame, broadcast_bytes: int) -> list | None:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; columns and order of columns stay.
-    Null and empty texts stay.  Past ``broadcast_bytes`` the contaminated rows are removed by a join on their keys."""
+    Null and empty texts stay.  Past ``broadcast_bytes`` the contaminated rows are removed by a join on id and text."""
     items = _items(benchmark)
     known = _small(items, broadcast_bytes)
     if known is None:
-        bad = _by_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), items).where("contaminated").select(F.col("k").alias("bad"))
-        own = docs.alias("d")
-        return own.join(bad.distinct().alias("b"), _key("d.doc_id", "d.text") == F.col("b.bad"), "left_anti")
-    shared, at = docs.sparkSession.sparkContext.broadcast(known), docs.columns.index("text")
+        bad = _by_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), items).where("contaminated").select("doc_id", "text").distinct()
+        same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("d.text").cast("string").eqNullSafe(F.col("b.text"))
+        return docs.alias("d").join(bad.alias("b"), same, "left_anti")
+    shared, at = docs.sparkSession.sparkContext.broadcast(Index([k[0] for k in known], [k[1] for k in known])), docs.columns.index("text")
 
     def run(batches):
-        index = Index([k[0] for k in shared.value], [k[1] for k in shared.value])
         for b in batches:
-            out = _report(index, b.column(at)).column("contaminated")
+            out = _report(shared.value, b.column(at)).column("contaminated")
             yield b.filter(pa.array([not x for x in out.to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def _by_broadcast(texts: DataFrame, known: list) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+    shared = texts.sparkSession.sparkContext.broadcast(Index([k[0] for k in known], [k[1] for k in known]))
 
     def run(batches):
-        index = Index([k[0] for k in shared.value], [k[1] for k in shared.value])
         for b in batches:
-            out = _report(index, b.column(1))
+            out = _report(shared.value, b.column(1))
             yield pa.record_batch([b.column(0), *out.columns], names=["doc_id", *out.schema.names])
 
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_FIELDS}")
 
 
-def _keys(column: pa.Array, short: bool) -> tuple[list, list]:
-    """Distinct kept hashes of each row.  ``short``: of an item, whose shorter whole is one hash, else of a text with
-    the hashes of every length under a window (lengths are kept apart by the gram hash itself)."""
-    rows, keys = [], []
+def _keys(column: pa.Array, sizes: set[int], item: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct kept hashes of each row, and hashes of every length of ``sizes``: of items the whole of those that are so
+    short, of texts all places."""
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     buf, offsets = string_buffer(column)
     for lo, hi in slices(offsets):
         _, t, h = _words(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         at, kept = winnow(h, t)
         parts = [(t.row[at], kept)]
-        for size in range(1, WINDOW):
-            g = grams(h, size)
-            ok = np.flatnonzero(_inside(t, size, len(g)))
-            if short:
-                ok = ok[t.counts[t.row[ok]] == size]
-            parts.append((t.row[ok], g[ok] ^ np.uint64(size)))
+        for size in sizes:
+            if item:
+                at = t.first[:-1][t.counts == size]
+            else:
+                at = np.flatnonzero(_inside(t, size, max(len(h) - size + 1, 0)))
+            parts.append((t.row[at], _at(h, at, size) ^ np.uint64(size)))
         r, k = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         pairs = np.unique(np.stack([r.astype(np.uint64), k], 1), axis=0)
         rows.append(pairs[:, 0].astype(np.int64) + lo)
         keys.append(pairs[:, 1].view(np.int64))
-    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """``(k, n_words)`` of ``texts(k, text)``."""
+    def run(batches):
+        for b in batches:
+            buf, offsets = string_buffer(b.column(1))
+            n = [c for lo, hi in slices(offsets) for c in Tokens(padded(buf[offsets[lo]:offsets[hi]], True), offsets[lo:hi + 1] - offsets[lo], ALNUM).counts.tolist()]
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["k", "n_words"])
+
+    return texts.select("k", "text").mapInArrow(run, "k long, n_words long")
 
 
-def _key(doc_id: str, text: str) -> Column:
-    """A hash of id and text; a null id is told from every other."""
-    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text).cast("string"), F.lit("")))
+#: Bits of the filter of hashes that items have (a fixed size, whatever the benchmark): 2 MB.
+FILTER = 24
 
 
 def _by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """The same, and the key ``k`` of each row, for a benchmark of any size: kept hashes meet in a join, and each pair of a text and an item is
-    extended by itself.  Texts are keyed by a hash of id and text; repeated rows share a key and are counted."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    base = texts.withColumn("k", _key("doc_id", "text"))
-    base = written(base.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")), "decontaminate-texts")
+    """The same, with the text, for a benchmark of any size: kept hashes meet in a join, and each pair of a text and an
+    item is extended by itself.
+
+    Equal rows of id and text are one row with a number of its own and a count; numbers are written once.  Lengths
+    under a window are hashed only where an item has that length, and hashes that no item has (but for those that
+    share a bit of a filter of fixed size) stay out of the join.
+    """
+    base = texts.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    base = written(base.withColumn("k", F.monotonically_increasing_id()), "decontaminate-texts")
+    items = written(items.distinct().withColumn("k", F.monotonically_increasing_id()), "decontaminate-items")
+    short = _counted(items).where(F.col("n_words").between(1, WINDOW - 1)).select(F.col("n_words").cast("int").alias("n")).distinct()
+    sizes = {r[0] for r in short.collect()}  # nine numbers at most
 
-    def keyed(short):
+    def keyed(item, bits=None):
         def run(batches):
             for b in batches:
-                rows, keys = _keys(b.column(1), short)
+                rows, keys = _keys(b.column(1), sizes, item)
+                if bits is not None:
+                    slot = keys.view(np.uint64) >> np.uint64(64 - FILTER)
+                    some = bits.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+                    rows, keys = rows[some], keys[some]
                 yield pa.record_batch([b.column(0).take(pa.array(rows)), pa.array(keys)], names=["k", "key"])
         return run
 
-    ours = base.select("k", "text").mapInArrow(keyed(False), "k long, key long")
-    theirs = items.select(F.col("item_id").alias("k"), "text").mapInArrow(keyed(True), "k string, key long").select(F.col("k").alias("item_id"), "key")
-    pairs = written(ours.join(theirs, "key").select("k", "item_id").distinct(), "decontaminate-pairs")
+    theirs = written(items.select("k", "text").mapInArrow(keyed(True), "k long, key long").select(F.col("k").alias("item"), "key"), "decontaminate-keys")
+    filled = np.zeros(1 << FILTER, np.uint8)
+    slots = theirs.select(F.shiftrightunsigned("key", 64 - FILTER).alias("slot")).distinct().toArrow()  # bounded by the filter
+    filled[slots.column("slot").to_numpy()] = 1
+    bits = texts.sparkSession.sparkContext.broadcast(np.packbits(filled, bitorder="little"))
+    ours = base.select("k", "text").mapInArrow(keyed(False, bits), "k long, key long")
+    pairs = written(ours.join(theirs, "key").select("k", "item").distinct(), "decontaminate-pairs")
 
     def extend(batches):
         for b in batches:
-            k, start, stop, item = [], [], [], []
+            found: list[list] = [[], [], [], []]
             for row in b.to_pylist():
                 index = Index([row["item_id"]], [row["item_text"]])
                 buf, offsets = string_buffer(pa.array([row["text"]], pa.large_string()))
                 pad, t, h = _words(buf, offsets)
-                a, size, _ = index.spans(pad, t, h)
-                for x, y in set(zip(a.tolist(), (a + size).tolist())):
-                    k.append(row["k"])
-                    start.append(x)
-                    stop.append(y)
-                    item.append(row["item_id"])
-            yield pa.record_batch([pa.array(k, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(item, pa.string())], names=["k", "start", "stop", "item_id"])
-
-    full = pairs.join(base.select("k", "text"), "k").join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
-    spans = full.select("k", "text", "item_id", "item_text").mapInArrow(extend, "k long, start long, stop long, item_id string")
-    per = spans.groupBy("k").agg(
-        F.count_distinct("item_id").alias("n_items"), F.collect_set("item_id").alias("ids"),
-        F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("stop") - 1)))).alias("hits"))
-
-    def words(batches):
-        for b in batches:
-            buf, offsets = string_buffer(b.column(1))
-            n = [c for lo, hi in slices(offsets) for c in Tokens(padded(buf[offsets[lo]:offsets[hi]], True), offsets[lo:hi + 1] - offsets[lo], ALNUM).counts.tolist()]
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["k", "n_words"])
-
-    counted = base.select("k", "text").mapInArrow(words, "k long, n_words long")
-    out = base.select("k", "doc_id", "copies").join(counted, "k").join(per, "k", "left")
+                for size, (a, _) in index.spans(pad, t, h).items():
+                    a = np.unique(a)
+                    if not len(a):
+                        continue
+                    new = np.flatnonzero(np.concatenate([[True], a[1:] > a[:-1] + size]))  # windows that touch are one span
+                    for x, y in zip(a[new].tolist(), a[np.append(new[1:], len(a)) - 1].tolist()):
+                        for column, v in zip(found, (row["k"], x, y + size, row["item_id"])):
+                            column.append(v)
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in found[:3]), pa.array(found[3], pa.string())], names=["k", "start", "stop", "item_id"])
+
+    full = pairs.join(base.select("k", "text"), "k").join(items.select(F.col("k").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+    spans = written(full.select("k", "text", "item_id", "item_text").mapInArrow(extend, "k long, start long, stop long, item_id string"), "decontaminate-spans")
+    ids = spans.select("k", "item_id").distinct().groupBy("k").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("ids"))
+    # Words covered: what each span adds to the furthest end of those that begin ahead of it.
+    reach = Window.partitionBy("k").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.max("stop").over(reach), F.lit(0))
+    covered = spans.select("k", "start", "stop").distinct().withColumn("more", F.greatest(F.col("stop") - F.greatest("start", ahead), F.lit(0))).groupBy("k").agg(F.sum("more").alias("n_hit"))
+    out = base.join(_counted(base), "k").join(ids, "k", "left").join(covered, "k", "left")
     return out.select(
-        "k", F.col("doc_id").cast(kind).alias("doc_id"), "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", F.array_sort("ids")), F.lit("")), 256).alias("items_sha256"),
+        "doc_id", "text", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"),
         F.col("ids").isNotNull().alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")

@@ -11,6 +11,19 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
+def _known(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int) -> DataFrame:
+    """``(doc_id, label)`` of the documents that may be learnt from."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != held_out))
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    return known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+
+
+def counts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int) -> tuple[int, int]:
+    """How many of all documents that may be learnt from are of class 0 and of class 1."""
+    row = _known(docs, labels, label, modulus, held_out).agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    return int(row[0]), int(row[1])
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
     """``(doc_id, text, label)`` of at most ``per_class`` documents of each class, none of whose remainder is ``held_out``.
 
@@ -18,9 +31,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     than once counts under its highest label, one in ``docs`` more than once under its greatest text; null labels
     and ids are left out.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != held_out))
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    known = known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    known = _known(docs, labels, label, modulus, held_out)
     picked = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

@@ -7,6 +7,13 @@ Viterbi pass the best path and the loss of the second best.  The N best paths of
 its N-1 parts of least loss only; for these, A-star runs backward from the end of the part, with the forward
 Viterbi scores as exact heuristics, and the lists are merged.
 
+The model file ranks its pieces, and a sum of ranks would favour short ones.  A piece of rank r counts as having the
+probability that Zipf's law gives it, in proportion to 1 / (r + 1), so paths are compared as in a unigram model and
+common words stay whole.  Nothing is learnt for this.
+
+A part longer than ``LONG`` (texts without spaces) is solved by itself, position by position, over edges that are
+found window by window: exact, with a few bytes of memory for each of its own.
+
 A character without a piece is spelt in byte pieces.  A literal U+2581 is spelt too, and not read as a space, so that
 every text decodes to itself.
 """
@@ -14,6 +21,8 @@ every text decodes to itself.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +34,8 @@ from .textkernel import Tokens, hash_spans, padded, slices, string_buffer
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 4 << 20
 CELLS = 1 << 21
+#: Bytes of parts beyond which one is solved by itself, and bytes whose edges are held at once.
+LONG, SPAN = 1 << 10, 1 << 16
 MARK = "▁"
 _EVERY = np.ones(256, bool)
 
@@ -84,6 +95,9 @@ class Model:
                 if MARK in p.lstrip(MARK):
                     raise ValueError("a piece goes on from another character into a space")
                 pieces.append((i, p.replace(MARK, " ").encode(), sp.get_score(i)))
+        whole = sum(1 / (k + 1) for k in range(len(pieces)))
+        by = sorted(pieces, key=lambda x: (-x[2], x[0]))
+        pieces = [(i, p, -math.log((k + 1) * whole)) for k, (i, p, _) in enumerate(by)]
         return cls(pieces, spelling, sp.get_piece_size())
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -125,9 +139,17 @@ class Model:
             a = b
         return into
 
+    def _into(self, part: bytes) -> list[list[tuple[int, float, int]]]:
+        """As ``edges``, by windows."""
+        into: list[list[tuple[int, float, int]]] = [[] for _ in range(len(part) + 1)]
+        for edges in self._windows(np.frombuffer(part, np.uint8)):
+            for a, k, s, i in edges:
+                into[a + k].append((a, s, i))
+        return into
+
     def nbest(self, part: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths of a part, best first: A-star backward from its end, forward scores as heuristics."""
-        into = self.edges(part)
+        into = self.edges(part) if len(part) <= LONG else self._into(part)
         ahead = [0.0] + [-np.inf] * len(part)
         for b in range(1, len(part) + 1):
             ahead[b] = max((ahead[a] + s for a, s, _ in into[b]), default=-np.inf)
@@ -153,14 +175,88 @@ class Model:
                     heapq.heappush(heap, (-(ahead[a] + s + done), a, count, done + s, (i, rest)))
         return out
 
+    # ---- one long part -------------------------------------------------------------------------------------------
+
+    def _walk(self, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Edges (begin, size, score, id) that begin in ``[lo, hi)`` of a part, which begins with a whole character."""
+        n = len(data)
+        at = np.arange(lo, hi)
+        alive, node, found = at, np.zeros(hi - lo, np.int64), []
+        lead = data[at]
+        length = np.where(lead < 0x80, 1, np.where(lead >= 0xF0, 4, np.where(lead >= 0xE0, 3, 2)))
+        covered = lead & 0xC0 == 0x80
+        for k in range(1, self.longest + 1):
+            inside = alive + k <= n
+            alive, node = alive[inside], node[inside]
+            node = self.step(node, data[alive + k - 1])
+            alive, node = alive[node >= 0], node[node >= 0]
+            if not len(alive):
+                break
+            hit = self.score[node] > -np.inf
+            a = alive[hit]
+            found.append((a, np.full(len(a), k), self.score[node[hit]], self.id[node[hit]]))
+            covered[a - lo] |= length[a - lo] == k
+        bare = np.flatnonzero(~covered)
+        for k in range(4):
+            a = at[bare[(length[bare] > k) & (at[bare] + k < n)]] + k
+            found.append((a, np.ones(len(a), np.int64), np.full(len(a), self.unknown), self.spelling[data[a]]))
+        begin, size, score, ids = (np.concatenate(x) for x in zip(*found))
+        return begin, size, score, ids
+
+    def _windows(self, data: np.ndarray, backward: bool = False) -> Iterator[list[tuple[int, int, float, int]]]:
+        """The edges of a part, window by window, in the order of their begins."""
+        n, starts = len(data), list(range(0, len(data), SPAN))
+        for lo in reversed(starts) if backward else starts:
+            hi = min(lo + SPAN, n)
+            while lo and data[lo] & 0xC0 == 0x80:
+                lo -= 1  # windows begin with whole characters, as spelling needs
+            while hi < n and data[hi] & 0xC0 == 0x80:
+                hi -= 1
+            edges = self._walk(data, lo, hi)
+            by = np.argsort(edges[0], kind="stable")
+            yield list(zip(*(x[by[::-1] if backward else by].tolist() for x in edges)))
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Ids of the best path of one part, its score, and the loss of the second best."""
+        n = len(data)
+        ahead, size, ids = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        ahead[0] = 0.0
+        best: list[float] = ahead.tolist()
+        for edges in self._windows(data):
+            for a, k, s, i in edges:
+                via = best[a] + s
+                if via > best[a + k]:
+                    best[a + k] = via
+                    size[a + k], ids[a + k] = k, i
+        out, at, on = [], n, np.zeros(n + 1, np.int32)
+        while at > 0:
+            out.append(int(ids[at]))
+            on[at - size[at]] = size[at]
+            at -= int(size[at])
+        behind, second = [-math.inf] * n + [0.0], -math.inf
+        for edges in self._windows(data, backward=True):
+            for a, k, s, _ in edges:
+                via = s + behind[a + k]
+                if via > behind[a]:
+                    behind[a] = via
+                if best[a] + via > second and on[a] != k:
+                    second = best[a] + via
+        return np.array(out[::-1], np.int32), best[n], best[n] - second
+
     # ---- many parts, in numpy ------------------------------------------------------------------------------------
 
     def solve(self, pad: np.ndarray, start: np.ndarray, end: np.ndarray):
         """For each part: number of pieces, their ids in one pool, best score, loss of the second best path."""
         counts, best, loss = np.zeros(len(start), np.int64), np.zeros(len(start)), np.full(len(start), np.inf)
         order = np.argsort(end - start, kind="stable")
+        order = order[:int(np.searchsorted((end - start)[order], LONG, "right"))]
         size = (end - start)[order]
         pools, spots, lo = [], [], 0
+        for k in np.flatnonzero(end - start > LONG).tolist():
+            ids, best[k], loss[k] = self._long(pad[start[k]:end[k]])
+            counts[k] = len(ids)
+            pools.append(ids)
+            spots.append(np.array([k]))
         while lo < len(order):
             # Parts of like length share a block; its size is bounded by cells, not by parts.
             longest = max(int(size[lo]) * 3 // 2, 6)

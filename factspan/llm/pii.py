@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_right
 import re
 
 import numpy as np
@@ -292,6 +293,17 @@ def _field_spans(field: Field, pad: np.ndarray, t: Tokens) -> dict[int, list[tup
     return found
 
 
+def _joined(spans) -> list[tuple[int, int]]:
+    """Spans in order, those that meet joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def find(column: pa.Array, field: Field) -> list[tuple[list[list[tuple[int, int]]], list[tuple[str, int, int]]]]:
     """Per text: base spans by kind, and the field's spans that meet no base span, both in code points."""
     buf, offsets = string_buffer(column)
@@ -306,6 +318,7 @@ def find(column: pa.Array, field: Field) -> list[tuple[list[list[tuple[int, int]
         np.cumsum((own >= 48) & (own < 58), out=sums[0, 1:])
         np.cumsum(own == 64, out=sums[1, 1:])
         digits, ats = (x[o[1:]] - x[o[:-1]] for x in sums)
+        points = np.concatenate([[0], np.cumsum(own & 0xC0 != 0x80)])  # code points ahead of every byte
         for r in range(hi - lo):
             # No address, card or phone has fewer than four digits, and no mail address lacks an @.
             if digits[r] < 4 and not ats[r] and r not in extra:
@@ -313,11 +326,12 @@ def find(column: pa.Array, field: Field) -> list[tuple[list[list[tuple[int, int]
                 continue
             data = own[o[r]:o[r + 1]].tobytes()
             base = base_spans(data.decode("utf-8", "replace"))
-            taken = [s for kind in base for s in kind]
+            taken = _joined(s for kind in base for s in kind)
             added = []
             for kind, s, e in extra.get(r, ()):
-                s, e = (len(data[:x - o[r]].decode("utf-8", "replace")) for x in (s, e))
-                if not any(s < y and x < e for x, y in taken):
+                s, e = int(points[s] - points[o[r]]), int(points[e] - points[o[r]])
+                k = bisect_right(taken, (s, s))  # the first that begins after s; the one ahead may reach over it
+                if not (k < len(taken) and taken[k][0] < e) and not (k and taken[k - 1][1] > s):
                     added.append((kind, s, e))
             out.append((base, added))
     return out

@@ -6,6 +6,7 @@ task follows ``SLICE_BYTES`` or the longest single text, whichever is larger.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,14 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+def release() -> None:
+    """Gives freed memory back to the system, which allocators else keep for the worker's next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null rows are empty.  The bytes are a read-only view."""
     if isinstance(column, pa.ChunkedArray):
