@@ -46,20 +46,28 @@ def order_columns(tie: Column | str = "emit_seq") -> list[Column]:
             F.col("detector_id").asc(), F.coalesce("key", "expression").asc(), F.col(tie).asc() if isinstance(tie, str) else tie.asc()]
 
 
-def with_ordinal(findings: DataFrame, tie: str = "emit_seq") -> DataFrame:
-    """``ordinal``: the stable place of every finding in its scan, from 1.
+def placed(frame: DataFrame, *order: Column | str, by: str | None = None, place: str = "place") -> DataFrame:
+    """``frame`` with the place of every row in the given order, from 1; within the rows of equal ``by``, if given.
 
-    A scan may hold most rows, so the place is not a window over the scan: rows are numbered by one range sort, written
-    once since the numbers must not change when read again, and become places by the counts of earlier partitions.
+    One value of ``by`` may hold most rows, so the place is not a window over them: rows are numbered by one range sort,
+    written once since the numbers must not change when read again, and become places by the counts of earlier
+    partitions.  Nulls stand first unless the order says otherwise.
     """
-    ranged = findings.repartitionByRange(F.col("scan_id"), *order_columns(tie)).sortWithinPartitions(F.col("scan_id"), *order_columns(tie))
-    numbered = written(ranged.withColumn("_gid", F.monotonically_increasing_id()), "ordinals").withColumn("_part", F.shiftrightunsigned("_gid", 33))
-    counts = numbered.groupBy("scan_id", "_part").agg(F.count("*").alias("_n"), F.min("_gid").alias("_least"))
-    earlier = Window.partitionBy("scan_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("scan_id", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least") + 1).alias("_shift"))
+    columns = [F.col(o) if isinstance(o, str) else o for o in order]
+    own = [] if by is None else [F.col(by)]
+    ranged = frame.repartitionByRange(*own, *columns).sortWithinPartitions(*own, *columns)
+    numbered = written(ranged.withColumn("_gid", F.monotonically_increasing_id()), "places").withColumns({"_part": F.shiftrightunsigned("_gid", 33), "_by": own[0] if own else F.lit(0)})
+    counts = numbered.groupBy("_by", "_part").agg(F.count("*").alias("_n"), F.min("_gid").alias("_least"))
+    earlier = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_by", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least") + 1).alias("_shift"))
     left, right = numbered.alias("l"), base.alias("r")
-    on = F.col("l.scan_id").eqNullSafe(F.col("r.scan_id")) & (F.col("l._part") == F.col("r._part"))
-    return left.join(right, on).select(*[F.col(f"l.{c}") for c in findings.columns if c != "ordinal"], (F.col("_gid") + F.col("_shift")).alias("ordinal"))
+    on = F.col("l._by").eqNullSafe(F.col("r._by")) & (F.col("l._part") == F.col("r._part"))
+    return left.join(right, on).select(*[F.col(f"l.{c}") for c in frame.columns if c != place], (F.col("_gid") + F.col("_shift")).alias(place))
+
+
+def with_ordinal(findings: DataFrame, tie: str = "emit_seq") -> DataFrame:
+    """``ordinal``: the stable place of every finding in its scan, from 1."""
+    return placed(findings, *order_columns(tie), by="scan_id", place="ordinal")
 
 
 def split(findings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ MAX_BROADCAST_RULES = 10_000
 
 
 def _small(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules) if len(rules.limit(MAX_BROADCAST_RULES + 1).collect()) <= MAX_BROADCAST_RULES else rules
+    return F.broadcast(rules) if rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES else rules
 
 
 def match_methods(calls: DataFrame, rules: DataFrame) -> DataFrame:
