@@ -16,6 +16,7 @@ in common.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -36,7 +37,7 @@ GATES = (ORDERS + 1) * 8
 BUCKETS = 24
 #: Bytes of texts in a block, about (a longer text makes a longer block), and how many blocks there are at least while
 #: each has so many bytes.
-BLOCK, BLOCKS, LEAST = 24 << 20, 8, 1 << 16
+BLOCK, BLOCKS, LEAST = 20 << 20, 8, 1 << 16
 #: Tasks that blocks or shards are dealt to, at most; each may take several.
 TASKS = 8192
 #: Pairs of a step of learning, those predicted at once, and bytes whose pairs are sorted at once.
@@ -488,7 +489,7 @@ def _dealt(distinct: list[tuple[np.ndarray, np.ndarray]], shards: int) -> list[t
     out = []
     for k, (keys, _) in enumerate(distinct):
         shard = (mix(keys >> np.uint64(8) if k < ORDERS else keys) % np.uint64(shards)).astype(np.int32)
-        by = np.argsort(shard, kind="stable")
+        by = np.argsort(shard, kind="stable").astype(np.int32)
         out.append((by, np.searchsorted(shard[by], np.arange(shards + 1))))
     return out
 
@@ -558,7 +559,7 @@ def _answers(asks: DataFrame, shards: int) -> DataFrame:
     return asks.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, paths binary")
 
 
-def _with_counts(row: dict, answers: list[dict], shards: int) -> tuple[Spelling, Mixer, np.ndarray]:
+def _with_counts(row: dict, answers: Iterator[dict], shards: int) -> tuple[Spelling, Mixer, np.ndarray]:
     """A block's texts, a mixer over the counts of their contexts, and the counts of all their words."""
     s = Spelling(_column(row))
     keys = [*(k for k, _ in s.distinct()), _added(np.sort(s.tokens[0]), None)[0]]
@@ -572,6 +573,7 @@ def _with_counts(row: dict, answers: list[dict], shards: int) -> tuple[Spelling,
         for w, i, table in zip(widths, own, tables):
             table[:, i] = flat[lo:lo + w * len(i)].reshape(w, len(i))
             lo += w * len(i)
+    del dealt
     words = tables.pop()[0][np.searchsorted(keys[-1], s.tokens[0])]
     m = Mixer(None, None)
     m._room(int(s.index[2][-1]))
@@ -604,7 +606,7 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
     def run(key, texts, answers):
         out = []
         for row in _rows(texts.to_batches()):
-            s, m, c = _with_counts(row, answers.to_pylist(), many)
+            s, m, c = _with_counts(row, _rows(answers.to_batches()), many)
             m.weights, m.map = shared.value
             first, size = s.tokens[1], np.diff(s.first)
             score, base = m.log10(s), segment_sum(np.log10(c + 0.1) - floor, first)

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import random
-from bisect import bisect_right
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -118,44 +118,81 @@ def features(pad: np.ndarray, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- the field ---------------------------------------------------------------------------------------------------
 
-def labelled_table(seed: int = 7, rows: int = 320) -> list[list[tuple[str, str]]]:
-    """A small labelled table: lines of (word, label), made from templates with drawn words, values and decoys."""
+#: Ordinary words of four languages, for the lines of the labelled table.
+_WORDS = (
+    "the a of and to in is for on with was this that from they have been were said when office report please send before meeting order paid Monday June "
+    "le la les des est une pour dans avec nous vous lundi facture merci "
+    "der die das und ist nicht mit auf wir bitte Rechnung Montag danke "
+    "el los una que por para con factura lunes gracias").split()
+
+
+def labelled_table(seed: int = 7, rows: int = 400) -> list[list[tuple[str, str]]]:
+    """A small labelled table: lines of (word, label), made from templates with drawn words, values and decoys.
+
+    Half of the words are ordinary ones, half are drawn from syllables; hosts, national forms of phone numbers, headers
+    and assignments of secrets vary, so that the field goes by shapes and not by one source's habits.
+    """
     rng = random.Random(seed)
     syllables = "th er on an re he in ed nd ha at en es or nt ti st le de la que ver sch ción ment é ü".split()
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", "", ",", "."])
+    plain = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    word = lambda: (rng.choice(_WORDS) if rng.random() < 0.5 else plain()) + rng.choice(["", "", "", "", ",", "."])
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    tail = lambda x: x + rng.choice(["", "", "", ",", ".", "###", "!!", "%%%"])
+    tail = lambda x: x + rng.choice(["", "", "", "", ",", ".", ";", ")", "###", "!!", "%%%"])
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
 
     def email():
-        return [(tail(f"{word().strip('.,')}.{digits(2)}@{rng.choice(['mail', 'post'])}{digits(1)}.{rng.choice(['example', 'host'])}.{rng.choice(['com', 'org', 'net'])}"), "email")]
+        local = rng.choice([f"{plain()}.{digits(2)}", f"{plain()}.{plain()}", plain(), f"{plain()}_{plain()}", f"{plain()}+{plain()}", f"{plain()[:1]}{plain()}{digits(2)}"])
+        host = rng.choice([f"{rng.choice(['mail', 'post'])}{digits(1)}.{rng.choice(['example', 'host'])}", plain(), f"{plain()}-{plain()}", f"{plain()}.{plain()}", f"dept.{plain()}"])
+        return [(rng.choice(["", "", "<", "("]) + tail(f"{local}@{host}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'io', 'edu'])}"), "email")]
 
     def ip():
-        return [(tail(".".join(str(rng.randint(1, 255)) for _ in range(4))), "ip")]
+        return [(rng.choice(["", "", "", "["]) + tail(".".join(str(rng.randint(1, 255)) for _ in range(4))), "ip")]
 
     def card():
         d = digits(16)
-        return [(tail(d), "card")] if rng.random() < 0.6 else [(p, "card") for p in (d[:4], d[4:8], d[8:12], tail(d[12:]))]
+        if rng.random() < 0.5:
+            return [(tail(d), "card")]
+        if rng.random() < 0.3:
+            return [(tail("-".join((d[:4], d[4:8], d[8:12], d[12:]))), "card")]
+        return [(p, "card") for p in (d[:4], d[4:8], d[8:12], tail(d[12:]))]
 
     def phone():
-        form = rng.random()
-        if form < 0.4:
-            return [("+" + digits(1), "phone"), (f"({digits(3)})", "phone"), (tail(f"{digits(3)}-{digits(4)}"), "phone")]
-        if form < 0.7:
-            return [(f"({digits(3)})", "phone"), (tail(f"{digits(3)}-{digits(4)}"), "phone")]
-        return [(tail(f"{digits(3)}-{digits(3)}-{digits(4)}"), "phone")]
+        a, b = digits(3), digits(4)
+        return rng.choice([
+            lambda: [("+" + digits(1), "phone"), (f"({digits(3)})", "phone"), (tail(f"{a}-{b}"), "phone")],
+            lambda: [("+" + digits(1), "phone"), (f"({digits(3)})", "phone"), (tail(f"{a}-{b}"), "phone")],
+            lambda: [(f"({digits(3)})", "phone"), (tail(f"{a}-{b}"), "phone")],
+            lambda: [(f"({digits(3)})", "phone"), (tail(f"{a}-{b}"), "phone")],
+            lambda: [(tail(f"{digits(3)}-{a}-{b}"), "phone")],
+            lambda: [(tail(f"{digits(3)}-{a}-{b}"), "phone")],
+            lambda: [(tail(f"1-800-{a}-{b}"), "phone")],
+            lambda: [(tail(f"{digits(3)}.{a}.{b}"), "phone")],
+            lambda: [("+" + digits(2), "phone"), (digits(2), "phone"), (digits(4), "phone"), (tail(digits(4)), "phone")],
+            lambda: [(tail(f"+{digits(2)}-{digits(2)}-{digits(7)}"), "phone")],
+            lambda: [(tail(f"0{digits(3)}/{digits(7)}"), "phone")],
+        ])()
 
     def secret():
         value = hexa(rng.choice([32, 40, 64])) if rng.random() < 0.6 else key(rng.randint(24, 44))
-        return [(rng.choice(["token", "key", "secret"]), "outside"), ("=", "outside"), (tail(f'"{value}"'), "secret")]
+        name = rng.choice(["token", "key", "secret", "password", "api_key"])
+        return rng.choice([
+            lambda: [(name, "outside"), ("=", "outside"), (tail(f'"{value}"'), "secret")],
+            lambda: [(name, "outside"), ("=", "outside"), (tail(f'"{value}"'), "secret")],
+            lambda: [(name, "outside"), ("=", "outside"), (tail(value), "secret")],
+            lambda: [(name + ":", "outside"), (tail(value), "secret")],
+            lambda: [("Authorization:", "outside"), ("Bearer", "outside"), (value, "secret")],
+            lambda: [(f'"{name}":', "outside"), (f'"{value}",', "secret")],
+        ])()
 
     def decoy():
         return [(rng.choice([
             digits(rng.randint(1, 6)), f"20{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}",
             f"${digits(2)}.{digits(2)}", f"{digits(1)}.{digits(2)}", word().upper().strip(",.") + "!!", word() + rng.choice(["###", "***", "$$$", "&&&", "%%%"]), "|", "=", "-",
             word().capitalize(), word().upper(), f"({word().strip('.,')})", f"{word().strip('.,')}-{word()}", f"{digits(2)}%", "http://" + word().strip(".,") + ".com/" + word(), digits(8),
-            f"{word().strip('.,')}.{word()}", f"{digits(1)}.", "BY-NC", "4.0.", f"[{digits(1)}]", f"{digits(2)}:{digits(2)}"]), "outside")]
+            f"{word().strip('.,')}.{word()}", f"{digits(1)}.", "BY-NC", "4.0.", f"[{digits(1)}]", f"{digits(2)}:{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(2)}/{digits(2)}/{digits(4)}",
+            f"v{digits(1)}.{digits(2)}", f"{digits(1)}-{digits(2)}", f"No.{digits(4)}", f"@{plain()}", f"{plain()}_{plain()}", f"{plain()}()", f"#{digits(4)}", f"{digits(3)}-{digits(3)}", f"{plain()}/{plain()}.py",
+            f"{digits(3)},{digits(3)}", f"{plain()}=", "-->", f"<{plain()}>", f"{digits(1)},{digits(2)}"]), "outside")]
 
     makers = [email, ip, card, phone, secret]
     out = []
