@@ -46,6 +46,7 @@ def rotated(conversations: DataFrame, part: int = PART, instructions: tuple[str,
     ``masks``: spans ``{start, end}`` of the part's text, in code points, of what the speaker says with the mark that
     ends it.  Turns stand in the order of turn, role, text; exact repeats of a turn count once.  A null role is
     ``unknown``, a null text empty, a null turn comes first, and rows with a null conv_id are one conversation.
+    Marks in texts and names are written ``<\\|`` and names are one line, so no turn can end another or speak for someone.
     ``instructions`` are rendered as such and have no perspective; a conversation of those alone has no row.  An empty
     table gives an empty result; other columns are not read.
     """
@@ -55,12 +56,15 @@ def rotated(conversations: DataFrame, part: int = PART, instructions: tuple[str,
     blocks = placed.groupBy("conv_id", F.floor(F.col("pos") / part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
     each = blocks.alias("b").join(speakers.alias("s"), F.col("b.conv_id").eqNullSafe(F.col("s.conv_id"))).select("b.conv_id", "speaker", "part", "turns")
 
+    def plain(x):
+        return F.replace(x, F.lit("<|"), F.lit("<\\|"))
+
     def head(t):
         return (F.when(t["role"].isin(*instructions), F.concat(F.lit("<|"), t["role"], F.lit("|>\n")))
                 .when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n"))
-                .otherwise(F.concat(F.lit("<|user|>"), t["role"], F.lit("\n"))))
+                .otherwise(F.concat(F.lit("<|user|>"), F.translate(plain(t["role"]), "\n", " "), F.lit("\n"))))
 
-    said = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit("<|end|>\n")).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
+    said = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(plain(t["text"]), F.lit("<|end|>\n")).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
     each = each.withColumn("said", said)
     spans = F.aggregate(
         "said", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),

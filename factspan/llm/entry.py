@@ -86,8 +86,8 @@ with t as (select distinct conv_id, turn, coalesce(role, '{chat.UNKNOWN}') as ro
 p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from t),
 s as (select distinct conv_id c, role as speaker from t where role not in ('system')),
 e as (select p.*, s.speaker, (pos // {chat.PART})::bigint as part,
-        case when role in ('system') then '<|' || role || '|>' || chr(10) when role = speaker then '<|assistant|>' || chr(10) else '<|user|>' || role || chr(10) end as head,
-        text || '<|end|>' || chr(10) as body from p join s on p.conv_id is not distinct from s.c),
+        case when role in ('system') then '<|' || role || '|>' || chr(10) when role = speaker then '<|assistant|>' || chr(10) else '<|user|>' || replace(replace(role, '<|', '<\|'), chr(10), ' ') || chr(10) end as head,
+        replace(text, '<|', '<\|') || '<|end|>' || chr(10) as body from p join s on p.conv_id is not distinct from s.c),
 o as (select *, coalesce(sum(length(head) + length(body)) over (partition by conv_id, speaker, part order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from e)
 select conv_id, speaker, part, count(*)::bigint as n_turns, string_agg(head || body, '' order by pos) as text,
   coalesce(string_agg((start + length(head))::varchar || ':' || (start + length(head) + length(body) - 1)::varchar, ',' order by pos) filter (where role = speaker), '') as masks
