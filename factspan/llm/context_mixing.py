@@ -108,7 +108,7 @@ def _blocks(texts: DataFrame, many: int) -> DataFrame:
 
     fields = f"block int, ids array<{kind}>, held array<boolean>, copies array<long>, sizes array<long>, streams binary"
     read_out = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)).cast("int").alias("block"), "doc_id", "held_out", "text").mapInArrow(read, fields)
-    return read_out.repartition(min(many, TASKS), "block").groupBy("block").applyInArrow(pack, fields + ", learnt array<double>, n_tokens long, n_words long, words binary")
+    return read_out.repartitionById(min(many, TASKS), "block").groupBy("block").applyInArrow(pack, fields + ", learnt array<double>, n_tokens long, n_words long, words binary")
 
 
 def _rows(batches):
@@ -556,7 +556,7 @@ def _answers(asks: DataFrame, shards: int) -> DataFrame:
         blobs = [_packed(np.concatenate(o)) for o in out]
         return pa.table([pa.array(block, pa.int32()), pa.array(np.full(len(block), key[0].as_py(), np.int32)), pa.array(blobs, pa.binary())], names=["block", "shard", "paths"])
 
-    return asks.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, paths binary")
+    return asks.repartitionById(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, paths binary")
 
 
 def _with_counts(row: dict, answers: Iterator[dict], shards: int) -> tuple[Spelling, Mixer, np.ndarray]:
@@ -595,7 +595,7 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(MODULUS) == HELD_OUT).alias("held_out"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     many = max(1, -(-int(size) // BLOCK), min(BLOCKS, int(size) // LEAST))
-    blocks = written(_blocks(texts, many), "lm-blocks")
+    blocks = written(_blocks(texts, many), "lm-blocks", maxRecordsPerFile=1)
     m, v = _averaged(blocks), _training_words(blocks)
     shared = docs.sparkSession.sparkContext.broadcast((m.weights, m.map))
     answers = _answers(_asks(blocks, many), many)
@@ -620,4 +620,5 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return streams.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    dealt = (x.repartitionById(min(many, TASKS), "block").groupBy("block") for x in (streams, answers))
+    return next(dealt).cogroup(next(dealt)).applyInArrow(run, schema)

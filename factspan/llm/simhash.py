@@ -2,7 +2,7 @@
 
 Fingerprints come from numpy over whole texts.  Links between distinct fingerprints are found by joins on
 blocks: of five blocks of a fingerprint, two fingerprints that differ in three bits or fewer share at least two,
-so every pair of blocks is one key.  A key that too many fingerprints share is split again by the same rule over
+so every pair of blocks is one key (of six or seven blocks three or four, where there are very many fingerprints).  A key that too many fingerprints share is split again by the same rule over
 its remaining bits (exact, since the remaining bits also differ in three at most), three times at most, after
 which 14 free bits bound what a key can hold.  No key is dropped or capped.
 """
@@ -72,30 +72,38 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _masks(parent: int) -> list[int]:
-    """``parent`` plus any two of five blocks of the bits that it leaves free."""
+def _masks(parent: int, blocks: int = 5) -> list[int]:
+    """``parent`` plus all but three of the blocks, in any choice, of the bits that it leaves free."""
     free = [b for b in range(64) if not parent >> b & 1]
-    cuts = [round(k * len(free) / 5) for k in range(6)]
-    blocks = [sum(1 << b for b in free[cuts[k]:cuts[k + 1]]) for k in range(5)]
-    return [parent | x | y for x, y in itertools.combinations(blocks, 2)]
+    cuts = [round(k * len(free) / blocks) for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in free[cuts[k]:cuts[k + 1]]) for k in range(blocks)]
+    return [parent | sum(some) for some in itertools.combinations(parts, blocks - MAX_BITS)]
+
+
+def _blocks(n: int) -> int:
+    """How many blocks spread ``n`` fingerprints so that a key of chance holds a few: five up to 800 million (10 keys
+    each), six up to 70 billion (20 keys), then seven (35)."""
+    return next((b for b in (5, 6) if n <= 16 * 2 ** (64 * (b - MAX_BITS) / b)), 7)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE, blocks: int | None = None) -> DataFrame:
     """All pairs ``(a, b)`` of the distinct fingerprints ``fps(fp)`` that differ in ``max_bits`` (at most 3) bits or fewer.
 
-    Every level compares the fingerprints of small keys and hands those of large keys to the next level.
+    Every level compares the fingerprints of small keys and hands those of large keys to the next level.  The first
+    level has ``blocks`` blocks, by the count of the fingerprints where none are given.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two of five blocks are shared only at three differing bits or fewer")
     spark = fps.sparkSession
     rows = fps.select("fp", F.lit(0).cast("long").alias("mask"))
     parents, found = [0], None
+    blocks = blocks or _blocks(fps.count())
     for level in range(3):
-        steps = {p: _masks(p) for p in parents}
+        steps = {p: _masks(p, 5 if level else blocks) for p in parents}
         if level:
             table = spark.createDataFrame([(_signed(p), _signed(m)) for p, ms in steps.items() for m in ms], "mask long, next long")
             rows = rows.join(F.broadcast(table), "mask").select("fp", F.col("next").alias("mask"))
