@@ -57,13 +57,11 @@ def key_blocks(items: DataFrame) -> DataFrame:
     """One row of HTML per finding in the order of ``grouped``, with the head of a block where a key begins and its end
     where it ends: ``html`` rows that follow each other are the list of keys.  No key's findings are gathered."""
     e = K.html_escape
-    w = Window.partitionBy("normalized_key")
-    path = F.coalesce("path", F.lit(""))
     rows = items.select("normalized_key", "ordinal", priority().alias("priority"), K.display_value(F.col("value.raw"), F.col("default_value.raw")).alias("shown"), F.col("source.path").alias("path"), "role")
-    first = F.row_number().over(w.orderBy(F.col("priority").desc(), "ordinal")) == 1
-    last = F.row_number().over(w.orderBy("priority", F.col("ordinal").desc())) == 1
-    n = F.count("*").over(w).cast("string")
-    rows = rows.withColumns({"begins": first, "ends": last, "n": n})
+    rows = rows.withColumn("at", F.struct((-F.col("priority")).alias("p"), "ordinal"))
+    per = rows.groupBy("normalized_key").agg(F.min("at").alias("least"), F.max("at").alias("most"), F.count("*").cast("string").alias("n"))
+    rows = rows.join(per, "normalized_key").withColumns({"begins": F.col("at") == F.col("least"), "ends": F.col("at") == F.col("most")})
+    path = F.coalesce("path", F.lit(""))
     head = F.concat(F.lit("<details><summary>"), e("normalized_key"), F.lit(" ("), "n", F.lit(")</summary><table><tr><th>role</th><th>value</th><th>source</th></tr>"))
     cells = F.concat(*[x for c in ("role", "shown") for x in (F.lit("<td>"), e(F.coalesce(c, F.lit(""))), F.lit("</td>"))], F.lit("<td>"), e(path), F.lit("</td>"))
     text = F.lower(F.concat_ws(" ", "normalized_key", "shown", "path"))
