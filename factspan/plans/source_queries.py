@@ -15,6 +15,7 @@ from ..functions import keys as K
 from ..operators import diff as D
 from ..operators import export
 from ..operators.findings import placed
+from ..shared import written
 from ..sources import detectors as R
 from ..sources import java as J
 from ..sources.leaves import leaves
@@ -40,6 +41,11 @@ def _files(spark, d, *given: tuple[str, str, str]) -> DataFrame:
     return e.select(F.col("event_id").cast("string").alias("scan_id"), F.inline(made))
 
 
+def _scalars(files: DataFrame) -> DataFrame:
+    """The scalars of the files, parsed once for all plans over them."""
+    return written(leaves(files), "query-scalars")
+
+
 _COLUMNS = ("path", "line", "role", "key", "raw", "default_raw", "profile")
 
 
@@ -65,12 +71,12 @@ _reader("q50_env_file", [(_ENV, "ENV", "# head\nexport K_«t»='v «k»'\nNUM=«
         (_ENV, 8, "METADATA", "SPRING_PROFILES_ACTIVE", "x", None, "prod"))
 
 _YML = "src/main/resources/application.yml"
-_reader("q51_yaml_file", [(_YML, "YAML", "server:\n  port: «k»\n  name: \"«t»\"\nlist: [a, «k»]\ngone: ~\n---\nspring.config.activate.on-profile: p«u»\nflag: TRUE\n")], lambda f: R.application_files(leaves(f)),
+_reader("q51_yaml_file", [(_YML, "YAML", "server:\n  port: «k»\n  name: \"«t»\"\nlist: [a, «k»]\ngone: ~\n---\nspring.config.activate.on-profile: p«u»\nflag: TRUE\n")], lambda f: R.application_files(_scalars(f)),
         (_YML, 2, "DEFINE", "server.port", "«k»", None, None), (_YML, 3, "DEFINE", "server.name", "«t»", None, None), (_YML, 4, "DEFINE", "list[0]", "a", None, None), (_YML, 4, "DEFINE", "list[1]", "«k»", None, None),
         (_YML, 7, "METADATA", "spring.config.activate.on-profile", "p«u»", None, "p«u»"), (_YML, 8, "DEFINE", "flag", "true", None, "p«u»"))
 
 _PROPS = "application-x.properties"
-_reader("q52_properties_file", [(_PROPS, "PROPERTIES", "a.«t» = «k»\n! note\nb : x\\\n   y\nc\\ d=\\u0041\na.«t»=last\n")], lambda f: R.application_files(leaves(f)),
+_reader("q52_properties_file", [(_PROPS, "PROPERTIES", "a.«t» = «k»\n! note\nb : x\\\n   y\nc\\ d=\\u0041\na.«t»=last\n")], lambda f: R.application_files(_scalars(f)),
         (_PROPS, 6, "DEFINE", "a.«t»", "last", None, "x"), (_PROPS, None, "DEFINE", "b", "xy", None, "x"), (_PROPS, None, "DEFINE", "c d", "A", None, "x"))
 
 _reader("q53_entries_in_values", [(".env", "ENV", "JAVA_TOOL_OPTIONS=-Da.«t»=«k» -Xmx1g\nSPRING_APPLICATION_JSON={x: {y: «k»}}\nURL=${HOST:-${H.«t»:h«k»}}/p\n")], lambda f: R.expanded(R.environment_files(f)),
@@ -79,7 +85,7 @@ _reader("q53_entries_in_values", [(".env", "ENV", "JAVA_TOOL_OPTIONS=-Da.«t»=
 
 _XML = "src/main/resources/logback-spring.xml"
 _reader("q55_runtime_xml", [(_XML, "XML", '<configuration><springProperty name="n" source="log.«t»" defaultValue="«k»"/><springProperty name="m" source="b" defaultValue=" "/><x y="${p.«t»:z}"/></configuration>'),
-                            ("web.xml", "XML", "<web-app><context-param><param-name>cp</param-name><param-value>«u»</param-value></context-param></web-app>")], lambda f: R.runtime_xml(leaves(f)),
+                            ("web.xml", "XML", "<web-app><context-param><param-name>cp</param-name><param-value>«u»</param-value></context-param></web-app>")], lambda f: R.runtime_xml(_scalars(f)),
         (_XML, None, "READ", "log.«t»", None, "«k»", None), (_XML, None, "READ", "b", None, None, None), (_XML, None, "READ", "p.«t»", None, "z", None), ("web.xml", None, "DEFINE", "cp", "«u»", None, None))
 
 _reader("q56_hocon_file", [("application.conf", "HOCON", "a = 1\nblk {\n  c = «k»\n}\nd.«t»: \"x y\"\n# no\ne f = 1\n")], R.hocon_files,
@@ -89,14 +95,14 @@ _reader("q57_dockerfile", [("Dockerfile", "DOCKERFILE", "FROM x\nENV A=«k» B=\
         *[("Dockerfile", line, "DEFINE", key, raw, None, None) for line, key, raw in ((2, "A", "«k»"), (2, "B", "two words"), (2, "C", "3"), (4, "K", "«t»"), (5, "JAVA_OPTS", "-Dd.«t»=7"), (5, "d.«t»", "7"), (7, "z.«t»", "1"), (7, "server.port", "«k»"))])
 
 _COMPOSE = "docker-compose.yml"
-_reader("q58_compose_file", [(_COMPOSE, "YAML", "services:\n  web:\n    environment:\n      A: \"«k»\"\n      B: true\n    command: [\"--x.y=«t»\"]\n  db:\n    environment:\n      - P=«u»\n")], lambda f: R.compose_files(leaves(f)),
+_reader("q58_compose_file", [(_COMPOSE, "YAML", "services:\n  web:\n    environment:\n      A: \"«k»\"\n      B: true\n    command: [\"--x.y=«t»\"]\n  db:\n    environment:\n      - P=«u»\n")], lambda f: R.compose_files(_scalars(f)),
         *[(_COMPOSE, None, "DEFINE", key, raw, None, None) for key, raw in (("A", "«k»"), ("B", "true"), ("x.y", "«t»"), ("P", "«u»"))])
 
 _KUBE = "k8s/d.yaml"
 _reader("q59_kubernetes_file", [(_KUBE, "YAML", (
     "apiVersion: v1\nkind: ConfigMap\nmetadata: {name: cm«u»}\ndata: {m.«t»: f«k»}\n---\napiVersion: v1\nkind: Secret\nmetadata: {name: sec}\ndata: {pw: aGk=}\nstringData: {tok: t«k»}\n---\n"
     "apiVersion: apps/v1\nkind: Deployment\nmetadata: {name: d}\nspec:\n  template:\n    spec:\n      containers:\n      - name: c\n        env: [{name: E1, value: \"5\"}]\n"
-    "        envFrom: [{prefix: P_, configMapRef: {name: cm«u»}}]\n        args: [\"--k.l=«k»\"]\n"))], lambda f: R.kubernetes_files(leaves(f)),
+    "        envFrom: [{prefix: P_, configMapRef: {name: cm«u»}}]\n        args: [\"--k.l=«k»\"]\n"))], lambda f: R.kubernetes_files(_scalars(f)),
         *[(_KUBE, None, role, key, raw, None, None) for role, key, raw in (
             ("DEFINE", "m.«t»", "f«k»"), ("DEFINE", "tok", "t«k»"), ("METADATA", "kubernetes.secret.data.sec.pw", "pw"), ("DEFINE", "E1", "5"), ("METADATA", "kubernetes.env-from.config-map.cm«u»", "cm«u»"),
             ("DEFINE", "P_m.«t»", "f«k»"), ("DEFINE", "k.l", "«k»"))])
@@ -106,7 +112,7 @@ _CHAIN = [("application.properties", "PROPERTIES", "spring.config.import=f1.prop
 
 
 def _imported(files: DataFrame) -> DataFrame:
-    scalars = leaves(files)
+    scalars = _scalars(files)
     return R.imports(R.application_files(scalars), files, scalars)
 
 
@@ -118,7 +124,14 @@ _JAVA = [("A.java", "JAVA", (
     'class A {\n  static final String K = "my." + "key";\n  @Value("${v.«t»:dd}") String s;\n  @ConditionalOnProperty(prefix = "feat", name = {"a", "b"}, havingValue = "«k»") void f(String n) {\n'
     '    System.getProperty(K, "«k»"); System.getenv(LATE);\n    System.getProperty("a.«t»." + n); System.setProperties(p);\n    SpringApplication.run(A.class, args);\n'
     '    new MapPropertySource("m", Map.ofEntries(Map.entry("mk", "«t»"), Map.entry(K, 5)));\n    System.setProperty("set.«t»", "v");\n  }\n  static final String LATE = "late.«u»";\n}\n'))]
-_reader("q61_java_file", _JAVA, lambda f: J.java_entries(f)[0],
+
+
+def _java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries and uncertain accesses, over files that are parsed once, as a scan does."""
+    return J.java_entries(files, rows=written(J.invocation_rows(files), "query-invocations"), scalars=_scalars(files))
+
+
+_reader("q61_java_file", _JAVA, lambda f: _java(f)[0],
         *[("A.java", line, role, key, raw, default, None) for line, role, key, raw, default in (
             (3, "READ", "v.«t»", None, "dd"), (4, "CONDITION", "feat.a", None, "«k»"), (4, "CONDITION", "feat.b", None, "«k»"), (5, "READ", "my.key", None, "«k»"), (5, "READ", "late.«u»", None, None),
             (8, "DEFINE", "mk", "«t»", None), (8, "DEFINE", "my.key", "5", None), (9, "DEFINE", "set.«t»", "v", None))])
@@ -129,7 +142,7 @@ with e as ({_EVENTS})
 select event_id, 6 as line, {_expression('"a.«t»." + n')} as expression, 'STRING_CONCAT' as reason, 'System.getProperty' as root_sink from e
 union all select event_id, 6, 'p', 'MAP_DRIVEN_KEY', 'System.setProperties' from e union all select event_id, 7, 'args', 'COMMAND_LINE_ARGS', 'SpringApplication.run' from e""")
 def java_uncertain(spark, d):
-    return J.java_entries(_files(spark, d, *_JAVA))[1].select(F.col("scan_id").cast("long").alias("event_id"), "line", "expression", "reason", "root_sink")
+    return _java(_files(spark, d, *_JAVA))[1].select(F.col("scan_id").cast("long").alias("event_id"), "line", "expression", "reason", "root_sink")
 
 
 _META = '{"properties":[{"name":"m.«t»","type":"java.lang.Integer","defaultValue":«k»},{"name":"f.«u»","type":"java.lang.Boolean","defaultValue":true},{"name":"d","type":"java.time.Duration","defaultValue":"PT1S"},{"name":"s","defaultValue":"v"},{"type":"x"}]}'
