@@ -40,7 +40,7 @@ def yaml_leaves(text: str) -> Iterator[tuple[int, list[str], str | None]]:
             return v.lower()
         return str(int(v)) if re.fullmatch(r"[-+]?(0|[1-9][0-9]*)", v) else v
 
-    for doc, root in enumerate(yaml.compose_all(text, Loader=yaml.SafeLoader)):
+    for doc, root in enumerate(yaml.compose_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))):
         if root is not None:
             for segs, value in walk(root, []):
                 yield doc, segs, value
