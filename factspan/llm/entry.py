@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_mixing, decontaminate, licenses, pieces, pii, quality_mil, quality_rules, simhash, toxicity
+from . import ball_kmeans, byte_bpe, chat, collocations, context_mixing, decontaminate, licenses, pieces, pii, quality_mil, quality_rules, simhash, toxicity
 from .tables import read
 
 
@@ -54,6 +54,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "speaker", "part", "n_turns", "text", masks.alias("masks"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.decoded(byte_bpe.encoded(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.with_inertia(*ball_kmeans.clusters(read(spark, sf_dir, "embeddings")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_context_mixing": op2_context_mixing,
@@ -65,6 +78,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_collocations": op13_collocations,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -80,7 +96,49 @@ def _bounds() -> str:
     return " and ".join(parts)
 
 
+def _kmeans() -> str:
+    """All rounds as common tables: assignments ``a<t>`` over all pairs of vectors and centroids ``c<t>``."""
+    parts = [rf"""
+with x as materialized (
+  select row_number() over () r, vec_id, list_transform(embedding, lambda e: floor({ball_kmeans.SCALE} * e::double)::bigint) v from embeddings
+  where len(embedding) = {ball_kmeans.SIZE} and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+p as materialized (select r, unnest(v) y, generate_subscripts(v, 1) i from x),
+c0 as materialized (select c, unnest(v) y, generate_subscripts(v, 1) i from (
+  select row_number() over (order by sha256('{ball_kmeans.SEED}:' || coalesce(vec_id::varchar, '')), v) - 1 c, v from x order by c limit {ball_kmeans.K}))"""]
+    for t in range(ball_kmeans.ROUNDS + 1):
+        parts.append(f"""a{t} as materialized (select r, arg_min(c, (d, c)) c, min(d) d from (
+  select r, c, sum((p.y - k.y) * (p.y - k.y))::bigint d from p join c{t} k using (i) group by r, c) group by r)""")
+        if t < ball_kmeans.ROUNDS:
+            parts.append(f"""c{t + 1} as materialized (select c, coalesce((s - ((s % n) + n) % n) // n, k.y)::bigint y, i from c{t} k left join (
+  select c, i, sum(p.y)::hugeint s, count(*) n from p join a{t} using (r) group by c, i) using (c, i))""")
+    last = ball_kmeans.ROUNDS
+    return ",\n".join(parts) + f"""
+select vec_id, c::int "cluster", d distance, (sum(d) over (partition by c))::bigint cluster_inertia, (sum(d) over ())::bigint inertia, h centroid_sha256
+from a{last} join x using (r) join (select c, sha256(string_agg(y::varchar, ',' order by i)) h from c{last} group by c) using (c)"""
+
+
+def _collocations() -> str:
+    most, least = collocations.WORDS, collocations.LEAST
+    return rf"""
+with p as (select coalesce(lang, '{collocations.UNKNOWN}') lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p),
+t as (select lang, sum(len(w))::bigint n from w group by lang),
+g as (select lang, size, array_to_string(w[i:i + size - 1], ' ') phrase
+      from (select lang, w, size, unnest(range(1, len(w) - size + 2)) i from w, (select unnest(range(1, {most + 1})) size) s where len(w) >= size)),
+f as materialized (select lang, size, phrase, count(*)::bigint a from g group by all having count(*) >= {least}),
+c as (select * from f where size > 1),
+s as (select c.*, k, string_split(phrase, ' ') w from c, (select unnest(range(1, {most})) k) k where k < size),
+u as (select s.lang, s.phrase, s.size, s.a, k, x.a l, y.a r, n, (1000::hugeint * s.a * n) // (x.a::hugeint * y.a) score
+      from s join f x on x.lang = s.lang and x.phrase = array_to_string(w[1:k], ' ') join f y on y.lang = s.lang and y.phrase = array_to_string(w[k + 1:], ' ') join t on t.lang = s.lang),
+b as (select * from u qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+d as (select distinct c.lang, c.phrase from c join c z on z.lang = c.lang and z.size > c.size and z.a >= c.a and contains(' ' || z.phrase || ' ', ' ' || c.phrase || ' '))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r, n, score::bigint score
+from b anti join d using (lang, phrase) qualify "rank" <= {collocations.TOP}"""
+
+
 SQL = {
+    "op13_collocations": _collocations(),
+    "op12_ball_kmeans": _kmeans(),
     "op10_chat": rf"""
 with t as (select distinct conv_id, turn, coalesce(role, '{chat.UNKNOWN}') as role, coalesce(text, '') as text from conversations),
 p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from t),
