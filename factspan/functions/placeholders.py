@@ -21,9 +21,9 @@ def flat_placeholders(text: Column) -> Column:
         F.when(at(b) > 0, F.regexp_replace(F.substring(b, at(b) + 1, F.length(b)), "^-", "")).alias("default_value")))
 
 
-def scan(text: str | None, deep: bool = True) -> list[dict]:
-    """Placeholders of a text in order, nested ones (unless not ``deep``) after the one that holds them; an unclosed one
-    is no placeholder.
+def scan(text: str | None, deep: bool = True, keys: bool = True) -> list[dict]:
+    """Placeholders of a text in order, nested ones (unless not ``deep``, and unless they stand in a key and not ``keys``)
+    after the one that holds them; an unclosed one is no placeholder.
 
     The default begins after the first colon outside inner braces; ``:-`` counts as one separator.
     """
@@ -52,7 +52,7 @@ def scan(text: str | None, deep: bool = True) -> list[dict]:
             key = t[at + 2:colon if colon >= 0 else stop].strip()
             if key:
                 out.append({"key": key, "default_value": default, "raw": t[at:end]})
-            if deep and "${" in key:
+            if deep and keys and "${" in key:
                 todo.append(key)
             if deep and default and "${" in default:
                 todo.append(default)
@@ -64,11 +64,11 @@ _FOUND = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("k
 
 
 @F.pandas_udf(_FOUND)
-def _scanned(text: pd.Series, deep: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else scan(t, d) for t, d in zip(text, deep)], index=text.index)
+def _scanned(text: pd.Series, deep: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else scan(t, d, k) for t, d, k in zip(text, deep, keys)], index=text.index)
 
 
-def nested_placeholders(text: Column | str, deep: bool = True) -> Column:
+def nested_placeholders(text: Column | str, deep: bool = True, keys: bool = True) -> Column:
     """Array of ``{key, default_value, raw}`` of all placeholders, as ``scan`` finds them.
 
     Only texts in which one placeholder opens inside another leave the JVM; the others are a pattern.
@@ -82,4 +82,4 @@ def nested_placeholders(text: Column | str, deep: bool = True) -> Column:
         F.when(at(b) > 0, F.regexp_replace(F.substring(b, at(b) + 1, F.length(b)), "^-", "")).alias("default_value"),
         F.concat(F.lit("${"), b, F.lit("}")).alias("raw")))
     nested = F.when(t.rlike(r"\$\{[^}]*\$\{"), t)
-    return F.coalesce(_scanned(nested, F.lit(deep)), F.filter(flat, lambda x: x["key"] != ""))
+    return F.coalesce(_scanned(nested, F.lit(deep), F.lit(keys)), F.filter(flat, lambda x: x["key"] != ""))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings as N
@@ -56,7 +57,7 @@ class Pipeline:
     builder: Callable[[DataFrame, DataFrame, dict | None], N.Inventory] = N.assemble
     enrichers: list[Enricher] = field(default_factory=lambda: list(N.ENRICHERS))
     rules: dict = field(default_factory=dict)
-    metrics: list[tuple[str, int]] = field(default_factory=list)
+    metrics: list[tuple[str, int, int | None]] = field(default_factory=list)
 
     def detector(self, name: str, f: Detector) -> Pipeline:
         self.detectors[name] = f
@@ -89,15 +90,28 @@ class Pipeline:
         self.rules["usage_provider"] = f
         return self
 
-    def _timed(self, phase: str, began: float) -> None:
-        self.metrics.append((phase, int((time.monotonic() - began) * 1000)))
+    @contextmanager
+    def _phase(self, phase: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+        """Times a phase.  What it makes is written by the function given, which counts its rows in the same pass."""
+        began, counted = time.monotonic(), []
+
+        def kept(frame: DataFrame, name: str) -> DataFrame:
+            seen = Observation()
+            out = written(frame.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+            counted.append(seen)
+            return out
+
+        at = len(self.metrics)
+        try:
+            yield kept
+        finally:
+            rows = sum(x.get.get("rows") or 0 for x in counted) if counted else None
+            self.metrics.insert(at, (phase, int((time.monotonic() - began) * 1000), rows))
 
     def parsed(self, tree: DataFrame) -> dict[str, DataFrame]:
         """The scalars and the Java invocations of the files as tables of their own: every file is parsed once."""
-        began = time.monotonic()
-        out = {"scalars": written(leaves(tree), "scan-scalars"), "invocations": written(java.invocation_rows(tree), "scan-invocations")}
-        self._timed("parsing", began)
-        return out
+        with self._phase("parsing") as kept:
+            return {"scalars": kept(leaves(tree), "scan-scalars"), "invocations": kept(java.invocation_rows(tree), "scan-invocations")}
 
     def scan(self, tree: DataFrame, hints: dict | None = None, rules: dict | None = None, redacted: bool = False, project: dict | None = None) -> N.Inventory:
         """The inventory of ``tree`` (``schema.FILES``, any number of scans).
@@ -105,30 +119,33 @@ class Pipeline:
         A detector whose plan cannot be made gives a diagnostic and the others go on; a file that does not parse gives
         a diagnostic row of its own."""
         spark, found, failed = tree.sparkSession, [], []
-        parsed = self.parsed(tree)
-        context = self.rules | (rules or {}) | parsed
-        for name, f in self.detectors.items():
-            began = time.monotonic()
-            try:
-                found.append(written(f(tree, context), f"scan-{name}"))
-            except Exception as e:  # the scan goes on, and says so
-                failed.append(("ERROR", "detector-execution", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", name))
-            self._timed(f"detector:{name}", began)
-        diagnostics = detectors.parse_diagnostics(parsed["scalars"], parsed["invocations"])
+        with self._phase("file-indexing") as kept:
+            tree = kept(tree, "scan-files")  # every file is opened once, whatever reads it later
+        with self._phase("detector-execution"):
+            parsed = self.parsed(tree)
+            context = self.rules | (rules or {}) | parsed
+            for name, f in self.detectors.items():
+                try:
+                    with self._phase(f"detector:{name}") as kept:
+                        found.append(kept(f(tree, context), f"scan-{name}"))
+                except Exception as e:  # the scan goes on, and says so
+                    failed.append(("ERROR", "detector-execution", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", name))
+        diagnostics = detectors.parse_diagnostics(parsed["scalars"], parsed["invocations"], tree)
         if failed:
             scans = tree.select("scan_id").distinct()
             diagnostics = diagnostics.unionByName(scans.join(F.broadcast(spark.createDataFrame(failed, "severity string, phase string, message string, component_id string"))))
-        began = time.monotonic()
-        if not found:
-            found = [detectors.findings(detectors.environment_files(files.empty(spark)))]
-        all_ = reduce(DataFrame.unionByName, found)
-        for step in self.processors:
-            all_ = step(all_)
-        all_ = N.with_hints(self.normalizer(all_), **(hints or {}))
-        all_ = N.with_ordinal(all_).drop("emit_seq")
-        self._timed("normalization", began)
-        inv = self.builder(all_, diagnostics, project)
-        return reduce(lambda i, f: f(i), [*([N.with_redaction] if redacted else []), *self.enrichers], inv)
+        with self._phase("finding-processing"):
+            if not found:
+                found = [detectors.findings(detectors.environment_files(files.empty(spark)))]
+            all_ = reduce(DataFrame.unionByName, found)
+            for step in self.processors:
+                all_ = step(all_)
+        with self._phase("normalization") as kept:
+            all_ = kept(N.with_ordinal(N.with_hints(self.normalizer(all_), **(hints or {}))).drop("emit_seq"), "scan-findings")
+        with self._phase("inventory-building"):
+            inv = self.builder(all_, diagnostics, project)
+        with self._phase("enrichment"):
+            return reduce(lambda i, f: f(i), [*([N.with_redaction] if redacted else []), *self.enrichers], inv)
 
     def metric_rows(self, spark: SparkSession, scan_id: str) -> DataFrame:
-        return spark.createDataFrame([(scan_id, p, ms) for p, ms in self.metrics], METRICS)
+        return spark.createDataFrame([(scan_id, *m) for m in self.metrics], METRICS)

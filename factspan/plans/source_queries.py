@@ -85,7 +85,7 @@ _reader("q53_entries_in_values", [(".env", "ENV", "JAVA_TOOL_OPTIONS=-Da.«t»=
 
 _XML = "src/main/resources/logback-spring.xml"
 _reader("q55_runtime_xml", [(_XML, "XML", '<configuration><springProperty name="n" source="log.«t»" defaultValue="«k»"/><springProperty name="m" source="b" defaultValue=" "/><x y="${p.«t»:z}"/></configuration>'),
-                            ("web.xml", "XML", "<web-app><context-param><param-name>cp</param-name><param-value>«u»</param-value></context-param></web-app>")], lambda f: R.runtime_xml(_scalars(f)),
+                            ("web.xml", "XML", "<web-app><context-param><param-name>cp</param-name><param-value>«u»</param-value></context-param></web-app>")], lambda f: R.runtime_xml(_scalars(f)).unionByName(R.xml_placeholders(f)),
         (_XML, None, "READ", "log.«t»", None, "«k»", None), (_XML, None, "READ", "b", None, None, None), (_XML, None, "READ", "p.«t»", None, "z", None), ("web.xml", None, "DEFINE", "cp", "«u»", None, None))
 
 _reader("q56_hocon_file", [("application.conf", "HOCON", "a = 1\nblk {\n  c = «k»\n}\nd.«t»: \"x y\"\n# no\ne f = 1\n")], R.hocon_files,
@@ -118,7 +118,7 @@ def _imported(files: DataFrame) -> DataFrame:
 
 _reader("q60_imports", _CHAIN, _imported,
         ("f1.properties", 1, "METADATA", "spring.config.import", "optional:file:f2.properties", None, None), ("f1.properties", 2, "DEFINE", "k1", "«k»", None, None), ("f2.properties", 1, "DEFINE", "k2", "«t»", None, None),
-        ("f2.properties", 2, "METADATA", "spring.config.import", "application.properties,configtree:tree/", None, None), ("tree/user.name", None, "DEFINE", "user.name", "«u»", None, None))
+        ("f2.properties", 2, "METADATA", "spring.config.import", "application.properties,configtree:tree/", None, None), ("tree/user.name", 1, "DEFINE", "user.name", "«u»", None, None))
 
 _JAVA = [("A.java", "JAVA", (
     'class A {\n  static final String K = "my." + "key";\n  @Value("${v.«t»:dd}") String s;\n  @ConditionalOnProperty(prefix = "feat", name = {"a", "b"}, havingValue = "«k»") void f(String n) {\n'

@@ -20,7 +20,7 @@ FINDINGS = (
 )
 CHECKS = f"scan_id string, type string, severity string, message string, key string, source {SOURCE}"
 DIAGNOSTICS = "scan_id string, severity string, phase string, message string, component_id string"
-METRICS = "scan_id string, phase string, millis bigint"
+METRICS = "scan_id string, phase string, millis bigint, rows bigint"
 CHANGES = "key string, field string, old_value string, new_value string, new_source string"
 APP_CONFIGS = (
     "scope string, group_name string, config_key string, config_value string, secret int, "

@@ -6,25 +6,33 @@ types, placeholders, JVM options and embedded JSON are worked out for all entrie
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keys as K
 from ..functions.placeholders import nested_placeholders
 from ..schema import DETAILS, FINDINGS
 from ..shared import written
 from .leaves import leaves, yaml_leaves
+from .tree import contents
 
-ENTRY = ("scan_id", "path", "scope", "line", "detector_id", "detector_rank", "role", "key", "raw", "default_raw", "profile", "confidence", "source_kind", "value_kind", "details_type", "extra", "namespace", "group", "data_id")
+ENTRY = ("scan_id", "path", "scope", "line", "detector_id", "detector_rank", "role", "key", "raw", "default_raw", "profile", "confidence", "source_kind", "value_kind", "details_type", "extra", "namespace", "group", "data_id", "symbol")
 
 #: Order in which the detectors' findings stand where all else is equal; fixed values.
 RANKS = {n: i for i, n in enumerate(("spring-config-file", "spring-config-metadata", "logback-spring-xml", "hocon-config-file", "dockerfile-env", "docker-compose-env", "kubernetes-env", "java-source-config", "codegraph-config-usage"))}
 
 _CONFIG_NAME = r"^(application|bootstrap)(-[^.]+)?\.(yml|yaml|properties)$"
+# Keys whose values hold JVM options or documents, files of logging and of compose, and details that are no Spring's; fixed values.
 _JVM_KEYS = ("JAVA_TOOL_OPTIONS", "JDK_JAVA_OPTIONS")
 _JSON_KEYS = ("SPRING_APPLICATION_JSON", "spring.application.json")
+_LOGGING = ("logback-spring.xml", "logback.xml", "log4j2-spring.xml", "log4j2.xml")
+_COMPOSE = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
+_JAVA_DETAILS = ("web-init-param", "web-xml-param", "servlet-init-parameter", "jndi-lookup", "generic-config-getter", "preferences", "resource-bundle")
 _TOKENS = r"""((?:[^\s"']|"[^"]*"|'[^']*')+)"""
 
 
@@ -56,7 +64,7 @@ def environment_files(files: DataFrame) -> DataFrame:
     t = lines(files.where("file_type = 'ENV'")).withColumn("t", F.regexp_replace(F.trim("text"), r"^export\s+", ""))
     t = t.where(~F.col("t").startswith("#") & (F.instr("t", "=") > 1)).select(
         "*", F.trim(F.substring_index("t", "=", 1)).alias("key"), K.unquote(K.strip_inline_comment(F.trim(F.expr("substr(t, instr(t, '=') + 1)")))).alias("raw"), K.profile_of_path("path").alias("profile"))
-    return entries(t, "spring-config-file", K.role_of_key("key"), source_kind="ENV", value_kind="FULL", details_type="unknown")
+    return entries(t, "spring-config-file", K.role_of_key("key"), source_kind="PROPERTIES", value_kind="FULL", details_type="unknown")
 
 
 def application_files(scalars: DataFrame, file_rules: DataFrame | None = None) -> DataFrame:
@@ -82,7 +90,7 @@ def imports(found: DataFrame, files: DataFrame, scalars: DataFrame | None = None
     are those of the files where these have been read already.
 
     A file is read once per scan, which also ends cycles.  Directories import their application files;
-    ``configtree:`` directories give one entry per file.
+    ``configtree:`` directories give one entry for each file in them; files without content are read where they lie.
     """
     def targets(e: DataFrame) -> DataFrame:
         k = F.regexp_replace(F.lower(F.translate("key", "_-", "..")), r"\[\d+]$", "")
@@ -98,62 +106,108 @@ def imports(found: DataFrame, files: DataFrame, scalars: DataFrame | None = None
     seen, frontier, parts = written(found.select("scan_id", "path").distinct(), "imports-seen"), found, []
     trees = None
     named = files.withColumnRenamed("path", "file")
-    parents = F.split("file", "/")
-    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(parents) - 1), lambda i: i > 0), lambda i: F.concat(F.array_join(F.slice(parents, 1, i), "/"), F.lit("/")))
-    held = named.withColumn("folder", F.explode(above))  # one row for every folder that a file lies in
+    parent = F.regexp_replace("file", "[^/]*$", "")
+    held = named.withColumn("folder", F.when(parent == "", "/").otherwise(parent))
+    folder = F.concat(F.regexp_replace("target", "/+$", ""), F.lit("/"))
     readable = F.col("file_type").isin("YAML", "PROPERTIES")
+    text = F.coalesce("content", contents(F.col("location"))) if "location" in files.columns else F.col("content")
     while True:
         t = targets(frontier)
-        plain, tree = t.where("not tree"), t.where("tree").withColumn("folder", F.concat(F.regexp_replace("target", "/+$", ""), F.lit("/")))
+        plain, tree = t.where("not tree"), t.where("tree").withColumn("folder", folder)
         one = plain.withColumnRenamed("target", "file").join(named.where(readable), ["scan_id", "file"]).select("scan_id", F.col("file").alias("path"))
-        many = plain.withColumnRenamed("target", "folder").join(held.where(readable & F.col("name").rlike(_CONFIG_NAME)), ["scan_id", "folder"]).select("scan_id", F.col("file").alias("path"))
+        many = plain.withColumn("folder", folder).join(held.where(readable & F.col("name").rlike(_CONFIG_NAME)), ["scan_id", "folder"]).select("scan_id", F.col("file").alias("path"))
         fresh = written(one.unionByName(many).distinct().join(seen, ["scan_id", "path"], "left_anti"), "imports-fresh")
-        own = tree.join(held, ["scan_id", "folder"])
-        tree = entries(own.select("scan_id", F.col("file").alias("path"), "scope", F.regexp_replace(F.expr("substr(file, length(folder) + 1)"), "/", ".").alias("key"), F.regexp_replace("content", r"^\s+|\s+$", "").alias("raw")),
-                       "spring-config-file", source_kind="CONFIG_TREE", value_kind="FULL", details_type="unknown")
+        own = tree.select("scan_id", "folder").distinct().join(held, ["scan_id", "folder"])
+        own = own.select("scan_id", F.col("file").alias("path"), "scope", F.lit(1).alias("line"), F.col("name").alias("key"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("raw"))
+        tree = entries(own.where("raw is not null"), "spring-config-file", source_kind="PROPERTIES", value_kind="FULL", details_type="unknown")
         trees = tree if trees is None else trees.unionByName(tree)
         if fresh.isEmpty():
             break
         own = scalars.join(fresh, ["scan_id", "path"], "left_semi")
-        frontier = written(application_files(own.withColumn("name", F.lit("application.yml"))), "imports-read")
+        frontier = written(application_files(own.withColumn("name", F.regexp_replace(F.lower("name"), r"^.*\.", "application."))), "imports-read")
         parts.append(frontier)
         seen = written(seen.unionByName(fresh), "imports-seen")
     return _union(*parts, trees.distinct())
 
 
-def metadata_files(files: DataFrame) -> DataFrame:
-    """Properties declared in metadata files, with typed defaults."""
+def _metadata(files: DataFrame) -> DataFrame:
+    """Metadata files with their document ``v``: null where it does not parse."""
     f = files.where(F.col("name").isin("spring-configuration-metadata.json", "additional-spring-configuration-metadata.json"))
-    p = f.select("scan_id", "path", "scope", F.inline(F.from_json("content", "properties array<struct<name:string,type:string,defaultValue:string>>").properties)).where("name is not null")
-    e = p.select("scan_id", "path", "scope", F.col("name").alias("key"), F.col("defaultValue").alias("default_raw"), F.concat(F.lit("TYPED:"), F.coalesce("type", F.lit(""))).alias("value_kind"))
-    return entries(e, "spring-config-metadata", "READ", source_kind="JSON", value_kind=F.col("value_kind"))
+    return f.withColumn("v", F.try_parse_json("content"))
+
+
+def metadata_files(files: DataFrame) -> DataFrame:
+    """Properties declared in metadata files, with defaults typed by their JSON type and by the type declared."""
+    f = _metadata(files)
+    listed = F.when(F.schema_of_variant("v").startswith("OBJECT<") & F.schema_of_variant(F.variant_get("v", "$.properties", "variant")).startswith("ARRAY<"), F.variant_get("v", "$.properties", "array<variant>"))
+    p = f.select("scan_id", "path", "scope", F.explode(listed).alias("p")).where(F.schema_of_variant("p").startswith("OBJECT<"))
+    part = lambda n: F.try_variant_get("p", f"$.{n}", "variant")
+    text = lambda n: F.when(~F.schema_of_variant(part(n)).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get("p", f"$.{n}", "string"))
+    p = p.select("scan_id", "path", "scope", text("name").alias("key"), part("defaultValue").alias("d"), F.coalesce(text("type"), F.lit("")).alias("declared"), F.to_json("p").alias("extra")).where("trim(key) <> ''")
+    node = F.schema_of_variant("d")
+    default = F.when(node.rlike("^(OBJECT|ARRAY)"), "").when(node != "VOID", F.try_variant_get("d", "$", "string"))  # containers have no text
+    kind = (F.when((node == "BOOLEAN") | F.col("declared").isin("java.lang.Boolean", "boolean"), "BOOLEAN").when(F.col("declared") == "java.time.Duration", "DURATION")
+            .when((node == "BIGINT") | node.rlike(r"^DECIMAL\(\d+,0\)$") | F.col("declared").isin("java.lang.Integer", "int", "java.lang.Long", "long"), "INTEGER").otherwise("STRING"))
+    e = p.withColumns({"default_raw": default, "value_kind": F.concat(F.lit("IS:"), kind)})
+    return entries(e, "spring-config-metadata", "READ", source_kind="JSON", value_kind=F.col("value_kind"), details_type="unknown")
 
 
 # ---- other resource files ----------------------------------------------------------------------------------------
 
-def hocon_files(files: DataFrame) -> DataFrame:
-    """One-line pairs of application.conf and reference.conf outside any block."""
-    from pyspark.sql.window import Window
+#: White space as Java strips it; fixed values.
+_STRIPPED = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000)))
 
-    t = lines(files.where(F.col("name").isin("application.conf", "reference.conf"))).withColumn("t", F.trim("text")).where("t <> '' and t not like '#%' and t not like '//%'")
-    braces = F.length(F.regexp_replace("t", r"[^{]", "")) - F.length(F.regexp_replace("t", r"[^}]", ""))
-    w = Window.partitionBy("scan_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("depth", F.coalesce(F.sum(braces).over(w), F.lit(0))).where(~F.col("t").contains("{") & ~F.col("t").contains("}") & (F.col("depth") <= 0))
-    t = t.select("*", F.regexp_extract("t", r"^([^=:\s]+)\s*[=:]\s*(.*)$", 1).alias("key"), F.regexp_replace(F.regexp_extract("t", r"^([^=:\s]+)\s*[=:]\s*(.*)$", 2), r'^"(.*)"$', "$1").alias("raw")).where("key <> ''")
-    return entries(t, "hocon-config-file", source_kind="HOCON")
+
+def outside_blocks(text: str | None) -> list[dict]:
+    """Lines of a HOCON file that lie in no block.  A block is opened by a line that ends in an opening brace, and only by
+    such; while it is open every brace of a line counts, quoted or not."""
+    out, depth = [], 0
+    for number, line in enumerate(re.split(r"\r\n|\r|\n", text or ""), 1):
+        line = line.strip(_STRIPPED)
+        if depth > 0 or line.endswith("{"):
+            depth += line.count("{") - line.count("}")
+        elif line and not line.startswith(("#", "//")):
+            out.append({"line": number, "t": line})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("t", T.StringType())])))
+def _outside_blocks(text: pd.Series) -> pd.Series:
+    return text.map(outside_blocks)
+
+
+def hocon_files(files: DataFrame) -> DataFrame:
+    """Pairs of one line of application.conf and reference.conf outside any block: a key without spaces, ``=`` or ``:``,
+    and a value, which may hold braces."""
+    t = files.where(F.col("name").isin("application.conf", "reference.conf")).select("scan_id", "path", "scope", F.inline(_outside_blocks("content")))
+    at = F.array_min(F.filter(F.array(F.instr("t", "="), F.instr("t", ":")), lambda x: x > 0))
+    strip = lambda x: F.regexp_replace(x, f"^[{_STRIPPED}]+|[{_STRIPPED}]+$", "")
+    bare = lambda x: F.when((F.length(x) >= 2) & x.startswith('"') & x.endswith('"'), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    t = t.withColumn("at", at).where("at > 1").withColumns({"k": strip(F.expr("substr(t, 1, at - 1)")), "v": strip(F.expr("substr(t, at + 1)"))})
+    t = t.where((F.col("k") != "") & ~F.col("k").contains(" ") & (F.col("v") != "")).withColumns({"key": bare(F.col("k")), "raw": bare(F.col("v"))})
+    return entries(t.withColumn("extra", F.col("key")), "hocon-config-file", source_kind="UNKNOWN", confidence="MEDIUM", details_type="unknown")
 
 
 def runtime_xml(scalars: DataFrame) -> DataFrame:
-    """Spring properties of logging files, parameters of web.xml, and placeholders of any XML under main resources."""
-    x = scalars.where(F.col("name").endswith(".xml") & F.col("error").isNull()).withColumns({
+    """Spring properties of logging files and parameters of web.xml."""
+    x = scalars.where(F.col("name").isin(*_LOGGING, "web.xml") & F.col("error").isNull()).withColumns({
         "last": F.element_at("segs", -1), "owner": F.array_join(F.slice("segs", 1, F.greatest(F.size("segs") - 1, F.lit(1))), "/"), "tag": F.regexp_replace(F.element_at("segs", F.greatest(F.size("segs") - 1, F.lit(1))), r"\[\d+]$", "")})
     x = x.withColumn("outer", F.regexp_replace("owner", "/[^/]*$", ""))
     per = lambda f, by, **c: f.groupBy("scan_id", "path", "scope", by).agg(*[F.max(F.when(cond, F.nullif(F.trim("value"), F.lit("")))).alias(n) for n, cond in c.items()])
-    logging = per(x.where("tag = 'springProperty'"), "owner", key=F.col("last") == "@source", default_raw=F.col("last") == "@defaultValue").where("key is not null")
-    web = per(x.where("name = 'web.xml' and last = '#' and tag in ('param-name', 'param-value')"), "outer", key=F.col("tag") == "param-name", raw=F.col("tag") == "param-value").where("key is not null")
-    held = x.where(F.col("path").contains("main/resources/")).select("scan_id", "path", "scope", F.inline(nested_placeholders("value"))).withColumnsRenamed({"default_value": "default_raw", "raw": "extra"})
-    return _union(entries(logging, "logback-spring-xml", "READ", source_kind="XML"), entries(web, "logback-spring-xml", source_kind="XML"),
-                  entries(held, "logback-spring-xml", "READ", source_kind="XML", details_type="spring-placeholder"))
+    logging = per(x.where("name <> 'web.xml' and tag = 'springProperty'"), "owner", key=F.col("last") == "@source", default_raw=F.col("last") == "@defaultValue").where("key is not null")
+    params = x.where("name = 'web.xml' and last = '#' and tag in ('param-name', 'param-value')").where(F.col("outer").rlike(r"(^|/)(context-param|init-param)\[\d+]$"))
+    web = per(params, "outer", key=F.col("tag") == "param-name", raw=F.col("tag") == "param-value").where("key is not null")
+    return _union(entries(logging.withColumn("extra", F.lit("logback-spring-property")), "logback-spring-xml", "READ", source_kind="XML"),
+                  entries(web.withColumn("extra", F.lit("web-xml-param")), "logback-spring-xml", source_kind="XML"))
+
+
+def xml_placeholders(files: DataFrame) -> DataFrame:
+    """Placeholders of the raw text of logging files, of web.xml and of any XML under main resources: of attributes, texts,
+    comments and tails alike, and of files that do not parse.  Those in the default of another are read too."""
+    x = files.where((F.col("file_type") == "XML") & F.col("content").contains("${") & (F.col("name").isin(*_LOGGING, "web.xml") | F.col("path").rlike("(^|/)main/resources/")))
+    held = x.select("scan_id", "path", "scope", F.inline(nested_placeholders("content", keys=False)))
+    held = held.select("scan_id", "path", "scope", "key", F.col("default_value").alias("default_raw"), F.expr("substr(raw, 3, length(raw) - 3)").alias("extra"))
+    return entries(held, "logback-spring-xml", "READ", source_kind="XML", details_type="spring-placeholder")
 
 
 # ---- deployment files --------------------------------------------------------------------------------------------
@@ -172,7 +226,7 @@ def _arguments(frame: DataFrame, words: Column) -> DataFrame:
 def dockerfiles(files: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
-    joined = files.where("file_type = 'DOCKERFILE'").withColumn("content", F.regexp_replace("content", r"\\[ \t]*\R", "\u0001"))
+    joined = files.where("file_type = 'DOCKERFILE' and name like 'Dockerfile%'").withColumn("content", F.regexp_replace("content", r"\\[ \t]*\R", "\u0001"))
     ahead = Window.partitionBy("scan_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     more = F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\u0001"), F.lit("")))).over(ahead), F.lit(0))  # lines that were joined to others above
     t = lines(joined).withColumn("line", (F.col("line") + more).cast("int")).withColumn("t", F.trim(F.translate("text", "\u0001", " "))).where("t not like '#%'").select("scan_id", "path", "scope", "line", "t")
@@ -183,26 +237,28 @@ def dockerfiles(files: DataFrame) -> DataFrame:
     spaced = env.where(~first.contains("=") & (F.size("words") > 1)).select("scan_id", "path", "scope", "line", first.alias("key"), F.get("words", F.lit(1)).alias("raw"))
     command = t.where("t like 'CMD %' or t like 'ENTRYPOINT %'")
     started = _arguments(command.select("scan_id", "path", "scope", "line", "t"), tokens(F.translate(F.expr("substr(t, instr(t, ' ') + 1)"), "[],", "   "))).select("scan_id", "path", "scope", "line", "key", "raw")
-    return entries(with_jvm_options(_union(pairs, spaced)).unionByName(started), "dockerfile-env", confidence="MEDIUM", source_kind="DOCKERFILE")
+    found = with_jvm_options(_union(pairs, spaced), "env").unionByName(started.withColumn("extra", F.lit("command")))
+    return entries(found, "dockerfile-env", confidence="MEDIUM", source_kind="UNKNOWN")
 
 
-def with_jvm_options(pairs: DataFrame) -> DataFrame:
-    """``pairs(..., key, raw)`` and the properties that JVM options among them set."""
+def with_jvm_options(pairs: DataFrame, kind: str) -> DataFrame:
+    """``pairs(..., key, raw)`` of the details ``kind``, and the properties that JVM options among them set."""
     jvm = pairs.where(F.col("key").isin(*_JVM_KEYS, "JAVA_OPTS") | F.col("key").endswith("_JAVA_OPTS"))
     own = [c for c in pairs.columns if c not in ("key", "raw")]
-    return pairs.unionByName(_arguments(jvm.select(*own, F.col("raw").alias("opts")), tokens(F.col("opts"))).select(*pairs.columns))
+    set_ = _arguments(jvm.select(*own, F.col("raw").alias("opts")), tokens(F.col("opts"))).select(*pairs.columns)
+    return pairs.withColumn("extra", F.lit(kind)).unionByName(set_.withColumn("extra", F.lit(f"{kind}-jvm-arg")))
 
 
 def compose_files(scalars: DataFrame) -> DataFrame:
-    x = scalars.where(F.col("name").rlike(r"^(docker-)?compose.*\.ya?ml$") & (F.get("segs", F.lit(0)) == "services"))
+    x = scalars.where(F.col("name").isin(*_COMPOSE) & (F.get("segs", F.lit(0)) == "services"))
     part, item = F.get("segs", F.lit(2)), F.get("segs", F.lit(3))
     env = x.where((part == "environment") & (F.size("segs") == 4))
     mapped = env.where(~item.startswith("[")).select("scan_id", "path", "scope", item.alias("key"), F.col("value").alias("raw"))
     listed = env.where(item.startswith("[") & (F.instr("value", "=") > 1)).select("scan_id", "path", "scope", F.substring_index("value", "=", 1).alias("key"), F.expr("substr(value, instr(value, '=') + 1)").alias("raw"))
     command = x.where(part.isin("command", "entrypoint"))
     words = F.when(F.size("segs") == 3, tokens(F.col("value"))).otherwise(F.array("value"))
-    started = _arguments(command.select("scan_id", "path", "scope", "segs", "value"), words).select("scan_id", "path", "scope", "key", "raw")
-    return entries(with_jvm_options(_union(mapped, listed).where("raw is not null")).unionByName(started), "docker-compose-env", confidence="MEDIUM")
+    started = _arguments(command.select("scan_id", "path", "scope", "segs", "value", part.alias("extra")), words).select("scan_id", "path", "scope", "key", "raw", "extra")
+    return entries(with_jvm_options(_union(mapped, listed).where("raw is not null"), "environment").unionByName(started), "docker-compose-env", confidence="MEDIUM")
 
 
 def kubernetes_files(scalars: DataFrame) -> DataFrame:
@@ -271,8 +327,9 @@ def _json_pairs(values):
 
 
 def expanded(found: DataFrame) -> DataFrame:
-    """Entries that the values of other entries hold: JVM options, embedded JSON, and placeholders."""
-    from pyspark.sql import types as T
+    """Entries that the values of other entries hold: JVM options, embedded JSON, and placeholders.  The entries are written
+    first, since three plans read them."""
+    found = written(found, "entries")
 
     pairs = F.pandas_udf(_json_pairs, T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("raw", T.StringType())])))
     spring = found.where("detector_id = 'spring-config-file'")
@@ -294,18 +351,22 @@ def findings(found: DataFrame) -> DataFrame:
 
     def typed(c: str) -> Column:
         t = (F.when(kind == "FULL", K.infer_type(c)).when(kind == "JAVA", K.infer_type(c, placeholders=False)).when(kind == "STRING", F.lit("STRING"))
-             .when(kind.startswith("TYPED:"), K.infer_type_declared(c, F.expr("substr(value_kind, 7)"))).otherwise(K.infer_type_lite(c)))
+             .when(kind.startswith("IS:"), F.expr("substr(value_kind, 4)")).otherwise(K.infer_type_lite(c)))
         return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("raw"), F.col(c).alias("normalized"), t.alias("type")))
 
     none = F.lit(None).cast("string")
+    of = F.col("detector_id")
+    space = F.coalesce("namespace", F.when(F.col("details_type") == "external", F.when(of == "dockerfile-env", "docker").when(of == "docker-compose-env", "docker-compose").when(of == "kubernetes-env", "kubernetes")
+                                           .when(F.col("extra").isin(*_JAVA_DETAILS), "java").otherwise("spring")))
     details = F.struct(*[x.cast("string").alias(n) for n, x in {
         "type": F.col("details_type"), "default_value": F.col("default_raw"), "raw_expression": F.when(F.col("details_type") == "spring-placeholder", F.col("extra")), "prefix": F.when(F.col("details_type") == "spring-configuration-properties", F.col("key")),
-        "bound_type": F.when(F.col("details_type") == "spring-configuration-properties", F.col("extra")), "inferred_from_fields": none, "from_constant": none, "namespace": F.col("namespace"), "group": F.col("group"), "data_id": F.col("data_id"),
-        "external_type": F.when(F.col("details_type") == "external", F.col("extra")), "payload": none, "reason": none, "raw_text": F.when(F.col("details_type") == "unknown", F.col("raw")), "known_prefix": none, "known_suffix": none}.items()]).cast(DETAILS)
+        "bound_type": F.when(F.col("details_type") == "spring-configuration-properties", F.col("extra")), "inferred_from_fields": none, "from_constant": none, "namespace": space, "group": F.col("group"), "data_id": F.col("data_id"),
+        "external_type": F.when(F.col("details_type") == "external", F.col("extra")), "payload": none, "reason": F.when(F.col("details_type") == "unknown", F.col("detector_id")),
+        "raw_text": F.when(F.col("details_type") == "unknown", F.coalesce("extra", F.concat("key", F.lit("="), "raw"))), "known_prefix": none, "known_suffix": none}.items()]).cast(DETAILS)
     out = found.select(
         "scan_id", F.lit(None).cast("bigint").alias("ordinal"), F.lit("CONFIG").alias("kind"), "key", none.alias("normalized_key"), "role", typed("raw").alias("value"), typed("default_raw").alias("default_value"),
         none.alias("expression"), none.alias("reason"), none.alias("root_sink"), F.struct("profile", none.alias("region"), none.alias("namespace")).alias("environment"),
-        F.struct("path", "line", none.alias("symbol"), "source_kind", "scope").alias("source"), "confidence", "detector_id", details.alias("details"), F.struct("detector_rank", "role", "raw", "default_raw").alias("emit_seq"))
+        F.struct("path", "line", "symbol", "source_kind", "scope").alias("source"), "confidence", "detector_id", details.alias("details"), F.struct("detector_rank", "role", "raw", "default_raw").alias("emit_seq"))
     assert [c for c in out.columns if c != "emit_seq"] == [x.split(" ")[0] for x in FINDINGS.split(", ")]
     return out
 
@@ -313,12 +374,17 @@ def findings(found: DataFrame) -> DataFrame:
 def resource_entries(files: DataFrame, file_rules: DataFrame | None = None, scalars: DataFrame | None = None) -> DataFrame:
     """Entries of all detectors but that of Java sources; ``scalars`` are those of the files where these have been read."""
     scalars = leaves(files) if scalars is None else scalars
-    spring = _union(environment_files(files), application_files(scalars, file_rules))
+    spring = written(_union(environment_files(files), application_files(scalars, file_rules)), "spring-entries")
     spring = spring.unionByName(imports(spring, files, scalars))
-    return expanded(_union(spring, metadata_files(files), runtime_xml(scalars), hocon_files(files), dockerfiles(files), compose_files(scalars), kubernetes_files(scalars)))
+    return expanded(_union(spring, metadata_files(files), runtime_xml(scalars), xml_placeholders(files), hocon_files(files), dockerfiles(files), compose_files(scalars), kubernetes_files(scalars)))
 
 
-def parse_diagnostics(scalars: DataFrame, invocations: DataFrame | None = None) -> DataFrame:
-    """One row per file that did not parse, of those that gave ``scalars`` or Java ``invocations``."""
+def parse_diagnostics(scalars: DataFrame, invocations: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """One row per file that did not parse, of those that gave ``scalars`` or Java ``invocations``, and of ``files`` one
+    per metadata document that does not parse and per file that could not be read or decoded."""
     parts = [f.where("error is not null").select("scan_id", "path", "error", F.lit(n).alias("n")) for f, n in ((scalars, "leaves"), (invocations, "java-source-config")) if f is not None]
+    if files is not None:
+        parts.append(_metadata(files).where("v is null and content is not null").select("scan_id", "path", F.lit("no JSON").alias("error"), F.lit("spring-config-metadata").alias("n")))
+        if "error" in files.columns:
+            parts.append(files.where("error is not null").select("scan_id", "path", "error", F.lit("files").alias("n")))
     return _union(*parts).select("scan_id", F.lit("ERROR").alias("severity"), F.lit("detect").alias("phase"), F.concat_ws(": ", "path", "error").alias("message"), F.col("n").alias("component_id"))

@@ -1,8 +1,7 @@
 """Project trees as a table of files.
 
-Listing goes through Hadoop's file system on the driver, since Spark's own listing hides dot-files; pruned directories
-are never entered.  Contents are read by the executors from the listed paths.  A table of the layout
-``schema.FILES`` from anywhere else serves as well: nothing below this module touches a file system.
+Folders are listed and files are read by the executors (``tree``).  A table of the layout ``schema.FILES`` from anywhere
+else serves as well: nothing below this module touches a file system.
 """
 
 from __future__ import annotations
@@ -13,21 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FILES
-
-#: Directories that hold nothing written by hand; fixed values.
-PRUNED = frozenset(
-    ".git .idea .gradle .svn .hg .mvn .next .nuxt .codegraph node_modules bower_components target build out dist bin venv .venv __pycache__ .cache".split())
-
+from .tree import TEST_FOLDERS, TYPES, Files, ProjectTree
 
 def file_type(path: Column) -> Column:
     name = F.lower(F.substring_index(path, "/", -1))
-    return (F.when(name.startswith(".env"), "ENV").when(name.endswith(".java"), "JAVA").when(name.rlike(r"\.ya?ml$"), "YAML")
-            .when(name.endswith(".properties"), "PROPERTIES").when(name.endswith(".xml"), "XML").when(name.endswith(".json"), "JSON")
-            .when(name.endswith(".conf"), "HOCON").when(name.startswith("dockerfile"), "DOCKERFILE").otherwise("OTHER"))
+    out = F
+    for kind, how, text in TYPES:
+        out = out.when(name.startswith(text) if how == "starts" else name.endswith(text), kind)
+    return out.otherwise("OTHER")
 
 
 def in_tests(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(F.lit("test"), F.lit("testFixtures")))
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, TEST_FOLDERS)))
 
 
 def classified(files: DataFrame, include_tests: bool = False) -> DataFrame:
@@ -53,48 +49,20 @@ def selected(files: DataFrame, include: Iterable[str] = (), exclude: Iterable[st
 
 
 def listed(spark: SparkSession, root: str) -> list[str]:
-    """Paths below ``root``, relative to it; raises if it is not a directory."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(conf)
-    if not fs.exists(top) or not fs.getFileStatus(top).isDirectory():
-        raise NotADirectoryError(root)
-    base = fs.getFileStatus(top).getPath().toString().rstrip("/") + "/"
-    out, todo = [], [top]
-    while todo:
-        for s in fs.listStatus(todo.pop()):
-            name = s.getPath().getName()
-            if s.isDirectory():
-                if name not in PRUNED:
-                    todo.append(s.getPath())
-            else:
-                out.append(s.getPath().toString().removeprefix(base))
-    return sorted(out)
+    """Paths of all files below ``root``, sorted, for a look at a small tree; scans have no use for it."""
+    return sorted(r["path"] for r in read_tree(spark, root, include_tests=True).select("path").toLocalIterator())
 
 
 def read_tree(spark: SparkSession, root: str, scan_id: str = "scan", include: Iterable[str] = (), exclude: Iterable[str] = (), include_tests: bool = False) -> DataFrame:
-    """The classified files of a project tree.  Dot-files, few and small, are read where they are listed."""
-    paths = listed(spark, root)
-    kept = [r[0] for r in selected(classified(spark.createDataFrame([(scan_id, p, "") for p in paths], "scan_id string, path string, content string"), include_tests), include, exclude).where("file_type <> 'OTHER'").select("path").collect()]
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.getFileStatus(top).getPath().toString().rstrip("/") + "/"
-    hidden = [p for p in kept if any(x.startswith((".", "_")) for x in p.split("/"))]
-    plain = [p for p in kept if p not in set(hidden)]
-    rows = []
-    for p in hidden:
-        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(base + p))
-        try:
-            rows.append((scan_id, p, bytes(stream.readAllBytes()).decode("utf-8", "replace")))
-        finally:
-            stream.close()
-    out = spark.createDataFrame(rows, "scan_id string, path string, content string")
-    if plain:
-        read = spark.read.format("binaryFile").load([base + p for p in plain])
-        marker = base.split(":")[-1].lstrip("/")
-        relative = F.expr(f"substring_index(path, '{marker}', -1)")
-        out = out.unionByName(read.select(F.lit(scan_id).alias("scan_id"), relative.alias("path"), F.decode("content", "UTF-8").alias("content")))
-    return classified(out, include_tests=True)
+    """The files of a project tree (``tree.SCHEMA``): ``schema.FILES`` with a ``location`` and an ``error``.
+
+    ``root`` must be a place that all executors see."""
+    if not Files(root).is_folder():
+        raise NotADirectoryError(root)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ProjectTree)
+    options = {"scan_id": scan_id, "include": "\n".join(include), "exclude": "\n".join(exclude), "tests": str(include_tests).lower()}
+    return spark.read.format("projecttree").options(**options).load(root)
 
 
 def empty(spark: SparkSession) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions import keys as K
 from ..functions.placeholders import nested_placeholders
-from ..operators.rules import match_annotations, match_methods, meta_annotation_reads
+from ..operators.rules import match_annotations, match_methods
+from ..shared import written
 from .detectors import ENTRY, _union, entries
 from .leaves import leaves
 
@@ -37,6 +38,10 @@ class _Token(str):
     line: int = 0
 
 
+#: What a name of a constant stands for, if anything.
+Known = Callable[[str], "str | None"]
+
+
 def _unescape(s: str) -> str:
     return re.sub(r"\\(?:u+([0-9a-fA-F]{4})|(.))", lambda m: chr(int(m[1], 16)) if m[1] else {"n": "\n", "t": "\t", "r": "\r", "s": " "}.get(m[2], m[2]), s, flags=re.S)
 
@@ -94,7 +99,7 @@ def _split(tokens: list[_Token]) -> list[list[_Token]]:
     return [p for p in parts if p]
 
 
-def _literal(tokens: list[_Token], known: dict[str, str]) -> str | None:
+def _literal(tokens: list[_Token], known: Known) -> str | None:
     """The text that a literal, a constant or a sum of these folds to; of an array its first element."""
     if tokens and tokens[0] == "{":
         inner = _split(tokens[1:-1])
@@ -106,16 +111,16 @@ def _literal(tokens: list[_Token], known: dict[str, str]) -> str | None:
         else:
             parts[-1].append(t)
     for p in parts:
-        if len(p) == 1 and p[0].string is not None:
-            out += p[0].string
-        elif p and all(x == "." or re.match(r"[A-Za-z_$]", x) for x in p) and p[-1] in known:
-            out += known[p[-1]]
-        else:
+        text = p[0].string if len(p) == 1 else None
+        if text is None and p and all(x == "." if i % 2 else x.string is None and re.match(r"[A-Za-z_$]", x) for i, x in enumerate(p)):
+            text = known("".join(p))
+        if text is None:
             return None
+        out += text
     return out
 
 
-def _value(tokens: list[_Token], known: dict[str, str]) -> str | None:
+def _value(tokens: list[_Token], known: Known) -> str | None:
     """As ``_literal``, and the text of a number, a boolean or a character."""
     if len(tokens) == 1 and re.match(r"\d|true$|false$|'", tokens[0]):
         return tokens[0].strip("'").rstrip("LlFfDd") if tokens[0][0].isdigit() else tokens[0].strip("'")
@@ -131,7 +136,7 @@ def _call(tokens: list[_Token]) -> tuple[str, list[list[_Token]]]:
     return (name, _split(tokens[at + 1:-1])) if re.fullmatch(r"[\w$.]+", name) else ("", [])
 
 
-def _pairs(tokens: list[_Token], known: dict[str, str]) -> list[dict]:
+def _pairs(tokens: list[_Token], known: Known) -> list[dict]:
     """Keys and values of a map made in place, those whose keys fold."""
     name, args = _call(tokens)
     cells: list = []
@@ -144,7 +149,7 @@ def _pairs(tokens: list[_Token], known: dict[str, str]) -> list[dict]:
     return [{"key": k, "value": v} for k, v in folded if k is not None and k.strip()]
 
 
-def _argument(tokens: list[_Token], known: dict[str, str], named: bool) -> dict:
+def _argument(tokens: list[_Token], known: Known, named: bool) -> dict:
     name = None
     if named and len(tokens) > 2 and tokens[1] == "=":
         name, tokens = str(tokens[0]), tokens[2:]
@@ -158,20 +163,93 @@ def _argument(tokens: list[_Token], known: dict[str, str], named: bool) -> dict:
     return {"name": name, "text": _shown(tokens), "literal": literal, "value": value, "strings": strings, "concat": concat, "pairs": _pairs(tokens, known)}
 
 
-def _constants(t: list[_Token]) -> list[tuple[int, str, list[_Token]]]:
-    """(place, name, initialiser) of the constant texts of a file."""
-    out = []
-    for i, x in enumerate(t):
-        if x == "String" and i >= 2 and {"static", "final"} <= set(t[max(0, i - 4):i]) and i + 2 < len(t):
-            j = next((k for k in range(i + 1, min(i + 5, len(t))) if t[k] == "="), None)
-            if j:
-                stop = next((k for k in range(j, len(t)) if t[k] == ";"), len(t))
-                out.append((i, str(next(k for k in t[i + 1:j] if re.match(r"[A-Za-z_$]", k))), t[j + 1:stop]))
-    return out
+class Scopes:
+    """Classes of a file, with the places where they begin and end, and their constant texts by qualified name."""
+
+    def __init__(self, t: list[_Token], ends: dict[int, int]):
+        self.spans: list[tuple[int, int, str]] = []  # (first token, last token, name); an anonymous class has no name
+        for i, x in enumerate(t):
+            if x in ("class", "interface", "enum", "record") and i + 1 < len(t) and re.match(r"[A-Za-z_$]", t[i + 1]) and (i == 0 or t[i - 1] != "."):
+                opened = next((k for k in range(i + 2, len(t)) if t[k] in ("{", ";")), None)
+                if opened is not None and t[opened] == "{":
+                    self.spans.append((self._head(t, i), ends.get(opened, len(t)), str(t[i + 1])))
+            elif x == "new":
+                k = i + 1
+                while k < len(t) and (t[k] in ".<>,?&@" or re.match(r"[A-Za-z_$]", t[k])):
+                    k += 1
+                if k < len(t) and t[k] == "(" and k in ends and ends[k] + 1 < len(t) and t[ends[k] + 1] == "{":
+                    self.spans.append((ends[k] + 1, ends.get(ends[k] + 1, len(t)), ""))
+        self.spans.sort()
+        self.package = next(("".join(t[i + 1:next((k for k in range(i, len(t)) if t[k] == ";"), i)]) for i, x in enumerate(t) if x == "package" and i < 2), "")
+        self.found: list[tuple[int, str, list[_Token]]] = []
+        self.values: dict[str, str] = {}
+        self._constants(t)
+
+    @staticmethod
+    def _head(t: list[_Token], i: int) -> int:
+        """Where a declaration begins: behind what ends the one before, with its annotations and modifiers."""
+        depth = 0
+        while i and (depth or t[i - 1] not in ("{", "}", ";")):
+            depth += (t[i - 1] in _CLOSE) - (t[i - 1] in _OPEN)
+            if depth < 0:
+                break
+            i -= 1
+        return i
+
+    def chain(self, i: int) -> list[str]:
+        """Names of the classes around a place, outermost first."""
+        return [name for a, b, name in self.spans if a <= i <= b]
+
+    def symbol(self, i: int) -> str | None:
+        """The class that a place lies in: its simple name, empty in an anonymous class, None outside of all."""
+        chain = self.chain(i)
+        return chain[-1] if chain else None
+
+    def _constants(self, t: list[_Token]) -> None:
+        for i in range(1, len(t) - 1):
+            if t[i] == "=" and re.match(r"[A-Za-z_$]", t[i - 1]) and {"static", "final"} <= set(t[self._head(t, i - 1):i - 1]):
+                depth, k = 0, i + 1
+                while k < len(t) and (depth or t[k] not in (";", ",")):
+                    depth += (t[k] in _OPEN) - (t[k] in _CLOSE)
+                    k += 1
+                self.found.append((i, ".".join([*self.chain(i), str(t[i - 1])]), t[i + 1:k]))
+        left = self.found
+        while left:  # a constant may stand below its use, or be made of others
+            folded = [(name, v) for i, name, e in left if (v := _literal(e, self.at(i))) is not None]
+            if not folded:
+                break
+            for name, v in folded:
+                self.values.setdefault(name, v)
+            left = [c for c in left if c[1] not in self.values]
+
+    def at(self, i: int) -> Known:
+        """What a name means at a place: the constant of the innermost class around it that has one of the name, also where
+        a class is named first, also by its package.  A plain name that no class around has is that of another class of
+        the file, of several the last above the place, else the first below; a class of another file is not known."""
+        chain = self.chain(i)
+
+        def known(name: str) -> str | None:
+            parts = name.split(".")
+            if self.package and name.startswith(self.package + "."):
+                parts, around = name.removeprefix(self.package + ".").split("."), [[]]
+            else:
+                around = [chain[:k] for k in range(len(chain), -1, -1)]
+            for outer in around:
+                value = self.values.get(".".join([*outer, *parts]))
+                if value is not None:
+                    return value
+            if len(parts) > 1:
+                return None
+            named = [(place, full) for place, full, _ in self.found if full.rpartition(".")[2] == name and full in self.values]
+            above = [full for place, full in named if place < i]
+            return self.values[above[-1]] if above else self.values[named[0][1]] if named else None
+
+        return known
 
 
 def invocations(text: str) -> Iterator[tuple[int, str | None, str, str, list[dict], str | None]]:
-    """(line, class, form, name, arguments, what an annotation stands on) in the order of the source."""
+    """(line, class, form, name, arguments, what an annotation stands on) in the order of the source; of an annotation
+    type that is annotated, its full name behind an ``@``.  The package and the imports of a file are rows too."""
     t = _lex(text)
     ends, stack = {}, []
     for i, x in enumerate(t):
@@ -179,25 +257,16 @@ def invocations(text: str) -> Iterator[tuple[int, str | None, str, str, list[dic
             stack.append(i)
         elif x in _CLOSE and stack:
             ends[stack.pop()] = i
-    begins = {b: a for a, b in ends.items()}
-    known: dict[str, str] = {}
-    constants = _constants(t)
-    left = constants
-    while left:  # a constant may stand below its use, or be made of others
-        folded = [(n, v) for _, n, e in left if (v := _literal(e, known)) is not None]
-        for n, v in folded:
-            known.setdefault(n, v)
-        rest = [c for c in left if _literal(c[2], known) is None]
-        if len(rest) == len(left):
-            break
-        left = rest
-    again = {i: (n, e) for i, n, e in constants}
-    symbol = None
+    begins, scopes = {b: a for a, b in ends.items()}, Scopes(t, ends)
+    if scopes.package:
+        yield 1, None, "package", scopes.package, [], None
     for i, x in enumerate(t):
-        if x in ("class", "interface", "enum", "record") and i + 1 < len(t) and re.match(r"[A-Za-z_$]", t[i + 1]) and (i == 0 or t[i - 1] != "."):
-            symbol = str(t[i + 1])
-        if i in again and (value := _literal(again[i][1], known)) is not None:
-            known[again[i][0]] = value  # of constants of one name the last one above a use stands
+        if x == "import" and not scopes.chain(i):
+            stop = next((k for k in range(i, len(t)) if t[k] == ";"), len(t))
+            yield x.line, None, "import", "".join(t[i + 1:stop]).removeprefix("static"), [], None
+        if x not in "@(":
+            continue
+        symbol, known = scopes.symbol(i), scopes.at(i)
         if x == "@" and i + 1 < len(t) and t[i + 1] != "interface":
             j = i + 2
             while j + 1 < len(t) and t[j] == ".":
@@ -217,7 +286,8 @@ def invocations(text: str) -> Iterator[tuple[int, str | None, str, str, list[dic
             if k + 1 < len(t) and t[k] in ("class", "interface", "enum", "record"):
                 target = str(t[k + 1])
             elif k + 2 < len(t) and t[k] == "@" and t[k + 1] == "interface":
-                target = "@" + t[k + 2]
+                around = [c for c in scopes.chain(i) if c][:-1]  # but for the annotation type itself, whose head this is
+                target = "@" + ".".join([*([scopes.package] if scopes.package else []), *around, str(t[k + 2])])
             else:
                 target = str(t[k]) if k < len(t) else None
             yield x.line, symbol, "annotation", name, args, target
@@ -333,14 +403,19 @@ def _apollo(name: str = "name") -> Column:
     return F.col(name).rlike(r"^(com\.ctrip\.framework\.apollo\.)?ConfigService\.(getAppConfig\(\)|getConfig\()") & (F.col("method") == "getProperty")
 
 
+_RULE = ("suffix", "rule_role", "value_from", "default_from", "rule_confidence", "rule_details", "rule_extra", "uncertain")
+
+
 def _by_rule(rows: DataFrame) -> DataFrame:
-    """Calls with the rule of ``CALL_RULES`` whose suffix, the longest, ends them."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame(CALL_RULES, "suffix string, rule_role string, value_from string, default_from string, rule_confidence string, rule_details string, rule_extra string, uncertain boolean")
-    hit = (F.col("name") == F.col("suffix")) | F.col("name").endswith(F.concat(F.lit("."), "suffix"))
-    met = _calls(rows).where(~_apollo() & (F.col("n") > 0)).join(F.broadcast(table), hit)  # a table of this module
-    best = met.groupBy("scan_id", "path", "seq").agg(F.max_by(F.struct(*met.columns), F.length("suffix")).alias("r"))
-    return best.select("r.*")
+    """Calls with the rule of ``CALL_RULES`` whose suffix, the longest, ends them: looked up by the last part of the name in
+    a map of this module's rules, longest suffix first."""
+    rules = {}
+    for r in sorted(CALL_RULES, key=lambda r: -len(r[0])):
+        rules.setdefault(r[0].rpartition(".")[2], []).append(F.struct(*[F.lit(v).cast("boolean" if n == "uncertain" else "string").alias(n) for n, v in zip(_RULE, r)]))
+    table = F.create_map(*[x for last, rs in rules.items() for x in (F.lit(last), F.array(*rs))])
+    ends = lambda r: (F.col("name") == r["suffix"]) | F.col("name").endswith(F.concat(F.lit("."), r["suffix"]))
+    met = _calls(rows).where(~_apollo() & (F.col("n") > 0)).withColumn("rule", F.get(F.filter(F.try_element_at(table, F.col("method")), ends), F.lit(0)))
+    return met.where("rule is not null").select("*", "rule.*").drop("rule")
 
 
 def call_entries(rows: DataFrame) -> DataFrame:
@@ -369,10 +444,10 @@ def call_entries(rows: DataFrame) -> DataFrame:
     defaults = c.where(_sets_defaults() | _builds_defaults())
     text = defaults.where(_builds_defaults()).withColumn("t", F.explode(strings)).withColumns({"key": F.trim(F.expr(f"substr(t, 1, {_SPLIT} - 1)")), "raw": F.trim(F.expr(f"substr(t, {_SPLIT} + 1)"))}).where(f"{_SPLIT} > 1 and key <> ''")
     mapped = defaults.where(F.col("n") == 1).select("*", F.inline(_arg(0)["pairs"]).alias("pair_key", "raw")).withColumn("key", F.col("pair_key"))
-    own = ["scan_id", "path", "scope", "line", "key", "raw"]
+    own = ["scan_id", "path", "scope", "line", "symbol", "key", "raw"]
     defaulted = e(mapped.select(*own).unionByName(text.select(*own)).withColumn("extra", F.lit("default-properties")), "DEFINE")
     made = rows.where("form = 'new'")
-    held = made.where(F.col("name").endswith("MapPropertySource") & (F.size("args") > 1)).select("scan_id", "path", "scope", "line", F.inline(_arg(1)["pairs"]).alias("key", "raw"))
+    held = made.where(F.col("name").endswith("MapPropertySource") & (F.size("args") > 1)).select("scan_id", "path", "scope", "line", "symbol", F.inline(_arg(1)["pairs"]).alias("key", "raw"))
     defaulted = defaulted.unionByName(e(held.withColumn("extra", F.lit("map-property-source")), "DEFINE"))
     resource = made.where(F.col("name").endswith("ResourcePropertySource")).withColumns({"raw": F.element_at("args", -1)["literal"], "key": F.lit("spring.property-source"), "extra": F.lit("resource-property-source")}).where("trim(raw) <> ''")
     resource = e(resource, "METADATA", value_kind="STRING")
@@ -407,12 +482,12 @@ def _started(calls: DataFrame) -> DataFrame:
 
 
 def uncertain_rows(rows: DataFrame) -> DataFrame:
-    """Accesses whose key is not a literal: ``(scan_id, path, scope, line, expression, reason, root_sink)``."""
+    """Accesses whose key is not a literal: ``(scan_id, path, scope, line, symbol, expression, reason, root_sink)``."""
     c = _calls(rows)
     reason = F.when(F.col("first.concat"), "STRING_CONCAT").otherwise("UNKNOWN")
 
     def u(f: DataFrame, expression: Column, why: Column | str, sink: Column) -> DataFrame:
-        return f.select("scan_id", "path", "scope", "line", expression.alias("expression"), (F.lit(why) if isinstance(why, str) else why).alias("reason"), sink.alias("root_sink"))
+        return f.select("scan_id", "path", "scope", "line", "symbol", expression.alias("expression"), (F.lit(why) if isinstance(why, str) else why).alias("reason"), sink.alias("root_sink"))
 
     text, name = F.col("first.text"), F.col("name")
     ruled = u(_by_rule(rows).where("uncertain and key is null"), text, reason, name)
@@ -447,12 +522,50 @@ def user_rule_entries(rows: DataFrame, method_rules: DataFrame | None, annotatio
     return _union(*parts) if parts else None
 
 
-def meta_annotation_entries(rows: DataFrame) -> DataFrame:
-    """Uses of annotations that carry a value placeholder themselves: one layer, as a join of name to name."""
-    a = rows.where("form = 'annotation'")
-    declared = a.where(F.col("name").isin("Value") & F.col("target").startswith("@")).select(F.expr("substr(target, 2)").alias("name"), F.explode(_attribute("value")).alias("s")).select("name", F.inline(nested_placeholders("s"))).select("name", "key", "default_value").distinct()
-    used = a.withColumn("name", F.substring_index("name", ".", -1)).select("name", "scan_id", "path", "scope", "line")
-    return entries(meta_annotation_reads(declared, used), "codegraph-config-usage", "READ", source_kind="JAVA", value_kind="JAVA", confidence="MEDIUM")
+def full_names(names: DataFrame, types: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(scan_id, path, name, full)`` of the names ``(scan_id, path, name)`` that mean one of ``types(scan_id, path, full)``.
+
+    A name means, in this order, a type of its own file, what is imported by name or written out in full, a type of the
+    file's package, and one of a package imported whole; types of one simple name in two packages stay apart.  Every rule
+    makes full names that are looked up by an equi-join.
+    """
+    n = names.distinct().withColumns({"head": F.substring_index("name", ".", 1), "tail": F.expr("substr(name, length(substring_index(name, '.', 1)) + 1)")})
+    at = ["scan_id", "path"]
+    imports = rows.where("form = 'import'").select(*at, F.col("name").alias("imported")).distinct()
+    package = rows.where("form = 'package'").groupBy(*at).agg(F.min("name").alias("package"))
+    own = types.select(*at, "full", F.substring_index("full", ".", -1).alias("last"))
+    beside = n.withColumn("last", F.substring_index("name", ".", -1)).join(own, [*at, "last"]).where((F.col("full") == F.col("name")) | F.col("full").endswith(F.concat(F.lit("."), "name")))
+    by_name = n.join(imports.where("imported not like '%*'").withColumn("head", F.substring_index("imported", ".", -1)), [*at, "head"]).withColumn("full", F.concat("imported", "tail"))
+    local = n.join(package, at, "left").withColumn("full", F.concat_ws(".", "package", "name"))
+    whole = n.join(imports.where("imported like '%.*'"), at).withColumn("full", F.concat(F.regexp_replace("imported", "[*]$", ""), "name"))
+    rules = (beside, by_name.unionByName(n.where("name like '%.%'").withColumn("full", F.col("name")), allowMissingColumns=True), local, whole)
+    guesses = _union(*[f.select(*at, "name", "full", F.lit(k).alias("rule")) for k, f in enumerate(rules)])
+    known = guesses.join(types.select("scan_id", "full").distinct(), ["scan_id", "full"], "left_semi")
+    return known.groupBy(*at, "name").agg(F.min_by("full", F.struct("rule", "full")).alias("full"))
+
+
+def meta_annotation_entries(rows: DataFrame, layers: int = 1) -> DataFrame:
+    """Uses of annotations that carry a value placeholder themselves, within each scan and by full names.  With more
+    ``layers``, also of annotations that carry such an annotation, as many times over, or until nothing is new."""
+    a = rows.where("form = 'annotation'").select("scan_id", "path", "scope", "line", "symbol", "name", "target", "args")
+    declares = a.where(F.col("target").startswith("@")).withColumn("owner", F.expr("substr(target, 2)"))
+    types = declares.select("scan_id", "path", F.col("owner").alias("full")).distinct()
+    held = declares.where(F.substring_index("name", ".", -1) == "Value").select("scan_id", F.col("owner").alias("full"), F.explode(_attribute("value")).alias("s"))
+    held = held.select("scan_id", "full", F.inline(nested_placeholders("s"))).select("scan_id", "full", "key").distinct()
+    named = full_names(a.select("scan_id", "path", "name"), types, rows)
+    if layers > 1:
+        named, all_ = written(named, "annotation-names"), written(held, "annotation-keys")
+        carries = written(declares.select("scan_id", "path", "name", "owner").join(named, ["scan_id", "path", "name"]).select("scan_id", "full", "owner").distinct(), "annotation-layers")
+        fresh = all_
+        for _ in range(layers - 1):
+            fresh = fresh.join(carries, ["scan_id", "full"]).select("scan_id", F.col("owner").alias("full"), "key").distinct()
+            fresh = written(fresh.join(all_, ["scan_id", "full", "key"], "left_anti"), "annotation-keys")
+            if fresh.isEmpty():
+                break
+            all_ = written(all_.unionByName(fresh), "annotation-keys")
+        held = all_
+    used = a.join(named, ["scan_id", "path", "name"]).join(held, ["scan_id", "full"]).select("scan_id", "path", "scope", "line", "symbol", "key")
+    return entries(used, "codegraph-config-usage", "READ", source_kind="JAVA", value_kind="JAVA", confidence="MEDIUM")
 
 
 def java_entries(files: DataFrame, method_rules: DataFrame | None = None, annotation_rules: DataFrame | None = None, meta: bool = False,
@@ -469,9 +582,9 @@ def java_entries(files: DataFrame, method_rules: DataFrame | None = None, annota
     found = found if ruled is None else found.unionByName(ruled)
     if meta or provider is not None:
         found = found.unionByName((provider or meta_annotation_entries)(rows))
-    named = found.where("key = 'spring.property-source'").select("scan_id", F.col("raw").alias("location"), F.regexp_replace("raw", "^optional:", "").alias("t"))
-    local = named.where("t like 'classpath:%' or t like 'file:%'").select("scan_id", "location", F.when(F.col("t").startswith("classpath:"), F.concat(F.lit("src/main/resources/"), F.regexp_replace("t", "^classpath:/?", ""))).otherwise(F.regexp_replace("t", r"^file:(\./)?", "")).alias("path"))
-    local = local.where("path like '%.properties'").groupBy("scan_id", "path").agg(F.min("location").alias("location"))
+    named = found.where("key = 'spring.property-source'").select("scan_id", "symbol", F.col("raw").alias("location"), F.regexp_replace("raw", "^optional:", "").alias("t"))
+    local = named.where("t like 'classpath:%' or t like 'file:%'").select("scan_id", "location", "symbol", F.when(F.col("t").startswith("classpath:"), F.concat(F.lit("src/main/resources/"), F.regexp_replace("t", "^classpath:/?", ""))).otherwise(F.regexp_replace("t", r"^file:(\./)?", "")).alias("path"))
+    local = local.where("path like '%.properties'").groupBy("scan_id", "path").agg(F.min(F.struct("location", "symbol")).alias("m")).select("scan_id", "path", "m.*")
     read = scalars.where("error is null").join(local, ["scan_id", "path"]).withColumns({"key": F.get("segs", F.lit(0)), "raw": F.col("value")})
     e = lambda f, role, **g: entries(f, "java-source-config", role, source_kind="PROPERTIES", value_kind="JAVA", **g)
     own = e(read.withColumn("extra", F.lit("property-source-file")), "DEFINE")
@@ -485,7 +598,7 @@ def uncertain_findings(rows: DataFrame, like: DataFrame) -> DataFrame:
     kinds = dict(like.dtypes)
     given = {
         "scan_id": F.col("scan_id"), "kind": F.lit("UNCERTAIN"), "expression": F.col("expression"), "reason": F.col("reason"), "root_sink": F.col("root_sink"), "confidence": F.lit("LOW"), "detector_id": F.lit("java-source-config"),
-        "source": F.struct("path", "line", F.lit(None).cast("string").alias("symbol"), F.lit("JAVA").alias("source_kind"), "scope"),
+        "source": F.struct("path", "line", "symbol", F.lit("JAVA").alias("source_kind"), "scope"),
         "environment": F.struct(*[F.lit(None).cast("string").alias(n) for n in ("profile", "region", "namespace")])}
     return rows.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in like.columns])
 
