@@ -30,6 +30,8 @@ TOP = 2000
 UNKNOWN = "und"
 #: Bytes of texts that one automaton scans.
 SHARD = 4 << 20
+#: Phrases whose counts a task adds up before it gives them out.
+HELD = 1 << 18
 #: Counters of a row of the sketch: one for so many bytes of text, as a power of two within bounds.  The upper one
 #: bounds what tasks are sent: a bit for each counter, that is 64 MiB a level.
 BYTES_A_COUNTER, NARROWEST, WIDEST = 64, 1 << 22, 1 << 28
@@ -168,8 +170,9 @@ def _hot(texts: DataFrame, known, level: int, wide: int, least: int) -> np.ndarr
     return out.reshape(ROWS, -1)
 
 
-def _scan(shard: Shard, hot: list[np.ndarray], rows: np.ndarray, names: list[str], most: int) -> Iterator[pa.RecordBatch]:
-    """Exact counts of a shard's candidates, by an automaton for each of its languages."""
+def _scan(shard: Shard, hot: list[np.ndarray], rows: np.ndarray, names: list[str], most: int) -> Iterator[tuple[str, list[int], list[str], list[int]]]:
+    """Exact counts of a shard's candidates, by an automaton for each of its languages: the language, and sizes, phrases
+    and counts; the count of all its words has size 0."""
     import ahocorasick
 
     long = shard.end - shard.start
@@ -200,8 +203,30 @@ def _scan(shard: Shard, hot: list[np.ndarray], rows: np.ndarray, names: list[str
         if phrases:
             machine.make_automaton()
             n = np.bincount(np.fromiter((k for _, k in machine.iter(data.decode("utf-8", "replace"))), np.int64), minlength=len(phrases))
-        yield pa.record_batch([pa.array([names[lang]] * (len(phrases) + 1), pa.string()), pa.array([0, *sizes], pa.int32()),
-                               pa.array(["", *phrases], pa.string()), pa.array([len(own), *n.tolist()], pa.int64())], names=["lang", "size", "phrase", "n"])
+        yield names[lang], [0, *sizes], ["", *phrases], [len(own), *n.tolist()]
+
+
+class Sums:
+    """Counts of a task, added up over its shards and given out when there are many."""
+
+    def __init__(self):
+        self.held: dict[tuple[str, int], dict[str, int]] = {}
+        self.n = 0
+
+    def add(self, lang: str, sizes: list[int], phrases: list[str], counts: list[int]) -> None:
+        for size, phrase, n in zip(sizes, phrases, counts):
+            some = self.held.setdefault((lang, size), {})
+            if phrase in some:
+                some[phrase] += n
+            else:
+                some[phrase] = n
+                self.n += 1
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for (lang, size), some in self.held.items():
+            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array([size] * len(some), pa.int32()),
+                                   pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["lang", "size", "phrase", "n"])
+        self.held, self.n = {}, 0
 
 
 def frequencies(docs: DataFrame, least: int = LEAST, most: int = WORDS) -> DataFrame:
@@ -225,12 +250,17 @@ def frequencies(docs: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
         known = send(hot)
 
     def scan(batches):
+        sums = Sums()
         for shard, rows, names in shards(batches):
             if len(shard.start):
-                yield from _scan(shard, known.value, rows, names, most)
-
-    found = texts.mapInArrow(scan, "lang string, size int, phrase string, n long")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+                for found in _scan(shard, known.value, rows, names, most):
+                    sums.add(*found)
+            if sums.n >= HELD:
+                yield from sums.out()
+        yield from sums.out()
+
+    counted = texts.mapInArrow(scan, "lang string, size int, phrase string, n long")
+    return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
 
 
 #: Copies of a one-word part's count and of a language's count of words, so that no frequent one is a hot key of a join.
