@@ -92,7 +92,7 @@ def _read(spark: SparkSession, path: str, scan_id: str):
         return V.read_snapshot(spark, path)
     if not Path(path).is_file():
         raise Failure(f"no such inventory: {path}")
-    return V.read_document(spark, Path(path).read_text(encoding="utf-8"), scan_id)
+    return V.read_document_file(spark, path, scan_id)
 
 
 def _rules(spark: SparkSession, path: str | None, root: str) -> dict:
@@ -141,14 +141,12 @@ def config_diff(spark: SparkSession, args) -> None:
     """Both versions are scanned in one job, and redacted after the diff, so that changed secrets show as masked changes."""
     consume = _consumer(consumers.DIFF_CONSUMERS, args.consumer)
     repo = git.root_of(args.repo)
-    changed = git.changed_files(repo, args.base_ref, args.head_ref)
-    with git.shared_checkout(spark, repo, args.base_ref) as b, git.shared_checkout(spark, repo, args.head_ref) as h:
-        tree = files.read_tree(spark, b, "base").unionByName(files.read_tree(spark, h, "head"))
-        inv = Pipeline().scan(tree, _hints(args))
-        side = lambda f, s: f.where(f["scan_id"] == s)
-        out = _strategy(args)(side(inv.items, "base"), side(inv.items, "head"), side(inv.uncertain, "base"), side(inv.uncertain, "head"))
-        out = D.only_files(out, spark.createDataFrame([(p,) for p in changed], "path string"))
-        consume(D.redacted(out) if args.redact_sensitive else out, _properties(args), args.output)
+    base, head = git.commit_of(repo, args.base_ref), git.commit_of(repo, args.head_ref)
+    inv = Pipeline().scan(git.read_versions(spark, repo, {"base": base, "head": head}), _hints(args))
+    side = lambda f, s: f.where(f["scan_id"] == s)
+    out = _strategy(args)(side(inv.items, "base"), side(inv.items, "head"), side(inv.uncertain, "base"), side(inv.uncertain, "head"))
+    out = D.only_files(out, git.changed_files(spark, repo, base, head))
+    consume(D.redacted(out) if args.redact_sensitive else out, _properties(args), args.output)
 
 
 COMMANDS = {"inventory": inventory, "diff": diff, "export": export_entries, "config-diff": config_diff}

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from .rank import winners_by_key
 
-DEFAULT_SCOPE = "${app_deploy_unit_name}"
+#: Scope of entries that no rule gives one, and how secrets are kept, where properties do not say so.
+DEFAULT_SCOPE = "default"
 DEFAULT_VERSION = "1.0"
-ENCRYPT_TYPE = "ADVANCED2.6"
+ENCRYPT_TYPE = "platform"
 
 
 def defined_winners(items: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def merge(base: DataFrame, filled: DataFrame) -> DataFrame:
     return row(base, "b").join(row(filled, "f"), "config_key", "full_outer").select(F.coalesce("f", "b").alias("r")).select("r.*")
 
 
-def scoped(frame: DataFrame, profile: str, rules: DataFrame, overrides: DataFrame) -> DataFrame:
+def scoped(frame: DataFrame, profile: str, rules: DataFrame, overrides: DataFrame, fallback: str = DEFAULT_SCOPE) -> DataFrame:
     """Adds ``resolved_scope`` for the profile column: override, exact rule, first matching pattern, default rule, fallback.
 
     Profiles are few against rows: the distinct ones are resolved and joined back.  ``rules`` has
@@ -58,7 +59,7 @@ def scoped(frame: DataFrame, profile: str, rules: DataFrame, overrides: DataFram
     resolved = named.join(override, "_p", "left").join(exact, "_p", "left").join(pattern, "_p", "left").select("_p", F.coalesce("_override", "_exact", "_pattern").alias("_scope"))
     default = rules.where("is_default").agg(F.min_by("scope", "rule_order").alias("_default"))
     out = frame.join(resolved, F.col(profile) == F.col("_p"), "left").join(F.broadcast(default))  # one row
-    return out.withColumn("resolved_scope", F.coalesce("_scope", "_default", F.lit(DEFAULT_SCOPE))).drop("_p", "_scope", "_default")
+    return out.withColumn("resolved_scope", F.coalesce("_scope", "_default", F.lit(fallback))).drop("_p", "_scope", "_default")
 
 
 def valid_patterns(rules: list[dict]) -> list[dict]:
@@ -74,7 +75,7 @@ def valid_patterns(rules: list[dict]) -> list[dict]:
     return [r if good(r.get("profile_pattern")) else {**r, "profile_pattern": None} for r in rules]
 
 
-def platform_artifact(winners: DataFrame) -> tuple[DataFrame, DataFrame]:
+def platform_artifact(winners: DataFrame, encrypt_type: str = ENCRYPT_TYPE) -> tuple[DataFrame, DataFrame]:
     """Plain entries (with a value only) and secrets (with or without) of ``defined_winners`` with ``resolved_scope``.
 
     A secret never carries its value, only a reference named after its key.
@@ -82,12 +83,12 @@ def platform_artifact(winners: DataFrame) -> tuple[DataFrame, DataFrame]:
     key, hit = F.col("normalized_key"), K.is_sensitive("normalized_key")
     plain = winners.where(~hit & F.col("has_value")).select(
         F.col("resolved_scope").alias("scope"), K.group_of(key).alias("group_name"), key.alias("config_key"), K.value_or(F.col("value.raw"), F.col("default_value.raw")).alias("config_value"))
-    return plain, secrets(winners.where(hit))
+    return plain, secrets(winners.where(hit), encrypt_type)
 
 
-def secrets(rows: DataFrame) -> DataFrame:
+def secrets(rows: DataFrame, encrypt_type: str = ENCRYPT_TYPE) -> DataFrame:
     name, hint = K.to_underscore("normalized_key"), F.nullif(K.type_hint("normalized_key"), F.lit(""))
-    return rows.select(name.alias("key"), hint.alias("type"), F.concat(F.lit("${"), name, F.lit("}")).alias("reference"), F.lit(ENCRYPT_TYPE).alias("encrypt_type"), F.col("resolved_scope").alias("scope"))
+    return rows.select(name.alias("key"), hint.alias("type"), F.concat(F.lit("${"), name, F.lit("}")).alias("reference"), F.lit(encrypt_type).alias("encrypt_type"), F.col("resolved_scope").alias("scope"))
 
 
 def first_value_changes(changed: DataFrame) -> DataFrame:

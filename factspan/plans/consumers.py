@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from html import escape
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -13,10 +14,13 @@ from ..operators import export, report
 from ..operators.diff import Diff, ordered
 from ..operators.findings import Inventory
 from ..schema import SCOPE_RULES
+from ..shared import written
 from ..sources import inventory as V
 
 #: Heads of a manifest where the properties ``api-version`` and ``kind`` name no others.
 API, KIND = "v1", "AppConfig"
+#: The part of a manifest that holds secrets, where the property ``secrets-section`` names no other.
+SECRETS = "secrets"
 
 INVENTORY_CONSUMERS: dict[str, Callable] = {}
 DIFF_CONSUMERS: dict[str, Callable] = {}
@@ -63,16 +67,18 @@ def default_format(inv: Inventory, properties: dict, folder: str) -> None:
     write(folder, "app-configs.yaml", V.list_text("app_configs", rows))
 
 
-def diff_document(d: Diff) -> dict:
+def diff_text(d: Diff):
+    """The YAML document of a diff in parts; its lists are rendered by the executors."""
     s = d.summary().first().asDict()
     own = ordered(d)
-    return {"schemaVersion": V.DIFF_VERSION, "summary": {V.camel(k): int(v) for k, v in s.items()}, "added": V.documents(own.added), "removed": V.documents(own.removed), "changed": V.documents(own.changed),
-             "uncertainChanged": V.documents(d.uncertain, "ordinal"), "checks": V.documents(d.checks, "type", "message")}
+    yield V.dump({"schemaVersion": V.DIFF_VERSION, "summary": {V.camel(k): int(v) for k, v in s.items()}})
+    for name, frame, order in (("added", own.added, []), ("removed", own.removed, []), ("changed", own.changed, []), ("uncertainChanged", d.uncertain, ["ordinal"]), ("checks", d.checks, ["type", "message"])):
+        yield from V.part_text(name, frame, *order)
 
 
 @diff_consumer("yaml")
 def yaml_diff(d: Diff, properties: dict, folder: str) -> None:
-    write(folder, properties.get("file", "config-diff.yaml"), V.dump(diff_document(d)))
+    write(folder, properties.get("file", "config-diff.yaml"), diff_text(d))
 
 
 def _scopes(frame, profile: str, properties: dict):
@@ -87,49 +93,53 @@ def _scopes(frame, profile: str, properties: dict):
     spark = frame.sparkSession
     table = spark.createDataFrame([(r["profile"], r["profile_pattern"], r["is_default"], r["scope"], i) for i, r in enumerate(rules)], SCOPE_RULES)
     own = [(k.removeprefix("scope."), v) for k, v in properties.items() if k.startswith("scope.")]
-    return export.scoped(frame, profile, table, spark.createDataFrame(own, "profile string, scope string"))
+    return export.scoped(frame, profile, table, spark.createDataFrame(own, "profile string, scope string"), properties.get("default-scope", export.DEFAULT_SCOPE))
 
 
-def _manifest(properties: dict, name: str, **parts) -> dict:
-    return {"apiVersion": properties.get("api-version", API), "kind": properties.get("kind", KIND), "metadata": {"name": name}, **parts}
+def _manifest(properties: dict, name: str):
+    yield V.dump({"apiVersion": properties.get("api-version", API), "kind": properties.get("kind", KIND), "metadata": {"name": name}})
 
 
-def _rows(frame, *order: str) -> list[dict]:
-    return [{k: v for k, v in r.asDict().items() if v not in (None, "")} for r in frame.orderBy(*order).collect()]
+def _data(properties: dict, plain, secret):
+    """The part ``data`` of a manifest: entries, and secrets where there are any."""
+    yield "data:\n"
+    yield from V.part_text("app_configs", plain, "config_key", shape=V.compact, indent="    ")
+    found = V.part_text("secrets", secret, "key", shape=V.compact, indent="        ", empty=False)
+    first = next(found, None)
+    if first is not None:
+        yield f"    {properties.get('secrets-section', SECRETS)}:\n"
+        yield first
+        yield from found
 
 
-def _data(plain, secret) -> dict:
-    entries, secrets = _rows(plain, "config_key"), _rows(secret, "key")
-    return {"app_configs": entries} | ({"J2C": {"secrets": secrets}} if secrets else {})
-
-
-@inventory_consumer("xac")
+@inventory_consumer("manifest")
 def platform_manifest(inv: Inventory, properties: dict, folder: str) -> None:
+    """Entries and references of secrets for a configuration platform.  Its words are properties: ``api-version``, ``kind``,
+    ``default-scope``, ``encrypt-type`` and ``secrets-section``."""
     winners = _scopes(export.defined_winners(inv.items).withColumn("_own", F.col("environment.profile")), "_own", properties)
     named = inv.project.get("name")
     name = properties.get("name") or (named if named and named != "unknown" else "app")
-    write(folder, "app-configs.yaml", V.dump(_manifest(properties, name, data=_data(*export.platform_artifact(winners)))))
+    plain, secret = export.platform_artifact(winners, properties.get("encrypt-type", export.ENCRYPT_TYPE))
+    write(folder, "app-configs.yaml", chain(_manifest(properties, name), _data(properties, plain, secret)))
 
 
-@diff_consumer("xac")
+@diff_consumer("manifest")
 def platform_diff(d: Diff, properties: dict, folder: str) -> None:
     """Changed values, keys left without a value, removed keys; a file without rows is not written."""
     name = properties.get("name") or "app"
     value = K.value_or(F.col("value.raw"), F.col("default_value.raw"))
     added = d.added.select("normalized_key", value.alias("v"), F.col("environment.profile").alias("_own"))
     changed = export.first_value_changes(d.changed).select(F.col("key").alias("normalized_key"), F.col("new_value").alias("v"), F.lit(properties.get("profile")).cast("string").alias("_own"))
-    rows = _scopes(added.unionByName(changed).where("trim(v) <> ''"), "_own", properties)
+    rows = written(_scopes(added.unionByName(changed).where("trim(v) <> ''"), "_own", properties), "changed-values")
     hit, key = K.is_sensitive("normalized_key"), F.col("normalized_key")
     plain = rows.where(~hit).select(F.col("resolved_scope").alias("scope"), K.group_of(key).alias("group_name"), key.alias("config_key"), F.col("v").alias("config_value"))
-    data = _data(plain, export.secrets(rows.where(hit)))
-    if data["app_configs"] or "J2C" in data:
-        write(folder, "app-configs-changed.yaml", V.dump(_manifest(properties, name, data=data)))
-    missing = _rows(export.missing_after(d.added, d.changed), "config_key")
-    if missing:
-        write(folder, "app-configs-missing.yaml", V.dump(_manifest(properties, name, missing=missing)))
-    removed = _rows(export.removed_list(d.removed), "config_key")
-    if removed:
-        write(folder, "removed.yaml", V.dump(_manifest(properties, name, removed=removed)))
+    if not rows.isEmpty():
+        write(folder, "app-configs-changed.yaml", chain(_manifest(properties, name), _data(properties, plain, export.secrets(rows.where(hit), properties.get("encrypt-type", export.ENCRYPT_TYPE)))))
+    for part, frame, file in (("missing", export.missing_after(d.added, d.changed), "app-configs-missing.yaml"), ("removed", export.removed_list(d.removed), "removed.yaml")):
+        texts = V.part_text(part, frame, "config_key", shape=V.compact, empty=False)
+        first = next(texts, None)
+        if first is not None:
+            write(folder, file, chain(_manifest(properties, name), [first], texts))
 
 
 def _pie(name: str, rows: list) -> str:

@@ -255,7 +255,7 @@ def diff_summary(spark, d):
 
 _GROUP_SQL = "case when instr({0}, '.') > 1 then split_part({0}, '.', 1) else 'default' end"
 _VALUE_OR, _NOTHING = "coalesce(raw, default_raw, '')", "''"
-_ENTRY_SQL = f"'$' || '{{{{app_deploy_unit_name}}}}' as scope, {_GROUP_SQL.format('normalized_key')} as group_name, normalized_key as config_key, {{0}} as config_value, ({X.SENSITIVE_SQL.format('normalized_key')})::int as secret, '' as sub_application_id, '1.0' as version, '1.0' as docker_version, '' as remark"
+_ENTRY_SQL = f"'default' as scope, {_GROUP_SQL.format('normalized_key')} as group_name, normalized_key as config_key, {{0}} as config_value, ({X.SENSITIVE_SQL.format('normalized_key')})::int as secret, '' as sub_application_id, '1.0' as version, '1.0' as docker_version, '' as remark"
 
 
 @_query("q26_export_entries", f"with facts select {_ENTRY_SQL.format(_VALUE_OR)} from winners where has_value")

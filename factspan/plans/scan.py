@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings as N
-from ..schema import METRICS
+from ..schema import METRICS, SHARED
 from ..shared import written
 from ..sources import detectors, files, java
 from ..sources.leaves import leaves
@@ -24,6 +24,11 @@ Step = Callable[[DataFrame], DataFrame]
 Enricher = Callable[[N.Inventory], N.Inventory]
 
 
+def unshared(frame: DataFrame) -> DataFrame:
+    """One row for each of the scans that share a file."""
+    return frame.withColumn("scan_id", F.explode_outer(F.split("scan_id", SHARED)))
+
+
 def resource_detector(tree: DataFrame, context: dict) -> DataFrame:
     return detectors.findings(detectors.resource_entries(tree, context.get("file_rules"), context.get("scalars")))
 
@@ -111,7 +116,7 @@ class Pipeline:
     def parsed(self, tree: DataFrame) -> dict[str, DataFrame]:
         """The scalars and the Java invocations of the files as tables of their own: every file is parsed once."""
         with self._phase("parsing") as kept:
-            return {"scalars": kept(leaves(tree), "scan-scalars"), "invocations": kept(java.invocation_rows(tree), "scan-invocations")}
+            return {"scalars": kept(unshared(leaves(tree)), "scan-scalars"), "invocations": kept(unshared(java.invocation_rows(tree)), "scan-invocations")}
 
     def scan(self, tree: DataFrame, hints: dict | None = None, rules: dict | None = None, redacted: bool = False, project: dict | None = None) -> N.Inventory:
         """The inventory of ``tree`` (``schema.FILES``, any number of scans).
@@ -123,6 +128,7 @@ class Pipeline:
             tree = kept(tree, "scan-files")  # every file is opened once, whatever reads it later
         with self._phase("detector-execution"):
             parsed = self.parsed(tree)
+            tree = unshared(tree)
             context = self.rules | (rules or {}) | parsed
             for name, f in self.detectors.items():
                 try:

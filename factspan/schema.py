@@ -12,6 +12,8 @@ DETAILS = (
 )
 
 FILES = "scan_id string, path string, name string, file_type string, scope string, content string"
+#: Between the scan ids of a file that several scans share.
+SHARED = "\u0001"
 #: Configuration facts and uncertain accesses in one frame; ``kind`` is CONFIG or UNCERTAIN.
 FINDINGS = (
     "scan_id string, ordinal bigint, kind string, key string, normalized_key string, role string, "

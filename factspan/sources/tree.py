@@ -25,6 +25,8 @@ PRUNED = frozenset(
 TYPES = (("ENV", "starts", ".env"), ("JAVA", "ends", ".java"), ("YAML", "ends", ".yaml"), ("YAML", "ends", ".yml"), ("PROPERTIES", "ends", ".properties"),
          ("XML", "ends", ".xml"), ("JSON", "ends", ".json"), ("HOCON", "ends", ".conf"), ("DOCKERFILE", "starts", "dockerfile"))
 TEST_FOLDERS = ("test", "testFixtures")
+#: Locations that name a blob of a repository begin so.
+GIT = "git-blob:"
 SCHEMA = "scan_id string, path string, name string, file_type string, scope string, content string, location string, error string"
 #: The planner opens folders until there are so many parts, and deals a folder's own files to one task for so many.
 PARTS, FILES_A_PART = 64, 1000
@@ -81,6 +83,13 @@ class Files:
                     elif x.is_file():
                         yield x.name, False
 
+    def size(self, path: str) -> int:
+        return self.remote.get_file_info(self.at(path)).size if self.remote else os.path.getsize(self.at(path))
+
+    def opened(self, path: str):
+        """A file to read and seek in."""
+        return self.remote.open_input_file(self.at(path)) if self.remote else open(self.at(path), "rb")
+
     def read(self, path: str) -> bytes:
         if self.remote:
             with self.remote.open_input_stream(self.at(path)) as f:
@@ -214,6 +223,11 @@ def contents(location: Column) -> Column:
         def of(place):
             folder, _, name = (place or "").rpartition("/")
             try:
+                if folder.startswith(GIT):
+                    from .git import blob
+
+                    data = blob(place)
+                    return None if data is None else decoded(data)[0]
                 return decoded(Files(folder).read(name))[0] if name else None
             except OSError:
                 return None

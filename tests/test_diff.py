@@ -96,7 +96,7 @@ def test_export_merge_and_scopes(spark):
     assert export.valid_patterns([{"profile_pattern": "("}]) == [{"profile_pattern": None}]
     plain, secret = export.platform_artifact(export.scoped(export.defined_winners(items).withColumn("own", F.col("environment.profile")), "own", rules_, none))
     assert {r["config_key"] for r in plain.collect()} == {"a.x", "c"}
-    assert [tuple(r) for r in secret.collect()] == [("db_password", "mysql", "${db_password}", "ADVANCED2.6", "exact")]
+    assert [tuple(r) for r in secret.collect()] == [("db_password", "mysql", "${db_password}", export.ENCRYPT_TYPE, "exact")]
 
 
 def test_globs(spark):

@@ -106,7 +106,7 @@ def test_sinks(spark, inventory, tmp_path):
     consumers.INVENTORY_CONSUMERS["html"](inventory, {}, str(tmp_path))
     page = (tmp_path / "report.html").read_text()
     assert page.count("<details>") == page.count("</details>") == inventory.items.select("normalized_key").distinct().count() and "conic-gradient" in page and "class=bar" in page
-    consumers.INVENTORY_CONSUMERS["xac"](inventory, {"api-version": "a/v9", "kind": "K"}, str(tmp_path))
+    consumers.INVENTORY_CONSUMERS["manifest"](inventory, {"api-version": "a/v9", "kind": "K"}, str(tmp_path))
     head = yaml.safe_load((tmp_path / "app-configs.yaml").read_text())
     assert (head["apiVersion"], head["kind"]) == ("a/v9", "K")
     consumers.INVENTORY_CONSUMERS["snapshot"](inventory, {}, str(tmp_path / "snap"))

@@ -205,10 +205,10 @@ def test_command_line(spark, tmp_path, capsys):
     d = yaml.safe_load((tmp_path / "o2/config-diff.yaml").read_text())
     assert [i["key"] for i in d["added"]] == ["NEW_TOKEN"] and d["added"][0]["value"]["raw"] == "******"
     assert {(c["key"], c["oldValue"], c["newValue"]) for c in d["changed"] if c["field"] == "value"} == {("x", "1", "2")}
-    for consumer in ("xac", "html", "default"):
+    for consumer in ("manifest", "html", "default"):
         assert run("inventory", repo, "-o", tmp_path / consumer, "--consumer", consumer, "-Dname=n") == 0
-    assert "s3" not in (tmp_path / "xac/app-configs.yaml").read_text().split("secrets")[-1]
-    assert run("diff", "--base", tmp_path / "o1/config-inventory.yaml", "--head", tmp_path / "o1/config-inventory.yaml", "-o", tmp_path / "o3", "--consumer", "xac") == 0
+    assert "s3" not in (tmp_path / "manifest/app-configs.yaml").read_text().split("secrets")[-1]
+    assert run("diff", "--base", tmp_path / "o1/config-inventory.yaml", "--head", tmp_path / "o1/config-inventory.yaml", "-o", tmp_path / "o3", "--consumer", "manifest") == 0
     assert not list(Path(tmp_path / "o3").glob("*")) if (tmp_path / "o3").exists() else True
     assert run("export", "--inventory", tmp_path / "o1/config-inventory.yaml", "-o", tmp_path / "e.yaml", "--missing", tmp_path / "miss.yaml") == 0
     assert {r["config_key"] for r in yaml.safe_load((tmp_path / "miss.yaml").read_text())["app_configs"]} >= {"home-x"}
