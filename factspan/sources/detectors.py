@@ -24,7 +24,7 @@ from .tree import contents
 ENTRY = ("scan_id", "path", "scope", "line", "detector_id", "detector_rank", "role", "key", "raw", "default_raw", "profile", "confidence", "source_kind", "value_kind", "details_type", "extra", "namespace", "group", "data_id", "symbol")
 
 #: Order in which the detectors' findings stand where all else is equal; fixed values.
-RANKS = {n: i for i, n in enumerate(("spring-config-file", "spring-config-metadata", "logback-spring-xml", "hocon-config-file", "dockerfile-env", "docker-compose-env", "kubernetes-env", "java-source-config", "codegraph-config-usage"))}
+RANKS = {n: i for i, n in enumerate(("spring-config-file", "spring-configuration-metadata", "logback-spring-xml", "hocon-config-file", "dockerfile-env", "docker-compose-env", "kubernetes-env", "java-source-config", "codegraph-config-usage"))}
 
 _CONFIG_NAME = r"^(application|bootstrap)(-[^.]+)?\.(yml|yaml|properties)$"
 # Keys whose values hold JVM options or documents, files of logging and of compose, and details that are no Spring's; fixed values.
@@ -149,7 +149,7 @@ def metadata_files(files: DataFrame) -> DataFrame:
     kind = (F.when((node == "BOOLEAN") | F.col("declared").isin("java.lang.Boolean", "boolean"), "BOOLEAN").when(F.col("declared") == "java.time.Duration", "DURATION")
             .when((node == "BIGINT") | node.rlike(r"^DECIMAL\(\d+,0\)$") | F.col("declared").isin("java.lang.Integer", "int", "java.lang.Long", "long"), "INTEGER").otherwise("STRING"))
     e = p.withColumns({"default_raw": default, "value_kind": F.concat(F.lit("IS:"), kind)})
-    return entries(e, "spring-config-metadata", "READ", source_kind="JSON", value_kind=F.col("value_kind"), details_type="unknown")
+    return entries(e, "spring-configuration-metadata", "READ", source_kind="JSON", value_kind=F.col("value_kind"), details_type="unknown")
 
 
 # ---- other resource files ----------------------------------------------------------------------------------------
@@ -384,7 +384,7 @@ def parse_diagnostics(scalars: DataFrame, invocations: DataFrame | None = None,
     per metadata document that does not parse and per file that could not be read or decoded."""
     parts = [f.where("error is not null").select("scan_id", "path", "error", F.lit(n).alias("n")) for f, n in ((scalars, "leaves"), (invocations, "java-source-config")) if f is not None]
     if files is not None:
-        parts.append(_metadata(files).where("v is null and content is not null").select("scan_id", "path", F.lit("no JSON").alias("error"), F.lit("spring-config-metadata").alias("n")))
+        parts.append(_metadata(files).where("v is null and content is not null").select("scan_id", "path", F.lit("no JSON").alias("error"), F.lit("spring-configuration-metadata").alias("n")))
         if "error" in files.columns:
             parts.append(files.where("error is not null").select("scan_id", "path", "error", F.lit("files").alias("n")))
     return _union(*parts).select("scan_id", F.lit("ERROR").alias("severity"), F.lit("detect").alias("phase"), F.concat_ws(": ", "path", "error").alias("message"), F.col("n").alias("component_id"))
