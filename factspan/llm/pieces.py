@@ -12,7 +12,7 @@ probability that Zipf's law gives it, in proportion to 1 / (r + 1), so paths are
 common words stay whole.  Nothing is learnt for this.
 
 A part longer than ``LONG`` (texts without spaces) is solved by itself, position by position, over edges that are
-found window by window: exact, with a few bytes of memory for each of its own.
+found window by window: exact, with some twenty bytes of memory for each of its own, for any N.
 
 A character without a piece is spelt in byte pieces.  A literal U+2581 is spelt too, and not read as a space, so that
 every text decodes to itself.
@@ -20,9 +20,12 @@ every text decodes to itself.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import heapq
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 4 << 20
 CELLS = 1 << 21
 #: Bytes of parts beyond which one is solved by itself, and bytes whose edges are held at once.
-LONG, SPAN = 1 << 10, 1 << 16
+LONG, SPAN = 1 << 10, 1 << 14
 MARK = "▁"
 _EVERY = np.ones(256, bool)
 
@@ -139,17 +142,11 @@ class Model:
             a = b
         return into
 
-    def _into(self, part: bytes) -> list[list[tuple[int, float, int]]]:
-        """As ``edges``, by windows."""
-        into: list[list[tuple[int, float, int]]] = [[] for _ in range(len(part) + 1)]
-        for edges in self._windows(np.frombuffer(part, np.uint8)):
-            for a, k, s, i in edges:
-                into[a + k].append((a, s, i))
-        return into
-
     def nbest(self, part: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths of a part, best first: A-star backward from its end, forward scores as heuristics."""
-        into = self.edges(part) if len(part) <= LONG else self._into(part)
+        if len(part) > LONG:
+            return self._nbest_long(np.frombuffer(part, np.uint8), n)
+        into = self.edges(part)
         ahead = [0.0] + [-np.inf] * len(part)
         for b in range(1, len(part) + 1):
             ahead[b] = max((ahead[a] + s for a, s, _ in into[b]), default=-np.inf)
@@ -203,45 +200,85 @@ class Model:
         begin, size, score, ids = (np.concatenate(x) for x in zip(*found))
         return begin, size, score, ids
 
-    def _windows(self, data: np.ndarray, backward: bool = False) -> Iterator[list[tuple[int, int, float, int]]]:
-        """The edges of a part, window by window, in the order of their begins."""
-        n, starts = len(data), list(range(0, len(data), SPAN))
-        for lo in reversed(starts) if backward else starts:
-            hi = min(lo + SPAN, n)
-            while lo and data[lo] & 0xC0 == 0x80:
-                lo -= 1  # windows begin with whole characters, as spelling needs
-            while hi < n and data[hi] & 0xC0 == 0x80:
-                hi -= 1
-            edges = self._walk(data, lo, hi)
-            by = np.argsort(edges[0], kind="stable")
-            yield list(zip(*(x[by[::-1] if backward else by].tolist() for x in edges)))
-
-    def _long(self, data: np.ndarray) -> tuple[np.ndarray, float, float]:
-        """Ids of the best path of one part, its score, and the loss of the second best."""
+    def _window(self, data: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, float, int]]:
+        """The edges that begin in a range of a part, in the order of their begins."""
+        n = len(data)
+        while lo and data[lo] & 0xC0 == 0x80:
+            lo -= 1  # windows begin with whole characters, as spelling needs
+        while hi < n and data[hi] & 0xC0 == 0x80:
+            hi -= 1
+        edges = self._walk(data, lo, hi)
+        by = np.argsort(edges[0], kind="stable")
+        return list(zip(*(x[by].tolist() for x in edges)))
+
+    def _forward(self, data: np.ndarray) -> tuple[array, np.ndarray, np.ndarray]:
+        """Best scores up to every position of a part, and the size and the id of the last piece on the way there."""
         n = len(data)
-        ahead, size, ids = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
-        ahead[0] = 0.0
-        best: list[float] = ahead.tolist()
-        for edges in self._windows(data):
-            for a, k, s, i in edges:
+        best, size, ids = array("d", [-math.inf]) * (n + 1), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        best[0] = 0.0
+        for lo in range(0, n, SPAN):
+            for a, k, s, i in self._window(data, lo, min(lo + SPAN, n)):
                 via = best[a] + s
                 if via > best[a + k]:
                     best[a + k] = via
                     size[a + k], ids[a + k] = k, i
-        out, at, on = [], n, np.zeros(n + 1, np.int32)
+        return best, size, ids
+
+    def _turns(self, data: np.ndarray, best: array, size: np.ndarray) -> Callable[[int], list[tuple[float, int, int]]]:
+        """For a position, the edges into it that its best way does not take: (loss, begin, id).  Edges are made window by
+        window, and those of the last few windows asked for are held."""
+        @functools.lru_cache(maxsize=3)
+        def window(lo: int) -> dict[int, list[tuple[float, int, int]]]:
+            into: dict[int, list[tuple[float, int, int]]] = {}
+            for a, k, s, i in self._window(data, max(lo - self.longest, 0), min(lo + SPAN, len(data))):
+                b = a + k
+                if lo < b <= lo + SPAN and k != size[b]:
+                    into.setdefault(b, []).append((max(best[b] - best[a] - s, 0.0), a, i))
+            return into
+
+        return lambda at: window((at - 1) // SPAN * SPAN).get(at, ())
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Ids of the best path of one part, its score, and the loss of the second best: the least turn off the best."""
+        best, size, ids = self._forward(data)
+        turns, out, at, least = self._turns(data, best, size), [], len(data), math.inf
         while at > 0:
             out.append(int(ids[at]))
-            on[at - size[at]] = size[at]
+            least = min(least, min((t[0] for t in turns(at)), default=math.inf))
             at -= int(size[at])
-        behind, second = [-math.inf] * n + [0.0], -math.inf
-        for edges in self._windows(data, backward=True):
-            for a, k, s, _ in edges:
-                via = s + behind[a + k]
-                if via > behind[a]:
-                    behind[a] = via
-                if best[a] + via > second and on[a] != k:
-                    second = best[a] + via
-        return np.array(out[::-1], np.int32), best[n], best[n] - second
+        return np.array(out[::-1], np.int32), best[len(data)], least
+
+    def _nbest_long(self, data: np.ndarray, n: int) -> list[tuple[float, array]]:
+        """As ``nbest``, for a part of any length.
+
+        A state is a position, what its way there has lost against the best, and the turns it has taken off best ways; the
+        rest of a path follows from the best ways.  Every open state ends in a path of just its loss, and no two in the
+        same one, so only the n states of least loss need to be open.
+        """
+        best, size, ids = self._forward(data)
+        turns, count = self._turns(data, best, size), 0
+        open_: list[tuple[float, int, int, tuple]] = [(0.0, 0, len(data), ())]
+        out: list[tuple[float, tuple]] = []
+        while open_ and len(out) < n:
+            lost, _, at, taken = open_.pop(0)
+            room = n - len(out) - 1
+            while at > 0:
+                for more, a, i in turns(at):
+                    if len(open_) < room or room and lost + more < open_[-1][0]:
+                        count += 1
+                        bisect.insort(open_, (lost + more, count, a, (*taken, (at, a, i))))
+                        del open_[room:]
+                at -= int(size[at])
+            out.append((lost, taken))
+        paths = []
+        for lost, taken in out:
+            own, at, back = {b: (a, i) for b, a, i in taken}, len(data), array("i")
+            while at > 0:
+                a, i = own.get(at) or (at - int(size[at]), int(ids[at]))
+                back.append(i)
+                at = a
+            paths.append((best[len(data)] - lost, back[::-1]))
+        return paths
 
     # ---- many parts, in numpy ------------------------------------------------------------------------------------
 

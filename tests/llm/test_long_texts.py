@@ -87,6 +87,22 @@ def test_long_part_in_seconds(model):
     assert data.tobytes().decode() == text and time.monotonic() - began < 60
 
 
+def test_long_part_in_bounded_memory(model):
+    """The three best paths of a long part take some bytes for each of its own, not lists of its edges."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    peaks = []
+    for n in (100_000, 300_000):
+        text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789漢字"), n))
+        tracemalloc.start()
+        (ids, first, score, others), = pieces.encode_column(model, pa.array([text]), 3)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(others[0]) == 2 and 0 <= others[0][0][0] <= others[0][1][0]
+    assert peaks[1] - peaks[0] < 200_000 * 150
+
+
 def test_common_words_stay_whole(model):
     (ids, first, _, _), = pieces.encode_column(model, pa.array(["the cat sat on the old house with his father"]), 1)
     of = {i: p for p, (_, i) in model.of.items()}
