@@ -130,6 +130,19 @@ def _rooted(fps: DataFrame, max_bits: int) -> DataFrame:
     return fps.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+#: Rows of one fingerprint that stay together in a join; those of a fingerprint with more are dealt to several keys.
+TOGETHER = 100_000
+
+
+def _labelled(marked: DataFrame, labels: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """``marked(fp, ...)`` with the columns of ``labels(fp, n, ...)``, ``n`` the rows of a fingerprint.  A label with many rows
+    stands once for each share of them; the list of such labels, one for ``together`` rows at most, is broadcast."""
+    many = labels.where(F.col("n") > together).select("fp", F.ceil(F.col("n") / together).cast("int").alias("_shares"))
+    dealt = marked.join(F.broadcast(many), "fp", "left").withColumn("_share", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_shares")), F.lit(0)).cast("int")).drop("_shares")
+    each = labels.withColumn("_share", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / together).cast("int") - 1)))
+    return dealt.join(each, ["fp", "_share"]).drop("_share", "n")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id)`` per row of ``docs(doc_id, text, ...)``.
 
@@ -139,19 +152,19 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     null ids only has a null component.  An empty table gives an empty result.
     """
     marked = written(with_fingerprint(docs), "simhash-fp")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
     rooted = classes.join(_rooted(classes.select("fp"), max_bits), "fp")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = rooted.join(least, "root").select("fp", "n", "component_id")
+    return _labelled(marked, labels).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, the least by doc_id and then by a hash of the whole row;
-    columns stay.
+    """``docs`` with one row of each near-duplicate group, the least by doc_id (null ones last) and then by a hash of the whole
+    row; columns stay.
 
-    The row is chosen by its own text, so rows of one id with different texts count each in its own group.  Rows
-    with a null id are grouped by text in the same way, but among themselves: no id stands for them.
+    The row is chosen by its own text, so rows of one id with different texts count each in its own group, and a row with
+    a null id stays only where its group has no other.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
     known = docs.withColumn("_row", row)
@@ -161,8 +174,9 @@ def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(2), pa.array(fingerprints(b.column(1)).view(np.int64))], names=["doc_id", "_row", "fp"])
 
-    marked = written(known.select("doc_id", F.col("text").cast("string"), "_row").mapInArrow(run, f"doc_id {kind}, _row string, fp long"), "simhash-rows")
-    rooted = _rooted(written(marked.select("fp").distinct(), "simhash-classes"), max_bits)
-    least = marked.join(rooted, "fp").groupBy("root", F.isnull("doc_id").alias("_none")).agg(F.min(F.struct("doc_id", "_row")).alias("_least"))
-    kept = least.select(F.col("_least._row").alias("_row"))
+    marked = known.select("doc_id", F.col("text").cast("string"), "_row").mapInArrow(run, f"doc_id {kind}, _row string, fp long")
+    # The least row of a fingerprint first, so that no join sees the rows of a much copied text.
+    classes = written(marked.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row")).alias("least")), "simhash-classes")
+    rooted = _rooted(classes.select("fp"), max_bits)
+    kept = classes.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
     return known.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -238,14 +238,23 @@ def test_links_lose_none(spark, split_above):
 
 def test_one_per_group(spark, odd):
     docs = spark.createDataFrame([(3, "a b c d"), (1, "A b c d"), (2, "z y x w v"), (1, "A b c d"), (None, "a b c d")], "doc_id long, text string")
-    assert Counter(r["doc_id"] for r in simhash.one_per_group(docs).collect()) == Counter([1, 2, None])
+    assert Counter(r["doc_id"] for r in simhash.one_per_group(docs).collect()) == Counter([1, 2])
     assert simhash.one_per_group(odd).columns == odd.columns
 
 
 def test_one_per_group_by_rows(spark):
-    """Repeated ids with different texts stand in their own groups; copies with null ids are copies of each other."""
+    """Repeated ids with different texts stand in their own groups; a row with a null id stays where its group has no other."""
     docs = spark.createDataFrame([(1, "a b c d"), (1, "z y x w v"), (1, "z y x w v"), (2, "z y x w v"), (None, "p q r s t"), (None, "p q r s t"), (None, "k l m n o")], "doc_id long, text string")
     assert Counter(map(tuple, simhash.one_per_group(docs).collect())) == Counter([(1, "a b c d"), (1, "z y x w v"), (None, "p q r s t"), (None, "k l m n o")])
+    same = spark.createDataFrame([(1, "a b c d"), (None, "a b c d"), (2, "a b c d")], "doc_id long, text string")
+    assert list(map(tuple, simhash.one_per_group(same).collect())) == [(1, "a b c d")]
+
+
+def test_rows_of_a_much_copied_text_are_dealt_out(spark):
+    marked = spark.createDataFrame([(i, i % 3 and 7) for i in range(500)] + [(None, 7)] * 3, "doc_id long, fp long").repartition(4)
+    labels = marked.groupBy("fp").count().selectExpr("fp", "count n", "fp * 10 component_id")
+    got = simhash._labelled(marked, labels, together=20)
+    assert Counter(map(tuple, got.select("doc_id", "fp", "component_id").collect())) == Counter((r["doc_id"], r["fp"], r["fp"] * 10) for r in marked.collect())
 
 
 def test_remainder_is_crc32(spark):
