@@ -439,3 +439,4 @@ def profile_of_path(spark, d):
     p = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("a/.env."), "event_type")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("b/application-"), "event_type", F.lit(".yml"))).when(F.col("event_id") % 4 == 2, "application.yml").otherwise(".env")
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", K.profile_of_path(p).alias("profile"))
 from . import source_queries as _sources  # noqa: E402,F401  registers the queries of the readers
+from . import reader_queries as _readers  # noqa: E402,F401
