@@ -6,8 +6,8 @@ that items have too are extended to the ten-word windows around them, and these
 distinct windows of the items.  A window of a text meets one distinct window at most, however often words repeat on
 either side, so work follows the words and not the pairs of places.
 
-The fingerprints of the benchmark are broadcast while their texts stay under ``broadcast_bytes`` (measured first);
-beyond that both sides' kept hashes meet in a shuffled join and only pairs of a text and an item are extended.
+The fingerprints and windows of the benchmark are broadcast while they stay under ``broadcast_bytes`` (its texts are
+measured first); beyond that the windows around kept hashes that items may have meet the items' windows in a shuffled join.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import written
+from .tables import dealt_join, written
 from .textkernel import ALNUM, Tokens, grams, hash_spans, mix, padded, same_spans, slices, string_buffer
 
 WINDOW = 10
 GRAM = 5
 KEEP = WINDOW - GRAM + 1
-BROADCAST_BYTES = 24 << 20
+#: Bytes of an index that may be broadcast, and how many it takes for each byte of the items' texts.
+BROADCAST_BYTES, INDEX_BYTES = 24 << 20, 10
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -203,9 +204,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _small(items: DataFrame, broadcast_bytes: int) -> list | None:
-    """The items, if their texts stay within ``broadcast_bytes``."""
+    """The items, if their index stays within ``broadcast_bytes``."""
     size = items.agg(F.sum(F.octet_length("text") + F.length("item_id") + 16)).first()[0] or 0
-    return [(r[0], r[1]) for r in items.collect()] if size <= broadcast_bytes else None
+    return [(r[0], r[1]) for r in items.collect()] if size * INDEX_BYTES <= broadcast_bytes else None
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -238,26 +239,58 @@ def _by_broadcast(texts: DataFrame, known: list) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_FIELDS}")
 
 
-def _keys(column: pa.Array, sizes: set[int], item: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct kept hashes of each row, and hashes of every length of ``sizes``: of items the whole of those that are so
-    short, of texts all places."""
-    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _short(h: np.ndarray, t: Tokens, size: int, item: bool) -> np.ndarray:
+    """Where windows of a length under ``WINDOW`` begin: in items of that length, in texts everywhere."""
+    return t.first[:-1][t.counts == size] if item else np.flatnonzero(_inside(t, size, max(len(h) - size + 1, 0)))
+
+
+def _keys(column: pa.Array, sizes: set[int]) -> np.ndarray:
+    """Distinct kept hashes of a batch of items, and hashes of those items that are one window of a length of ``sizes``."""
+    keys = [np.zeros(0, np.uint64)]
     buf, offsets = string_buffer(column)
     for lo, hi in slices(offsets):
         _, t, h = _words(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-        at, kept = winnow(h, t)
-        parts = [(t.row[at], kept)]
+        keys += [winnow(h, t)[1], *(_at(h, _short(h, t, size, True), size) ^ np.uint64(size) for size in sizes)]
+    return np.unique(np.concatenate(keys))
+
+
+class Filter:
+    """Which hashes items have, up to those that share a bit."""
+
+    def __init__(self, bits: np.ndarray, width: int):
+        self.bits, self.width = bits, width
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> np.uint64(64 - self.width)
+        return self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def _windows(column: pa.Array, sizes: set[int], known: Filter | None):
+    """Windows of a batch: rows, first words, lengths and texts (words with a space between).  Of items (no filter) all; of
+    texts those around kept hashes, and short ones, that items may have."""
+    buf, offsets = string_buffer(column)
+    for lo, hi in slices(offsets):
+        pad, t, h = _words(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+        inside = _inside(t, WINDOW, max(len(h) - WINDOW + 1, 0))
+        if known is not None:
+            at, kept = winnow(h, t)
+            near = np.zeros(len(inside) + WINDOW, bool)
+            for shift in range(KEEP):
+                near[np.maximum(at[known.has(kept)] - shift, 0)] = True
+            inside &= near[:len(inside)]
+        found = [(np.flatnonzero(inside), WINDOW)]
         for size in sizes:
-            if item:
-                at = t.first[:-1][t.counts == size]
-            else:
-                at = np.flatnonzero(_inside(t, size, max(len(h) - size + 1, 0)))
-            parts.append((t.row[at], _at(h, at, size) ^ np.uint64(size)))
-        r, k = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        pairs = np.unique(np.stack([r.astype(np.uint64), k], 1), axis=0)
-        rows.append(pairs[:, 0].astype(np.int64) + lo)
-        keys.append(pairs[:, 1].view(np.int64))
-    return np.concatenate(rows), np.concatenate(keys)
+            a = _short(h, t, size, known is None)
+            found.append((a if known is None else a[known.has(_at(h, a, size) ^ np.uint64(size))], size))
+        long = t.end - t.start
+        begin = np.cumsum(long + 1) - (long + 1)
+        data = np.full(int((long + 1).sum()), 32, np.uint8)
+        inner = np.cumsum(long) - long
+        data[np.repeat(begin - inner, long) + np.arange(int(long.sum()))] = pad[np.repeat(t.start - inner, long) + np.arange(int(long.sum()))]
+        text, row = data.tobytes(), t.row
+        for a, size in found:
+            if len(a):
+                yield row[a] + lo, a - t.first[row[a]], size, [text[x:y] for x, y in zip(begin[a].tolist(), (begin + long)[a + size - 1].tolist())]
 
 
 def _counted(texts: DataFrame) -> DataFrame:
@@ -271,68 +304,65 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select("k", "text").mapInArrow(run, "k long, n_words long")
 
 
-#: Bits of the filter of hashes that items have (a fixed size, whatever the benchmark): 2 MB.
-FILTER = 24
+#: Bits of the number of slots of the filter of hashes that items have: by their count, within these (2 MB and 128 MB).
+FILTER = (24, 30)
+
+
+def _filter(items: DataFrame, sizes: set[int]) -> Filter:
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array(_keys(b.column(0), sizes).view(np.int64))], names=["key"])
+
+    keys = written(items.select("text").mapInArrow(run, "key long").distinct(), "decontaminate-keys")
+    width = min(max((8 * keys.count()).bit_length(), FILTER[0]), FILTER[1])
+    # Bytes of the filter that are not zero, added up by tasks: at most as many as the filter has.
+    slots = keys.select(F.shiftrightunsigned("key", 64 - width).alias("slot"))
+    parts = slots.selectExpr("shiftrightunsigned(slot, 3) at", "shiftleft(1, cast(slot % 8 as int)) bit").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    bits = np.zeros(1 << (width - 3), np.uint8)
+    for b in parts.select("at", F.col("bits").cast("short")).toArrow().to_batches():
+        bits[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return Filter(bits, width)
 
 
 def _by_join(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """The same, with the text, for a benchmark of any size: kept hashes meet in a join, and each pair of a text and an
-    item is extended by itself.
+    """The same, with the text, for a benchmark of any size: windows of the texts meet the distinct windows of the items, word
+    for word, and no text is shuffled for it.
 
-    Equal rows of id and text are one row with a number of its own and a count; numbers are written once.  Lengths
-    under a window are hashed only where an item has that length, and hashes that no item has (but for those that
-    share a bit of a filter of fixed size) stay out of the join.
+    Equal rows of id and text are one row with a number of its own and a count; numbers are written once.  Windows that
+    no item can have, by a filter of bounded size, stay out of the join, and those that very many texts hold are dealt to
+    several keys.
     """
+    spark = texts.sparkSession
     base = texts.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     base = written(base.withColumn("k", F.monotonically_increasing_id()), "decontaminate-texts")
     items = written(items.distinct().withColumn("k", F.monotonically_increasing_id()), "decontaminate-items")
+    counted = written(_counted(base), "decontaminate-words")
     short = _counted(items).where(F.col("n_words").between(1, WINDOW - 1)).select(F.col("n_words").cast("int").alias("n")).distinct()
     sizes = {r[0] for r in short.collect()}  # nine numbers at most
+    known = spark.sparkContext.broadcast(_filter(items, sizes))
 
-    def keyed(item, bits=None):
+    def cut(item: bool):
         def run(batches):
             for b in batches:
-                rows, keys = _keys(b.column(1), sizes, item)
-                if bits is not None:
-                    slot = keys.view(np.uint64) >> np.uint64(64 - FILTER)
-                    some = bits.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
-                    rows, keys = rows[some], keys[some]
-                yield pa.record_batch([b.column(0).take(pa.array(rows)), pa.array(keys)], names=["k", "key"])
+                for rows, first, size, windows in _windows(b.column(1), sizes, None if item else known.value):
+                    yield pa.record_batch([b.column(0).take(pa.array(rows)), pa.array(first, pa.int64()), pa.array(first + size, pa.int64()), pa.array(windows, pa.binary())], names=["k", "start", "stop", "window"])
         return run
 
-    theirs = written(items.select("k", "text").mapInArrow(keyed(True), "k long, key long").select(F.col("k").alias("item"), "key"), "decontaminate-keys")
-    filled = np.zeros(1 << FILTER, np.uint8)
-    slots = theirs.select(F.shiftrightunsigned("key", 64 - FILTER).alias("slot")).distinct().toArrow()  # bounded by the filter
-    filled[slots.column("slot").to_numpy()] = 1
-    bits = texts.sparkSession.sparkContext.broadcast(np.packbits(filled, bitorder="little"))
-    ours = base.select("k", "text").mapInArrow(keyed(False, bits), "k long, key long")
-    pairs = written(ours.join(theirs, "key").select("k", "item").distinct(), "decontaminate-pairs")
-
-    def extend(batches):
-        for b in batches:
-            found: list[list] = [[], [], [], []]
-            for row in b.to_pylist():
-                index = Index([row["item_id"]], [row["item_text"]])
-                buf, offsets = string_buffer(pa.array([row["text"]], pa.large_string()))
-                pad, t, h = _words(buf, offsets)
-                for size, (a, _) in index.spans(pad, t, h).items():
-                    a = np.unique(a)
-                    if not len(a):
-                        continue
-                    new = np.flatnonzero(np.concatenate([[True], a[1:] > a[:-1] + size]))  # windows that touch are one span
-                    for x, y in zip(a[new].tolist(), a[np.append(new[1:], len(a)) - 1].tolist()):
-                        for column, v in zip(found, (row["k"], x, y + size, row["item_id"])):
-                            column.append(v)
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in found[:3]), pa.array(found[3], pa.string())], names=["k", "start", "stop", "item_id"])
-
-    full = pairs.join(base.select("k", "text"), "k").join(items.select(F.col("k").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
-    spans = written(full.select("k", "text", "item_id", "item_text").mapInArrow(extend, "k long, start long, stop long, item_id string"), "decontaminate-spans")
-    ids = spans.select("k", "item_id").distinct().groupBy("k").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("ids"))
+    layout = "k long, start long, stop long, window binary"
+    theirs = items.select("k", "text").mapInArrow(cut(True), layout).select("k", "window").join(items.select("k", "item_id"), "k").select("window", "item_id").distinct()
+    theirs = written(theirs, "decontaminate-windows")
+    ours = written(base.select("k", "text").mapInArrow(cut(False), layout), "decontaminate-candidates")
+    met = theirs.select("window").distinct().join(ours.groupBy("window").agg(F.count("*").alias("n")), "window")
+    met = written(met.withColumn("w", F.monotonically_increasing_id()), "decontaminate-met")
+    spans = written(dealt_join(ours, met, "window").select("k", "start", "stop", "w"), "decontaminate-spans")
+    once = written(spans.select("k", "w").distinct(), "decontaminate-once")
+    holders = once.groupBy("w").agg(F.count("*").alias("n")).join(met.select("w", "window"), "w").join(theirs, "window").select("w", "n", "item_id")
+    ids = dealt_join(once, holders, "w").select("k", "item_id").distinct().groupBy("k").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("ids"))
     # Words covered: what each span adds to the furthest end of those that begin ahead of it.
     reach = Window.partitionBy("k").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.max("stop").over(reach), F.lit(0))
     covered = spans.select("k", "start", "stop").distinct().withColumn("more", F.greatest(F.col("stop") - F.greatest("start", ahead), F.lit(0))).groupBy("k").agg(F.sum("more").alias("n_hit"))
-    out = base.join(_counted(base), "k").join(ids, "k", "left").join(covered, "k", "left")
+    out = base.join(counted, "k").join(ids, "k", "left").join(covered, "k", "left")
     return out.select(
         "doc_id", "text", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"),

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, written
+from .tables import components, dealt_join, written
 from .textkernel import NOT_SPACE, Tokens, padded, slices, string_buffer
 
 SEED = 42
@@ -130,19 +130,6 @@ def _rooted(fps: DataFrame, max_bits: int) -> DataFrame:
     return fps.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-#: Rows of one fingerprint that stay together in a join; those of a fingerprint with more are dealt to several keys.
-TOGETHER = 100_000
-
-
-def _labelled(marked: DataFrame, labels: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """``marked(fp, ...)`` with the columns of ``labels(fp, n, ...)``, ``n`` the rows of a fingerprint.  A label with many rows
-    stands once for each share of them; the list of such labels, one for ``together`` rows at most, is broadcast."""
-    many = labels.where(F.col("n") > together).select("fp", F.ceil(F.col("n") / together).cast("int").alias("_shares"))
-    dealt = marked.join(F.broadcast(many), "fp", "left").withColumn("_share", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_shares")), F.lit(0)).cast("int")).drop("_shares")
-    each = labels.withColumn("_share", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / together).cast("int") - 1)))
-    return dealt.join(each, ["fp", "_share"]).drop("_share", "n")
-
-
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id)`` per row of ``docs(doc_id, text, ...)``.
 
@@ -156,7 +143,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rooted = classes.join(_rooted(classes.select("fp"), max_bits), "fp")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "n", "component_id")
-    return _labelled(marked, labels).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return dealt_join(marked, labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from ..shared import drop, read, written
 
-__all__ = ["components", "drop", "read", "written"]
+__all__ = ["components", "dealt_join", "drop", "read", "written"]
+
+#: Rows of one key that stay together in ``dealt_join``; those of a key with more are dealt to several.
+TOGETHER = 100_000
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, together: int = TOGETHER) -> DataFrame:
+    """``rows(key, ...)`` with the columns of ``table(key, n, ...)``, ``n`` the rows that have the key.  An entry with many rows
+    stands once for each share of them; the list of such keys, one for ``together`` rows at most, is broadcast."""
+    many = table.where(F.col("n") > together).select(key, F.ceil(F.col("n") / together).cast("int").alias("_shares"))
+    dealt = rows.join(F.broadcast(many.distinct()), key, "left")
+    dealt = dealt.withColumn("_share", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_shares")), F.lit(0)).cast("int")).drop("_shares")
+    each = table.withColumn("_share", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / together).cast("int") - 1)))
+    return dealt.join(each, [key, "_share"]).drop("_share", "n")
 
 
 def components(edges: DataFrame, prefix: str = "cc") -> DataFrame:

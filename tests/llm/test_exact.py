@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factspan.llm import decontaminate, entry, pii, quality_rules, simhash
+from factspan.llm.tables import dealt_join
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -253,7 +254,7 @@ def test_one_per_group_by_rows(spark):
 def test_rows_of_a_much_copied_text_are_dealt_out(spark):
     marked = spark.createDataFrame([(i, i % 3 and 7) for i in range(500)] + [(None, 7)] * 3, "doc_id long, fp long").repartition(4)
     labels = marked.groupBy("fp").count().selectExpr("fp", "count n", "fp * 10 component_id")
-    got = simhash._labelled(marked, labels, together=20)
+    got = dealt_join(marked, labels, "fp", together=20)
     assert Counter(map(tuple, got.select("doc_id", "fp", "component_id").collect())) == Counter((r["doc_id"], r["fp"], r["fp"] * 10) for r in marked.collect())
 
 
