@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import written
+from .tables import TOGETHER, dealt_join, written
 
 PART = 64
 #: Roles whose turns are instructions and not a speaker's.
@@ -40,7 +40,7 @@ def numbered(turns: DataFrame) -> DataFrame:
     return left.join(right, on).select("l.conv_id", "turn", "role", "text", (F.col("gid") + F.col("shift")).alias("pos"))
 
 
-def rotated(conversations: DataFrame, part: int = PART, instructions: tuple[str, ...] = INSTRUCTIONS) -> DataFrame:
+def rotated(conversations: DataFrame, part: int = PART, instructions: tuple[str, ...] = INSTRUCTIONS, together: int = TOGETHER) -> DataFrame:
     """One row ``(conv_id, speaker, part, n_turns, text, masks)`` per speaker of a conversation and part of ``part`` turns.
 
     ``masks``: spans ``{start, end}`` of the part's text, in code points, of what the speaker says with the mark that
@@ -54,7 +54,10 @@ def rotated(conversations: DataFrame, part: int = PART, instructions: tuple[str,
     placed = numbered(turns)
     speakers = turns.where(~F.col("role").isin(*instructions)).select("conv_id", F.col("role").alias("speaker")).distinct()
     blocks = placed.groupBy("conv_id", F.floor(F.col("pos") / part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
-    each = blocks.alias("b").join(speakers.alias("s"), F.col("b.conv_id").eqNullSafe(F.col("s.conv_id"))).select("b.conv_id", "speaker", "part", "turns")
+    # A structure, since a null conv_id is a conversation too; one with very many parts is dealt to several keys.
+    key = F.struct("conv_id").alias("_conv")
+    parts = turns.groupBy(key).agg(F.ceil(F.count("*") / part).alias("n"))
+    each = dealt_join(blocks.withColumn("_conv", key), speakers.select(key, "speaker").join(parts, "_conv"), "_conv", together).drop("_conv")
 
     def plain(x):
         return F.replace(x, F.lit("<|"), F.lit("<\\|"))

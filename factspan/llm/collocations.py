@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
-from .textkernel import Tokens, hash_spans, mix, padded, slices, string_buffer
+from .textkernel import Tokens, cut, hash_spans, mix, padded, slices, string_buffer
 
 LEAST = 100
 WORDS = 5
@@ -48,27 +48,6 @@ def width(n_bytes: int) -> int:
     return min(max(1 << (n_bytes // BYTES_A_COUNTER).bit_length(), NARROWEST), WIDEST)
 
 
-def _cut(buf: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of texts with long ones cut behind delimiters, and the row of each part."""
-    if len(offsets) < 2 or np.diff(offsets).max() <= limit:
-        return offsets, np.arange(len(offsets) - 1)
-    ends, rows = [0], []
-    for r, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-        if hi - lo > limit:
-            places = np.flatnonzero(_DELIMITER[buf[lo:hi]]) + lo + 1
-            at = lo
-            while hi - at > limit:
-                k = int(np.searchsorted(places, at + limit))
-                if k == len(places) or places[k] >= hi:
-                    break
-                at = int(places[k])
-                ends.append(at)
-                rows.append(r)
-        ends.append(hi)
-        rows.append(r)
-    return np.array(ends, dtype=np.int64), np.array(rows, dtype=np.int64)
-
-
 class Shard:
     """Words of a bounded part of a batch: places, hashes with the language in them, and how many words of the piece
     are left from each on."""
@@ -122,7 +101,7 @@ def shards(batches, limit: int = SHARD) -> Iterator[tuple[Shard, np.ndarray, lis
         ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         codes = hash_spans(padded(np.frombuffer(b"".join(raw), np.uint8)), ends[:-1], ends[1:], 7) if raw else np.zeros(0, np.uint64)
         buf, offsets = string_buffer(b.column(1))
-        offsets, rows = _cut(buf, offsets, limit)
+        offsets, rows = cut(buf, offsets, limit, _DELIMITER)
         for lo, hi in slices(offsets, limit):
             some = number[rows[lo:hi]]
             pad = padded(buf[offsets[lo]:offsets[hi]], lower=True)

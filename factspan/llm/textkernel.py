@@ -61,6 +61,28 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
+def cut(buf: np.ndarray, offsets: np.ndarray, limit: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of texts with those longer than ``limit`` cut behind bytes of ``ends``, and the row of each part.  A part is
+    longer only where it has no such byte."""
+    if len(offsets) < 2 or np.diff(offsets).max() <= limit:
+        return offsets, np.arange(len(offsets) - 1)
+    cuts, rows = [0], []
+    for r, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+        if hi - lo > limit:
+            places = np.flatnonzero(ends[buf[lo:hi]]) + lo + 1
+            at = lo
+            while hi - at > limit:
+                k = int(np.searchsorted(places, at + limit))
+                if k == len(places) or places[k] >= hi:
+                    break
+                at = int(places[k])
+                cuts.append(at)
+                rows.append(r)
+        cuts.append(hi)
+        rows.append(r)
+    return np.array(cuts, dtype=np.int64), np.array(rows, dtype=np.int64)
+
+
 def padded(buf: np.ndarray, lower: bool = False) -> np.ndarray:
     """A copy with zero bytes after it, so that eight bytes can be loaded at any position."""
     out = np.zeros(len(buf) + PAD, dtype=np.uint8)

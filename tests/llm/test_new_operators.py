@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from factspan.llm import ball_kmeans, byte_bpe, collocations, entry
+from factspan.llm import ball_kmeans, byte_bpe, collocations, entry, textkernel
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -178,6 +178,36 @@ def test_long_texts_are_cut_between_pieces(spark):
     rng = random.Random(2)
     text = "".join(rng.choice(["one two", " three", ", ", ".", "\n", " four "]) for _ in range(3000))
     buf = np.frombuffer(text.encode(), np.uint8)
-    ends, rows = collocations._cut(buf, np.array([0, len(buf)]), 200)
+    ends, rows = textkernel.cut(buf, np.array([0, len(buf)]), 200, collocations._DELIMITER)
     assert len(rows) == len(ends) - 1 > 10 and ends[-1] == len(buf)
     assert all(buf[e - 1] in b".,;:!?\n" for e in ends[1:-1].tolist())
+
+
+# Memory of earlier operators
+
+
+def test_filters_in_runs_pool_the_same(monkeypatch):
+    """Responses of a text are pooled run by run, and long texts read in parts, with the same scores."""
+    import pyarrow as pa
+
+    from factspan.llm import toxicity
+
+    rng, net = np.random.default_rng(1), toxicity.Network()
+    net.bias = rng.normal(0, 1, net.bias.shape).astype(np.float32)
+    texts = ["", "a", None, "hello world the of " * 9, "x y z " * 300, "le la " * 40] + ["".join(rng.choice(list("abc de"), int(rng.integers(0, 300)))) for _ in range(80)]
+    want = toxicity._scores(net, pa.array(texts))
+    for run in (5, 64):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        assert np.allclose(toxicity._scores(net, pa.array(texts)), want, atol=1e-6)
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 200)
+    assert np.allclose(toxicity._scores(net, pa.array(texts)), want, atol=1e-6)
+
+
+def test_long_conversations_are_dealt_out(spark):
+    """A conversation of many parts, and one without an id, give the same rows however their parts are dealt to keys."""
+    from factspan.llm import chat
+
+    turns = [(c, k, f"s{k % 3}", f"t{c}-{k}") for c in (None, 1, 2) for k in range(7 if c == 2 else 90)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = lambda together: Counter(str(r) for r in chat.rotated(table, part=4, together=together).collect())
+    assert rows(3) == rows(100_000) and len(rows(3)) == 3 * (23 + 23 + 2)
