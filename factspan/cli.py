@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -112,7 +113,8 @@ def inventory(spark: SparkSession, args) -> None:
     inv = pipeline.scan(tree, _hints(args), _rules(spark, args.rules, args.root) | {"meta_annotations": args.meta_annotations}, args.redact_sensitive, {"name": Path(args.root).resolve().name, "ref": "unknown"})
     consume(inv, _properties(args), args.output)
     if args.metrics:
-        Path(args.metrics).write_text(V.dump({"schemaVersion": V.RUN_VERSION, "metrics": [{"phase": p, "millis": ms} | ({} if rows is None else {"rows": rows}) for p, ms, rows in pipeline.metrics], "diagnostics": V.documents(inv.diagnostics)}), encoding="utf-8")
+        phases = [{"phase": p, "millis": ms} | ({} if rows is None else {"rows": rows}) for p, ms, rows in pipeline.metrics]
+        consumers.write("", args.metrics, chain([V.dump({"schemaVersion": V.RUN_VERSION, "metrics": phases})], V.part_text("diagnostics", inv.diagnostics, "message")))
 
 
 def diff(spark: SparkSession, args) -> None:

@@ -77,10 +77,7 @@ def application_files(scalars: DataFrame, file_rules: DataFrame | None = None) -
         extra = scalars.where(~F.col("name").rlike(_CONFIG_NAME)).join(matched, ["scan_id", "path"])
         own = own.unionByName(extra.select(*own.columns))
     flat = own.withColumn("key", dotted()).where("error is null and value is not null and key <> ''")
-    named = flat.groupBy("scan_id", "path", "doc").agg(
-        F.max(F.when(F.col("key") == "spring.config.activate.on-profile", F.col("value"))).alias("activated"),
-        F.max(F.when(F.col("key") == "spring.profiles", F.col("value"))).alias("legacy"))
-    flat = flat.join(named, ["scan_id", "path", "doc"]).withColumn("profile", F.coalesce("activated", "legacy", K.profile_of_path("path")))
+    flat = flat.withColumn("profile", F.coalesce("profile", K.profile_of_path("path")))
     kind = F.when(F.col("name").endswith(".properties"), "PROPERTIES").otherwise("YAML")
     return entries(flat.withColumn("raw", F.col("value")).withColumn("scope", F.coalesce("rule_scope", "scope")), "spring-config-file", K.role_of_key("key"), source_kind=kind, value_kind="FULL", details_type="unknown")
 

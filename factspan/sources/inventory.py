@@ -35,16 +35,6 @@ def _plain(row: dict) -> dict:
     return {k: v for k, v in plain(row).items() if k not in ("scanId", "ordinal", "kind", "emitSeq")}
 
 
-def document(row) -> dict:
-    """A row as a nested document in camel case, without nulls."""
-    return _plain(row.asDict(recursive=True))
-
-
-def documents(frame: DataFrame, *order: str) -> list[dict]:
-    """The rows of one scan for a sink that is one document: a report is as large as its project."""
-    return [document(r) for r in (frame.orderBy(*order) if order else frame).collect()]
-
-
 def list_text(name: str, rows):
     """A YAML document of one list, row by row."""
     first = next(rows, None)

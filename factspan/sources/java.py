@@ -585,7 +585,7 @@ def java_entries(files: DataFrame, method_rules: DataFrame | None = None, annota
     named = found.where("key = 'spring.property-source'").select("scan_id", "symbol", F.col("raw").alias("location"), F.regexp_replace("raw", "^optional:", "").alias("t"))
     local = named.where("t like 'classpath:%' or t like 'file:%'").select("scan_id", "location", "symbol", F.when(F.col("t").startswith("classpath:"), F.concat(F.lit("src/main/resources/"), F.regexp_replace("t", "^classpath:/?", ""))).otherwise(F.regexp_replace("t", r"^file:(\./)?", "")).alias("path"))
     local = local.where("path like '%.properties'").groupBy("scan_id", "path").agg(F.min(F.struct("location", "symbol")).alias("m")).select("scan_id", "path", "m.*")
-    read = scalars.where("error is null").join(local, ["scan_id", "path"]).withColumns({"key": F.get("segs", F.lit(0)), "raw": F.col("value")})
+    read = scalars.where("error is null").drop("profile").join(local, ["scan_id", "path"]).withColumns({"key": F.get("segs", F.lit(0)), "raw": F.col("value")})
     e = lambda f, role, **g: entries(f, "java-source-config", role, source_kind="PROPERTIES", value_kind="JAVA", **g)
     own = e(read.withColumn("extra", F.lit("property-source-file")), "DEFINE")
     held = read.where("value like '%${%'").drop("key", "raw").select("*", F.inline(nested_placeholders("value", deep=False))).drop("raw")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LEAVES = "scan_id string, path string, name string, scope string, doc int, seq int, segs array<string>, value string, line int, error string"
+LEAVES = "scan_id string, path string, name string, scope string, doc int, seq int, segs array<string>, value string, line int, error string, profile string"
 
 
 def yaml_leaves(text: str) -> Iterator[tuple[int, list[str], str | None]]:
@@ -120,8 +120,22 @@ def dotted(segs: list[str]) -> str:
     return re.sub(r"\.\[", "[", ".".join(segs))
 
 
+#: Keys that name the profile of their document, the first that is there; fixed values.
+PROFILE_KEYS = ("spring.config.activate.on-profile", "spring.profiles")
+
+
+def profiles(found: list[tuple[int, list[str], str | None]]) -> dict[int, str]:
+    """The profile that each document of a file names, of those that name one."""
+    named: dict[tuple[int, str], str] = {}
+    for doc, segs, value in found:
+        key = dotted(segs)
+        if key in PROFILE_KEYS and value is not None:
+            named[doc, key] = max(value, named.get((doc, key), value))
+    return {doc: named[doc, key] for key in reversed(PROFILE_KEYS) for doc in {d for d, k in named if k == key}}
+
+
 def leaves(files: DataFrame) -> DataFrame:
-    """The scalars of YAML, properties and XML files among ``files``."""
+    """The scalars of YAML, properties and XML files among ``files``, each with the profile that its document names."""
     def of(row) -> list[tuple]:
         head = (row.scan_id, row.path, row.name, row.scope)
         try:
@@ -132,9 +146,10 @@ def leaves(files: DataFrame) -> DataFrame:
             else:
                 found = [(0, s, v) for s, v in xml_values(row.content)]
         except Exception as e:  # any fault of one file is that file's alone, and is reported
-            return [(*head, 0, 0, [], None, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")]
+            return [(*head, 0, 0, [], None, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", None)]
         at = lines_of([x.strip() for x in row.content.splitlines()], [dotted(s) for _, s, _ in found]) if row.file_type != "XML" else [None] * len(found)
-        return [(*head, d, i, s, v, line, None) for i, ((d, s, v), line) in enumerate(zip(found, at))]
+        of_document = profiles(found) if row.file_type != "XML" else {}
+        return [(*head, d, i, s, v, line, None, of_document.get(d)) for i, ((d, s, v), line) in enumerate(zip(found, at))]
 
     def run(frames):
         names = [x.split()[0] for x in LEAVES.split(", ")]
