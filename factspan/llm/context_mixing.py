@@ -591,6 +591,8 @@ def scores(docs: DataFrame, head: int = 0) -> DataFrame:
     A null text is empty: it has the token that ends a text only.  A null id counts as empty text for the split.
     Equal rows are counted as often as they occur, learnt from once, and come back as often; an empty table gives an
     empty one; other columns are not read.  ``head`` is there for callers of old: no table of words is broadcast.
+    Weights are learnt block by block and averaged, and the number of blocks follows the bytes of the table, so the score
+    of a text depends on the whole table, though not on its partitions or their order.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (remainder(MODULUS) == HELD_OUT).alias("held_out"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
