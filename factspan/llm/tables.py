@@ -16,6 +16,7 @@ TOGETHER = 100_000
 def dealt_join(rows: DataFrame, table: DataFrame, key: str, together: int = TOGETHER) -> DataFrame:
     """``rows(key, ...)`` with the columns of ``table(key, n, ...)``, ``n`` the rows that have the key.  An entry with many rows
     stands once for each share of them; the list of such keys, one for ``together`` rows at most, is broadcast."""
+    table = written(table, "dealt-keys")  # two plans read it
     many = table.where(F.col("n") > together).select(key, F.ceil(F.col("n") / together).cast("int").alias("_shares"))
     dealt = rows.join(F.broadcast(many.distinct()), key, "left")
     dealt = dealt.withColumn("_share", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_shares")), F.lit(0)).cast("int")).drop("_shares")
