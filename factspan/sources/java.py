@@ -371,23 +371,67 @@ def _first(name: str) -> Column:
     return F.get(_attribute(name), F.lit(0))
 
 
+#: What a reading of an invocation says, beside its place: columns of ``ENTRY``.
+_SAID = ("role", "key", "raw", "default_raw", "profile", "confidence", "source_kind", "value_kind", "details_type", "extra", "namespace", "group", "data_id")
+
+
+def _entry(key: Column, role: Column | str = "READ", **given: Column | str) -> Column:
+    said = {"role": role, "key": key, "confidence": "HIGH", "source_kind": "JAVA", "value_kind": "JAVA", "details_type": "external"} | given
+    as_column = lambda x: F.lit(x) if x is None or isinstance(x, str) else x
+    return F.struct(*[as_column(said.get(n)).cast("string").alias(n) for n in _SAID])
+
+
+def _if(condition: Column, found: Column) -> Column:
+    """One entry, or an array of them, where a condition holds and the key is no blank; else none."""
+    return F.when(condition, F.filter(found, lambda x: F.trim(x["key"]) != ""))
+
+
+def _one(condition: Column, entry: Column) -> Column:
+    return _if(condition, F.array(entry))
+
+
+def _read(rows: DataFrame, kinds: list[Column]) -> DataFrame:
+    """Entries of all kinds of reading, in one pass over the invocations."""
+    none = F.array().cast(f"array<struct<{','.join(f'`{n}`:string' for n in _SAID)}>>")
+    out = rows.select("scan_id", "path", "scope", "line", "symbol", F.inline(F.concat(*[F.coalesce(k, none) for k in kinds])))
+    given = {n: F.col(f"`{n}`") for n in _SAID if n != "role"}
+    return entries(out, "java-source-config", F.col("role"), **given)
+
+
+def _annotation_kinds() -> list[Column]:
+    own, name = F.col("form") == "annotation", F.col("name")
+    strings = F.flatten(F.transform("args", lambda a: a["strings"]))
+    role = F.when(name.endswith("ConditionalOnExpression"), "CONDITION").otherwise("READ")
+    spelt = lambda s: F.array_distinct(F.concat(*[F.regexp_extract_all(s, F.lit(p), 1) for p in _SPEL]))
+    prefix, having = _first("prefix"), _first("havingValue")
+    under = lambda n: F.when(F.trim(F.coalesce(prefix, F.lit(""))) == "", n).otherwise(F.concat_ws(".", prefix, n))
+    filled = lambda names: F.filter(_attribute(*names), lambda x: F.trim(x) != "")
+    nacos = name.endswith("NacosPropertySource")
+    return [
+        _if(own, F.flatten(F.transform(strings, lambda s: F.transform(spelt(s), lambda k: _entry(k, role))))),
+        _if(own & name.endswith("ConfigurationProperties"), F.transform(filled(["prefix", "value"]), lambda k: _entry(k, confidence="MEDIUM", details_type="spring-configuration-properties", extra=F.col("target")))),
+        _one(own & name.endswith("WebInitParam"), _entry(_first("name"), "DEFINE", raw=_first("value"), extra="web-init-param")),
+        _if(own & name.endswith("ConditionalOnProperty"), F.transform(filled(["name", "value"]), lambda n: _entry(under(n), "CONDITION", default_raw=having, extra="conditional-on-property"))),
+        _if(own & name.endswith("Profile"), F.transform(filled(["value"]), lambda x: _entry(F.lit("spring.profiles"), "METADATA", raw=x, profile=x, value_kind="STRING", extra="profile"))),
+        _if(own & name.endswith("PropertySource") & ~nacos, F.transform(filled(["value"]), lambda x: _entry(F.lit("spring.property-source"), "METADATA", raw=x, value_kind="STRING", extra="property-source"))),
+        _if(own & nacos, F.transform(filled(["dataId"]), lambda x: _entry(F.concat(F.lit("nacos.config."), x), "METADATA", details_type="config-center", data_id=x, group=_first("groupId"))))]
+
+
+def _placeholder_entries(rows: DataFrame) -> DataFrame:
+    """Placeholders in the texts of annotations and in what resolves them."""
+    e = lambda f, role: entries(f.select("*", F.inline(nested_placeholders("s"))).withColumns({"default_raw": F.col("default_value"), "extra": F.col("raw")}).drop("raw"), "java-source-config", role, source_kind="JAVA", value_kind="JAVA", details_type="spring-placeholder")
+    last = F.substring_index("name", ".", -1)
+    resolved = (F.col("form") == "call") & last.isin("resolvePlaceholders", "resolveRequiredPlaceholders")
+    texts = F.when(F.col("form") == "annotation", F.flatten(F.transform("args", lambda x: x["strings"]))).when(resolved, F.array(_arg(0)["literal"]))
+    role = F.when((F.col("form") == "annotation") & F.col("name").endswith("ConditionalOnExpression"), "CONDITION").otherwise("READ")
+    held = rows.select("scan_id", "path", "scope", "line", "symbol", role.alias("role"), F.explode(texts).alias("s")).where(F.col("s").contains("${"))
+    return e(held, F.col("role"))
+
+
 def annotation_entries(rows: DataFrame) -> DataFrame:
+    """Entries of annotations alone."""
     a = rows.where("form = 'annotation'")
-    e = lambda f, role, **g: entries(f, "java-source-config", role, **({"source_kind": "JAVA", "value_kind": "JAVA"} | g))
-    is_condition = F.col("name").endswith("ConditionalOnExpression")
-    texts = a.withColumns({"role": F.when(is_condition, "CONDITION").otherwise("READ"), "s": F.explode(F.flatten(F.transform("args", lambda x: x["strings"])))})
-    held = texts.select("*", F.inline(nested_placeholders("s"))).withColumns({"default_raw": F.col("default_value"), "extra": F.col("raw")}).drop("raw")
-    spel = texts.withColumn("key", F.explode(F.array_distinct(F.concat(*[F.regexp_extract_all("s", F.lit(p), 1) for p in _SPEL]))))
-    bound = a.where(F.col("name").endswith("ConfigurationProperties")).withColumns({"key": F.explode(_attribute("prefix", "value")), "extra": F.col("target")}).where("trim(key) <> ''")
-    web = a.where(F.col("name").endswith("WebInitParam")).withColumns({"key": _first("name"), "raw": _first("value"), "extra": F.lit("web-init-param")}).where("trim(key) <> ''")
-    prefix = _first("prefix")
-    on = a.where(F.col("name").endswith("ConditionalOnProperty")).withColumns({"prefix": prefix, "default_raw": _first("havingValue"), "n": F.explode(_attribute("name", "value")), "extra": F.lit("conditional-on-property")}).where("trim(n) <> ''")
-    on = on.withColumn("key", F.when(F.trim(F.coalesce("prefix", F.lit(""))) == "", F.col("n")).otherwise(F.concat_ws(".", "prefix", "n")))
-    profile = a.where(F.col("name").endswith("Profile")).withColumn("raw", F.explode(_attribute("value"))).where("trim(raw) <> ''").withColumns({"key": F.lit("spring.profiles"), "profile": F.col("raw"), "extra": F.lit("profile")})
-    source = a.where(F.col("name").endswith("PropertySource") & ~F.col("name").endswith("NacosPropertySource")).withColumn("raw", F.explode(_attribute("value"))).where("trim(raw) <> ''").withColumns({"key": F.lit("spring.property-source"), "extra": F.lit("property-source")})
-    nacos = a.where(F.col("name").endswith("NacosPropertySource")).withColumn("data_id", F.explode(_attribute("dataId"))).where("trim(data_id) <> ''").withColumns({"key": F.concat(F.lit("nacos.config."), "data_id"), "group": _first("groupId")})
-    return _union(e(held, F.col("role"), details_type="spring-placeholder"), e(spel, F.col("role")), e(bound, "READ", confidence="MEDIUM", details_type="spring-configuration-properties"), e(web, "DEFINE"),
-                  e(on, "CONDITION"), e(profile, "METADATA", value_kind="STRING"), e(source, "METADATA", value_kind="STRING"), e(nacos, "METADATA", details_type="config-center"))
+    return _read(a, _annotation_kinds()).unionByName(_placeholder_entries(a))
 
 
 def _arg(i: int) -> Column:
@@ -395,113 +439,132 @@ def _arg(i: int) -> Column:
 
 
 def _calls(rows: DataFrame) -> DataFrame:
-    c = rows.where("form = 'call'").withColumns({"method": F.substring_index("name", ".", -1), "n": F.size("args")})
-    return c.withColumns({"receiver": F.lower(F.expr("substr(name, 1, greatest(length(name) - length(method) - 1, 0))")), "first": _arg(0), "key": _arg(0)["literal"]})
+    """Invocations with what is asked of calls: method, receiver, number of arguments, the first one and the key in it."""
+    c = rows.withColumns({"method": F.substring_index("name", ".", -1), "n": F.size("args")})
+    return c.withColumns({"receiver": F.lower(F.expr("substr(name, 1, greatest(length(name) - length(method) - 1, 0))")), "first": _arg(0), "key": _arg(0)["literal"], "rule": _rule()})
 
 
 def _apollo(name: str = "name") -> Column:
     return F.col(name).rlike(r"^(com\.ctrip\.framework\.apollo\.)?ConfigService\.(getAppConfig\(\)|getConfig\()") & (F.col("method") == "getProperty")
 
 
-_RULE = ("suffix", "rule_role", "value_from", "default_from", "rule_confidence", "rule_details", "rule_extra", "uncertain")
+_RULE = ("suffix", "role", "value_from", "default_from", "confidence", "details", "extra", "uncertain")
 
 
-def _by_rule(rows: DataFrame) -> DataFrame:
-    """Calls with the rule of ``CALL_RULES`` whose suffix, the longest, ends them: looked up by the last part of the name in
-    a map of this module's rules, longest suffix first."""
-    rules = {}
+def _rule() -> Column:
+    """The rule of ``CALL_RULES`` whose suffix, the longest, ends a name: looked up by the last part of the name in a map of
+    this module's rules, longest suffix first."""
+    rules: dict[str, list[Column]] = {}
     for r in sorted(CALL_RULES, key=lambda r: -len(r[0])):
         rules.setdefault(r[0].rpartition(".")[2], []).append(F.struct(*[F.lit(v).cast("boolean" if n == "uncertain" else "string").alias(n) for n, v in zip(_RULE, r)]))
     table = F.create_map(*[x for last, rs in rules.items() for x in (F.lit(last), F.array(*rs))])
     ends = lambda r: (F.col("name") == r["suffix"]) | F.col("name").endswith(F.concat(F.lit("."), r["suffix"]))
-    met = _calls(rows).where(~_apollo() & (F.col("n") > 0)).withColumn("rule", F.get(F.filter(F.try_element_at(table, F.col("method")), ends), F.lit(0)))
-    return met.where("rule is not null").select("*", "rule.*").drop("rule")
-
-
-def call_entries(rows: DataFrame) -> DataFrame:
-    e = lambda f, role="READ", **g: entries(f, "java-source-config", role, **({"source_kind": "JAVA", "value_kind": "JAVA"} | g))
-    c = _calls(rows)
-    take = lambda w: F.when((F.col(w) == "last") & (F.col("n") > 1), F.element_at("args", -1)["value"]).when((F.col(w) == "1") & (F.col("n") > 1), _arg(1)["value"])
-    ruled = _by_rule(rows).where("trim(key) <> ''").where("suffix <> 'lookup' or key like 'java:comp/env/%'").withColumns({"raw": take("value_from"), "default_raw": take("default_from"), "extra": F.col("rule_extra")})
-    props = e(ruled, F.col("rule_role"), confidence=F.col("rule_confidence"), details_type=F.col("rule_details"))
-    space = F.when(F.col("name").contains("getAppConfig()"), "application").otherwise(F.nullif(F.regexp_extract("name", r'getConfig\("([^"]*)"\)\.getProperty$', 1), F.lit("")))
-    apollo = e(c.where(_apollo() & F.col("key").isNotNull()).withColumns({"default_raw": _arg(1)["value"], "namespace": space}), details_type="config-center")
-    nacos = e(c.where(F.col("name").rlike(r"(^|\.)ConfigService\.getConfig$") & (F.col("n") >= 2) & (F.trim("key") != "")).withColumns({"data_id": F.col("key"), "group": _arg(1)["literal"], "key": F.concat(F.lit("nacos.config."), "key")}), "METADATA", details_type="config-center")
-    generic = c.where(F.col("method").isin(_GENERIC) & (F.col("receiver").contains("config") | (F.col("receiver") == "cfg")) & ~((F.col("method") == "getConfig") & F.col("receiver").contains("configservice")) & (F.trim("key") != ""))
-    generic = e(generic.withColumns({"default_raw": F.when(~F.col("method").isin("getValue", "getOptionalValue", "getConfigValue"), _arg(1)["value"]), "extra": F.lit("generic-config-getter")}), confidence="MEDIUM")
-    prefs = c.where(F.col("method").isin(_PREFERENCES) & (F.col("receiver").contains("preferences") | (F.col("receiver") == "prefs") | F.col("receiver").endswith(".prefs")) & (F.trim("key") != ""))
-    prefs = e(prefs.withColumns({"default_raw": _arg(1)["value"], "extra": F.lit("preferences")}), confidence="MEDIUM")
-    bundle = c.where(F.col("method").isin(_BUNDLE) & (F.col("receiver").contains("resourcebundle") | (F.col("receiver") == "bundle") | F.col("receiver").endswith(".bundle")) & (F.trim("key") != ""))
-    bundle = e(bundle.withColumn("extra", F.lit("resource-bundle")), confidence="MEDIUM")
-    binder = e(c.where(F.col("method").isin("bind", "bindOrCreate") & F.col("name").contains("Binder.get(") & (F.trim("key") != "")).withColumn("extra", F.lit("binder")))
-    resolved = c.where(F.col("method").isin("resolvePlaceholders", "resolveRequiredPlaceholders")).drop("key").select("*", F.inline(nested_placeholders(_arg(0)["literal"])))
-    resolved = e(resolved.withColumns({"default_raw": F.col("default_value"), "extra": F.col("raw")}).drop("raw"), details_type="spring-placeholder")
-    strings = F.flatten(F.transform("args", lambda a: a["strings"]))
-    profiles = c.where(F.col("method").isin("setAdditionalProfiles", "acceptsProfiles", "matchesProfiles") | (F.col("method") == "profiles") & F.col("name").contains("SpringApplicationBuilder"))
-    profiles = profiles.withColumn("raw", F.explode(strings)).where("trim(raw) <> ''").withColumns({"key": F.lit("spring.profiles"), "profile": F.col("raw"), "role": F.when(F.col("method").isin("acceptsProfiles", "matchesProfiles"), "CONDITION").otherwise("METADATA")})
-    profiles = e(profiles, F.col("role"), value_kind="STRING")
-    run = e(_started(c).where("key is not null").withColumn("extra", F.lit("command-line-args")), "DEFINE")
-    defaults = c.where(_sets_defaults() | _builds_defaults())
-    text = defaults.where(_builds_defaults()).withColumn("t", F.explode(strings)).withColumns({"key": F.trim(F.expr(f"substr(t, 1, {_SPLIT} - 1)")), "raw": F.trim(F.expr(f"substr(t, {_SPLIT} + 1)"))}).where(f"{_SPLIT} > 1 and key <> ''")
-    mapped = defaults.where(F.col("n") == 1).select("*", F.inline(_arg(0)["pairs"]).alias("pair_key", "raw")).withColumn("key", F.col("pair_key"))
-    own = ["scan_id", "path", "scope", "line", "symbol", "key", "raw"]
-    defaulted = e(mapped.select(*own).unionByName(text.select(*own)).withColumn("extra", F.lit("default-properties")), "DEFINE")
-    made = rows.where("form = 'new'")
-    held = made.where(F.col("name").endswith("MapPropertySource") & (F.size("args") > 1)).select("scan_id", "path", "scope", "line", "symbol", F.inline(_arg(1)["pairs"]).alias("key", "raw"))
-    defaulted = defaulted.unionByName(e(held.withColumn("extra", F.lit("map-property-source")), "DEFINE"))
-    resource = made.where(F.col("name").endswith("ResourcePropertySource")).withColumns({"raw": F.element_at("args", -1)["literal"], "key": F.lit("spring.property-source"), "extra": F.lit("resource-property-source")}).where("trim(raw) <> ''")
-    resource = e(resource, "METADATA", value_kind="STRING")
-    return _union(props, apollo, nacos, generic, prefs, bundle, binder, resolved, profiles, run, defaulted, resource)
-
-
-#: Where ``key=value`` or ``key:value`` is split: at the first of both signs.
-_SPLIT = "coalesce(array_min(filter(array(instr(t, '='), instr(t, ':')), x -> x > 0)), 0)"
+    return F.get(F.filter(F.try_element_at(table, F.substring_index("name", ".", -1)), ends), F.lit(0))
+
+
+def _ruled() -> Column:
+    return (F.col("form") == "call") & ~_apollo() & (F.col("n") > 0) & F.col("rule").isNotNull()
+
+
+def _nacos() -> Column:
+    return (F.col("form") == "call") & F.col("name").rlike(r"(^|\.)ConfigService\.getConfig$") & (F.col("n") >= 2)
+
+
+def _strings() -> Column:
+    return F.flatten(F.transform("args", lambda a: a["strings"]))
+
+
+def _split_at(t: Column) -> Column:
+    """Where ``key=value`` or ``key:value`` is split: at the first of both signs; 0 where there is none."""
+    return F.coalesce(F.array_min(F.filter(F.array(F.instr(t, "="), F.instr(t, ":")), lambda x: x > 0)), F.lit(0))
+
+
+def _pair(t: Column) -> tuple[Column, Column]:
+    """Key, null where there is none, and value of such a text."""
+    at = _split_at(t)
+    return F.when(at > 1, F.nullif(F.trim(F.substring(t, F.lit(1), at - 1)), F.lit(""))), F.trim(F.substring(t, at + 1, F.length(t)))
 
 
 def _sets_defaults() -> Column:
-    return F.col("method") == "setDefaultProperties"
+    return (F.col("form") == "call") & (F.col("method") == "setDefaultProperties")
 
 
 def _builds_defaults() -> Column:
-    return (F.col("method") == "properties") & F.col("name").contains("SpringApplicationBuilder")
+    return (F.col("form") == "call") & (F.col("method") == "properties") & F.col("name").contains("SpringApplicationBuilder")
 
 
-def _started(calls: DataFrame) -> DataFrame:
-    """Arguments with which an application is started: ``t`` with ``key`` and ``raw``, which are null where it sets
-    nothing; an argument that does not fold is its expression."""
-    c = calls.where((F.col("method") == "run") & F.col("name").contains("SpringApplication"))
+def _started() -> Column:
+    """Arguments with which an application is started, as structures: ``whole``, the argument, and ``set``, what it sets
+    behind its dashes, null where it sets nothing.  An argument that does not fold is its expression."""
     first = F.when(F.col("name").contains("SpringApplicationBuilder"), 0).otherwise(1)
-    one = c.withColumn("a", F.explode(F.filter("args", lambda a, i: i >= first)))
-    array = F.col("a.text").rlike(r"^(new String\[\] ?)?\{")
-    texts = F.when(F.col("a.literal").isNotNull() & ~array, F.array("a.literal")).when(array & (F.size("a.strings") > 0), F.col("a.strings"))
-    one = one.withColumns({"folds": texts.isNotNull(), "t": F.explode(F.coalesce(texts, F.array("a.text")))})
-    rest = F.when(F.col("folds") & F.col("t").startswith("--"), F.expr("substr(t, 3)"))
-    one = one.drop("key").withColumns({"whole": F.col("t"), "t": rest})
-    key = F.when(F.expr(f"{_SPLIT} > 1"), F.nullif(F.trim(F.expr(f"substr(t, 1, {_SPLIT} - 1)")), F.lit("")))
-    return one.withColumns({"key": key, "raw": F.trim(F.expr(f"substr(t, {_SPLIT} + 1)"))})
+
+    def texts(a: Column) -> Column:
+        array = a["text"].rlike(r"^(new String\[\] ?)?\{")
+        folded = F.when(a["literal"].isNotNull() & ~array, F.array(a["literal"])).when(array & (F.size(a["strings"]) > 0), a["strings"])
+        sets = lambda t: F.when(folded.isNotNull() & t.startswith("--"), F.substring(t, F.lit(3), F.length(t)))
+        return F.transform(F.coalesce(folded, F.array(a["text"])), lambda t: F.struct(t.alias("whole"), sets(t).alias("set")))
+
+    met = (F.col("form") == "call") & (F.col("method") == "run") & F.col("name").contains("SpringApplication")
+    return F.when(met, F.flatten(F.transform(F.filter("args", lambda a, i: i >= first), texts)))
+
+
+def _call_kinds() -> list[Column]:
+    call, key, method, receiver, name, n = (F.col("form") == "call"), F.col("key"), F.col("method"), F.col("receiver"), F.col("name"), F.col("n")
+    rule = lambda part: F.col("rule")[part]
+    last = F.get("args", n - 1)
+    take = lambda part: F.when((rule(part) == "last") & (n > 1), last["value"]).when((rule(part) == "1") & (n > 1), _arg(1)["value"])
+    space = F.when(name.contains("getAppConfig()"), "application").otherwise(F.nullif(F.regexp_extract("name", r'getConfig\("([^"]*)"\)\.getProperty$', 1), F.lit("")))
+    generic = call & method.isin(_GENERIC) & (receiver.contains("config") | (receiver == "cfg")) & ~((method == "getConfig") & receiver.contains("configservice"))
+    prefs = call & method.isin(_PREFERENCES) & (receiver.contains("preferences") | (receiver == "prefs") | receiver.endswith(".prefs"))
+    bundle = call & method.isin(_BUNDLE) & (receiver.contains("resourcebundle") | (receiver == "bundle") | receiver.endswith(".bundle"))
+    binder = call & method.isin("bind", "bindOrCreate") & name.contains("Binder.get(")
+    asks = method.isin("acceptsProfiles", "matchesProfiles")
+    profiles = call & (asks | (method == "setAdditionalProfiles") | (method == "profiles") & name.contains("SpringApplicationBuilder"))
+    filled = F.filter(_strings(), lambda x: F.trim(x) != "")
+    made = F.col("form") == "new"
+    pairs = lambda i, extra: F.transform(_arg(i)["pairs"], lambda x: _entry(x["key"], "DEFINE", raw=x["value"], extra=extra))
+    halves = lambda t, extra: (lambda k, v: _entry(k, "DEFINE", raw=v, extra=extra))(*_pair(t))
+    resource = last["literal"]
+    return [
+        _one(_ruled() & ((rule("suffix") != "lookup") | key.like("java:comp/env/%")), _entry(key, rule("role"), raw=take("value_from"), default_raw=take("default_from"), confidence=rule("confidence"), details_type=rule("details"), extra=rule("extra"))),
+        _one(call & _apollo(), _entry(key, default_raw=_arg(1)["value"], details_type="config-center", namespace=space)),
+        _one(_nacos() & (F.trim(key) != ""), _entry(F.concat(F.lit("nacos.config."), key), "METADATA", details_type="config-center", data_id=key, group=_arg(1)["literal"])),
+        _one(generic, _entry(key, default_raw=F.when(~method.isin("getValue", "getOptionalValue", "getConfigValue"), _arg(1)["value"]), confidence="MEDIUM", extra="generic-config-getter")),
+        _one(prefs, _entry(key, default_raw=_arg(1)["value"], confidence="MEDIUM", extra="preferences")), _one(bundle, _entry(key, confidence="MEDIUM", extra="resource-bundle")), _one(binder, _entry(key, extra="binder")),
+        _if(profiles, F.transform(filled, lambda x: _entry(F.lit("spring.profiles"), F.when(asks, "CONDITION").otherwise("METADATA"), raw=x, profile=x, value_kind="STRING", extra=F.when(asks, "profile-condition").otherwise("additional-profile")))),
+        _if(call, F.transform(_started(), lambda x: halves(x["set"], "command-line-args"))),
+        _if((_sets_defaults() | _builds_defaults()) & (n == 1), pairs(0, "default-properties")), _if(_builds_defaults(), F.transform(_strings(), lambda t: halves(t, "default-properties"))),
+        _if(made & name.endswith("MapPropertySource") & (n > 1), pairs(1, "map-property-source")),
+        _one(made & name.endswith("ResourcePropertySource") & (F.trim(resource) != ""), _entry(F.lit("spring.property-source"), "METADATA", raw=resource, value_kind="STRING", extra="resource-property-source"))]
+
+
+def invocation_entries(rows: DataFrame) -> DataFrame:
+    """Entries of all annotations, calls and constructor calls."""
+    return _read(_calls(rows), [*_annotation_kinds(), *_call_kinds()]).unionByName(_placeholder_entries(rows))
 
 
 def uncertain_rows(rows: DataFrame) -> DataFrame:
-    """Accesses whose key is not a literal: ``(scan_id, path, scope, line, symbol, expression, reason, root_sink)``."""
-    c = _calls(rows)
+    """Accesses whose key is not a literal: ``(scan_id, path, scope, line, symbol, expression, reason, root_sink)``, of all kinds in
+    one pass."""
+    key, n, name, text, call, made = F.col("key"), F.col("n"), F.col("name"), F.col("first.text"), F.col("form") == "call", F.col("form") == "new"
     reason = F.when(F.col("first.concat"), "STRING_CONCAT").otherwise("UNKNOWN")
 
-    def u(f: DataFrame, expression: Column, why: Column | str, sink: Column) -> DataFrame:
-        return f.select("scan_id", "path", "scope", "line", "symbol", expression.alias("expression"), (F.lit(why) if isinstance(why, str) else why).alias("reason"), sink.alias("root_sink"))
+    def u(expression: Column, why: Column | str, sink: Column | str) -> Column:
+        as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.struct(expression.cast("string").alias("expression"), as_column(why).alias("reason"), as_column(sink).alias("root_sink"))
 
-    text, name = F.col("first.text"), F.col("name")
-    ruled = u(_by_rule(rows).where("uncertain and key is null"), text, reason, name)
-    apollo = u(c.where(_apollo() & (F.col("n") > 0) & F.col("key").isNull()), text, reason, F.lit("apollo.getProperty"))
-    system = u(c.where(name.endswith("System.setProperties") & (F.col("n") > 0)), text, "MAP_DRIVEN_KEY", name)
+    one = lambda condition, found: F.when(condition, F.array(found))
     whole = F.concat(name, F.lit("("), F.array_join(F.transform("args", lambda a: a["text"]), ", "), F.lit(")"))
-    console = u(c.where(name.rlike(r"System\.console\(\)\.(readLine|readPassword)$")), F.coalesce(F.nullif(F.trim(_arg(0)["value"]), F.lit("")), whole), "USER_INPUT", name)
-    inputs = u(c.where(name.endswith("getInputArguments") & name.contains("ManagementFactory.getRuntimeMXBean()")), whole, "COMMAND_LINE_ARGS", name)
-    made = rows.where("form = 'new'").where(F.col("name").endswith("PropertiesPropertySource") & (F.size("args") > 1))
-    sources = u(made, _arg(1)["text"], "MAP_DRIVEN_KEY", F.col("name"))
-    defaults = u(c.where(_sets_defaults() & (F.col("n") > 0) & (F.size(_arg(0)["pairs"]) == 0)), text, "MAP_DRIVEN_KEY", name)
-    started = u(_started(c).where("key is null"), F.col("whole"), "COMMAND_LINE_ARGS", name)
-    nacos = u(c.where(name.rlike(r"(^|\.)ConfigService\.getConfig$") & (F.col("n") >= 2) & (F.trim(F.coalesce("key", F.lit(""))) == "")), text, reason, F.lit("nacos.getConfig"))
-    return _union(ruled, apollo, system, console, inputs, sources, defaults, started, nacos)
+    unset = F.filter(_started(), lambda x: _pair(x["set"])[0].isNull())
+    kinds = [
+        one(_ruled() & F.col("rule")["uncertain"] & key.isNull(), u(text, reason, name)), one(call & _apollo() & (n > 0) & key.isNull(), u(text, reason, "apollo.getProperty")),
+        one(call & name.endswith("System.setProperties") & (n > 0), u(text, "MAP_DRIVEN_KEY", name)),
+        one(call & name.rlike(r"System\.console\(\)\.(readLine|readPassword)$"), u(F.coalesce(F.nullif(F.trim(_arg(0)["value"]), F.lit("")), whole), "USER_INPUT", name)),
+        one(call & name.endswith("getInputArguments") & name.contains("ManagementFactory.getRuntimeMXBean()"), u(whole, "COMMAND_LINE_ARGS", name)),
+        one(made & name.endswith("PropertiesPropertySource") & (n > 1), u(_arg(1)["text"], "MAP_DRIVEN_KEY", name)), one(_sets_defaults() & (n > 0) & (F.size(_arg(0)["pairs"]) == 0), u(text, "MAP_DRIVEN_KEY", name)),
+        F.transform(unset, lambda x: u(x["whole"], "COMMAND_LINE_ARGS", name)), one(_nacos() & (F.trim(F.coalesce(key, F.lit(""))) == ""), u(text, reason, "nacos.getConfig"))]
+    none = F.array().cast("array<struct<expression:string,reason:string,root_sink:string>>")
+    return _calls(rows).select("scan_id", "path", "scope", "line", "symbol", F.inline(F.concat(*[F.coalesce(k, none) for k in kinds])))
 
 
 def user_rule_entries(rows: DataFrame, method_rules: DataFrame | None, annotation_rules: DataFrame | None) -> DataFrame | None:
@@ -577,7 +640,7 @@ def java_entries(files: DataFrame, method_rules: DataFrame | None = None, annota
     """
     rows = invocation_rows(files) if rows is None else rows
     scalars = leaves(files) if scalars is None else scalars
-    found = _union(annotation_entries(rows), call_entries(rows))
+    found = invocation_entries(rows)
     ruled = user_rule_entries(rows, method_rules, annotation_rules)
     found = found if ruled is None else found.unionByName(ruled)
     if meta or provider is not None:

@@ -66,7 +66,11 @@ class Files:
         return f"{self.root.rstrip('/')}/{path}" if path else self.root
 
     def is_folder(self) -> bool:
-        return self.remote.get_file_info(self.root).is_file is False if self.remote else os.path.isdir(self.root)
+        if self.remote:
+            from pyarrow import fs
+
+            return self.remote.get_file_info(self.root).type == fs.FileType.Directory
+        return os.path.isdir(self.root)
 
     def entries(self, folder: str) -> Iterator[tuple[str, bool]]:
         """(name, whether it is a folder) of what a folder holds; links to folders are not followed."""

@@ -212,6 +212,21 @@ def test_resource_plan_is_small(spark):
     assert plan.count("Relation ") <= 30
 
 
+def test_java_plan_is_small(spark):
+    """All kinds of reading are one pass over the invocations; placeholders and property files are others."""
+    files = classified(spark, **{"A.java": "class A {}"})
+    parsed = scan.Pipeline().parsed(files)
+    found, uncertain = J.java_entries(files, rows=parsed["invocations"], scalars=parsed["scalars"])
+    counts = [f._jdf.queryExecution().optimizedPlan().toString().count("Relation ") for f in (found, uncertain)]
+    assert counts[0] <= 10 and counts[1] == 1
+
+
+def test_calls_without_arguments(spark):
+    text = "class A { void f() { new ResourcePropertySource(); new MapPropertySource(); app.setDefaultProperties(); SpringApplication.run(); env.getProperty(); ConfigService.getConfig(); System.console().readLine(); } @Value @ConditionalOnProperty @Profile @PropertySource int x; }"
+    found, uncertain = J.java_entries(classified(spark, **{"A.java": text}))
+    assert found.count() == 0 and [r["reason"] for r in uncertain.collect()] == ["USER_INPUT"]
+
+
 # Java names
 
 
