@@ -12,7 +12,7 @@ from ..sources import detectors as R
 from ..sources import java as J
 from . import facts as X
 from . import queries as Q
-from .source_queries import _COLUMNS, _EVENTS, _expected, _expression, _files, _found, _java, _reader
+from .source_queries import _COLUMNS, _EVENTS, _dealt, _expected, _expression, _files, _found, _java, _reader
 
 # ---- texts of many forms -----------------------------------------------------------------------------------------
 
@@ -27,8 +27,7 @@ def _line(i: int) -> str:
 
 
 def _events(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", F.col("event_type").alias("t"), F.get_json_object("props", "$.k").alias("k"), F.col("user_id").cast("string").alias("u"))
+    return _dealt(spark, d).select("event_id", F.col("event_type").alias("t"), F.get_json_object("props", "$.k").alias("k"), F.col("user_id").cast("string").alias("u"))
 
 
 def _texts(spark, d, path: str, kind: str, content: str):
