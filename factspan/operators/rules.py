@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shuffled
+
 
 def _suffixes(text: Column) -> Column:
     """Every end of a text, the whole text first; the empty one last."""
@@ -90,7 +92,7 @@ def env_from(imports: DataFrame, data: DataFrame) -> DataFrame:
     """Keys that containers import whole: ``imports(name, prefix, path)`` with ``data(name, key, value, ordinal)`` of maps.
     Of maps of one name the last stands."""
     last = data.groupBy("name", "key").agg(F.max_by("value", "ordinal").alias("value"))
-    return imports.join(last, "name").select("name", F.concat(F.coalesce("prefix", F.lit("")), "key").alias("key"), "value", "path")
+    return imports.join(shuffled(last), "name").select("name", F.concat(F.coalesce("prefix", F.lit("")), "key").alias("key"), "value", "path")
 
 
 def read_minus_defined(items: DataFrame) -> DataFrame:
