@@ -18,12 +18,18 @@ def _suffixes(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(text, i, F.length(text)))
 
 
+#: Nearly all rows may have one name: rules of a name stand under so many keys, and a row asks for one of them.
+NAME_SALTS = 64
+
+
 def _by_suffix(rows: DataFrame, name: str, rules: DataFrame, suffix: str) -> DataFrame:
     """``rows`` with every rule whose ``suffix`` ends their ``name``: distinct names are cut into suffixes, met with the rules,
     and joined back by name."""
     names = rows.select(F.col(name).alias("_name")).where("_name is not null").distinct()
     met = names.select("_name", F.explode(_suffixes(F.col("_name"))).alias("_suffix")).join(rules.withColumn("_suffix", F.col(suffix)), "_suffix").drop("_suffix")
-    return rows.join(met, rows[name] == met["_name"]).drop("_name")
+    met = met.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("scan_id", "path") if {"scan_id", "path"} <= set(rows.columns) else F.xxhash64(*rows.columns), F.lit(NAME_SALTS)).cast("int"))
+    return salted.join(met, (salted[name] == met["_name"]) & (salted["_salt"] == met["_salt"])).drop("_name", "_salt")
 
 
 def match_methods(calls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ _RULED = [("R.java", "JAVA", 'class R { @My(key = "mk.«t»", dflt = "d«k»") i
 
 @Q._query("q77_user_rules", _expected(("R.java", 1, "READ", "mk.«t»", None, "d«k»", None), ("R.java", 2, "READ", "ck.«u»", None, "e«k»", None)))
 def user_rules(spark, d):
-    rows = J.invocation_rows(_files(spark, d, *_RULED))
+    rows = written(J.invocation_rows(_files(spark, d, *_RULED)), "query-invocations")
     methods = spark.createDataFrame([("m", "Center", "fetch", 0, 1, -1, None, None)], METHOD_RULES)
     notes = spark.createDataFrame([("a", "My", "key", None, "dflt", None, None)], ANNOTATION_RULES)
     return _found(J.user_rule_entries(rows, methods, notes)).select("event_id", *_COLUMNS)
