@@ -221,12 +221,13 @@ def _arguments(frame: DataFrame, words: Column) -> DataFrame:
 
 
 def dockerfiles(files: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
     joined = files.where("file_type = 'DOCKERFILE' and name like 'Dockerfile%'").withColumn("content", F.regexp_replace("content", r"\\[ \t]*\R", "\u0001"))
-    ahead = Window.partitionBy("scan_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    more = F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\u0001"), F.lit("")))).over(ahead), F.lit(0))  # lines that were joined to others above
-    t = lines(joined).withColumn("line", (F.col("line") + more).cast("int")).withColumn("t", F.trim(F.translate("text", "\u0001", " "))).where("t not like '#%'").select("scan_id", "path", "scope", "line", "t")
+    # Every line with its number; a line that was joined to others above takes the numbers of all.
+    joins = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\u0001"), F.lit("")))
+    empty = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<line:int,text:string>>").alias("out"))
+    numbered = F.aggregate(F.split("content", r"\R"), empty, lambda a, s: F.struct(
+        (a["next"] + 1 + joins(s)).alias("next"), F.when(s.rlike("^[ \u0001]*(ENV|CMD|ENTRYPOINT)[ \u0001]"), F.concat(a["out"], F.array(F.struct(a["next"].alias("line"), s.alias("text"))))).otherwise(a["out"]).alias("out")), lambda a: a["out"])
+    t = joined.select("scan_id", "path", "scope", F.inline(numbered)).withColumn("t", F.trim(F.translate("text", "\u0001", " "))).select("scan_id", "path", "scope", "line", "t")
     env = t.where("t like 'ENV %'").withColumn("words", tokens(F.expr("substr(t, 5)")))
     first = F.get("words", F.lit(0))
     pairs = env.where(first.contains("=")).select("scan_id", "path", "scope", "line", F.explode("words").alias("t")).where("instr(t, '=') > 1").select(
