@@ -42,3 +42,27 @@ def test_imports_broadcast_no_side(spark):
     files = SQ._files(spark, "/root/testdata/sf0.001", *SQ._CHAIN)
     scalars = SQ._scalars(files)
     assert "BroadcastHashJoin" not in plan(R.imports(R.application_files(scalars), files, scalars))
+
+
+def test_rows_of_one_name_meet_a_rule_under_many_keys(spark):
+    from factspan.operators.rules import NAME_SALTS, match_annotations
+    from factspan.schema import ANNOTATION_RULES
+
+    uses = spark.range(1000).selectExpr("cast(id as string) as scan_id", "'R.java' as path", "'My' as annotation")
+    met = match_annotations(uses, spark.createDataFrame([("a", "My", "key", None, None, None, None)], ANNOTATION_RULES))
+    assert met.count() == 1000 and "_salt" not in met.columns and f"({NAME_SALTS} - 1)" not in met.columns
+    assert "_salt" in plan(met)
+
+
+def test_lines_of_dockerfiles_need_no_window(spark):
+    text = "FROM x\n ENV A=1 \\\n  B=2\n#ENV no=1\n\\\nENV C 3\nENV\nCMD [\"-Dd=4\"]\n"
+    files = spark.createDataFrame([("s", "Dockerfile", "Dockerfile", "DOCKERFILE", "MAIN", text)], "scan_id string, path string, name string, file_type string, scope string, content string")
+    found = R.dockerfiles(files)
+    assert "Window" not in plan(found) and "Exchange" not in plan(found)
+    assert sorted((r["line"], r["key"], r["raw"]) for r in found.collect()) == [(2, "A", "1"), (2, "B", "2"), (5, "C", "3"), (8, "d", "4")]
+
+
+def test_kubernetes_documents_meet_their_heads_once(spark):
+    scalars = SQ._scalars(SQ._files(spark, "/root/testdata/sf0.001", *[(SQ._KUBE, "YAML", "apiVersion: v1\nkind: ConfigMap\nmetadata: {name: m}\ndata: {a: «k»}\n")]))
+    found = R.kubernetes_files(scalars)
+    assert "apiVersion" not in plan(found) and found.count() == 1000
