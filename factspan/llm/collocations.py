@@ -8,7 +8,8 @@ within it passed their level, since none can be more frequent than they.
 
 What passed is a candidate.  Every shard of texts compiles the candidates that occur in it into an Aho-Corasick automaton,
 each between delimiters so that it matches whole words within one piece only, and scans its texts for overlapping matches.
-The counts are summed over shards, and the threshold is applied to exact counts; a sketch that is too small costs
+The counts are summed over the shards of a task, then over tasks by parts of the phrases (they travel packed, one row per
+task, part and language), and the threshold is applied to exact counts; a sketch that is too small costs
 time, never a result.  No automaton holds more than the phrases of one shard.
 """
 
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import drop, written
 from .textkernel import Tokens, cut, hash_spans, mix, padded, slices, string_buffer
 
 LEAST = 100
@@ -30,8 +32,10 @@ TOP = 2000
 UNKNOWN = "und"
 #: Bytes of texts that one automaton scans.
 SHARD = 4 << 20
-#: Phrases whose counts a task adds up before it gives them out.
-HELD = 1 << 18
+#: Different phrases whose counts a task adds up before it gives them out.
+HELD = 1 << 19
+#: Bytes of texts for each part that the phrases are dealt to for the sums over all tasks.
+PART = 16 << 20
 #: Counters of a row of the sketch: one for so many bytes of text, as a power of two within bounds.  The upper one
 #: bounds what tasks are sent: a bit for each counter, that is 64 MiB a level.
 BYTES_A_COUNTER, NARROWEST, WIDEST = 64, 1 << 22, 1 << 28
@@ -144,8 +148,11 @@ def _hot(texts: DataFrame, known, level: int, wide: int, least: int) -> np.ndarr
 
     counted = texts.mapInArrow(count, "part int, low binary, n binary").repartition(max(8, ROWS * ranges // 16), "part")
     out = np.zeros((ROWS * ranges, RANGE // 8), np.uint8)
-    for r in counted.mapInArrow(add, "part int, bits binary").toLocalIterator():
+    # Written first: an iterator over the sums themselves would add up one partition after the other.
+    table = written(counted.mapInArrow(add, "part int, bits binary"), "phrase-bits")
+    for r in table.toLocalIterator():
         out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    drop(table)
     return out.reshape(ROWS, -1)
 
 
@@ -185,27 +192,43 @@ def _scan(shard: Shard, hot: list[np.ndarray], rows: np.ndarray, names: list[str
         yield names[lang], [0, *sizes], ["", *phrases], [len(own), *n.tolist()]
 
 
-class Sums:
-    """Counts of a task, added up over its shards and given out when there are many."""
+def _summed(tables: list[pa.Table]) -> list[pa.Table]:
+    """Counts of equal phrases added up."""
+    both = pa.concat_tables(tables)
+    return [both.group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "size", "phrase", "n"]).combine_chunks()]
 
-    def __init__(self):
-        self.held: dict[tuple[str, int], dict[str, int]] = {}
-        self.n = 0
 
-    def add(self, lang: str, sizes: list[int], phrases: list[str], counts: list[int]) -> None:
-        for size, phrase, n in zip(sizes, phrases, counts):
-            some = self.held.setdefault((lang, size), {})
-            if phrase in some:
-                some[phrase] += n
-            else:
-                some[phrase] = n
-                self.n += 1
+class Sums:
+    """Counts of phrases, added up as they come; no more than twice ``HELD`` are held at once unless they are all different."""
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        for (lang, size), some in self.held.items():
-            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array([size] * len(some), pa.int32()),
-                                   pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["lang", "size", "phrase", "n"])
-        self.held, self.n = {}, 0
+    def __init__(self):
+        self.tables: list[pa.Table] = []
+        self.n = self.least = 0
+
+    def add(self, lang: pa.Array, size: pa.Array, phrase: pa.Array, n: pa.Array) -> None:
+        self.tables.append(pa.table([lang, size, phrase, n], names=["lang", "size", "phrase", "n"]))
+        self.n += len(n)
+        if self.n - self.least >= max(HELD, self.least):
+            self.fold()
+
+    def fold(self) -> pa.Table | None:
+        self.tables = _summed(self.tables) if self.tables else []
+        self.n = self.least = sum(map(len, self.tables))
+        return self.tables[0] if self.tables else None
+
+    def out(self, parts: int) -> Iterator[pa.RecordBatch]:
+        """All counts, one row for the phrases of a language that a part of all phrases has; none are left."""
+        for some in [] if self.fold() is None else self.tables[0].group_by("lang", use_threads=False).aggregate([("size", "list"), ("phrase", "list"), ("n", "list")]).to_batches():
+            for i in range(len(some)):
+                size, phrase, n = (some.column(c)[i].values for c in ("size_list", "phrase_list", "n_list"))
+                buf, at = string_buffer(phrase)
+                part = (mix(hash_spans(padded(buf), at[:-1], at[1:])) % np.uint64(parts)).astype(np.int32)
+                by = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[by], prepend=-1))
+                ends = pa.array(np.append(cuts, len(by)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, x.take(pa.array(by))) for x in (size, phrase, n)]
+                yield pa.record_batch([pa.array(part[by][cuts]), pa.array([some.column("lang")[i].as_py()] * len(cuts), pa.string()), *lists], names=["part", "lang", "sizes", "phrases", "counts"])
+        self.__init__()
 
 
 def frequencies(docs: DataFrame, least: int = LEAST, most: int = WORDS) -> DataFrame:
@@ -219,7 +242,8 @@ def frequencies(docs: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
     if not 1 <= least <= 255:
         raise ValueError("counters of the sketch saturate at 255")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    wide = width(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    wide = width(n_bytes)
     send = docs.sparkSession.sparkContext.broadcast
     hot: list[np.ndarray] = []
     known = send(hot)
@@ -228,18 +252,28 @@ def frequencies(docs: DataFrame, least: int = LEAST, most: int = WORDS) -> DataF
         known.unpersist()
         known = send(hot)
 
+    parts = max(8, -(-n_bytes // PART))
+
     def scan(batches):
         sums = Sums()
         for shard, rows, names in shards(batches):
             if len(shard.start):
-                for found in _scan(shard, known.value, rows, names, most):
-                    sums.add(*found)
-            if sums.n >= HELD:
-                yield from sums.out()
-        yield from sums.out()
-
-    counted = texts.mapInArrow(scan, "lang string, size int, phrase string, n long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+                for lang, sizes, phrases, counts in _scan(shard, known.value, rows, names, most):
+                    sums.add(pa.repeat(lang, len(sizes)), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64()))
+            if sums.least >= HELD:
+                yield from sums.out(parts)
+        yield from sums.out(parts)
+
+    def add(batches):
+        sums = Sums()
+        for b in batches:
+            sizes, phrases, counts = (b.column(c) for c in ("sizes", "phrases", "counts"))
+            sums.add(b.column("lang").take(pc.list_parent_indices(sizes)), sizes.flatten(), phrases.flatten(), counts.flatten())
+        if (all_ := sums.fold()) is not None:
+            yield from all_.filter(pc.or_(pc.greater_equal(all_["n"], least), pc.equal(all_["size"], 0))).to_batches()
+
+    counted = texts.mapInArrow(scan, "part int, lang string, sizes array<int>, phrases array<string>, counts array<long>")
+    return counted.repartition(parts, "part").mapInArrow(add, "lang string, size int, phrase string, n long")
 
 
 #: Copies of a one-word part's count and of a language's count of words, so that no frequent one is a hot key of a join.

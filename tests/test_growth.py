@@ -66,3 +66,36 @@ def test_kubernetes_documents_meet_their_heads_once(spark):
     scalars = SQ._scalars(SQ._files(spark, "/root/testdata/sf0.001", *[(SQ._KUBE, "YAML", "apiVersion: v1\nkind: ConfigMap\nmetadata: {name: m}\ndata: {a: «k»}\n")]))
     found = R.kubernetes_files(scalars)
     assert "apiVersion" not in plan(found) and found.count() == 1000
+
+
+def test_bits_of_a_sketch_are_summed_by_all_tasks_at_once(spark, monkeypatch):
+    from factspan.llm import collocations
+
+    def jobs(wide):
+        for name in ("NARROWEST", "WIDEST"):
+            monkeypatch.setattr(collocations, name, wide)
+        spark.sparkContext.setJobGroup(f"sketch-{wide}", "bits")
+        rows = spark.createDataFrame([("en", "a b c d e " * 200)], "lang string, text string")
+        found = {(r["size"], r["phrase"], r["n"]) for r in collocations.frequencies(rows).collect()}
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sketch-{wide}")), found
+
+    few, many = jobs(1 << 16), jobs(1 << 23)
+    assert many[0] <= few[0] + 5 and many[1] == few[1] and (5, "b c d e a", 199) in many[1]
+
+
+def test_counts_of_phrases_leave_a_task_packed(monkeypatch):
+    import pyarrow as pa
+
+    from factspan.llm import collocations
+
+    sums, got = collocations.Sums(), {}
+    monkeypatch.setattr(collocations, "HELD", 100)
+    for i in range(50):
+        sums.add(pa.repeat("en", 60), pa.array([1] * 60, pa.int32()), pa.array([f"w{i // 10}-{k}" for k in range(60)]), pa.array([2] * 60, pa.int64()))
+    rows = [r for b in sums.out(4) for r in b.to_pylist()]
+    for r in rows:
+        for phrase, n in zip(r["phrases"], r["counts"]):
+            assert phrase not in got
+            got[phrase] = n
+    assert len(rows) <= 4 and len(got) == 300 and set(got.values()) == {20} and sums.n == 0
