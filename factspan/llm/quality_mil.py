@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import remainder, sample
+from .labelled import averaged, blocks, outputs, remainder
 from .textkernel import NOT_SPACE, Tokens, grams, hash_spans, padded, segment_sum, slices, string_buffer
 
 PASSAGE = 32
 BUCKETS = 1 << 14
 DIM, HIDDEN, GATE = 8, 16, 8
-PER_CLASS = 1500
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 5, 0
 
@@ -121,8 +120,9 @@ class AttentionNet:
             return np.zeros(0)
         return _sigmoid(self.forward(stats, ids, first_word, first)[-1].astype(np.float64) + self.shift)
 
-    def fit(self, bags: Bags, labels: np.ndarray, rows: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01) -> None:
+    def fit(self, bags: Bags, labels: np.ndarray, rows: np.ndarray, epochs: int | None = None, batch: int = 32, rate: float = 0.01) -> None:
         """Adam; both classes weigh the same."""
+        epochs = epochs or int(np.clip(30_000 // len(rows), 2, 12))  # small blocks are seen more often
         rng = np.random.default_rng(13)
         self.mean, self.scale = bags.stats.mean(0), bags.stats.std(0) + 1e-3
         weight = np.where(labels == 1, 0.5 / max(labels[rows].mean(), 1e-6), 0.5 / max(1 - labels[rows].mean(), 1e-6)).astype(np.float32)
@@ -159,44 +159,57 @@ class AttentionNet:
                     v[k] += 0.01 * (y * y - v[k])
                     p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-7)
 
-    def calibrate(self, z: np.ndarray, labels: np.ndarray) -> None:
-        """The cut with the best balanced accuracy on held rows becomes ``THRESHOLD``."""
+    def calibrate(self, z: np.ndarray, labels: np.ndarray, n: np.ndarray) -> None:
+        """The cut with the best balanced accuracy on held rows becomes ``THRESHOLD``; ``n`` rows have each output and label."""
         if not len(z) or labels.min() == labels.max():
             return
-        cuts = np.unique(z)
+        cuts, at = np.unique(z, return_inverse=True)
         mids = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
-        good, bad = np.sort(z[labels == 1]), np.sort(z[labels == 0])
-        value = (len(good) - np.searchsorted(good, mids)) / len(good) + np.searchsorted(bad, mids) / len(bad)
+        bad, good = (np.append(0, np.cumsum(np.bincount(at, n * (labels == k), len(cuts)))) for k in (0, 1))
+        value = 1 - good / good[-1] + bad / bad[-1]
         top = np.flatnonzero(value >= value.max() - 1e-12)
         self.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - mids[top[len(top) // 2]])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> AttentionNet:
-    """The network fitted on at most ``per_class`` labelled texts of each class (whole texts); a fifth of them calibrates.
-    Without labelled texts of both classes it stays untrained, at even scores."""
-    net = AttentionNet()
-    rows = sample(docs, labels, "quality", MODULUS, HELD_OUT, per_class).toArrow().sort_by("doc_id")  # bounded by per_class
-    y = rows.column("label").to_numpy().astype(np.float32)
-    if not len(y) or y.min() == y.max():
+def _fitted(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    net, bags = AttentionNet(), Bags(list(encode(texts)))
+    net.fit(bags, labels, np.arange(len(labels)))
+    return np.concatenate([*(x.ravel() for x in net.p.values()), net.mean, net.scale]), net.table, np.bincount(bags.ids, minlength=BUCKETS)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> AttentionNet:
+    """The network fitted on all labelled texts (whole texts), but for a fifth, all of which calibrate: every block of them fits
+    one from the same start, and these are averaged.  Without labelled texts of both classes it stays untrained, at even
+    scores."""
+    net, many = AttentionNet(), blocks(docs)
+    classes, vector, rows, values = averaged(docs, labels, "quality", MODULUS, HELD_OUT, many, _fitted)
+    if not classes.all():
         net.p["o"][:] = 0
         return net
-    bags = Bags(list(encode(rows.column("text").cast(pa.large_string()))))
-    order = np.random.default_rng(3).permutation(len(y))
-    held = order[:len(order) // 5]
-    net.fit(bags, y, order[len(order) // 5:])
-    if len(held):
-        net.calibrate(net.forward(*bags.take(held))[-1], y[held])
+    at = 0
+    for x in (*net.p.values(), net.mean, net.scale):
+        x[...] = vector[at:at + x.size].reshape(x.shape)
+        at += x.size
+    net.table[rows] = values
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def logits(texts):
+        z = np.concatenate([shared.value.forward(*x)[-1] for x in encode(texts)])
+        return z, np.zeros(len(z))
+
+    z, y, _, n = outputs(docs, labels, "quality", MODULUS, HELD_OUT, many, logits)
+    net.calibrate(z, y, n)
     return net
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row ``(doc_id, held_out, score, predicted)`` per row of ``docs(doc_id, text, ...)``.
 
     Only the text is an input of a score.  Null and empty texts score as one passage without words.  Repeated rows
     give repeated rows, an empty table none; other columns are not read.
     """
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(plain, labels, per_class))
+    shared = docs.sparkSession.sparkContext.broadcast(train(plain, labels))
 
     def run(batches):
         for b in batches:

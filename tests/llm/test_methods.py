@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factspan.llm import chat, context_mixing, licenses, pieces, quality_mil, toxicity
 from tests.llm.test_exact import AZ, SPACE
@@ -277,3 +278,18 @@ def test_pipeline(spark):
         assert name == "pieces" or out.columns == docs.columns
         docs = out
     assert ids(corpus_pipeline.run(spark, sf)) == ids(docs)
+
+
+@pytest.mark.parametrize("module, label, modulus, held", [(toxicity, "toxic", 4, 2), (quality_mil, "quality", 5, 0)])
+def test_all_labelled_texts_are_learnt_from(documents, labels, module, label, modulus, held, monkeypatch):
+    from factspan.llm import labelled
+
+    monkeypatch.setattr(labelled, "BLOCK", 1 << 16)
+    many = labelled.blocks(documents)
+    classes, vector, rows, values = labelled.averaged(documents, labels, label, modulus, held, many, module._fitted)
+    known = labels.join(documents.select("doc_id").distinct(), "doc_id").where(f"{label} is not null").select("doc_id").distinct()
+    key = F.col("doc_id").cast("string")
+    want = known.where((labelled.remainder(modulus) != held) & (F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(5)) != 0)).count()
+    assert many > 1 and classes.sum() == want and len(rows) == len(values) > 0
+    a, b = (labelled.averaged(x, labels, label, modulus, held, many, module._fitted) for x in (documents.repartition(7), documents.repartition(3, "lang")))
+    assert all((x == y).all() for x, y in zip(a, b))
