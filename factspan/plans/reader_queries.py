@@ -12,7 +12,7 @@ from ..sources import detectors as R
 from ..sources import java as J
 from . import facts as X
 from . import queries as Q
-from .source_queries import _COLUMNS, _EVENTS, _dealt, _expected, _expression, _files, _found, _java, _reader
+from .source_queries import _COLUMNS, _EVENTS, _dealt, _expected, _expression, _files, _found, _java, _reader, _shares
 
 # ---- texts of many forms -----------------------------------------------------------------------------------------
 
@@ -160,6 +160,7 @@ def checks_of_all_enrichers(spark, d):
 with e as ({_EVENTS}) select event_id, 'spring-config-file' as detector_id, 'A' as key, k as raw, 2::bigint as n from e union all select event_id, 'hocon-config-file', 'A', k, 1 from e
 union all select event_id, 'dockerfile-env', 'A', t, 1 from e""")
 def detectors_as_a_bag(spark, d):
-    """What several detectors find is put together as it is, repeats and all."""
+    """What several detectors find is put together as it is, repeats and all; it is counted in as many tasks as the files are dealt to."""
     files = _files(spark, d, (".env", "ENV", "A=«k»\nA=«k»\n"), ("application.conf", "HOCON", "A = «k»\n"), ("Dockerfile", "DOCKERFILE", "ENV A=«t»\n"))
-    return R.resource_entries(files).groupBy(F.col("scan_id").cast("long").alias("event_id"), "detector_id", "key", "raw").agg(F.count("*").alias("n"))
+    found = R.resource_entries(files).withColumn("event_id", F.col("scan_id").cast("long"))
+    return found.repartition(_shares(spark.read.parquet(f"{d}/events.parquet")), "event_id").groupBy("event_id", "detector_id", "key", "raw").agg(F.count("*").alias("n"))

@@ -38,11 +38,15 @@ def _expression(text: str) -> str:
 _DEALT, _TASKS = 2_500, 2_000
 
 
+def _shares(events: DataFrame) -> int:
+    return min(max(1, -(-events.count() // _DEALT)), _TASKS)
+
+
 def _dealt(spark, d) -> DataFrame:
     """The events, dealt to tasks by number: the table may be one file of few row groups, and the files made of an event are
     hundreds of times its size."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", "event_type", "user_id", "props").repartition(min(max(1, -(-e.count() // _DEALT)), _TASKS), "event_id")
+    return e.select("event_id", "event_type", "user_id", "props").repartition(_shares(e), "event_id")
 
 
 def _files(spark, d, *given: tuple[str, str, str]) -> DataFrame:

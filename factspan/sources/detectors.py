@@ -109,7 +109,9 @@ def imports(found: DataFrame, files: DataFrame, scalars: DataFrame | None = None
     readable = F.col("file_type").isin("YAML", "PROPERTIES")
     text = F.coalesce("content", contents(F.col("location"))) if "location" in files.columns else F.col("content")
     while True:
-        t = targets(frontier)
+        t = written(targets(frontier), "imports-targets")
+        if t.isEmpty():  # the files need not meet anything
+            break
         plain, tree = t.where("not tree"), t.where("tree").withColumn("folder", folder)
         one = plain.withColumnRenamed("target", "file").join(shuffled(named.where(readable)), ["scan_id", "file"]).select("scan_id", F.col("file").alias("path"))
         many = plain.withColumn("folder", folder).join(shuffled(held.where(readable & F.col("name").rlike(_CONFIG_NAME))), ["scan_id", "folder"]).select("scan_id", F.col("file").alias("path"))
@@ -124,7 +126,7 @@ def imports(found: DataFrame, files: DataFrame, scalars: DataFrame | None = None
         frontier = written(application_files(own.withColumn("name", F.regexp_replace(F.lower("name"), r"^.*\.", "application."))), "imports-read")
         parts.append(frontier)
         seen = written(seen.unionByName(fresh), "imports-seen")
-    return _union(*parts, trees.distinct())
+    return _union(*parts, found.where(F.lit(False)) if trees is None else trees.distinct())
 
 
 def _metadata(files: DataFrame) -> DataFrame:
