@@ -99,3 +99,24 @@ def test_counts_of_phrases_leave_a_task_packed(monkeypatch):
             assert phrase not in got
             got[phrase] = n
     assert len(rows) <= 4 and len(got) == 300 and set(got.values()) == {20} and sums.n == 0
+
+
+def test_scalars_leave_python_as_arrow_columns(spark):
+    texts = [("a.yml", "YAML", "a: [1, ~]\nb: {c: TRUE}\n"), ("a.properties", "PROPERTIES", "k[0]=v\n"), ("a.xml", "XML", "<a b='c'/>"), ("bad.yml", "YAML", "a: ]"), ("none.yml", "YAML", None)]
+    files = spark.createDataFrame([("s", p, p, k, "MAIN", t) for p, k, t in texts], "scan_id string, path string, name string, file_type string, scope string, content string")
+    found = SQ.leaves(files)
+    assert "MapInArrow" in plan(found) and "MapInPandas" not in plan(found)
+    rows = {(r["path"], tuple(r["segs"]), r["value"], r["line"]) for r in found.where("error is null").collect()}
+    assert rows == {("a.yml", ("a", "[0]"), "1", 1), ("a.yml", ("a", "[1]"), None, 1), ("a.yml", ("b", "c"), "true", None), ("a.properties", ("k[0]",), "v", 1), ("a.xml", ("a[0]", "@b"), "c", None)}
+    assert [r["path"] for r in found.where("error is not null").collect()] == ["bad.yml"]
+
+
+def test_files_meet_nothing_where_nothing_is_imported(spark):
+    files = SQ._files(spark, "/root/testdata/sf0.001", (".env", "ENV", "A=«k»\n"))
+    found = R.imports(R.environment_files(files), files)
+    assert "Join" not in plan(found) and found.count() == 0
+
+
+def test_a_bag_is_counted_in_as_many_tasks_as_files_are_dealt_to(spark):
+    found = RQ.detectors_as_a_bag(spark, DATA)
+    assert "REPARTITION_BY_NUM" in plan(found)
