@@ -40,12 +40,13 @@ BUCKETS = 24
 BLOCK, BLOCKS, LEAST = 20 << 20, 8, 1 << 16
 #: Tasks that blocks or shards are dealt to, at most; each may take several.
 TASKS = 8192
-#: Pairs of a step of learning, those predicted at once, and bytes whose pairs are sorted at once.
-_STEP, _LOAD, _PART = 1 << 13, 1 << 15, 1 << 20
+#: Pairs of a step of learning, those predicted at once, bytes whose pairs are read at once, and pairs sorted at once.
+_STEP, _LOAD, _PART, _SORT = 1 << 13, 1 << 12, 1 << 16, 1 << 24
 #: Ahead of a text: a byte that no word has, so many times that every context is whole.
 _AHEAD = 10
 _MASKS = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(1, ORDERS + 1)]
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
+_SIGNS = np.ascontiguousarray(2 * _BITS.T - 1)
 
 
 # ---- words of texts ----------------------------------------------------------------------------------------------
@@ -139,27 +140,39 @@ def _unpacked(data: bytes, kind, n: int) -> np.ndarray:
 # ---- spelling ----------------------------------------------------------------------------------------------------
 
 class Index:
-    """Places of keys among distinct sorted ones: tables of ranks by hash, each for the keys that the one ahead lost."""
+    """Places of keys among distinct sorted ones: tables of ranks by hash, each for the keys that the one ahead lost.  The
+    rank in a place that several keys met is there as its complement, and compared; any other is the right one."""
 
     def __init__(self, keys: np.ndarray):
         self.keys, self.tables = keys, []
         left = np.arange(len(keys), dtype=np.int32)
         while len(left):
             bits, odd = int(len(left)).bit_length() + 1, np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
-            at = (mix(keys[left]) * odd >> np.uint64(64 - bits)).astype(np.int64)
+            at = self._places(keys[left], bits, odd)
             table = np.zeros(1 << bits, np.int32)
             table[at] = left
+            lost = np.flatnonzero(table[at] != left)
+            at, left = at[lost], left[lost]
+            table[at] = ~table[at]
             self.tables.append((bits, odd, table))
-            left = left[table[at] != left]
+
+    @staticmethod
+    def _places(keys: np.ndarray, bits: int, odd: np.uint64) -> np.ndarray:
+        return ((keys ^ keys >> np.uint64(29)) * odd >> np.uint64(64 - bits)).view(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Ranks of keys, all of which must be there."""
-        rank = np.zeros(len(keys), np.int32)
-        live, own = np.arange(len(keys)), mix(keys)
+        rank, live = np.zeros(len(keys), np.int32), None
         for bits, odd, table in self.tables:
-            rank[live] = got = table[(own * odd >> np.uint64(64 - bits)).astype(np.int64)]
-            lost = np.flatnonzero(self.keys[got] != keys)
-            live, keys, own = live[lost], keys[lost], own[lost]
+            got = np.take(table, self._places(keys, bits, odd))
+            met = np.flatnonzero(got < 0)
+            got[met] = own = ~got[met]
+            if live is None:
+                rank = got
+            else:
+                rank[live] = got
+            lost = met[np.take(self.keys, own) != keys[met]]
+            live, keys = lost if live is None else live[lost], keys[lost]
         return rank
 
 
@@ -186,24 +199,33 @@ class Spelling:
             self.flat[np.arange(lo, hi) + self.spread(self.gap, lo, hi, own)] = self.bytes[lo:hi]
         self.eight = np.ndarray((max(len(self.flat) - 7, 0),), dtype=">u8", buffer=self.flat, strides=(1,))
 
-    def _parts(self):
-        """Ranges of bytes, and the rows that they lie in."""
-        for lo in range(0, len(self.bytes), _PART):
-            hi = min(lo + _PART, len(self.bytes))
-            a, b = np.searchsorted(self.first, [lo, hi - 1], side="right") - 1
-            yield lo, hi, slice(int(a), int(b) + 1)
+    def _parts(self, size: int = _PART, most: int | None = None):
+        """Ranges of bytes, and the rows that they lie in, so many rows at most."""
+        hi = 0
+        while hi < len(self.bytes):
+            lo, hi = hi, min(hi + size, len(self.bytes))
+            a, b = (np.searchsorted(self.first, [lo, hi - 1], side="right") - 1).tolist()
+            if most and b >= a + most:
+                b, hi = a + most - 1, int(self.first[a + most])
+            yield lo, hi, slice(a, b + 1)
 
     def spread(self, values: np.ndarray, lo: int, hi: int, own: slice) -> np.ndarray:
         """Values of rows, for every byte of a range."""
         return np.repeat(values[own], np.diff(np.clip(self.first[own.start:own.stop + 1], lo, hi)))
 
-    def pairs(self):
-        """Ranges of bytes, the rows they lie in, and their pairs of the longest context; _MASKS has what is left of
+    def pairs(self, *limits):
+        """Ranges of bytes, the rows they lie in (``limits`` as for ``_parts``), and their pairs of the longest context; _MASKS has what is left of
         them for shorter ones."""
-        for lo, hi, own in self._parts():
-            place = np.arange(lo, hi) + self.spread(self.gap, lo, hi, own)
+        for lo, hi, own in self._parts(*limits):
+            begin = lo + int(self.gap[own.start])
             #: A pair has seven bytes: those at place - 6 to place are the first of the eight from there.
-            yield lo, hi, own, self.eight[place - ORDERS].astype(np.uint64) >> np.uint64(8)
+            p = self.eight[begin - ORDERS:hi + int(self.gap[own.stop - 1]) - ORDERS].astype(np.uint64) >> np.uint64(8)
+            if own.stop - own.start > 1:  # what lies ahead of the later rows
+                inner = np.ones(len(p), bool)
+                ahead = self.first[own.start + 1:own.stop] + self.gap[own.start + 1:own.stop] - begin
+                inner[ahead[:, None] - np.arange(1, ORDERS + 1)] = False
+                p = p[inner]
+            yield lo, hi, own, p
 
     @cached_property
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +236,8 @@ class Spelling:
         start = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
         start[first[:-1]] = self.first[:-1] + self.gap
         out = np.empty(len(ends), np.uint64)
-        for lo in range(0, len(ends), 1 << 20):
-            out[lo:lo + (1 << 20)] = hash_spans(self.flat, start[lo:lo + (1 << 20)], ends[lo:lo + (1 << 20)])
+        for lo in range(0, len(ends), _PART):
+            out[lo:lo + _PART] = hash_spans(self.flat, start[lo:lo + _PART], ends[lo:lo + _PART])
         return out, first
 
     @property
@@ -226,17 +248,71 @@ class Spelling:
 
     def distinct(self, copies: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For every order: the distinct pairs in order, and how often they occur, rows weighted by ``copies``."""
-        copies = np.ones(len(self.gap), np.int64) if copies is None else copies
-        found = []
+        return self.nested(copies)[0]
+
+    def nested(self, copies: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """``distinct``, and for every order but the longest the places in it of the pairs of the order above."""
+        return _nested(*self._longest(np.ones(len(self.gap), np.int64) if copies is None else copies))
+
+    def asked(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """``nested``, without counts.  Keeps what ``log10`` reads: ``pieces``, which are up to 256 rows' pairs in order, as
+        their rows, whether each is another than the one ahead, and the places of these among the distinct pairs."""
+        pieces, found = [], []
+        for lo, hi, own, p in self.pairs(1 << 20, 256):
+            p = p << np.uint64(8) | self.spread(np.arange(len(self.gap)) - own.start, lo, hi, own).astype(np.uint64)
+            p.sort()  # the number of the row in the bits that a pair leaves free
+            row, keys = p.astype(np.uint8), p >> np.uint64(8)
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            pieces.append([own, row, np.packbits(new), keys[new]])
+            found.append(pieces[-1][-1])
+            if len(found) > 8 or hi == len(self.bytes):
+                keys = np.concatenate(found)
+                keys.sort()
+                found = [keys[_starts(keys)]]
+        keys = found[0] if found else np.zeros(0, np.uint64)
+        for x in pieces:
+            x[-1] = np.searchsorted(keys, x[-1]).astype(np.int32)
+        self.pieces = pieces
+        return _nested(keys, np.ones(len(keys), np.int32))
+
+    def forget(self) -> None:
+        """Drops the texts themselves, once it is known what they ask and of what words they are."""
+        self.bytes = self.flat = self.eight = None
+        self.tokens = None, self.tokens[1]
+        release()
+
+    def _longest(self, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of the longest context.  They have 56 bits; their rows' copies, up to 255, are sorted along
+        in the other eight."""
+        few, total = np.minimum(copies, 255).astype(np.uint8), len(self.bytes)
+        room, filled, found = np.empty(min(total, _SORT + _PART), np.uint64), 0, []
         for lo, hi, own, p in self.pairs():
-            found.append(_counted(p, self.spread(copies, lo, hi, own)))
-            if len(found) == 8:
-                found = [_merged(found)]
-        out = [_merged(found)]
-        for mask in reversed(_MASKS[:-1]):
-            keys, n = out[0]
-            out.insert(0, _added(keys & mask, n))
-        return out
+            np.bitwise_or(p << np.uint64(8), self.spread(few, lo, hi, own), out=room[filled:filled + hi - lo])
+            filled += hi - lo
+            if filled >= _SORT or hi == total:
+                now = room[:filled]
+                now.sort()
+                new = [np.zeros(1, np.int64)]
+                for x in range(0, filled, _PART):
+                    keys = now[x:x + _PART + 1] >> np.uint64(8)
+                    new.append(np.flatnonzero(keys[1:] != keys[:-1]) + x + 1)
+                new = np.concatenate(new)
+                n = np.empty(len(new), np.int32)
+                for x in range(0, len(new), _PART):
+                    part, end = new[x:x + _PART], new[x + _PART] if x + _PART < len(new) else filled
+                    n[x:x + _PART] = np.add.reduceat(now[part[0]:end].astype(np.uint8), part - part[0], dtype=np.int32)
+                found.append((now[new] >> np.uint64(8), n))
+                filled = 0
+                del now
+        del room
+        keys, n = _merged(found)
+        if (copies > 255).any():
+            n = n.astype(np.int64)
+            for lo, hi, own, p in self.pairs():
+                more = self.spread(np.maximum(copies - 255, 0), lo, hi, own)
+                some, extra = _added(p[more > 0], more[more > 0])
+                n[np.searchsorted(keys, some)] += extra
+        return keys, n
 
     def words(self, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct words in order, and how often they occur, rows weighted by ``copies``."""
@@ -244,9 +320,9 @@ class Spelling:
         return _counted(words, np.repeat(copies, np.diff(first)))
 
     @cached_property
-    def index(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """The distinct pairs of the longest context, the rows of the shorter ones by them, and the first row of each order."""
-        return _indexed([k for k, _ in self.distinct()])
+    def index(self) -> tuple[np.ndarray, Rows, np.ndarray]:
+        """The distinct pairs of the longest context, their rows of counts in every order, and the first row of each order."""
+        return _indexed(*self.nested())
 
     def ranks(self):
         """Ranges of bytes, the rows they lie in, and where their pairs are in the index."""
@@ -256,21 +332,39 @@ class Spelling:
 
     def bit(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Bits at one place of each byte, and the slots of its contexts: eight for every row of counts."""
-        _, nested, base = self.index
         rank = np.concatenate([r for *_, r in self.ranks()] or [np.zeros(0, np.int32)])
-        return _BITS[self.bytes, depth].astype(np.uint32), [(n[rank] + b) * 8 + depth for n, b in zip(nested, base)]
+        return _BITS[self.bytes, depth].astype(np.uint32), [r.astype(np.int64) * 8 + depth for r in self.index[1][rank].T]
 
 
-def _indexed(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    return keys[-1], _nested(keys), np.cumsum([0, *map(len, keys)])
+def _nested(keys: np.ndarray, n: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    out, ranks = [(keys, n)], []
+    for mask in reversed(_MASKS[:-1]):
+        *shorter, rank = _ranked(out[0][0] & mask, out[0][1])
+        out.insert(0, tuple(shorter))
+        ranks.insert(0, rank)
+    return out, ranks
 
 
-def _nested(keys: list[np.ndarray]) -> list[np.ndarray]:
-    """For every order, the ranks of the pairs that end those of the longest context."""
-    out = [np.arange(len(keys[-1]), dtype=np.int32)]
-    for k in range(len(keys) - 2, -1, -1):
-        out.insert(0, np.searchsorted(keys[k], keys[k + 1] & _MASKS[k]).astype(np.int32)[out[0]])
-    return out
+class Rows:
+    """The rows of counts, one for each order, of pairs of the longest context: each order's place leads to the next one's."""
+
+    def __init__(self, ranks: list[np.ndarray], base: np.ndarray, n: int):
+        self.ranks, self.base, self.n = ranks, base, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, pairs: np.ndarray) -> np.ndarray:
+        out, at = np.empty((len(pairs), ORDERS), np.int32 if self.base[-1] < 1 << 31 else np.int64), pairs
+        for k in range(ORDERS - 1, -1, -1):
+            at = at if k == ORDERS - 1 else np.take(self.ranks[k], at)
+            out[:, k] = at + self.base[k]
+        return out
+
+
+def _indexed(distinct: list[tuple[np.ndarray, np.ndarray]], ranks: list[np.ndarray], base: np.ndarray | None = None) -> tuple[np.ndarray, Rows, np.ndarray]:
+    base = np.cumsum([0, *(len(k) for k, _ in distinct)]) if base is None else base
+    return distinct[-1][0], Rows(ranks, base, len(distinct[-1][0])), base
 
 
 def _merged(found: list) -> tuple[np.ndarray, np.ndarray]:
@@ -293,13 +387,33 @@ def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _added(keys: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of ``n``; without ``n`` the keys are sorted and count once each.  A block's
     counts fit 32 bits; those of a shard come as 64."""
-    if n is not None:
-        by = np.argsort(keys, kind="stable")  # of sorted runs, mostly
-        keys, n = keys[by], n[by]
-    if not len(keys):
-        return keys, np.zeros(0, np.int32)
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[new], np.diff(np.append(new, len(keys))).astype(np.int32) if n is None else np.add.reduceat(n, new)
+    if n is None:
+        new = _starts(keys)
+        return keys[new], np.diff(np.append(new, len(keys))).astype(np.int32)
+    by = np.argsort(keys, kind="stable")  # of sorted runs, mostly
+    keys, n = keys[by], n[by]
+    del by
+    new = _starts(keys)
+    return keys[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _ranked(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_added``, and the place of every key among the distinct ones."""
+    by, rank = np.argsort(keys, kind="stable"), np.empty(len(keys), np.int32)
+    keys, n = keys[by], n[by]
+    new = _starts(keys)
+    rank[by] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(new, append=len(keys)))
+    return keys[new], np.add.reduceat(n, new) if len(new) else n, rank
+
+
+def _bytes(keys: np.ndarray) -> np.ndarray:
+    """The bytes of pairs."""
+    return (keys & np.uint64(255)).astype(np.uint8)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each of sorted keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
 # ---- mixing ------------------------------------------------------------------------------------------------------
@@ -330,20 +444,21 @@ class Mixer:
         self.odds[row * 8:hi * 8] = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
         self.full[row:hi] = (n0[::8] + n1[::8]) > 0
 
-    def load(self, row: int, keys: np.ndarray, paths: np.ndarray, left_out: bool = False) -> None:
-        """Takes the counts along the bits of sorted pairs of one order for the rows from ``row`` on, all pairs left out
-        of them once if so asked."""
-        for lo in range(0, len(keys), _LOAD):
-            part = paths[:, lo:lo + _LOAD].astype(np.float32)
-            bits = _BITS[(keys[lo:lo + _LOAD] & np.uint64(255)).astype(np.int64)]
-            own, other = np.empty((part.shape[1], 8), np.float32), part[:8].T
-            at = part[8]
+    def load(self, rows: np.ndarray, last: np.ndarray, paths: np.ndarray, left_out: bool = False) -> None:
+        """Takes the counts along the bits of pairs for their rows, ``last`` their bytes, all pairs left out of them once
+        if so asked."""
+        for lo in range(0, len(rows), _LOAD):
+            part, at = paths[:, lo:lo + _LOAD].astype(np.float32, copy=False), rows[lo:lo + _LOAD]
+            own, other, n = np.empty((8, part.shape[1]), np.float32), part[:8], part[8]
             for depth in range(7, -1, -1):
-                own[:, depth] = at
-                at = at + part[depth]
+                own[depth] = n
+                n = n + part[depth]
             if left_out:
                 own = np.maximum(own - 1, 0)
-            self._load(row + lo, np.where(bits == 1, other, own).ravel(), np.where(bits == 1, own, other).ravel())
+            odds = np.log((own + np.float32(0.4)) / (other + np.float32(0.4)))
+            odds *= np.take(_SIGNS, last[lo:lo + _LOAD], axis=1)
+            self.odds.reshape(-1, 8)[at] = odds.T
+            self.full[at] = (own[0] + other[0]) > 0
 
     def _inputs(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """What the contexts of some bits say, and how many of the contexts have been seen."""
@@ -361,13 +476,17 @@ class Mixer:
     def _refined(self, z, last):
         """Probabilities of a 1 by log-odds and by the map, and the map's cells that were asked."""
         z = np.clip(z, -8, 8)
-        p = 1 / (1 + np.exp(-z))
-        q = (z + np.float32(8)) * np.float32((BUCKETS - 1) / 16)
-        low = np.minimum(q.astype(np.int32), BUCKETS - 2)
-        share = q - low
-        cell, cells = last * BUCKETS + low, self.map.ravel()
-        left = np.take(cells, cell)
-        return p, left + (np.take(cells, cell + 1) - left) * share, low, share
+        share = (z + np.float32(8)) * np.float32((BUCKETS - 1) / 16)
+        low = np.minimum(share.astype(np.int32), BUCKETS - 2)
+        share -= low
+        p = np.exp(np.negative(z, out=z), out=z)
+        p += 1
+        np.reciprocal(p, out=p)
+        cell, cells = last.astype(np.int64) * BUCKETS + low, self.map.ravel()
+        refined = np.take(np.diff(cells, append=cells[-1:]), cell)
+        refined *= share
+        refined += np.take(cells, cell)
+        return p, refined, low, share
 
     @staticmethod
     def _last(s: Spelling, part=slice(None)):
@@ -376,28 +495,37 @@ class Mixer:
         last[s.first[:-1][s.first[:-1] < len(last)]] = 32
         return last[part].astype(np.int32)
 
-    def _mixed(self, s: Spelling, pairs: np.ndarray):
-        """Some pairs, grouped by gate: their order, groups, inputs of all orders, mixed log-odds, last bytes and bits."""
-        keys, nested, base = s.index
-        rows = [n[pairs] + b for n, b in zip(nested, base)]
-        gate = np.zeros(len(pairs), np.int8)
-        for r in rows:
-            gate += self.full[r]
+    def _gates(self, s: Spelling) -> np.ndarray:
+        """How many contexts of every pair have been seen."""
+        rows = s.index[1]
+        gate = np.zeros(len(rows), np.int8)
+        for lo in range(0, len(rows), _LOAD):
+            for at in rows[np.arange(lo, min(lo + _LOAD, len(rows)))].T:
+                gate[lo:lo + _LOAD] += np.take(self.full, at)
+        return gate
+
+    def _wide(self) -> np.ndarray:
+        """Weights of every gate as a matrix from the odds of all orders, eight each, to the eight bits."""
+        out = np.zeros((ORDERS + 1, 8, ORDERS, 8), np.float32)
+        out[:, range(8), :, range(8)] = self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)[:, :, :ORDERS].transpose(1, 0, 2)
+        return out.reshape(ORDERS + 1, 8, 8 * ORDERS)
+
+    def _mixed(self, s: Spelling, pairs: np.ndarray, gate: np.ndarray, wide: np.ndarray):
+        """Some pairs, grouped by their gates: their order, groups, inputs of all orders, and by place of the bit the mixed
+        log-odds, last bytes and bits."""
         by = np.argsort(gate, kind="stable")
-        ends = np.cumsum(np.bincount(gate, minlength=ORDERS + 1))
-        odds, weights = self.odds.reshape(-1, 8), self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)
-        x = [np.take(odds, r[by], axis=0) for r in rows]
-        z = np.empty((len(by), 8), np.float32)
+        ends = np.cumsum(np.bincount(gate, minlength=ORDERS + 1)).tolist()
         groups = [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+        pairs = pairs[by]
+        x = np.take(self.odds.reshape(-1, 8), s.index[1][pairs].ravel(), axis=0).reshape(len(by), 8 * ORDERS)
+        z, bias = np.empty((8, len(by)), np.float32), 0.5 * self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)[:, :, ORDERS:]
         for g, at in groups:
-            own = z[at]
-            own[:] = 0.5 * weights[g, :, ORDERS]
-            for k in range(ORDERS):
-                own += x[k][at] * weights[g, :, k]
-        keys = keys[pairs[by]]
+            np.matmul(wide[g], x[at].T, out=z[:, at])
+            z[:, at] += bias[g]
+        keys = np.take(s.index[0], pairs)
         last = (keys >> np.uint64(8) & np.uint64(255)).astype(np.int32)
         last[last == _AHEAD] = 32
-        return by, groups, x, z, last[:, None], _BITS[(keys & np.uint64(255)).astype(np.int64)]
+        return by, groups, x, z, last, np.take(_BITS.T, (keys & np.uint64(255)).astype(np.int64), axis=1)
 
     def learn(self, s: Spelling, counts: np.ndarray | None = None, rate: float = 0.1) -> None:
         """Online, pair by pair of the longest context in the order of their hashes, each as often as ``counts`` has
@@ -410,21 +538,21 @@ class Mixer:
         weights = self.weights.reshape(ORDERS + 1, 8, ORDERS + 1)
         there = np.flatnonzero(counts)
         there = there[np.argsort(mix(keys[there]), kind="stable")]
+        gates = self._gates(s)
         for lo in range(0, len(there), _STEP):
-            pairs = there[lo:lo + _STEP]
-            by, groups, x, z, last, bits = self._mixed(s, pairs)
-            n = counts[pairs[by]].astype(np.float32)[:, None]
+            pairs = np.sort(there[lo:lo + _STEP])
+            by, groups, x, z, last, bits = self._mixed(s, pairs, gates[pairs], self._wide())
+            n = counts[pairs[by]].astype(np.float32)
             p, _, low, share = self._refined(z, last)
             err = (bits - p) * n
             for g, at in groups:
                 own = float(n[at].sum())
                 step = rate * 30 / (30 + np.sqrt(self.seen[g * 8] / 1e3)) / own
-                for k in range(ORDERS):
-                    weights[g, :, k] += step * np.einsum("ij,ij->j", err[at], x[k][at])
-                weights[g, :, ORDERS] += step * 0.5 * err[at].sum(0)
+                weights[g, :, :ORDERS] += step * np.einsum("jkj->jk", (err[:, at] @ x[at]).reshape(8, ORDERS, 8))
+                weights[g, :, ORDERS] += step * 0.5 * err[:, at].sum(1)
                 self.seen[g * 8:g * 8 + 8] += own
             cell = (last * BUCKETS + low + (share > 0.5)).ravel()
-            hits = np.bincount(cell, weights=np.repeat(n, 8), minlength=256 * BUCKETS).reshape(256, BUCKETS)
+            hits = np.bincount(cell, weights=np.tile(n, 8), minlength=256 * BUCKETS).reshape(256, BUCKETS)
             ones = np.bincount(cell, weights=(bits * n).ravel(), minlength=256 * BUCKETS).reshape(256, BUCKETS)
             self.map += ((ones - hits * self.map) / (self.map_seen + hits + 40)).astype(np.float32)
             self.map_seen += hits
@@ -434,16 +562,23 @@ class Mixer:
         the longest context, so a pair is worked out once however often it occurs in the block."""
         if not hasattr(self, "odds"):
             self.prepare()
-        value = np.zeros(len(s.index[0]))
+        if not hasattr(s, "pieces"):
+            s.index = _indexed(*s.asked())
+        value, gates, wide = np.zeros(len(s.index[0])), self._gates(s), self._wide()
         for lo in range(0, len(value), _LOAD):
             pairs = np.arange(lo, min(lo + _LOAD, len(value)))
-            by, _, _, z, last, bits = self._mixed(s, pairs)
+            by, _, _, z, last, bits = self._mixed(s, pairs, gates[lo:lo + _LOAD], wide)
             p, refined, _, _ = self._refined(z, last)
             p = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
-            value[pairs[by]] = np.log10(np.where(bits == 1, p, 1 - p)).sum(1, dtype=np.float64)
+            p = np.where(bits == 1, p, 1 - p)
+            p = (p[:4] * p[4:]).astype(np.float64)  # all eight at once would leave the range of 32 bits
+            p = p[:2] * p[2:]
+            value[pairs[by]] = np.log10(p[0] * p[1])
         total = np.zeros(len(s.gap))
-        for lo, hi, own, rank in s.ranks():
-            total[own] += np.add.reduceat(value[rank], np.maximum(s.first[own], lo) - lo)
+        for own, row, new, rank in s.pieces:
+            first = np.flatnonzero(np.unpackbits(new, count=len(row)))
+            each = np.repeat(np.take(value, rank), np.diff(first, append=len(row)))
+            total[own] += np.bincount(row, weights=each, minlength=own.stop - own.start)
         return total
 
 
@@ -452,14 +587,25 @@ class Mixer:
 def _learnt(s: Spelling, copies: np.ndarray) -> tuple[Mixer, np.ndarray, int]:
     """What a block learns from its training texts with its own counts, the distinct words of these texts, and how many
     words they have in all."""
-    distinct = s.distinct(copies)
-    m, s.index = Mixer(None, None), _indexed([k for k, _ in distinct])
+    words, first = s.tokens
+    many = np.diff(first)
+    words = np.sort(words[np.repeat(copies > 0, many)])
+    words, total = words[_starts(words)], int((copies * many).sum())
+    distinct, ranks = s.nested(copies)
+    s.forget()
+    m, s.index = Mixer(None, None), _indexed(distinct, ranks)
+    del ranks
     m._room(int(s.index[2][-1]))
     for (keys, n), row in zip(distinct, s.index[2]):
-        m.load(int(row), keys, _paths(keys, n), left_out=True)
-    m.learn(s, distinct[-1][1])
-    words, n = s.words(copies)
-    return m, words[n > 0], int(n.sum())
+        hi = 0
+        while hi < len(keys):  # contexts stay whole
+            lo, hi = hi, hi + _PART
+            hi = len(keys) if hi >= len(keys) else int(np.searchsorted(keys, (keys[hi] >> np.uint64(8)) + np.uint64(1) << np.uint64(8)))
+            m.load(np.arange(row + lo, row + hi), _bytes(keys[lo:hi]), _paths(keys[lo:hi], n[lo:hi]), left_out=True)
+    del distinct[:-1], keys
+    release()
+    m.learn(s, n)
+    return m, words, total
 
 
 def _averaged(blocks: DataFrame) -> Mixer:
@@ -489,7 +635,7 @@ def _dealt(distinct: list[tuple[np.ndarray, np.ndarray]], shards: int) -> list[t
     out = []
     for k, (keys, _) in enumerate(distinct):
         shard = (mix(keys >> np.uint64(8) if k < ORDERS else keys) % np.uint64(shards)).astype(np.int32)
-        by = np.argsort(shard, kind="stable").astype(np.int32)
+        by = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable").astype(np.int32)
         out.append((by, np.searchsorted(shard[by], np.arange(shards + 1))))
     return out
 
@@ -526,16 +672,22 @@ def _asks(blocks: DataFrame, shards: int) -> DataFrame:
 
 def _paths(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Counts along the eight bits of sorted distinct pairs: of the other bit at each place, and of the pair."""
-    out, ahead = np.empty((9, len(keys)), np.uint32), None
-    for depth in range(9 if len(keys) else 0):
-        node = keys >> np.uint64(8 - depth)
-        new = np.concatenate([[True], node[1:] != node[:-1]])
-        now = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
+    #: Of 32 bits unless a shard has more.
+    kind = np.uint32 if n.sum(dtype=np.int64) < 1 << 32 else np.uint64
+    out, ahead = np.empty((9, len(keys)), kind), None
+    if not len(keys):
+        return out
+    apart = np.minimum(keys[1:] ^ keys[:-1], np.uint64(256)).astype(np.uint16)
+    ends = np.zeros(len(keys) + 1, kind)
+    np.cumsum(n, out=ends[1:], dtype=kind)
+    for depth in range(8):
+        new = np.concatenate([[0], np.flatnonzero(apart >= 1 << 8 - depth) + 1, [len(keys)]])
+        now = np.repeat(np.diff(ends[new]), np.diff(new))
         if depth:
-            out[depth - 1] = ahead - now
+            np.subtract(ahead, now, out=out[depth - 1])
         ahead = now
-    if len(keys):
-        out[8] = ahead
+    out[8] = n
+    np.subtract(ahead, out[8], out=out[7])
     return out
 
 
@@ -549,36 +701,50 @@ def _answers(asks: DataFrame, shards: int) -> DataFrame:
         for k in range(ORDERS + 1):
             parts = [slice(a[k], a[k + 1]) for a in at]
             keys = np.concatenate([np.cumsum(p[i], dtype=np.uint64) for p, i in zip(pairs, parts)])
-            found, sums = _added(keys, np.concatenate([c[i] for c, i in zip(counts, parts)]).astype(np.int64))
-            paths, rank = _paths(found, sums) if k < ORDERS else sums[None].astype(np.uint32), np.searchsorted(found, keys)
+            found, sums, rank = _ranked(keys, np.concatenate([c[i] for c, i in zip(counts, parts)]).astype(np.int64))
+            paths = _paths(found, sums) if k < ORDERS else sums[None].astype(np.uint32 if sums.sum() < 1 << 32 else np.uint64)
             for o, i in zip(out, np.split(rank, np.cumsum(sizes[:, k])[:-1])):
-                o.append(paths[:, i].ravel())
-        blobs = [_packed(np.concatenate(o)) for o in out]
-        return pa.table([pa.array(block, pa.int32()), pa.array(np.full(len(block), key[0].as_py(), np.int32)), pa.array(blobs, pa.binary())], names=["block", "shard", "paths"])
+                o.append(np.take(paths, i, axis=1).ravel())
+        blobs, bits = [], []
+        for o in out:
+            bits.append(8 * max(x.itemsize for x in o))
+            blobs.append(_packed(np.concatenate(o)))
+        return pa.table([pa.array(block, pa.int32()), pa.array(np.full(len(block), key[0].as_py(), np.int32)), pa.array(bits, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "shard", "bits", "paths"])
 
-    return asks.repartitionById(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, paths binary")
+    return asks.repartitionById(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, "block int, shard int, bits int, paths binary")
 
 
 def _with_counts(row: dict, answers: Iterator[dict], shards: int) -> tuple[Spelling, Mixer, np.ndarray]:
     """A block's texts, a mixer over the counts of their contexts, and the counts of all their words."""
     s = Spelling(_column(row))
-    keys = [*(k for k, _ in s.distinct()), _added(np.sort(s.tokens[0]), None)[0]]
-    s.index = _indexed(keys[:-1])
-    dealt = _dealt([(k, None) for k in keys], shards)
-    widths = [9] * ORDERS + [1]
-    tables = [np.zeros((w, len(k)), np.uint32) for w, k in zip(widths, keys)]
-    for answer in answers:
-        own = [by[at[answer["shard"]]:at[answer["shard"] + 1]] for by, at in dealt]
-        flat, lo = _unpacked(answer["paths"], np.uint32, sum(w * len(i) for w, i in zip(widths, own))), 0
-        for w, i, table in zip(widths, own, tables):
-            table[:, i] = flat[lo:lo + w * len(i)].reshape(w, len(i))
-            lo += w * len(i)
-    del dealt
-    words = tables.pop()[0][np.searchsorted(keys[-1], s.tokens[0])]
+    tokens = s.tokens[0]
+    spelt = _added(np.sort(tokens), None)[0]
+    find, words = Index(spelt), np.empty(len(tokens), np.int32)
+    for lo in range(0, len(tokens), _PART):
+        words[lo:lo + _PART] = find(tokens[lo:lo + _PART])
+    s.tokens = None, s.tokens[1]
+    del tokens, find
+    distinct, ranks = s.asked()
+    s.forget()
+    dealt = _dealt([*((k, None) for k, _ in distinct), (spelt, None)], shards)
+    known, last = np.zeros(len(spelt), np.int64), np.concatenate([_bytes(k) for k, _ in distinct])
+    base = np.cumsum([0, *(len(k) for k, _ in distinct)])
+    del distinct[:-1], spelt
+    release()
     m = Mixer(None, None)
-    m._room(int(s.index[2][-1]))
-    for k in range(ORDERS - 1, -1, -1):
-        m.load(int(s.index[2][k]), keys[k], tables.pop())
+    m._room(len(last))
+    m.odds[:], m.full[:] = 0, 0
+    for answer in answers:
+        *own, word = (by[at[answer["shard"]]:at[answer["shard"] + 1]] for by, at in dealt)
+        flat, lo, paths = _unpacked(answer["paths"], f"u{answer['bits'] // 8}", sum(9 * len(i) for i in own) + len(word)), 0, []
+        for i in own:
+            paths.append(flat[lo:lo + 9 * len(i)].reshape(9, len(i)))
+            lo += 9 * len(i)
+        rows = np.concatenate([i + b for i, b in zip(own, base)])
+        m.load(rows, last[rows], np.concatenate(paths, axis=1))
+        known[word] = flat[lo:]
+    del dealt, last
+    words, s.index = np.take(known, words), _indexed(distinct, ranks, base)
     return s, m, words
 
 

@@ -113,3 +113,59 @@ def test_index_finds_all_keys():
     asked = np.random.default_rng(3).integers(0, len(keys), 200_000)
     assert (index(keys[asked]) == asked).all()
     assert len(cm.Index(keys[:0])(keys[:0])) == 0
+
+
+def test_pairs_of_texts_are_met_in_order(monkeypatch):
+    """Places in the index are found for the distinct pairs of some texts at once, not by a look-up for every byte."""
+    texts = pa.array([stream("the old mill by the river %d" % (i % 90))[:-1] for i in range(700)] + [stream("a river " * 200_000)[:-1]], pa.binary())
+    s, looked = cm.Spelling(texts), []
+    m = cm.Mixer(*(np.random.default_rng(4).integers(0, 4, int(s.index[2][-1]) * 8).astype(np.float32) for _ in range(2)))
+    want, value = [], {}
+    find = cm.Index.__call__
+    monkeypatch.setattr(cm.Index, "__call__", lambda self, keys: looked.append(len(keys)) or find(self, keys))
+    got = m.log10(s)
+    assert sum(looked) < len(s.bytes) / 10
+    for at in list(range(0, 700, 233)) + [700]:  # alone, with the counts that the texts have together
+        one = cm.Spelling(texts.slice(at, 1))
+        rows = np.searchsorted(s.index[0], one.index[0])
+        own = cm.Mixer(None, None)
+        own.odds, own.full = m.odds, m.full
+        one.index = s.index
+        one.pieces = [[o, r, f, rows[x]] for (o, r, f, x) in _pieces(one)]
+        want.append(own.log10(one)[0])
+    assert got[list(range(0, 700, 233)) + [700]] == pytest.approx(want, rel=1e-9)
+
+
+def _pieces(s):
+    s.asked()
+    return s.pieces
+
+
+def test_counts_of_rows_with_many_copies():
+    texts = ["the mill", "the river", "a", "the old mill"] * 80
+    copies = np.tile([0, 1, 255, 256, 70_000, 300, 2, 1], 40)
+    want: list = [Counter() for _ in range(cm.ORDERS)]
+    for t, c in zip(texts, copies.tolist()):
+        data = stream(t)
+        for at in range(len(data)):
+            for k, n in enumerate(want):
+                n[int.from_bytes((b"\n" * cm.ORDERS + data)[at + cm.ORDERS - k - 1:at + cm.ORDERS + 1], "big")] += c
+    got = cm.Spelling(pa.array([stream(t)[:-1] for t in texts], pa.binary())).distinct(copies)
+    for (keys, n), w in zip(got, want):
+        assert (np.diff(keys.astype(np.int64)) > 0).all() and dict(zip(keys.tolist(), n.tolist())) == w
+
+
+def test_counts_of_a_shard_pass_32_bits(spark):
+    """At tens of GB a context of one byte is met more than 2^32 times."""
+    keys, many = np.array([0x2061, 0x2062], np.uint64), 3_000_000_000
+    row = (1, [2, 0, 0, 0, 0, 0, 1], bytearray(cm._packed(np.array([0x2061, 1, 77], np.uint64))), bytearray(cm._packed(np.array([many, 5, many], np.uint32))))
+    asks = spark.createDataFrame([(b, *row) for b in range(2)], "block int, shard int, sizes array<int>, pairs binary, n binary")
+    for r in cm._answers(asks, 2).collect():
+        got = cm._unpacked(bytes(r["paths"]), f"u{r['bits'] // 8}", 19)
+        paths = got[:18].reshape(9, 2)
+        assert paths[8].tolist() == [2 * many, 10] and got[18] == 2 * many
+        assert paths[6].tolist() == [10, 2 * many]  # 0x61 and 0x62 part at the seventh bit
+        m = cm.Mixer(None, None)
+        m._room(2)
+        m.load(np.arange(2), keys & np.uint64(255), paths)
+        assert m.odds[6] == pytest.approx(math.log(10.4 / (2 * many + 0.4)), rel=1e-5)
