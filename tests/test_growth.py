@@ -1,5 +1,6 @@
 """Plans whose work must grow with the tables: dealt over tasks, and no side that grows is broadcast."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -120,3 +121,36 @@ def test_files_meet_nothing_where_nothing_is_imported(spark):
 def test_a_bag_is_counted_in_as_many_tasks_as_files_are_dealt_to(spark):
     found = RQ.detectors_as_a_bag(spark, DATA)
     assert "REPARTITION_BY_NUM" in plan(found)
+
+
+def test_conditions_of_java_kinds_are_compiled(spark):
+    """Names and forms are looked at by compiled code; functions over arrays see the invocations that meet a kind."""
+    rows = SQ.written(J.invocation_rows(SQ._files(spark, "/root/testdata/sf0.001", *SQ._JAVA)), "rows")
+    for frame in (J.invocation_entries(rows), J.uncertain_rows(rows)):
+        assert re.search(r"\*\(\d+\) Project \[[^\n]* AS met#", plan(frame))
+    assert "filter(" not in str(J._rule()) and "exists(" in plan(J._sourced(rows, None, None))
+
+
+def test_tokens_are_told_from_lines_as_from_the_whole_text():
+    text = 'class A { // c "x"\n  String s = "a\\"//b"; char c = \'"\';\n\n  void f() { g("é", 5L); } }\n'
+    tokens, lines = J._lex(text)
+    assert (tokens, lines) == J._lex(text + "/* end\n */") and tokens[-4:] == [")", ";", "}", "}"] and lines[-1] == 4 and 'g' in tokens and "//" not in "".join(tokens[:3])
+    blocks = J._lex('a("""\n   x\n    y""",\n/* m\n */ \'\\n\', b)')
+    assert blocks[1] == [1, 1, 1, 3, 5, 5, 5, 5] and J._string(blocks[0][2]) == "x\n y"
+
+
+def test_arguments_are_packed_without_nulls():
+    import json
+
+    args = next(J.invocations('x.f("a\\u00e9\\"", 5L, Map.of("k", "v", K, 1), p + "q", {})'))[4]
+    packed = json.loads(J._packed(args))
+    assert [a.get("value") for a in packed] == ['a\u00e9"', "5", None, None, None] and "literal" not in packed[1] and packed[2]["pairs"] == [{"key": "k", "value": "v"}]
+    assert [(a["strings"], a["concat"]) for a in packed] == [(a["strings"], a["concat"]) for a in args] and J._packed([]) == "[]"
+
+
+def test_any_entry_may_name_a_source_of_properties(spark):
+    texts = [("A.java", "JAVA", 'class A { static final String K = "spring." + "property-source"; void f() { System.setProperty(K, "classpath:a.properties"); new ResourcePropertySource("file:b.properties"); System.setProperty("x", "file:c.properties"); } }'),
+             ("src/main/resources/a.properties", "PROPERTIES", "in.a=1\n"), ("b.properties", "PROPERTIES", "in.b=2\n"), ("c.properties", "PROPERTIES", "in.c=3\n")]
+    files = spark.createDataFrame([("s", p, p, k, "MAIN", t) for p, k, t in texts], "scan_id string, path string, name string, file_type string, scope string, content string")
+    keys = {r["key"] for r in J.java_entries(files)[0].collect()}
+    assert {"in.a", "in.b"} <= keys and "in.c" not in keys
